@@ -1,7 +1,403 @@
-"""Registered queries."""
+"""Registered queries: each operator applied to views of the given tables, with DuckDB SQL of the same rows.
 
-ORACLE_SQL: dict[str, str] = {}
+The tables hold no genomes, so whole-number columns stand for samples, variants and alleles, and letters
+of texts for bases.  SQL uses the plain formulas, not the operators' plan shapes.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import genotype as G
+from ..functions import sequence as S
+from ..operators import bootstrap, distance, kmers, stats, tree, windows
+from ..operators import embedding_projection as emb
+from ..sources.matrix import matrix_lines
+from ..streaming import windows as streams
+
+SAMPLES, TILE, ALLELES = 10, 500, 3
+K = 4
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_AS_BASES = "".join("ACGT"[k % 4] for k in range(26))
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- views ----------------------------------------------------------------
+
+
+def _genotypes(spark, sf_dir) -> DataFrame:
+    """(idx, variant, a0, a1): one call of each sample and variant."""
+    li = _t(spark, sf_dir, "lineitem")
+    return li.groupBy((F.col("l_suppkey") % SAMPLES).cast("int").alias("idx"), F.col("l_partkey").cast("int").alias("variant")).agg(
+        (F.sum(F.col("l_quantity").cast("int")) % ALLELES).cast("int").alias("a0"), (F.sum("l_linenumber") % 2).cast("int").alias("a1")
+    )
+
+
+_SQL_G = f"""g AS (SELECT CAST(l_suppkey % {SAMPLES} AS INT) AS s, CAST(l_partkey AS INT) AS v, CAST(sum(CAST(floor(l_quantity) AS INT)) % {ALLELES} AS INT) AS a0, CAST(sum(l_linenumber) % 2 AS INT) AS a1 FROM lineitem GROUP BY 1, 2),
+c AS (SELECT s, v, 0 AS hap, a0 AS allele FROM g UNION ALL SELECT s, v, 1, a1 FROM g)"""
+
+
+def _calls(g: DataFrame, *more) -> DataFrame:
+    placed = F.inline(F.array(*[F.struct(F.lit(h).alias("hap"), F.col(f"a{h}").alias("allele")) for h in (0, 1)]))
+    return g.select("variant", "idx", *more, placed)
+
+
+def _frame(g: DataFrame) -> DataFrame:
+    return distance.pair_frame(g.select("idx").distinct().withColumn("name", F.concat(F.lit("s"), F.col("idx").cast("string"))))
+
+
+def _wide(g: DataFrame) -> DataFrame:
+    """Rows of ord, pos, chrom and gts, as a variant file has them."""
+    by_sample = F.map_from_entries(F.collect_list(F.struct("idx", F.concat_ws("/", F.col("a0").cast("string"), F.col("a1").cast("string")).alias("gt"))))
+    return g.groupBy("variant").agg(by_sample.alias("m")).select(F.col("variant").alias("ord"), F.col("variant").alias("pos"), F.lit("chr1").alias("chrom"), F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda i: F.try_element_at("m", i)).alias("gts"))
+
+
+def _names() -> list[str]:
+    return [f"s{k}" for k in range(SAMPLES)]
+
+
+def _rounded(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, F.col("name_i").alias("sample_i"), F.col("name_j").alias("sample_j"), F.round("dist", 6).alias("dist"))
+
+
+# ---- genotype distances ----------------------------------------------------
+
+
+def genotype_cosine(spark, sf_dir):
+    g = _genotypes(spark, sf_dir)
+    return _rounded(distance.distances(distance.pair_counts(_calls(g)), _frame(g)))
+
+
+def genotype_cosine_blocks(spark, sf_dir):
+    """The same by matrix blocks of wide rows."""
+    counts = distance.block_counts(_wide(_genotypes(spark, sf_dir)), SAMPLES, 2, ALLELES)
+    return _rounded(distance.block_distances(counts, _names()))
+
+
+def _sql_cosine(window: str = "") -> str:
+    w, by = (f"v // {window} AS w, ", "w, ") if window else ("", "")
+    on = "AND a.w = b.w" if window else ""
+    return f"""
+WITH {_SQL_G},
+k AS (SELECT {w}s, v, hap, allele FROM c),
+d AS (SELECT {'a.w, ' if window else ''}a.s AS i, b.s AS j, count(*) AS dot FROM k a JOIN k b ON a.v = b.v AND a.hap = b.hap AND a.allele = b.allele {on} WHERE a.s <= b.s GROUP BY ALL),
+n AS (SELECT {by}s, count(*) AS norm FROM k GROUP BY ALL),
+f AS (SELECT {'x.w, ' if window else ''}a.s AS i, b.s AS j FROM (SELECT DISTINCT s FROM c) a, (SELECT DISTINCT s FROM c) b {', (SELECT DISTINCT w FROM k) x' if window else ''} WHERE a.s <= b.s)
+SELECT {f'CAST(f.w * {window} AS BIGINT) AS start, ' if window else ''}'s' || f.i AS sample_i, 's' || f.j AS sample_j,
+round(CASE WHEN coalesce(p.norm, 0) = 0 OR coalesce(q.norm, 0) = 0 THEN CASE WHEN f.i = f.j THEN 0 ELSE 1 END ELSE greatest(0, 1 - coalesce(dot, 0) / (sqrt(p.norm) * sqrt(q.norm))) END, 6) AS dist
+FROM f LEFT JOIN d ON f.i = d.i AND f.j = d.j {'AND f.w = d.w' if window else ''}
+LEFT JOIN n p ON p.s = f.i {'AND p.w = f.w' if window else ''} LEFT JOIN n q ON q.s = f.j {'AND q.w = f.w' if window else ''}"""
+
+
+def windowed_cosine_long(spark, sf_dir):
+    """Distances of each tile of positions, with the calls joined."""
+    g = _genotypes(spark, sf_dir).withColumn("pos", F.col("variant"))
+    tiles = windows.sorted_tiles(g, TILE).withColumn("start", F.col("win_start").cast("bigint"))
+    pairs = distance.pair_counts(_calls(tiles, "start"), ["start"])
+    return _rounded(distance.distances(pairs, _frame(g), ["start"]), "start")
+
+
+def windowed_cosine_blocks(spark, sf_dir):
+    """The same by matrix blocks."""
+    tiles = windows.sorted_tiles(_wide(_genotypes(spark, sf_dir)), TILE)
+    counts = distance.block_counts(tiles, SAMPLES, 2, ALLELES, group="win_start")
+    return _rounded(distance.block_distances(counts, _names()).withColumnRenamed("grp", "start"), "start")
+
+
+def istats(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    calls = li.select(F.col("l_suppkey").cast("string").alias("name"), (F.col("l_quantity").cast("int") % 3 - 1).alias("a1"), (F.col("l_linenumber") % 2).alias("a2"))
+    out = stats.individual_counts(calls)
+    return out.select("indiv", "n_sites", "n_het", "n_alt", "n_ref", "n_miss", *[F.round(c, 6).alias(c) for c in ("p_het", "p_alt", "p_ref", "p_miss")])
+
+
+def dosage_totals(spark, sf_dir):
+    """Dosage of written genotypes, some missing, some not numbers."""
+    li = _t(spark, sf_dir, "lineitem")
+    first = F.when(F.col("l_linenumber") == 5, ".").when(F.col("l_linenumber") == 6, "x").otherwise((F.col("l_linenumber") % 3).cast("string"))
+    gt = F.concat(first, F.when(F.col("l_linestatus") == "O", "/").otherwise("|"), (F.col("l_quantity").cast("int") % 2).cast("string"))
+    d = G.dosage(gt)
+    return li.groupBy("l_returnflag").agg(F.count_if(d.isNull()).alias("n_missing"), F.sum(d).alias("dosage"), F.sum(F.bit_count(G.one_hot_bits(gt, 2, 2)).cast("long")).alias("bits"))
+
+
+def keep_samples(spark, sf_dir):
+    kept, names = stats.keep_samples(_wide(_genotypes(spark, sf_dir)), _names(), ["s1", "s3", "s8"], ignore_hets=True)
+    return kept.select(F.col("ord").alias("variant"), *[F.get("gts", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+
+def least_missing_per_cluster(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    members = li.groupBy((F.col("l_suppkey") % 7).alias("cluster_id"), F.col("l_suppkey").cast("string").alias("name")).agg(F.avg((F.col("l_quantity").cast("int") % 3 == 0).cast("int")).alias("miss"))
+    return stats.least_missing(members)
+
+
+def variant_key(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    ident = F.when(F.col("p_size") % 2 == 0, F.lit(".")).otherwise(F.col("p_name"))
+    args = [F.col("p_brand"), F.col("p_size"), ident, F.col("p_type"), F.col("p_name")]
+    return part.select("p_partkey", *[G.variant_key(kind, *args).alias(kind.value.lower()) for kind in G.VariantKey])
+
+
+# ---- windows ---------------------------------------------------------------
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    ev = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ev.select(F.col("event_type").alias("chrom"), F.unix_seconds("ts").cast("int").alias("pos"), F.struct("ts", "event_id").alias("ord"))
+
+
+def bp_windows(spark, sf_dir):
+    policy = windows.WindowPolicy("bp", 3600)
+    return windows.bounds(windows.assign(_positions(spark, sf_dir), policy), policy).select("chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "n")
+
+
+def variant_windows(spark, sf_dir):
+    policy = windows.WindowPolicy("variants", 50, min_variants=10)
+    return windows.bounds(windows.assign(_positions(spark, sf_dir), policy), policy).select("chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "n")
+
+
+def stream_tiles(spark, sf_dir):
+    """Hourly tiles by Structured Streaming over all events; the batch result is written and read again."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lociweave-streams")
+    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    tiles = streams.stream_tiles(events, "1 hour")
+    query = tiles.writeStream.outputMode("complete").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/out")).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select(F.col("event_type").alias("chrom"), F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+# ---- embeddings ------------------------------------------------------------
+
+
+def sample_embedding_projection(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    d = li.groupBy((F.col("l_suppkey") % SAMPLES).alias("idx"), (F.col("l_partkey") % 500).alias("key")).agg(F.sum(F.col("l_quantity").cast("int") % 3).alias("dosage"))
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    return emb.project_long(d, e).select("idx", "dim", F.round("value", 4).alias("value"))
+
+
+def embedding_cosine(spark, sf_dir):
+    """Cosine distances between the sums of each label's vectors."""
+    e = _t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    sums = e.groupBy("label", "dim").agg(F.sum("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("vec"))
+    return emb.vector_distances(sums, name="label").select("i", "j", F.round("dist", 6).alias("dist"))
+
+
+def skipped_variants(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 700).alias("key"))
+    known = _t(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key")).withColumn("hit", F.lit(1))
+    return li.join(known, "key", "left").agg(F.count(F.lit(1)).alias("processed"), F.count("hit").alias("used"), (F.count(F.lit(1)) - F.count("hit")).alias("skipped"))
+
+
+# ---- k-mers ----------------------------------------------------------------
+
+
+def _sequences(spark, sf_dir, by: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col(by).alias("seq_id"), F.translate("text", _LETTERS, _AS_BASES).alias("seq"))
+
+
+def _sql_kmers(by: str, k: int = K) -> str:
+    gram = " || ".join(f"w[i + {d}]" for d in range(k))
+    return f"""t AS (SELECT {by} AS seq_id, string_split(translate(text, '{_LETTERS}', '{_AS_BASES}'), '') AS w FROM documents),
+p AS (SELECT seq_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM t),
+f AS (SELECT seq_id, kmer, count(*) AS cnt FROM (SELECT seq_id, {gram} AS kmer FROM p) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY 1, 2)"""
+
+
+_SQL_RC = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+_SQL_BOTH = f"b AS (SELECT seq_id, kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT seq_id, kmer, cnt FROM f UNION ALL SELECT seq_id, {_SQL_RC}, cnt FROM f) GROUP BY 1, 2)"
+
+
+def _sql_code(k: int) -> str:
+    return "CAST(" + " + ".join(f"(strpos('ATCG', substr(kmer, {d + 1}, 1)) - 1) * {4 ** (k - 1 - d)}" for d in range(k)) + " AS BIGINT)"
+
+
+def _sql_in(base: str) -> str:
+    return f"(length(kmer) - length(replace(kmer, '{base}', '')))"
+
+
+_SQL_TOTALS = "n AS (SELECT seq_id, CAST(sum(cnt) AS BIGINT) AS total, " + ", ".join(f"CAST(sum(cnt * {_sql_in(b)}) AS BIGINT) AS base_{b.lower()}" for b in "ATCG") + " FROM b GROUP BY 1)"
+_SQL_PROB = "r AS (SELECT b.seq_id, kmer, cnt, total, " + " * ".join(f"pow(base_{b.lower()} / (base_a + base_t + base_c + base_g), {_sql_in(b)})" for b in "ATCG") + " AS prob FROM b JOIN n USING (seq_id))"
+
+
+def kmer_counts(spark, sf_dir):
+    out = kmers.count_forward(_sequences(spark, sf_dir, "lang"), K)
+    return out.select(F.col("seq_id").alias("lang"), S.encode_kmer(F.col("kmer")).alias("code"), "kmer", "cnt")
+
+
+def kmer_both_strands(spark, sf_dir):
+    return kmers.count_both(_sequences(spark, sf_dir, "source"), K).select(F.col("seq_id").alias("source"), "kmer", "cnt")
+
+
+def base_composition(spark, sf_dir):
+    out = kmers.base_totals(kmers.count_both(_sequences(spark, sf_dir, "source"), K))
+    return out.select(F.col("seq_id").alias("source"), "total", *[F.col(f"base_{b}").alias(f"base_{b.lower()}") for b in "ATCG"])
+
+
+def _profiles(spark, sf_dir) -> DataFrame:
+    return kmers.probabilities(kmers.count_both(_sequences(spark, sf_dir, "source"), K))
+
+
+def kmer_prob(spark, sf_dir):
+    return _profiles(spark, sf_dir).select(F.col("seq_id").alias("source"), "kmer", F.round("prob", 9).alias("prob"))
+
+
+def d2s(spark, sf_dir):
+    return kmers.d2s(_profiles(spark, sf_dir)).select("i", "j", F.round("dist", 6).alias("dist"))
+
+
+def d2star(spark, sf_dir):
+    return kmers.d2star(_profiles(spark, sf_dir)).select("i", "j", F.round("dist", 6).alias("dist"))
+
+
+def _sql_d2(star: bool) -> str:
+    if star:
+        q, d, nx, ny = "sqrt(x.e) * sqrt(y.e)", "x.c * y.c / q", "x.c * x.c / CASE WHEN x.e < 1e-15 THEN 1 ELSE x.e END", "y.c * y.c / CASE WHEN y.e < 1e-15 THEN 1 ELSE y.e END"
+    else:
+        q, d, nx, ny = "sqrt(x.c * x.c + y.c * y.c)", "x.c * y.c / q", "x.c * x.c / q", "y.c * y.c / q"
+    return f"""
+WITH {_sql_kmers('source')}, {_SQL_BOTH}, {_SQL_TOTALS}, {_SQL_PROB},
+grid AS (SELECT s.seq_id, w.kmer, coalesce(cnt - total * prob, 0) AS c, coalesce(total * prob, 0) AS e FROM (SELECT DISTINCT seq_id FROM r) s CROSS JOIN (SELECT DISTINCT kmer FROM r) w LEFT JOIN r ON r.seq_id = s.seq_id AND r.kmer = w.kmer),
+z AS (SELECT x.seq_id AS i, y.seq_id AS j, CASE WHEN {q} < 1e-15 THEN 1 ELSE {q} END AS q, {d} AS d, {nx} AS nx, {ny} AS ny FROM grid x JOIN grid y USING (kmer) WHERE x.seq_id <= y.seq_id),
+m AS (SELECT i, j, sum(d) AS d, sqrt(sum(nx)) AS nx, sqrt(sum(ny)) AS ny FROM z GROUP BY 1, 2)
+SELECT i, j, round(CASE WHEN i = j OR nx = 0 OR ny = 0 THEN 0 ELSE greatest(0, 0.5 * (1 - d / (nx * ny))) END, 6) AS dist FROM m"""
+
+
+def kmer_rank(spark, sf_dir):
+    out = kmers.ranks(kmers.count_both(_sequences(spark, sf_dir, "lang"), K))
+    return out.select(F.col("seq_id").alias("lang"), "code", "cnt", F.col("rank").cast("bigint").alias("rank"))
+
+
+def kmer_vocabulary(spark, sf_dir):
+    """Every 3-mer with its count in each source, absent ones too."""
+    out = kmers.in_vocabulary(kmers.count_forward(_sequences(spark, sf_dir, "source"), 3), S.vocabulary(spark, 3))
+    return out.select(F.col("seq_id").alias("source"), "code", "kmer", "cnt")
+
+
+def kmer_encode_decode(spark, sf_dir):
+    found = kmers.count_forward(_sequences(spark, sf_dir, "lang"), 8).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    code = S.encode_kmer(F.col("kmer"))
+    return found.select("kmer", "cnt", code.alias("code"), S.decode_kmer(code, 8).alias("decoded"), S.decode_pair(code, 8).alias("both"))
+
+
+# ---- trees, bootstrap, clusters, histogram ---------------------------------
+
+
+def distance_histogram(spark, sf_dir):
+    return stats.histogram(_t(spark, sf_dir, "orders"), 100, "o_totalprice").select("bin", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n")
+
+
+def _dist(spark, sf_dir, replicates: int = 0) -> DataFrame:
+    counts = distance.block_counts(_wide(_genotypes(spark, sf_dir)), SAMPLES, 2, ALLELES, replicates=replicates)
+    return distance.block_distances(counts, _names())
+
+
+def genotype_trees(spark, sf_dir):
+    """Newick of each linkage."""
+    dist, out = _dist(spark, sf_dir), None
+    for linkage in tree.LINKAGES:
+        one = tree.trees(dist, ["rep"], linkage).select(F.lit(linkage).alias("linkage"), "newick")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def clade_support(spark, sf_dir):
+    grown = tree.trees(_dist(spark, sf_dir, replicates=20), ["rep"])
+    return tree.clade_support(grown, 20).select(F.concat_ws(" ", "clade").alias("clade"), "n", "support")
+
+
+def windowed_trees(spark, sf_dir):
+    tiles = windows.sorted_tiles(_wide(_genotypes(spark, sf_dir)), TILE)
+    counts = distance.block_counts(tiles, SAMPLES, 2, ALLELES, group="win_start")
+    return tree.trees(distance.block_distances(counts, _names()), ["grp"]).select(F.col("grp").alias("start"), "newick")
+
+
+def tree_clusters(spark, sf_dir):
+    return tree.cluster_strings(tree.clusters(_dist(spark, sf_dir), ["rep"], 0.45))
+
+
+def matrix_text(spark, sf_dir):
+    variants = _genotypes(spark, sf_dir).select("variant").distinct().count()
+    return matrix_lines(_dist(spark, sf_dir).select("i", "j", "name_i", "name_j", "dist"), f"'{SAMPLES}\t{variants}'").select("line_no", "value")
+
+
+def bootstrap_weights(spark, sf_dir):
+    """Sums and sums of squares of 10 replicates' weights over all order lines."""
+    li = _t(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("v"))
+    w = li.select(F.posexplode(bootstrap.poisson_weights(F.col("v"), 10, 1)).alias("rep", "w"))
+    return w.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
+
+
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, matrix_text, bootstrap_weights)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
+
+
+_SQL_POS = "SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos, ts, event_id FROM events"
+_SQL_GT = "SELECT l_returnflag, CASE l_linenumber WHEN 5 THEN '.' WHEN 6 THEN 'x' ELSE CAST(l_linenumber % 3 AS VARCHAR) END AS a, CAST(CAST(floor(l_quantity) AS INT) % 2 AS VARCHAR) AS b FROM lineitem"
+_KEPT = ", ".join(f"coalesce(max(CASE WHEN s = {k} AND a0 = a1 THEN a0 || '/' || a1 END), './.') AS s{k}" for k in (1, 3, 8))
+
+ORACLE_SQL = {
+    "genotype_cosine": _sql_cosine(),
+    "genotype_cosine_blocks": _sql_cosine(),
+    "windowed_cosine_long": _sql_cosine(str(TILE)),
+    "windowed_cosine_blocks": _sql_cosine(str(TILE)),
+    "istats": """
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS indiv, CAST(floor(l_quantity) AS INT) % 3 - 1 AS a1, l_linenumber % 2 AS a2 FROM lineitem),
+n AS (SELECT indiv, count(*) AS n_sites, count(*) FILTER (WHERE a1 >= 0 AND a1 <> a2) AS n_het, count(*) FILTER (WHERE a1 > 0 AND a1 = a2) AS n_alt, count(*) FILTER (WHERE a1 = 0 AND a2 = 0) AS n_ref, count(*) FILTER (WHERE a1 < 0) AS n_miss FROM c GROUP BY 1)
+SELECT *, round(n_het / (n_het + n_alt + n_ref), 6) AS p_het, round(n_alt / (n_het + n_alt + n_ref), 6) AS p_alt, round(n_ref / (n_het + n_alt + n_ref), 6) AS p_ref, round(n_miss / n_sites, 6) AS p_miss FROM n""",
+    "dosage_totals": f"""
+WITH t AS ({_SQL_GT}), d AS (SELECT l_returnflag, a IN ('.', 'x') AS bad, CASE WHEN a NOT IN ('.', 'x') THEN (a <> '0')::INT + (b <> '0')::INT END AS d, CASE WHEN a = '.' THEN 0 ELSE (a IN ('0', '1'))::INT + 1 END AS k FROM t)
+SELECT l_returnflag, count(*) FILTER (WHERE bad) AS n_missing, CAST(sum(d) AS BIGINT) AS dosage, CAST(sum(k) AS BIGINT) AS bits FROM d GROUP BY 1""",
+    "keep_samples": f"WITH {_SQL_G} SELECT v AS variant, {_KEPT} FROM g GROUP BY v",
+    "least_missing_per_cluster": """
+WITH m AS (SELECT l_suppkey % 7 AS cluster_id, CAST(l_suppkey AS VARCHAR) AS name, avg((CAST(floor(l_quantity) AS INT) % 3 = 0)::INT) AS miss FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY miss, name) AS k FROM m)
+SELECT cluster_id, name FROM r WHERE cluster_id = 0 OR k = 1""",
+    "variant_key": """
+SELECT p_partkey, concat_ws(':', p_brand, p_size) AS chrom_pos, concat_ws(':', p_brand, p_size, p_type, p_name) AS chrom_pos_ref_alt, CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END AS variant_id FROM part""",
+    "bp_windows": f"SELECT chrom, pos // 3600 * 3600 AS start, pos // 3600 * 3600 + 3600 AS \"end\", count(*) AS n FROM ({_SQL_POS}) GROUP BY 1, 2, 3",
+    "variant_windows": f"""
+WITH r AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY ts, event_id) - 1) // 50 AS w FROM ({_SQL_POS}))
+SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n FROM r GROUP BY chrom, w HAVING count(*) >= 10""",
+    "stream_tiles": f"SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "sample_embedding_projection": f"""
+WITH d AS (SELECT l_suppkey % {SAMPLES} AS idx, l_partkey % 500 AS key, CAST(floor(l_quantity) AS INT) % 3 AS dosage FROM lineitem),
+e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)
+SELECT idx, CAST(k - 1 AS INT) AS dim, round(sum(dosage * CAST(embedding[k] AS DOUBLE)), 4) AS value FROM d JOIN e ON key = vec_id WHERE dosage > 0 GROUP BY 1, 2""",
+    "embedding_cosine": """
+WITH e AS (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings),
+s AS (SELECT label, k, sum(CAST(embedding[k] AS DOUBLE)) AS x FROM e GROUP BY 1, 2),
+n AS (SELECT label, sqrt(sum(x * x)) AS n FROM s GROUP BY 1),
+d AS (SELECT a.label AS i, b.label AS j, sum(a.x * b.x) AS d FROM s a JOIN s b USING (k) WHERE a.label <= b.label GROUP BY 1, 2)
+SELECT i, j, round(least(2, greatest(0, 1 - d / (p.n * q.n))), 6) AS dist FROM d JOIN n p ON p.label = i JOIN n q ON q.label = j""",
+    "skipped_variants": """
+SELECT count(*) AS processed, count(vec_id) AS used, count(*) - count(vec_id) AS skipped FROM lineitem LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) ON l_partkey % 700 = vec_id""",
+    "kmer_counts": f"WITH {_sql_kmers('lang')} SELECT seq_id AS lang, {_sql_code(K)} AS code, kmer, cnt FROM f",
+    "kmer_both_strands": f"WITH {_sql_kmers('source')}, {_SQL_BOTH} SELECT seq_id AS source, kmer, cnt FROM b",
+    "base_composition": f"WITH {_sql_kmers('source')}, {_SQL_BOTH}, {_SQL_TOTALS} SELECT seq_id AS source, total, base_a, base_t, base_c, base_g FROM n",
+    "kmer_prob": f"WITH {_sql_kmers('source')}, {_SQL_BOTH}, {_SQL_TOTALS}, {_SQL_PROB} SELECT seq_id AS source, kmer, round(prob, 9) AS prob FROM r",
+    "d2s": _sql_d2(False),
+    "d2star": _sql_d2(True),
+    "kmer_rank": f"WITH {_sql_kmers('lang')}, {_SQL_BOTH} SELECT seq_id AS lang, {_sql_code(K)} AS code, cnt, row_number() OVER (PARTITION BY seq_id ORDER BY cnt DESC, {_sql_code(K)}) - 1 AS rank FROM b",
+    "kmer_vocabulary": f"""
+WITH {_sql_kmers('source', 3)}, o AS (SELECT unnest(['A', 'T', 'C', 'G']) AS b), w AS (SELECT x.b || y.b || z.b AS kmer FROM o x, o y, o z), s AS (SELECT DISTINCT source FROM documents)
+SELECT s.source, {_sql_code(3)} AS code, w.kmer, coalesce(cnt, 0) AS cnt FROM s CROSS JOIN w LEFT JOIN f ON f.seq_id = s.source AND f.kmer = w.kmer""".replace("substr(kmer", "substr(w.kmer"),
+    "kmer_encode_decode": f"WITH {_sql_kmers('lang', 8)} SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt, {_sql_code(8)} AS code, kmer AS decoded, kmer || '/' || {_SQL_RC} AS \"both\" FROM f GROUP BY kmer",
+    "distance_histogram": """
+WITH e AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 100 AS w FROM orders),
+b AS (SELECT CAST(least(floor((o_totalprice - lo) / w), 99) AS INT) AS bin, lo, w, count(*) AS n FROM orders, e GROUP BY 1, 2, 3)
+SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, n FROM b""",
+}
