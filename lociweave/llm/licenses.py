@@ -82,11 +82,15 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     schema = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("best_containment", pa.float64())])
 
     def found_in(words_at, hashes, a: int, b: int) -> dict[str, float]:
-        """Licenses of one text, whose shingles are hashes[a:b]; words_at gives its words lo..hi."""
-        out: dict[str, float] = {}
+        """Licenses of one text, whose shingles are hashes[a:b]; words_at gives its words lo..hi.
+
+        A template whose found shingles all belong to better matches is not reported: notices of two
+        versions of a license differ in a word or two.
+        """
+        out: dict[int, tuple[float, set]] = {}
         held = np.flatnonzero(any_shingle[np.minimum(np.searchsorted(any_shingle, hashes[a:b]), len(any_shingle) - 1)] == hashes[a:b])
         if not len(held):
-            return out
+            return {}
         for length, members in classes.items():
             width, step = 2 * length, length
             starts = np.unique(np.concatenate([held // step * step, np.maximum(0, held // step * step - step)]))
@@ -94,12 +98,19 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
                 hi = min(b - a, lo + width - SHINGLE + 1)
                 own = signature(hashes[a + lo : a + hi])
                 for i in members:
-                    name, _, shingles, _, bands = known[i]
-                    if out.get(name, 0) < 1 and (own == bands).any():
-                        share = len(shingles & shingles_of(words_at(lo, min(b - a + SHINGLE - 1, lo + width)))) / len(shingles)
-                        if share >= min_containment:
-                            out[name] = max(out.get(name, 0), share)
-        return out
+                    _, _, shingles, _, bands = known[i]
+                    if out.get(i, (0,))[0] < 1 and (own == bands).any():
+                        common = shingles & shingles_of(words_at(lo, min(b - a + SHINGLE - 1, lo + width)))
+                        share = len(common) / len(shingles)
+                        if share >= max(min_containment, out.get(i, (0,))[0]):
+                            out[i] = (share, common)
+        best: dict[str, float] = {}
+        claimed: set = set()
+        for i, (share, common) in sorted(out.items(), key=lambda x: (-x[1][0], -len(x[1][1]), x[0])):
+            if common - claimed:
+                best[known[i][0]] = max(best.get(known[i][0], 0), share)
+            claimed |= common
+        return best
 
     def scan(batches):
         for batch in batches:
