@@ -1,6 +1,7 @@
 """Toxicity: a logistic classifier regularised by counterfactual identity swaps.
 
-Features are the presence of hashed words and word pairs.  Those that many
+Features are the presence of hashed words, word pairs and word beginnings of PREFIXES
+bytes, which catch inflected forms that were never seen.  Those that many
 labelled texts have and that go with the label are kept; their log ratio between
 the classes scales them.  For each labelled text that mentions a group, the
 mention is swapped for other groups, and differences between the scores of the
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, fit_platt, sample_labelled, sigmoid
-from ._text import ALNUM_BYTES, LOWER, run_hashes, span_hashes, spans, text_slices
+from ._text import ALNUM_BYTES, LOWER, mix, run_hashes, span_hashes, spans, text_slices
 
 #: bound of the labelled sample
 TRAIN_ROWS = 8000
@@ -29,6 +30,7 @@ BITS = 20
 MIN_TEXTS, MIN_Z = 3, 4.0
 PAIR_WEIGHT = 1.0
 SWAPS = 3
+PREFIXES = (3, 4, 5)
 
 # Group terms of which one may stand for another.
 IDENTITY_TERMS = [
@@ -46,32 +48,36 @@ IDENTITY_TERMS = [
 _GROUP = {t.encode(): [x.encode() for x in group if x != t] for group in IDENTITY_TERMS for t in group}
 
 
-def _token_hashes(data: np.ndarray, offsets: np.ndarray):
+def _tokens(data: np.ndarray, offsets: np.ndarray):
     lower = LOWER[data]
-    starts, ends, first = spans(lower, offsets, ALNUM_BYTES)
-    return lower, starts, ends, first, span_hashes(lower, starts, ends)
+    return lower, *spans(lower, offsets, ALNUM_BYTES)
 
 
-def _features(hashes: np.ndarray, row: np.ndarray):
-    """(row, feature) of all words and of all pairs of neighbours."""
-    words = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    if len(hashes) < 2:
-        return row, words
-    inside = np.flatnonzero(row[1:] == row[:-1])
-    pairs = (run_hashes(hashes, 2)[inside] >> np.uint64(64 - BITS)).astype(np.int64)
-    return np.concatenate((row, row[inside])), np.concatenate((words, pairs))
+def _features(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray):
+    """(row, feature) of all words, pairs of neighbours in a row, and beginnings of longer words."""
+    hashes = span_hashes(lower, starts, ends)
+    rows, found = [row], [hashes]
+    if len(hashes) > 1:
+        inside = np.flatnonzero(row[1:] == row[:-1])
+        rows.append(row[inside])
+        found.append(run_hashes(hashes, 2)[inside])
+    for n in PREFIXES:
+        longer = ends - starts > n
+        rows.append(row[longer])
+        found.append(mix(span_hashes(lower, starts[longer], starts[longer] + n) + np.uint64(n)))
+    return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def text_features(text: bytes) -> np.ndarray:
     data = np.frombuffer(text, np.uint8)
-    *_, first, hashes = _token_hashes(data, np.array([0, len(data)]))
-    return np.unique(_features(hashes, np.zeros(len(hashes), np.int64))[1])
+    lower, starts, ends, _ = _tokens(data, np.array([0, len(data)]))
+    return np.unique(_features(lower, starts, ends, np.zeros(len(starts), np.int64))[1])
 
 
 def counterfactuals(text: bytes) -> list[bytes]:
     """The text with each mention of a group swapped for another of its kind, SWAPS forms at most."""
     data = np.frombuffer(text, np.uint8)
-    lower, starts, ends, _, _ = _token_hashes(data, np.array([0, len(data)]))
+    lower, starts, ends, _ = _tokens(data, np.array([0, len(data)]))
     lower = lower.tobytes()
     found = [(s, e, _GROUP[w]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if (w := lower[s:e]) in _GROUP]
     forms = []
@@ -146,8 +152,8 @@ def toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
         for batch in batches:
             scores = [np.zeros(0)]
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                *_, first, hashes = _token_hashes(data, offsets)
-                row, index = _features(hashes, np.repeat(np.arange(hi - lo), np.diff(first)))
+                lower, starts, ends, first = _tokens(data, offsets)
+                row, index = _features(lower, starts, ends, np.repeat(np.arange(hi - lo), np.diff(first)))
                 index = known[index]
                 held = index >= 0
                 seen = np.unique(row[held] * np.int64(1 << BITS) + index[held])  # presence, not number
