@@ -73,11 +73,12 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_rows: int
         marked = hashed.mapInArrow(mark, "doc_id long, text string, gone array<boolean>")
         pairs = F.arrays_zip(F.split("text", "\n").alias("line"), F.col("gone").alias("gone"))
     else:
-        rows = text.withColumn("row", F.monotonically_increasing_id())
-        gone = rows.select("row", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("row", "at", *_key(F.col("line"))).join(common, ["k1", "k2"], "left_semi")
-        marked = rows.join(gone.groupBy("row").agg(F.collect_set("at").alias("gone_at")), "row", "left")
-        lines = F.split("text", "\n")
-        pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.array_contains("gone_at", i), F.lit(False)).alias("gone")))
+        # which lines go depends on the text alone, so equal texts are looked up once
+        rows = text.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"))
+        held = rows.select("t1", "t2", F.explode(F.split("text", "\n")).alias("line")).select("t1", "t2", *_key(F.col("line"))).distinct()
+        gone = held.join(common, ["k1", "k2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
+        marked = rows.join(gone, ["t1", "t2"], "left")
+        pairs = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("gone", F.struct(*_key(x))), F.lit(False)).alias("gone")))
     kept = F.filter(pairs, lambda x: ~x["gone"])
     n = F.coalesce(F.size(pairs), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
