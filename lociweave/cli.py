@@ -60,6 +60,10 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("-m", "--minClusterSize", type=int, default=1)
         if name == "DIST2Hist":
             p.add_argument("-s", "--bins", type=int, default=100)
+    for name, height in (("VCFNonrelated", 0.5), ("VCFRemoveClones", 0.075)):
+        p = command(name, threads=False)
+        p.add_argument("-c", "--cutHeight", type=float, default=height)
+        p.add_argument("--ignoreHets", action="store_true")
     p = command("VCFKeepSamples", threads=False)
     p.add_argument("-s", "--samples", required=True)
     p.add_argument("--ignoreHets", action="store_true")
@@ -135,9 +139,12 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         names = text(["INDIV\tN_SITES\tN_HET\tN_ALT\tN_REF\tN_MISS\tP_HET\tP_ALT\tP_REF\tP_MISS"])
         order = spark.createDataFrame([(k + 1, s) for k, s in enumerate(samples)], "line_no int, indiv string")
         emit(names.unionByName(C.stats_lines(found).join(order, "indiv").select("line_no", "value")), ["line_no"], args.output)
-    elif args.command == "VCFKeepSamples":
+    elif args.command in ("VCFKeepSamples", "VCFNonrelated", "VCFRemoveClones"):
         vcf = C.read_vcf(spark, paths)
-        keep = [r[0] for r in stats.keep_list(spark.read.text(args.samples)).collect()]  # a list of samples
+        if args.command == "VCFKeepSamples":
+            keep = [r[0] for r in stats.keep_list(spark.read.text(args.samples)).collect()]  # a list of samples
+        else:
+            keep = C.representatives(vcf, args.cutHeight)
         rows, names = stats.keep_samples(vcf.variants, vcf.samples, keep, args.ignoreHets)
         fixed = [F.col(c).cast("string") for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
         body = rows.select(F.col("ord"), F.concat_ws("\t", *fixed, F.lit("GT"), F.concat_ws("\t", "gts")).alias("value"))

@@ -23,6 +23,20 @@ def pair_frame(samples: DataFrame) -> DataFrame:
     return left.join(samples.select(F.col("idx").alias("j"), F.col("name").alias("name_j")), "j").select("i", "j", "name_i", "name_j")
 
 
+def all_pairs(rows: DataFrame, key: str, by: list[str] | None = None, blocks: int = 8) -> DataFrame:
+    """Every two rows of a group with key_i <= key_j, columns named with _i and _j.
+
+    Rows are dealt into blocks, and each pair of blocks is a join key of its own, so that the pairs, which
+    are the result, are spread over blocks * blocks tasks and none sees all rows.
+    """
+    by = by or []
+    rest = [c for c in rows.columns if c not in by]
+    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select(*by, *[F.col(c).alias(f"{c}_i") for c in rest], own.alias("_a"), other.alias("_b"))
+    right = rows.select(*by, *[F.col(c).alias(f"{c}_j") for c in rest], own.alias("_b"), other.alias("_a"))
+    return left.join(right, [*by, "_a", "_b"]).where(F.col(f"{key}_i") <= F.col(f"{key}_j")).drop("_a", "_b")
+
+
 def cosine_distance(dot: Column, norm_i: Column, norm_j: Column, same: Column) -> Column:
     """1 - dot / (sqrt(ni) * sqrt(nj)), at least 0; 1 if a norm is 0, but 0 on the diagonal."""
     dist = F.when((norm_i == 0) | (norm_j == 0), F.when(same, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(1 - dot / (F.sqrt(norm_i) * F.sqrt(norm_j)))
@@ -43,11 +57,13 @@ def distances(pairs: DataFrame, frame: DataFrame, by: list[str] | None = None) -
     by = by or []
     norms = pairs.where("i = j").select(*by, F.col("i").alias("s"), F.col("dot").alias("norm"))
     if by:
-        groups = pairs.select(*by).distinct()
-        # the frame of each group is its result; it is unfolded from one row of pairs, without a cross join
-        rows = frame.agg(F.collect_list(F.struct(*frame.columns)).alias("p")).first()["p"] or []
-        pairs_of_all = F.array(*[F.struct(F.lit(r["i"]).alias("i"), F.lit(r["j"]).alias("j"), F.lit(r["name_i"]).alias("name_i"), F.lit(r["name_j"]).alias("name_j")) for r in rows])
-        frame = groups.select(*by, F.inline(pairs_of_all))
+        # each group's frame is unfolded from one row a group; only the names, one row a sample, are broadcast
+        n = frame.agg((F.max("j") + 1).alias("n")).first()["n"] or 0
+        names = frame.where("i = j").select("i", F.col("name_i").alias("name"))
+        unfolded = pairs.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select(*by, "i", F.explode(F.expr(f"sequence(i, {n - 1})")).alias("j"))
+        for side in ("i", "j"):
+            unfolded = unfolded.join(F.broadcast(names.select(F.col("i").alias(side), F.col("name").alias(f"name_{side}"))), side)
+        frame = unfolded
     full = frame.join(pairs, [*by, "i", "j"], "left")
     for side in ("i", "j"):
         full = full.join(norms.withColumnRenamed("s", side).withColumnRenamed("norm", f"norm_{side}"), [*by, side], "left")

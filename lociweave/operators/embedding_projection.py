@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import VariantKey, dosage, variant_key
 from .bootstrap import poisson_weights
+from .distance import all_pairs
 
 #: embeddings of up to so many bytes are broadcast
 BROADCAST_BYTES = 64 << 20
@@ -59,9 +60,8 @@ def vector_distances(vectors: DataFrame, by: list[str] | None = None, name: str
     """(by..., i, j, dist) for i <= j, cosine over vec, cut to 0..2; zero vectors as in genotype distances."""
     by = by or []
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select(*by, F.col(name).alias("i"), F.col("vec").cast("array<double>").alias("v")).withColumn("n", dot(F.col("v"), F.col("v")))
-    w = v.select(*by, F.col("i").alias("j"), F.col("v").alias("w"), F.col("n").alias("m"))
-    pairs = v.join(w, [*by]) if by else v.withColumn("_p", F.lit(0)).join(w.withColumn("_p", F.lit(0)), "_p")
-    pairs = pairs.where("i <= j")
-    dist = F.when((F.col("n") == 0) | (F.col("m") == 0), F.when(F.col("i") == F.col("j"), 0.0).otherwise(1.0)).otherwise(1 - dot(F.col("v"), F.col("w")) / (F.sqrt("n") * F.sqrt("m")))
-    return pairs.select(*by, "i", "j", F.least(F.greatest(dist, F.lit(0.0)), F.lit(2.0)).alias("dist"))
+    v = vectors.select(*by, F.col(name).alias("k"), F.col("vec").cast("array<double>").alias("v")).withColumn("n", dot(F.col("v"), F.col("v")))
+    pairs = all_pairs(v, "k", by)
+    same = F.col("k_i") == F.col("k_j")
+    dist = F.when((F.col("n_i") == 0) | (F.col("n_j") == 0), F.when(same, 0.0).otherwise(1.0)).otherwise(1 - dot(F.col("v_i"), F.col("v_j")) / (F.sqrt("n_i") * F.sqrt("n_j")))
+    return pairs.select(*by, F.col("k_i").alias("i"), F.col("k_j").alias("j"), F.least(F.greatest(dist, F.lit(0.0)), F.lit(2.0)).alias("dist"))

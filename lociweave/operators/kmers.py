@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .distance import all_pairs
 
 BASES = ("A", "T", "C", "G")
 
@@ -62,8 +63,8 @@ def _shared(profiles: DataFrame, by: str, x) -> DataFrame:
 
 def _pairs(profiles: DataFrame, by: str, sums: DataFrame) -> DataFrame:
     """Every i <= j of sequences with a k-mer, with s_i and s_j; all pairs are the result's rows."""
-    one = sums.withColumn("_p", F.lit(0))
-    return one.select(F.col(by).alias("i"), F.col("s").alias("s_i"), "_p").join(one.select(F.col(by).alias("j"), F.col("s").alias("s_j"), "_p"), "_p").where("i <= j").drop("_p")
+    pairs = all_pairs(sums.select(by, "s"), by)
+    return pairs.select(F.col(f"{by}_i").alias("i"), F.col(f"{by}_j").alias("j"), "s_i", "s_j")
 
 
 def _clamped(similarity, norms):
@@ -112,10 +113,10 @@ def ranks(counts: DataFrame, by: str = "seq_id") -> DataFrame:
     return coded.select(by, "code", "kmer", "cnt", (F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cnt"), "code")) - 1).alias("rank"))
 
 
-def in_vocabulary(counts: DataFrame, words: DataFrame, by: str = "seq_id") -> DataFrame:
-    """(by, code, cnt) for every word of the vocabulary; absent ones count 0."""
-    ids = counts.select(by).distinct()
-    full = ids.withColumn("_p", F.lit(0)).join(F.broadcast(words.select("code", "kmer").withColumn("_p", F.lit(0))), "_p").drop("_p")
+def in_vocabulary(counts: DataFrame, k: int, by: str = "seq_id") -> DataFrame:
+    """(by, code, kmer, cnt) for every word of k bases; absent ones count 0."""
+    words = counts.select(by).distinct().select(by, F.explode(F.expr(f"sequence(0L, {4 ** S.check_k(k) - 1}L)")).alias("code"))
+    full = words.select(by, "code", S.decode_kmer(F.col("code"), k).alias("kmer"))
     return full.join(counts, [by, "kmer"], "left").select(by, "code", "kmer", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 

@@ -99,6 +99,17 @@ def stats_lines(found: DataFrame) -> DataFrame:
     return found.select("indiv", F.concat_ws("\t", "indiv", *[F.col(c).cast("string") for c in ("n_sites", "n_het", "n_alt", "n_ref", "n_miss")], *ratios).alias("value"))
 
 
+def representatives(vcf: Vcf, height: float) -> list[str]:
+    """Samples that stay if of each cluster below a height only the one with least missing genotypes does.
+
+    Heights near 0.5 leave unrelated samples, heights near 0.075 one of each clone.
+    """
+    found = tree.clusters(vcf_distances(vcf), ["rep"], height)
+    missing = stats.individual_counts(stats.genotype_calls(vcf.variants, vcf.samples)).select(F.col("indiv").alias("name"), F.col("p_miss").alias("miss"))
+    kept = {r["name"] for r in stats.least_missing(found.select("cluster_id", "name").join(missing, "name")).collect()}  # sample names
+    return [s for s in vcf.samples if s in kept]
+
+
 def matrix_tree(spark: SparkSession, path: str, linkage: str = "complete") -> tree.Node:
     cells = read_matrix(spark, path).collect()  # one matrix, whose tree is sequential
     n = math.isqrt(len(cells))

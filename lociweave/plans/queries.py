@@ -280,7 +280,7 @@ def kmer_rank(spark, sf_dir):
 
 def kmer_vocabulary(spark, sf_dir):
     """Every 3-mer with its count in each source, absent ones too."""
-    out = kmers.in_vocabulary(kmers.count_forward(_sequences(spark, sf_dir, "source"), 3), S.vocabulary(spark, 3))
+    out = kmers.in_vocabulary(kmers.count_forward(_sequences(spark, sf_dir, "source"), 3), 3)
     return out.select(F.col("seq_id").alias("source"), "code", "kmer", "cnt")
 
 

@@ -79,7 +79,7 @@ def test_ranks_and_vectors(spark):
     counts = spark.createDataFrame([(1, "AC", 5), (1, "AT", 5), (1, "GG", 9)], "seq_id int, kmer string, cnt long")
     got = {r["kmer"]: r["rank"] for r in kmers.ranks(counts).collect()}
     assert got == {"GG": 0, "AT": 1, "AC": 2}
-    assert kmers.in_vocabulary(counts, S.vocabulary(spark, 2)).count() == 16
+    assert kmers.in_vocabulary(counts, 2).count() == 16
     unit = kmers.vector_norm(spark.createDataFrame([(1, 0, 3.0), (1, 1, 4.0)], "seq_id int, code int, weight double"), "seq_id")
     assert sorted(r["weight"] for r in unit.collect()) == pytest.approx([0.6, 0.8])
     post = kmers.poisson_posterior(spark.createDataFrame([(1, 0, 2, 1.0), (1, 1, 2, 2.0)], "k int, cluster int, n int, rate double"), "k")

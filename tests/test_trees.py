@@ -103,6 +103,7 @@ def test_commands(spark, tmp_path, capsys):
     assert len(run("DIST2Hist", str(tmp_path / "m"))) == 3
     (tmp_path / "keep").write_text("s3 x\n")
     assert run("VCFKeepSamples", str(vcf), "-s", str(tmp_path / "keep"))[1].endswith("GT\t1/1")
+    assert run("VCFNonrelated", str(vcf), "-c", "0.65")[0].endswith("FORMAT\ts1\ts2")
     (tmp_path / "a.fa").write_text(">s1\nACGTACGTACGTACGTACGT\n>s2\nAAAATTTTGGGGCCCCAAAA\n")
     assert run("FASTA2DIST", str(tmp_path / "a.fa"))[0] == "2"
     with pytest.raises(SystemExit):
