@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import checkpointed, text_slices
-from .tokens import codec, vocabulary
+from .tokens import codec, piece_pattern, vocabulary
 
 GROUP_PIECES = 1 << 14
 
@@ -40,15 +40,15 @@ class Capacity:
     rule: str = "norm"  # or "dot"
 
 
-def token_pieces(docs: DataFrame, content: str, capacity: Capacity, end_id: int | None = 2, cut: str = "space", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece, and its ids on demand."""
-    shared = docs.sparkSession.sparkContext.broadcast(content)
+def token_pieces(docs: DataFrame, content: str, capacity: Capacity, end_id: int | None = 2, ranks: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece, and its ids on demand; ranks as in `codec`."""
+    shared = docs.sparkSession.sparkContext.broadcast((content, ranks))
     size = capacity.tokens
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     tail = () if end_id is None else (end_id,)
 
     def cut_up(batches):
-        encoder = codec(shared.value, cut)
+        encoder = codec(shared.value[0], "space", shared.value[1])
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in range(hi - lo)]
@@ -106,9 +106,10 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: Capacity = Capacity(), end_id: int | None = 2, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", capacity: Capacity = Capacity(), end_id: int | None = 2, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on demand)."""
-    pieces = checkpointed(token_pieces(docs, vocabulary(tokenizer), capacity, end_id, with_ids=with_ids))
+    by_rank = (vocabulary(ranks), piece_pattern()) if ranks else None
+    pieces = checkpointed(token_pieces(docs, vocabulary(tokenizer), capacity, end_id, by_rank, with_ids))
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(groups)))
 
