@@ -106,7 +106,7 @@ def encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", cut: str = "wo
         encoder = codec(content.value, cut)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in range(hi - lo)]
+                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(hi - lo)]
                 yield rows(batch.column("doc_id").slice(lo, hi - lo), encoder, *encoder.encode(texts))
 
     leaf_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.int32()), ("text", pa.string()), ("ids", pa.binary()), ("places", pa.binary())])

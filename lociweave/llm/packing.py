@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, content: str, capacity: Capacity, end_id: int
         encoder = codec(shared.value[0], "space", shared.value[1])
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                texts = [data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in range(hi - lo)]
+                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(hi - lo)]
                 ids, bounds = encoder.encode(texts, tail)
                 ids = ids.astype("<u4")
                 counts = np.diff(bounds)

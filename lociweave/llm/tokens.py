@@ -46,27 +46,27 @@ class ChunkCodec:
         self._clear()
 
     def _clear(self):
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.values, self.used = np.zeros(1 << 16, np.int32), 0
 
     @staticmethod
-    def _before_spaces(text: str) -> list[str]:
+    def _before_spaces(text: bytes) -> list[bytes]:
         """Byte-level pieces never continue over a space between two non-spaces."""
-        if _AFTER_SPACE.search(text) or "\0" in text:
+        if b"\0" in text or _AFTER_SPACE.search(text.decode()):
             return [text]
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace(b" ", b"\0 ").split(b"\0")
 
     @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(text: bytes) -> list[bytes]:
         """White space is dropped and ends every piece; only ASCII white space is cut at."""
-        return [w.decode() for w in text.encode().split()]
+        return text.split()
 
-    def _learn(self, chunks: list[str]):
+    def _learn(self, chunks: list[bytes]):
         """One row per new chunk: where its ids begin and how many they are."""
         for at in range(0, len(chunks), 4096):
             some = chunks[at : at + 4096]
-            ids = [found.ids for found in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            ids = [found.ids for found in self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum()))
             k = len(self.index)
@@ -80,8 +80,8 @@ class ChunkCodec:
             self.index.update(zip(some, range(k, k + len(some)), strict=True))
             self.used += len(flat)
 
-    def encode(self, texts: list[str], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts in one array and the len+1 offsets; `tail` ids follow each text."""
+    def encode(self, texts: list[bytes], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts (UTF-8) in one array and the len+1 offsets; `tail` ids follow each text."""
         if len(self.index) > CACHE_CHUNKS or self.used > 8 * CACHE_CHUNKS:
             self._clear()
         chunks, ends = [], []
@@ -125,9 +125,9 @@ class RankCodec:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merged, special_tokens=added)
         self.added = set(added)
 
-    def encode(self, texts: list[str], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         parts = []
-        for text in texts:
+        for text in map(bytes.decode, texts):
             if _UNSETTLED.search(text):
                 parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
             else:

@@ -177,7 +177,7 @@ def test_chunked_ids_equal_the_library(name, cut):
     rng = random.Random(6)
     texts = TRICKY + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "'s", ".", "é", "́", "1", "\t", "X", " ", "<|endoftext|>"]) for _ in range(rng.randrange(40))) for _ in range(1500)]
     for _ in range(2):
-        ids, bounds = codec.encode(texts)
+        ids, bounds = codec.encode([t.encode() for t in texts])
         for k, t in enumerate(texts):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -186,7 +186,7 @@ def test_ranks_give_the_library_ids(byte_tokenizer):
     codec = tokens.RankCodec(tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"), tokens.piece_pattern())
     rng = random.Random(18)
     texts = TRICKY + ["".join(rng.choice(["a", "Bc", " ", "  ", "\n", "'s", "!", "é", "\u0301", "1", "\t", "\xa0", "Жд", "ς", "<|endoftext|>", "日", "\x1c", "\x85"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    ids, bounds = codec.encode(texts, (2,))
+    ids, bounds = codec.encode([t.encode() for t in texts], (2,))
     for k, t in enumerate(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == byte_tokenizer.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
