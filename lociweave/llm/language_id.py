@@ -13,6 +13,8 @@ the language that sorts first.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +41,7 @@ def _letters() -> np.ndarray:
     return _state["letters"]
 
 
+@functools.lru_cache(1 << 14)
 def _letter_vector(letter: int) -> np.ndarray:
     return np.random.default_rng((20_011, letter)).integers(0, 2, DIM).astype(np.int8) * np.int8(2) - np.int8(1)
 
