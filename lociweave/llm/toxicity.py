@@ -112,9 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
         share = float(y.mean()) if len(y) else 0.0
         return nothing | {"bias": 40.0 if share == 1 else -40.0}
     dim = 1 << BITS
-    of = lambda part: Sparse.of([(i := np.frombuffer(x, "<i4"), np.ones(len(i))) for x in part["index"]])
-    x = of(own)
-    toxic, clean = x.back(y, dim), x.back(1 - y, dim)
+    toxic, clean = np.zeros(dim), np.zeros(dim)
+    for index, label in zip(own["index"], y, strict=True):
+        (toxic if label else clean)[np.frombuffer(index, "<i4")] += 1
     p1, p0, p = toxic / y.sum(), clean / (len(y) - y.sum()), (toxic + clean) / len(y)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
     kept = np.flatnonzero((toxic + clean >= MIN_TEXTS) & (np.abs(z) >= MIN_Z))
@@ -124,17 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     number = np.full(dim, -1)
     number[kept] = np.arange(len(kept))
 
-    def reduced(s: Sparse) -> Sparse:
-        held = number[s.index] >= 0
-        index = number[s.index[held]]
-        return Sparse(s.row[held], index, s.value[held] * ratio[index], s.rows)
+    def reduced(column) -> Sparse:
+        """The kept features of each text; the others never get a row and a value of their own."""
+        found = [n[n >= 0] for n in (number[np.frombuffer(x, "<i4")] for x in column)]
+        return Sparse.of([(n, ratio[n]) for n in found])
 
     swapped = rows[rows["form"] > 0].merge(own[["doc_id", "index"]], on="doc_id", suffixes=("", "_own"))
     pairs = None
     if len(swapped):
-        a, b = reduced(of(swapped)), reduced(of(swapped[["index_own"]].rename(columns={"index_own": "index"})))
+        a, b = reduced(swapped["index"]), reduced(swapped["index_own"])
         pairs = Sparse(np.concatenate((a.row, b.row)), np.concatenate((a.index, b.index)), np.concatenate((a.value, -b.value)), a.rows)
-    small = reduced(x)
+    small = reduced(own["index"])
     weights, bias = fit_logistic(small, y, len(kept), l2=1e-4, steps=300, pairs=pairs, pair_weight=PAIR_WEIGHT)
     slope, offset = fit_platt(small.dot(weights) + bias, y)
     return {"index": kept, "weights": weights * ratio, "bias": bias, "slope": slope, "offset": offset}
