@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from .operators import stats, tree, windows
+from .operators import dynamic_cut, stats, tree, windows
 from .plans import commands as C
 from .session import get_session
 from .sources.matrix import matrix_lines, write_lines
@@ -56,8 +56,10 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("DIST2TREE", "DIST2Clusters", "DIST2Hist"):
         p = command(name, threads=False)
         if name == "DIST2Clusters":
-            p.add_argument("-c", "--cutHeight", type=float, default=0.5)
+            p.add_argument("-c", "--cutHeight", type=float)
             p.add_argument("-m", "--minClusterSize", type=int, default=1)
+            p.add_argument("-e", "--extra", action="store_true", help="branches that meet below the cut height stay together")
+            p.add_argument("--method", choices=("dynamic", "height"), default="dynamic")
         if name == "DIST2Hist":
             p.add_argument("-s", "--bins", type=int, default=100)
     for name, height in (("VCFNonrelated", 0.5), ("VCFRemoveClones", 0.075)):
@@ -156,9 +158,13 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             print(head)
             emit(body, ["ord"], None)
     elif args.command == "DIST2TREE":
-        emit(text([tree.newick(C.matrix_tree(spark, one))]), ["line_no"], args.output)
+        emit(text([tree.newick(C.matrix_tree(spark, one)[0])]), ["line_no"], args.output)
     elif args.command == "DIST2Clusters":
-        got = tree.cut(C.matrix_tree(spark, one), args.cutHeight, args.minClusterSize)
+        root, d, labels = C.matrix_tree(spark, one)
+        if args.method == "height":
+            got = tree.cut(root, 0.5 if args.cutHeight is None else args.cutHeight, args.minClusterSize)
+        else:
+            got = dynamic_cut.dynamic_cut(root, d, labels, args.cutHeight, args.minClusterSize, min_split=(args.cutHeight or 0.0) if args.extra else 0.0)
         lines = [f"{time.strftime('%Y-%m-%d %H:%M:%S')} Clusters={len(got)}", ""] + [f"{name}\t{k}\t{len(names)}" for k, names in got.items() for name in names]
         emit(text(lines), ["line_no"], args.output)
     else:

@@ -88,6 +88,12 @@ def _one_hot(gts: list, n: int, ploidy: int, max_alleles: int) -> np.ndarray:
     return bits[index]
 
 
+def identity(variants: DataFrame) -> Column:
+    """What a variant's bootstrap weights follow from: its own columns where it has them, so that splits don't matter."""
+    own = [c for c in ("chrom", "pos", "id", "ref", "alt") if c in variants.columns]
+    return F.struct(*own) if {"chrom", "pos"} <= set(own) else F.col("ord")
+
+
 def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, group: str | None = None, replicates: int = 0, seed: int = 1) -> DataFrame:
     """(grp, rep, i, dots array<bigint>) of n samples from rows with gts; dots[i] is the sample's norm.
 
@@ -96,7 +102,7 @@ def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, gro
     """
     from .bootstrap import poisson_weights
 
-    weights = poisson_weights(F.col("ord"), replicates, seed) if replicates else F.array().cast("array<int>")
+    weights = poisson_weights(identity(variants), replicates, seed) if replicates else F.array().cast("array<int>")
     rows = variants.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), "gts", weights.alias("weights"))
     schema = pa.schema([("grp", pa.int64()), ("rep", pa.int32()), ("i", pa.int32()), ("dots", pa.list_(pa.int64()))])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import VariantKey, dosage, variant_key
 from .bootstrap import poisson_weights
-from .distance import all_pairs
+from .distance import all_pairs, identity
 
 #: embeddings of up to so many bytes are broadcast
 BROADCAST_BYTES = 64 << 20
@@ -30,7 +30,7 @@ def counters(variants: DataFrame, matched: DataFrame) -> dict[str, int]:
 
 def project(matched: DataFrame, n: int, dim: int, replicates: int = 0, seed: int = 1) -> DataFrame:
     """(rep, idx, vec array<double>) from rows with gts and vec; each partition adds up its own, by matrix products."""
-    weights = poisson_weights(F.col("ord"), replicates, seed) if replicates else F.array().cast("array<int>")
+    weights = poisson_weights(identity(matched), replicates, seed) if replicates else F.array().cast("array<int>")
     rows = matched.select(F.transform("gts", lambda g: F.coalesce(dosage(g), F.lit(0))).alias("d"), "vec", weights.alias("w"))
 
     def partial(batches):

@@ -110,7 +110,8 @@ def representatives(vcf: Vcf, height: float) -> list[str]:
     return [s for s in vcf.samples if s in kept]
 
 
-def matrix_tree(spark: SparkSession, path: str, linkage: str = "complete") -> tree.Node:
+def matrix_tree(spark: SparkSession, path: str, linkage: str = "complete"):
+    """(tree, matrix, labels) of a matrix file."""
     cells = read_matrix(spark, path).collect()  # one matrix, whose tree is sequential
     n = math.isqrt(len(cells))
     import numpy as np
@@ -118,7 +119,7 @@ def matrix_tree(spark: SparkSession, path: str, linkage: str = "complete") -> tr
     m, names = np.zeros((n, n)), [""] * n
     for r in cells:
         m[r["i"], r["j"]], names[r["i"]] = r["dist"], r["name"]
-    return tree.cluster(m, names, linkage)
+    return tree.cluster(m, names, linkage), m, names
 
 
 __all__ = ["Vcf", "VariantKey", "read_embeddings", "read_fasta", "read_vcf", *[n for n in dir() if n.endswith(("distances", "lines", "stats", "tree"))]]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import sequence as S
-from ..operators import bootstrap, distance, kmers, stats, tree, windows
+from ..operators import bootstrap, distance, dynamic_cut, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..sources.matrix import matrix_lines
 from ..streaming import windows as streams
@@ -204,7 +204,11 @@ def skipped_variants(spark, sf_dir):
 
 
 def _sequences(spark, sf_dir, by: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.col(by).alias("seq_id"), F.translate("text", _LETTERS, _AS_BASES).alias("seq"))
+    docs = _t(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a table in fewer splits than cores
+        docs = docs.repartition(cores)
+    return docs.select(F.col(by).alias("seq_id"), F.translate("text", _LETTERS, _AS_BASES).alias("seq"))
 
 
 def _sql_kmers(by: str, k: int = K) -> str:
@@ -326,6 +330,11 @@ def tree_clusters(spark, sf_dir):
     return tree.cluster_strings(tree.clusters(_dist(spark, sf_dir), ["rep"], 0.45))
 
 
+def dynamic_clusters(spark, sf_dir):
+    """Clusters of the samples by the shape of the tree's branches."""
+    return tree.cluster_strings(dynamic_cut.dynamic_clusters(_dist(spark, sf_dir), ["rep"], min_size=2))
+
+
 def matrix_text(spark, sf_dir):
     variants = _genotypes(spark, sf_dir).select("variant").distinct().count()
     return matrix_lines(_dist(spark, sf_dir).select("i", "j", "name_i", "name_j", "dist"), f"'{SAMPLES}\t{variants}'").select("line_no", "value")
@@ -338,7 +347,7 @@ def bootstrap_weights(spark, sf_dir):
     return w.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, matrix_text, bootstrap_weights)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights)
 
 
 def queries() -> dict:

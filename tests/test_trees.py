@@ -99,7 +99,8 @@ def test_commands(spark, tmp_path, capsys):
     assert run("VCF2ISTATS", str(vcf))[1].startswith("s1\t5\t")
     (tmp_path / "m").write_text("\n".join(out) + "\n")
     assert run("DIST2TREE", str(tmp_path / "m")) == ["((s2:0.6,s3:0.6):0.1,s1:0.7);"]
-    assert run("DIST2Clusters", str(tmp_path / "m"), "-c", "0.65")[2:] == ["s2\t1\t2", "s3\t1\t2", "s1\t2\t1"]
+    assert run("DIST2Clusters", str(tmp_path / "m"), "-c", "0.65", "--method", "height")[2:] == ["s2\t1\t2", "s3\t1\t2", "s1\t2\t1"]
+    assert len(run("DIST2Clusters", str(tmp_path / "m"), "-e")) == 5
     assert len(run("DIST2Hist", str(tmp_path / "m"))) == 3
     (tmp_path / "keep").write_text("s3 x\n")
     assert run("VCFKeepSamples", str(vcf), "-s", str(tmp_path / "keep"))[1].endswith("GT\t1/1")
