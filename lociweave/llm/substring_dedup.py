@@ -180,7 +180,7 @@ def _run(docs: DataFrame, width: int, carried: list[str], whole: bool) -> DataFr
     sketch = spark.sparkContext.broadcast(merged_sketch(docs, width, sketch_bits((size["bytes"] or 0) / 6)))
     buckets = max(1, -(-size["n"] // BUCKET_DOCS))
     shards = max(1, buckets // 2)
-    dealt = docs.select(F.struct(*carried).alias("row"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
+    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
 
     def found(table: pa.Table):
         """The bucket's texts by slice with their candidate places, and all their hashes."""
