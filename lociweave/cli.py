@@ -61,7 +61,7 @@ def _parser() -> argparse.ArgumentParser:
             p.add_argument("-e", "--extra", action="store_true", help="branches that meet below the cut height stay together")
             p.add_argument("--method", choices=("dynamic", "height"), default="dynamic")
         if name == "DIST2Hist":
-            p.add_argument("-s", "--bins", type=int, default=100)
+            p.add_argument("-s", "--bins", type=lambda x: int(x.split(",")[0]), default=100, help="number of bins; sizes of a picture may follow")
     for name, height in (("VCFNonrelated", 0.5), ("VCFRemoveClones", 0.075)):
         p = command(name, threads=False)
         p.add_argument("-c", "--cutHeight", type=float, default=height)

@@ -65,3 +65,18 @@ def clean_name(header: Column) -> Column:
 def short_name(header: Column) -> Column:
     """The first word of the header, cleaned."""
     return clean_name(F.get(F.split(F.trim(header), r"\s+"), F.lit(0)))
+
+
+def split_quality(text: Column) -> tuple[Column, Column]:
+    """(sequence, quality) of a text that joins them by its first +; no + leaves no quality."""
+    parts = F.split(text, r"\+", 2)
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def packed_text(text: Column) -> Column:
+    """Two bytes for each character."""
+    return F.encode(text, "UTF-16BE")
+
+
+def unpacked_text(data: Column) -> Column:
+    return F.decode(data, "UTF-16BE")

@@ -27,6 +27,12 @@ def test_codes(spark):
             S.check_k(k)
 
 
+def test_packing_of_texts(spark):
+    seq, qual = S.split_quality(F.lit("ACGT+!!+!"))
+    assert value(spark, F.concat_ws(" ", seq, qual)) == "ACGT !!+!"
+    assert value(spark, S.unpacked_text(S.packed_text(F.lit("ACé")))) == "ACé"
+
+
 def test_d2s_golden(spark, tmp_path):
     (tmp_path / "a.fa").write_text(FASTA)
     seqs = C.read_fasta(spark, str(tmp_path / "a.fa"))
