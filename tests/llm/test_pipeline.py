@@ -1,10 +1,8 @@
 import random
 
-import pytest
+import corpus_pipeline
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from .test_operators import brute_components, brute_fingerprint, brute_windows, prose  # noqa: E402
+from .test_operators import brute_components, brute_fingerprint, brute_windows, prose
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
