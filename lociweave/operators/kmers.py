@@ -1,7 +1,7 @@
 """k-mer profiles and D2 statistics.
 
 Sequences are rows of (seq_id, seq).  Counts of the forward strand are aggregated first and only then
-mirrored, so the reverse strand costs one small union.  D2S needs the shared k-mers of a pair only: what
+mirrored, so the reverse strand costs one row more for each distinct k-mer.  D2S needs the shared k-mers of a pair only: what
 one side has alone enters through its total, so no outer join over all k-mers is made.
 """
 
@@ -23,9 +23,8 @@ def count_forward(seqs: DataFrame, k: int, by: str = "seq_id") -> DataFrame:
 
 def count_both(seqs: DataFrame, k: int, by: str = "seq_id") -> DataFrame:
     """(by, kmer, cnt) over both strands."""
-    forward = count_forward(seqs, k, by)
-    mirrored = forward.select(by, S.reverse_complement(F.col("kmer")).alias("kmer"), "cnt")
-    return forward.union(mirrored).groupBy(by, "kmer").agg(F.sum("cnt").alias("cnt"))
+    strands = F.explode(F.array("kmer", S.reverse_complement(F.col("kmer")))).alias("kmer")
+    return count_forward(seqs, k, by).select(by, strands, "cnt").groupBy(by, "kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def add_profiles(profiles: DataFrame, by: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.genotype import VariantKey
 from ..functions.numbers import stats_text
 from ..operators import distance, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
+from ..operators.shared import materialised
 from ..sources.embeddings import read_embeddings
 from ..sources.fasta import read_fasta
 from ..sources.matrix import matrix_lines, read_matrix
@@ -48,7 +49,7 @@ def embedding_distances(vcf: Vcf, embeddings: DataFrame, kind: VariantKey = Vari
 
 def sequence_distances(seqs: DataFrame, k: int = 4, normalise: bool = False, statistic: str = "d2s") -> DataFrame:
     """(i, j, name_i, name_j, dist), 0-based in order of the records."""
-    profiles = kmers.probabilities(kmers.count_both(seqs.select("seq_id", "seq"), S.check_k(k)), normalise=normalise)
+    profiles = kmers.probabilities(materialised(kmers.count_both(seqs.select("seq_id", "seq"), S.check_k(k))), normalise=normalise)
     dist = (kmers.d2s if statistic == "d2s" else kmers.d2star)(profiles)
     names = seqs.select("seq_id", "short_name")
     for side in ("i", "j"):

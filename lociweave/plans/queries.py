@@ -17,6 +17,7 @@ from ..functions import genotype as G
 from ..functions import sequence as S
 from ..operators import bootstrap, distance, dynamic_cut, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
+from ..operators.shared import materialised
 from ..sources.matrix import matrix_lines
 from ..streaming import windows as streams
 
@@ -249,7 +250,7 @@ def base_composition(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir) -> DataFrame:
-    return kmers.probabilities(kmers.count_both(_sequences(spark, sf_dir, "source"), K))
+    return kmers.probabilities(materialised(kmers.count_both(_sequences(spark, sf_dir, "source"), K)))
 
 
 def kmer_prob(spark, sf_dir):
