@@ -36,7 +36,7 @@ RADIUS = 4
 SEED = 42
 #: variants formed at once in a bucket, about
 BUCKET_VARIANTS = 4_000_000
-#: most dropped ids that are broadcast (8 bytes each); more are joined by a shuffle
+#: most dropped ids and names of components that are broadcast (16 bytes each at most); more are joined by a shuffle
 BROADCAST_ROWS = 500_000
 
 
@@ -177,10 +177,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """One row per document: doc_id, fp long, component_id (the smallest doc_id that links reach)."""
     marked = checkpointed(fingerprints(docs, shingle))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    joined = components(links(distinct, distinct.count(), radius))
-    rooted = distinct.join(joined.withColumnRenamed("a", "fp").withColumnRenamed("b", "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp")
+    joined = components(links(distinct, distinct.count(), radius)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    # only linked fingerprints need their component's name; for the others it is their own least doc_id
+    linked = joined.union(joined.select(F.col("root").alias("fp"), "root").distinct())
+    names = checkpointed(linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("name")))
+    named = linked.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "root").select("fp", "name")
+    # a name may be null, so whether a fingerprint is linked is told by the flag
+    lookup = distinct.join(named.withColumn("is_linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"))
+    return marked.join(lookup, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
