@@ -37,19 +37,24 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("source", F.lit("")).alias("site"), line).where(F.trim(F.translate("line", "\t\r", "  ")) != "").select("site", *_key(F.col("line")))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(k1, k2) hashes of the lines found on min_sites sites or more."""
     lines = _lines(docs)
     spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     spread = checkpointed(spread.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= BAND[0] * min_sites))
     near = spread.where(F.col("sites") <= BAND[1] * min_sites).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").count().where(F.col("count") >= min_sites)
+    # a hot line meets its key once for each site and partition, never once for each row
+    if near.count() <= broadcast_rows:
+        held = lines.join(F.broadcast(near), ["k1", "k2"], "left_semi").distinct()
+    else:
+        held = lines.distinct().join(near, ["k1", "k2"], "left_semi")
+    exact = held.groupBy("k1", "k2").count().where(F.col("count") >= min_sites)
     return spread.where(F.col("sites") > BAND[1] * min_sites).select("k1", "k2").union(exact.select("k1", "k2"))
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_text."""
-    common = checkpointed(boilerplate(docs, min_sites))
+    common = checkpointed(boilerplate(docs, min_sites, broadcast_rows))
     text = docs.select("doc_id", "text")
     if common.count() <= broadcast_rows:
         known = docs.sparkSession.sparkContext.broadcast({(r["k1"], r["k2"]) for r in common.collect()})
