@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     names = checkpointed(linked.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("name")))
     named = linked.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, "root").select("fp", "name")
     # a name may be null, so whether a fingerprint is linked is told by the flag
+    # written first, so that the join with the documents has two plain sides and a hot fingerprint can be split
     lookup = distinct.join(named.withColumn("is_linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(checkpointed(lookup), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
