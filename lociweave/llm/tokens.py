@@ -2,7 +2,8 @@
 
 The same byte-level vocabulary in the form of ranks is encoded by `tiktoken`, which is
 three times as fast and gives the same ids; texts with characters whose class could depend
-on a library's Unicode version go to `tokenizers`.
+on a library's Unicode version go to `tokenizers`, as do those that `tiktoken` refuses: its
+pattern engine gives up on runs of about a million white-space characters.
 
 Both supported vocabularies split text into pieces before merging, and never
 across certain white space.  A text is cut there into chunks; each distinct
@@ -111,7 +112,7 @@ def _with_tail(ids: np.ndarray, bounds: np.ndarray, tail: tuple[int, ...]) -> tu
 
 
 class RankCodec:
-    """ids of a byte-level vocabulary by its ranks; texts beyond _SETTLED characters by `tokenizers`."""
+    """ids of a byte-level vocabulary by its ranks; texts with _UNSETTLED characters, or that `tiktoken` refuses, by `tokenizers`."""
 
     def __init__(self, content: str, ranks: str, pattern: str):
         import tiktoken
@@ -125,13 +126,16 @@ class RankCodec:
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merged, special_tokens=added)
         self.added = set(added)
 
+    def _ids(self, text: str) -> np.ndarray:
+        if not _UNSETTLED.search(text):
+            try:
+                return self.ranks.encode_to_numpy(text, allowed_special=self.added).astype(np.int32)
+            except ValueError:  # the stack of its pattern engine has a bound
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
     def encode(self, texts: list[bytes], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for text in map(bytes.decode, texts):
-            if _UNSETTLED.search(text):
-                parts.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
-            else:
-                parts.append(self.ranks.encode_to_numpy(text, allowed_special=self.added).astype(np.int32))
+        parts = [self._ids(text) for text in map(bytes.decode, texts)]
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
         return _with_tail(np.concatenate([np.zeros(0, np.int32), *parts]), bounds, tail)
 

@@ -191,6 +191,16 @@ def test_ranks_give_the_library_ids(byte_tokenizer):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == byte_tokenizer.encode(t, add_special_tokens=False).ids + [2], repr(t)
 
 
+def test_long_runs_of_white_space_have_ids(spark, byte_tokenizer):
+    """tiktoken refuses them; tokenizers doesn't."""
+    n = 1_100_000
+    texts = [" " * n, "a\n" + "\n" * n + "b <|endoftext|> c", "x y"]
+    rows = packing.pack(frame(spark, texts), with_ids=True).collect()
+    for k, t in enumerate(texts):
+        own = sorted((r["piece"], r["ids"]) for r in rows if r["doc_id"] == k)
+        assert sum((ids for _, ids in own), []) == byte_tokenizer.encode(t, add_special_tokens=False).ids + [2]
+
+
 def test_packing(spark, byte_tokenizer):
     rng = random.Random(5)
     texts = [prose(rng, rng.choice([0, 1, 30, 300, 900, 2500])) for _ in range(120)] + TRICKY + [None]
