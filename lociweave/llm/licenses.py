@@ -2,12 +2,15 @@
 
 Texts are lower-cased words of ASCII letters, digits and non-ASCII characters;
 shingles are five words.  Templates are grouped by length.  For each group, windows
-of twice the length of its longest template overlap by half, so a template's text
-lies whole in some window.  A window and a template are compared where one of BANDS
-one-row MinHash bands agrees; a window that holds share c of a template's shingles
-then fails to retrieve it with probability at most (1 - J)**BANDS, with J >= c / (2 +
-a bit): under 1e-6 for c = 0.8.  A retrieved template is found if the exact shingles
-around the window (its words, not their hashes) hold MIN_CONTAINMENT of its own.
+of twice the length of its longest template, rounded up to a power of two, overlap by
+half, so a template's text lies whole in some window.  A window and a template are
+compared where one of the group's one-row MinHash bands agrees.  A window of w shingles
+that holds the fewest, m, of a template's t that MIN_CONTAINMENT asks for has J >= m /
+(w + t - m) and fails to retrieve it with probability at most (1 - J)**bands.  J is small
+for short templates (1/12 for one of five words), so each group has as many bands as
+its worst template needs for a probability under MISS.  A retrieved template is found if
+the exact shingles around the window (its words, not their hashes) hold MIN_CONTAINMENT
+of its own.
 
 Only windows with a shingle of some template can agree in a band, because a band's
 minimum is then the hash of a shared shingle; others are passed over unsigned.
@@ -18,6 +21,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -28,7 +32,10 @@ from ._text import ALNUM_BYTES, LOWER, mix, run_hashes, span_hashes, spans, text
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
-BANDS = 48
+#: bound of the probability that a window fails to retrieve a template which it holds
+MISS = 1e-6
+#: band values formed at once
+BLOCK = 1 << 20
 
 # Notices by which licenses are commonly named in texts.
 TEMPLATES = {
@@ -60,9 +67,18 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return run_hashes(span_hashes(data, starts, ends), SHINGLE)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, bands: int) -> np.ndarray:
     """One minimum per band of a set of shingle hashes."""
-    return np.stack([mix(hashes ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & ((1 << 64) - 1))).min() for k in range(BANDS)])
+    salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = max(1, BLOCK // len(hashes))
+    return np.concatenate([mix(salts[k : k + rows, None] ^ hashes[None, :]).min(axis=1) for k in range(0, bands, rows)])
+
+
+def bands_for(shingles: int, window: int, min_containment: float) -> int:
+    """Bands by which a window of so many shingles misses a template that it holds with a probability under MISS."""
+    fewest = next((k for k in range(1, shingles + 1) if k / shingles >= min_containment), shingles)
+    other = 1 - fewest / (window + shingles - fewest)
+    return math.floor(math.log(MISS) / math.log(other)) + 1 if other else 1
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
@@ -73,12 +89,13 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
             words = words_of(text)
             if len(words) < SHINGLE:
                 raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
-            hashes = _hashes(words)
-            known.append((name, len(words), shingles_of(words), hashes, signature(hashes)))
+            known.append((name, len(words), shingles_of(words), _hashes(words)))
     any_shingle = np.unique(np.concatenate([k[3] for k in known]))
     classes: dict[int, list[int]] = {}
     for i, k in enumerate(known):
         classes.setdefault(1 << (k[1] - 1).bit_length(), []).append(i)
+    bands = {length: max(bands_for(len(known[i][2]), 2 * length - SHINGLE + 1, min_containment) for i in members) for length, members in classes.items()}
+    signatures = {i: signature(known[i][3], bands[length]) for length, members in classes.items() for i in members}
     schema = pa.schema([("doc_id", pa.int64()), ("n_licenses", pa.int64()), ("licenses", pa.string()), ("best_containment", pa.float64())])
 
     def found_in(words_at, hashes, a: int, b: int) -> dict[str, float]:
@@ -96,10 +113,10 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
             starts = np.unique(np.concatenate([held // step * step, np.maximum(0, held // step * step - step)]))
             for lo in starts.tolist():
                 hi = min(b - a, lo + width - SHINGLE + 1)
-                own = signature(hashes[a + lo : a + hi])
+                own = signature(hashes[a + lo : a + hi], bands[length])
                 for i in members:
-                    _, _, shingles, _, bands = known[i]
-                    if out.get(i, (0,))[0] < 1 and (own == bands).any():
+                    shingles = known[i][2]
+                    if out.get(i, (0,))[0] < 1 and (own == signatures[i]).any():
                         common = shingles & shingles_of(words_at(lo, min(b - a + SHINGLE - 1, lo + width)))
                         share = len(common) / len(shingles)
                         if share >= max(min_containment, out.get(i, (0,))[0]):

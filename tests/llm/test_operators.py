@@ -453,3 +453,21 @@ def test_licenses(spark):
         elif k < len(names) + 3:
             assert got[k]["n_licenses"] == 0
     assert got[len(texts) - 1]["licenses"] == "Apache-2.0,MIT"
+
+
+def test_short_notices_anywhere_in_a_text(spark):
+    rng = random.Random(23)
+    notices = licenses.TEMPLATES["MIT"][:2]
+    texts = [f"{prose(rng, rng.randrange(16, 200))} {notices[k % 2]} {prose(rng, 40)}" for k in range(6000)]
+    # brute force: every text has all shingles of its notice
+    assert all(licenses.shingles_of(licenses.words_of(notices[k % 2])) <= licenses.shingles_of(licenses.words_of(t)) for k, t in enumerate(texts))
+    rows = licenses.license_scan(frame(spark, texts)).collect()
+    assert len(rows) == len(texts) and [r["doc_id"] for r in rows if (r["licenses"], r["best_containment"]) != ("MIT", 1.0)] == []
+
+
+@pytest.mark.parametrize("share", [0.1, 0.8, 1.0])
+def test_bands_bound_the_misses(share):
+    for words in range(licenses.SHINGLE, 300):
+        shingles, window = words - 4, 2 * (1 << (words - 1).bit_length()) - 4
+        fewest = min(k for k in range(1, shingles + 1) if k / shingles >= share)
+        assert (1 - fewest / (window + shingles - fewest)) ** licenses.bands_for(shingles, window, share) < 1e-6
