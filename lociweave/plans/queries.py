@@ -201,6 +201,26 @@ def skipped_variants(spark, sf_dir):
     return li.join(known, "key", "left").agg(F.count(F.lit(1)).alias("processed"), F.count("hit").alias("used"), (F.count(F.lit(1)) - F.count("hit")).alias("skipped"))
 
 
+def _with_embeddings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All variants, and those of them that have one of all the embeddings: a part key is the vector's number."""
+    none = F.lit(".")
+    variants = _wide(_genotypes(spark, sf_dir)).select("ord", "pos", "chrom", "gts", F.col("pos").cast("string").alias("id"), none.alias("ref"), none.alias("alt"))
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    return variants, emb.with_embeddings(variants, e, G.VariantKey.VARIANT_ID)
+
+
+def embedding_projection(spark, sf_dir):
+    _, matched = _with_embeddings(spark, sf_dir)
+    first = matched.select(F.size("vec")).first()
+    vectors = emb.project(matched, SAMPLES, first[0] if first else 0)
+    return vectors.select("idx", F.posexplode("vec").alias("dim", "x")).select("idx", "dim", F.round("x", 4).alias("value"))
+
+
+def embedding_counters(spark, sf_dir):
+    count = emb.counters(*_with_embeddings(spark, sf_dir))
+    return spark.createDataFrame([tuple(count.values())], ", ".join(f"{k} long" for k in count))
+
+
 # ---- k-mers ----------------------------------------------------------------
 
 
@@ -348,7 +368,7 @@ def bootstrap_weights(spark, sf_dir):
     return w.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights)
 
 
 def queries() -> dict:
@@ -395,6 +415,12 @@ d AS (SELECT a.label AS i, b.label AS j, sum(a.x * b.x) AS d FROM s a JOIN s b U
 SELECT i, j, round(least(2, greatest(0, 1 - d / (p.n * q.n))), 6) AS dist FROM d JOIN n p ON p.label = i JOIN n q ON q.label = j""",
     "skipped_variants": """
 SELECT count(*) AS processed, count(vec_id) AS used, count(*) - count(vec_id) AS skipped FROM lineitem LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) ON l_partkey % 700 = vec_id""",
+    "embedding_projection": f"""
+WITH {_SQL_G}, i AS (SELECT DISTINCT s FROM g),
+e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings WHERE vec_id IN (SELECT v FROM g)),
+d AS (SELECT s, v, (a0 > 0)::INT + (a1 > 0)::INT AS dosage FROM g)
+SELECT CAST(i.s AS INT) AS idx, CAST(k - 1 AS INT) AS dim, round(sum(coalesce(dosage, 0) * CAST(embedding[k] AS DOUBLE)), 4) AS value FROM e CROSS JOIN i LEFT JOIN d ON d.v = vec_id AND d.s = i.s GROUP BY 1, 2""",
+    "embedding_counters": "WITH v AS (SELECT DISTINCT l_partkey FROM lineitem) SELECT count(*) AS processed, count(vec_id) AS used, count(*) - count(vec_id) AS skipped FROM v LEFT JOIN embeddings ON l_partkey = vec_id",
     "kmer_counts": f"WITH {_sql_kmers('lang')} SELECT seq_id AS lang, {_sql_code(K)} AS code, kmer, cnt FROM f",
     "kmer_both_strands": f"WITH {_sql_kmers('source')}, {_SQL_BOTH} SELECT seq_id AS source, kmer, cnt FROM b",
     "base_composition": f"WITH {_sql_kmers('source')}, {_SQL_BOTH}, {_SQL_TOTALS} SELECT seq_id AS source, total, base_a, base_t, base_c, base_g FROM n",

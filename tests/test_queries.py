@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import tempfile
 
 import pytest
 
@@ -19,6 +20,18 @@ def test_query_runs(spark, name):
     runs(spark, Q.queries()[name])
 
 
+def test_projection_covers_all_embeddings(spark):
+    """No vector whose number is a part key is left out."""
+    e = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(2000)], "vec_id int, embedding array<float>")
+    li = spark.createDataFrame([(0, k, 1.0, 1) for k in range(1, 2501)], "l_suppkey long, l_partkey long, l_quantity double, l_linenumber int")
+    home = tempfile.mkdtemp(prefix="spark-")
+    e.write.parquet(f"{home}/embeddings.parquet")
+    li.write.parquet(f"{home}/lineitem.parquet")
+    assert tuple(Q.queries()["embedding_counters"](spark, home).first()) == (2500, 1999, 501)
+    got = {(r["idx"], r["dim"]): r["value"] for r in Q.queries()["embedding_projection"](spark, home).collect()}
+    assert (got[0, 0], got[0, 1]) == (2 * sum(range(2000)), 2 * 1999)
+
+
 def test_entry_without_the_training_data_operators():
     """The entry imports, and has the other queries, when the llm folder is not there."""
     code = "import sys; sys.modules['lociweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
