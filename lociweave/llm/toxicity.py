@@ -45,7 +45,15 @@ IDENTITY_TERMS = [
     ["disabled", "blind", "deaf", "autistic"],
     ["old", "young", "elderly"],
 ]
-_GROUP = {t.encode(): [x.encode() for x in group if x != t] for group in IDENTITY_TERMS for t in group}
+
+
+def groups_of(terms: list[list[str]]) -> dict[bytes, list[bytes]]:
+    """What may stand for each term; terms are words as _tokens has them (letters A-Z in lower case)."""
+    lower = [[LOWER[np.frombuffer(t.encode(), np.uint8)].tobytes() for t in group] for group in terms]
+    return {t: [x for x in group if x != t] for group in lower for t in group if len(set(group)) > 1}
+
+
+_GROUP = groups_of(IDENTITY_TERMS)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -74,12 +82,12 @@ def text_features(text: bytes) -> np.ndarray:
     return np.unique(_features(lower, starts, ends, np.zeros(len(starts), np.int64))[1])
 
 
-def counterfactuals(text: bytes) -> list[bytes]:
+def counterfactuals(text: bytes, groups: dict[bytes, list[bytes]] = _GROUP) -> list[bytes]:
     """The text with each mention of a group swapped for another of its kind, SWAPS forms at most."""
     data = np.frombuffer(text, np.uint8)
     lower, starts, ends, _ = _tokens(data, np.array([0, len(data)]))
     lower = lower.tobytes()
-    found = [(s, e, _GROUP[w]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if (w := lower[s:e]) in _GROUP]
+    found = [(s, e, groups[w]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) if (w := lower[s:e]) in groups]
     forms = []
     for turn in range(SWAPS if found else 0):
         out, at = [], 0
@@ -90,8 +98,9 @@ def counterfactuals(text: bytes) -> list[bytes]:
     return forms
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
-    """Weights of the kept features (feature numbers sorted), bias and calibration."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: list[list[str]] = IDENTITY_TERMS) -> dict:
+    """Weights of the kept features (feature numbers sorted), bias and calibration; terms: lists of words that may stand for one another."""
+    groups = groups_of(terms)
     sample = sample_labelled(docs, labels, "toxic", train_rows, seed=9)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("form", pa.int32()), ("index", pa.binary())])
 
@@ -100,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
             rows = []
             for doc, label, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "label", "text")), strict=True):
                 text = (text or "").encode()
-                for form, x in enumerate([text, *counterfactuals(text)]):
+                for form, x in enumerate([text, *counterfactuals(text, groups)]):
                     rows.append({"doc_id": doc, "label": label, "form": form, "index": text_features(x).astype("<i4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 

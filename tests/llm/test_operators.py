@@ -471,3 +471,17 @@ def test_bands_bound_the_misses(share):
         shingles, window = words - 4, 2 * (1 << (words - 1).bit_length()) - 4
         fewest = min(k for k in range(1, shingles + 1) if k / shingles >= share)
         assert (1 - fewest / (window + shingles - fewest)) ** licenses.bands_for(shingles, window, share) < 1e-6
+
+
+def test_toxicity_takes_term_lists(spark):
+    """A mention that goes with the label weighs less if its group is given."""
+    rng = random.Random(29)
+    texts = [f"{prose(rng, 20)} {'Zor' if k % 2 else 'mip'} {'vile' if k % 2 and k % 3 else 'kind'}" for k in range(300)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    probes = frame(spark, ["zor", "mip"], parts=1)
+    apart = []
+    for more in ({}, {"terms": [["ZOR", "mip"]]}):
+        score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(probes, toxicity.fit(docs, labels, **more)).collect()}
+        apart.append(score[0] - score[1])
+    assert abs(apart[1]) < apart[0] / 2
