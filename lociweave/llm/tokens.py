@@ -20,6 +20,9 @@ import re
 import numpy as np
 
 CACHE_CHUNKS = 1_000_000
+#: a longer text is cut into chunks block by block
+BLOCK_BYTES = 1 << 20
+_WHITE = re.compile(rb"[ \t-\r]")
 _AFTER_SPACE = re.compile(r" \s")
 #: beyond Latin, Greek and Cyrillic, or control characters that only some call white space
 _UNSETTLED = re.compile("[\x1c-\x1f\x85\u0530-\U0010ffff]")
@@ -43,7 +46,7 @@ class ChunkCodec:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = {"space": self._before_spaces, "words": self._words}[cut]
+        self.cut, self.at_white = {"space": (self._before_spaces, False), "words": (self._words, True)}[cut]
         self._clear()
 
     def _clear(self):
@@ -63,6 +66,14 @@ class ChunkCodec:
         """White space is dropped and ends every piece; only ASCII white space is cut at."""
         return text.split()
 
+    def blocks(self, text: bytes):
+        """Parts of a long text that fall into chunks apart from one another, of BLOCK_BYTES and the rest of a word."""
+        at = 0
+        while self.at_white and len(text) - at > BLOCK_BYTES and (found := _WHITE.search(text, at + BLOCK_BYTES)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
+
     def _learn(self, chunks: list[bytes]):
         """One row per new chunk: where its ids begin and how many they are."""
         for at in range(0, len(chunks), 4096):
@@ -83,12 +94,20 @@ class ChunkCodec:
 
     def encode(self, texts: list[bytes], tail: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (UTF-8) in one array and the len+1 offsets; `tail` ids follow each text."""
-        if len(self.index) > CACHE_CHUNKS or self.used > 8 * CACHE_CHUNKS:
-            self._clear()
-        chunks, ends = [], []
+        if len(texts) == 1 and len(texts[0]) > BLOCK_BYTES:
+            ids = np.concatenate([self.encode_chunks(self.cut(block))[0] for block in self.blocks(texts[0])])
+            return _with_tail(ids, np.array([0, len(ids)]), tail)
+        chunks, ends = [], [0]
         for text in texts:
             chunks += self.cut(text)
             ends.append(len(chunks))
+        ids, bounds = self.encode_chunks(chunks)
+        return _with_tail(ids, bounds[np.array(ends, np.int64)], tail)
+
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all chunks in one array and the len+1 offsets."""
+        if len(self.index) > CACHE_CHUNKS or self.used > 8 * CACHE_CHUNKS:
+            self._clear()
         index = self.index
         at = [index.get(c, -1) for c in chunks]
         if -1 in at:
@@ -96,12 +115,10 @@ class ChunkCodec:
             self._learn(list(dict.fromkeys(chunks[i] for i in new)))
             for i in new:
                 at[i] = index[chunks[i]]
-        at, ends = np.array(at, np.int64), np.array(ends, np.int64)
+        at = np.array(at, np.int64)
         lengths = self.lengths[at]
         before = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.values[np.repeat(self.starts[at] - before[:-1], lengths) + np.arange(before[-1])]
-        bounds = np.concatenate(([0], before[ends]))
-        return _with_tail(ids, bounds, tail)
+        return self.values[np.repeat(self.starts[at] - before[:-1], lengths) + np.arange(before[-1])], before
 
 
 def _with_tail(ids: np.ndarray, bounds: np.ndarray, tail: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

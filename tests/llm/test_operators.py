@@ -271,6 +271,22 @@ def test_encode_and_decode(spark):
         assert got[k]["ids"] == ids and got[k]["decoded"] == tk.decode(ids, skip_special_tokens=False), repr(t)[:50]
 
 
+def test_very_long_texts_are_encoded_as_by_the_library(spark):
+    """5 MB of prose, 5 MB without any white space, one letter, and long chunks among short ones."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_str(tokens.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(31)
+    solid = "".join(rng.choice(["ab", "the", "x", "ing", "7", ".", "é", "日本", "-"]) for _ in range(2_800_000))
+    mixed = f"{prose(rng, 50)} {solid[:40_000]}\n{prose(rng, 9)}\t{solid[40_000:41_000]} {solid[50_000:180_000]}"
+    texts = [prose(rng, 1_100_000), solid, "a" * 300_000, mixed, "z " * 200_000, "x y"]
+    assert min(len(texts[0]), len(texts[1])) > 4_500_000
+    got = {r["doc_id"]: r for r in bpe.encode(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        ids = tk.encode(t, add_special_tokens=False).ids
+        assert got[k]["ids"] == ids and got[k]["decoded"] == tk.decode(ids, skip_special_tokens=False), k
+
+
 # ---- 6 ----
 
 
