@@ -7,12 +7,12 @@ slice and the longest document, not the batch.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
+
+from ..operators.shared import materialised as checkpointed  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 
@@ -129,9 +129,25 @@ def rolling(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return out
 
 
-def checkpointed(df):
-    """Cut the lineage through the checkpoint folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lociweave-checkpoints"))
-    return df.checkpoint()
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for own columns, like the given ones but unlike any of the table's, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str):
+    """A column by its exact name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def one_of_equals(rows, key: list[str], columns: list[str]):
+    """Of the rows of each key the one whose columns sort first as JSON, with these columns."""
+    whole = F.struct(*[quoted(c) for c in columns])
+    best = rows.groupBy(*key).agg(F.min_by(whole, F.to_json(whole)).alias("best"))
+    return best.select(*[F.col("best").getField(c).alias(c) for c in columns])

@@ -10,8 +10,10 @@ aggregation brings one copy per partition and text to the shuffle, however large
 the group.
 
 Null text counts as empty.  The row with the smallest doc_id stays.  `exact_dedup`
-marks rows that repeat both doc_id and text alike; `keep_first_copies` leaves one.
-Rows without doc_id stay only when their whole group has none.  An empty table gives an empty result.
+marks rows that repeat both doc_id and text alike; `keep_first_copies` leaves one, the row
+whose columns sort first as JSON.  Rows without doc_id stay only when their whole group
+has none.  Texts of any length are compared whole.  An empty table gives an empty result.
+Columns of the documents may have any names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import checkpointed
+from ._text import checkpointed, one_of_equals, quoted, unused
 
-#: fingerprints of one block of quotients, on average
-BLOCK_ROWS = 1 << 16
+#: fingerprints of one block of quotients, on average: the least and the most
+BLOCK_ROWS, MAX_BLOCK_ROWS = 1 << 16, 1 << 22
+#: blocks are made larger rather than more than these, so that a partial filter holds many fingerprints of each
+BLOCKS = 1 << 12
 #: fingerprints gathered before a partial filter is passed on
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 21
 REMAINDER_BITS = 40
 #: most repeated fingerprints that are broadcast (8 bytes each); more are joined by a shuffle
 BROADCAST_ROWS = 500_000
@@ -97,35 +101,51 @@ def repeated_fingerprints(fingerprints: DataFrame, block_bits: int) -> DataFrame
     return quotient_filters(fingerprints, block_bits).groupBy("block").applyInArrow(merged, "fp long, copies long")
 
 
-def copy_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of each text that more than one row has; broadcast if small."""
-    text = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    block_bits = min(24, (docs.count() // BLOCK_ROWS).bit_length())
-    repeated = checkpointed(repeated_fingerprints(text.select(F.xxhash64("norm").alias("fp")), block_bits).select("fp"))
-    at_hand = F.broadcast if repeated.count() <= broadcast_rows else (lambda df: df)
-    groups = (
+def block_bits_for(rows: int) -> int:
+    """Bits that name a block of quotients of so many fingerprints in all."""
+    size = min(max(BLOCK_ROWS, rows // BLOCKS), MAX_BLOCK_ROWS)
+    return min(24, (rows // size).bit_length())
+
+
+def _repeated(text: DataFrame, rows: int, broadcast_rows: int):
+    """The repeated fingerprints of column norm, and how to bring what follows from them to the rows."""
+    found = checkpointed(repeated_fingerprints(text.select(F.xxhash64("norm").alias("fp")), block_bits_for(rows)).select("fp"))
+    return found, F.broadcast if found.count() <= broadcast_rows else (lambda df: df)
+
+
+def _groups(text: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(text_sha256, keep_id, group_size) of each text that more than one row has."""
+    return (
         text.withColumn("fp", F.xxhash64("norm"))
-        .join(at_hand(repeated), "fp", "left_semi")
+        .join(repeated, "fp", "left_semi")
         .groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
         .select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    return at_hand(groups)
 
 
 def exact_dedup(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    out = text.join(copy_groups(docs, broadcast_rows), "text_sha256", "left")
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    repeated, at_hand = _repeated(norm, docs.count(), broadcast_rows)
+    text = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
+    out = text.join(at_hand(_groups(norm, at_hand(repeated))), "text_sha256", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def keep_first_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The documents that stay, with their own columns; of wholly repeated rows one stays."""
-    groups = copy_groups(docs, broadcast_rows).select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    hashed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    single = hashed.join(groups, "_sha", "left_anti")
-    first = hashed.join(groups, "_sha").where(F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
-    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
+    """The documents that stay, with their own columns; of rows that repeat doc_id and text one stays."""
+    norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
+    repeated, at_hand = _repeated(norm, docs.count(), broadcast_rows)
+    fp, sha, keep, grouped = unused(docs.columns, "fp", "sha", "keep", "grouped")
+    groups = _groups(norm, at_hand(repeated)).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(grouped))
+    repeated = at_hand(repeated.withColumnRenamed("fp", fp))
+    text = normalised(F.col("text"))
+    marked = docs.withColumn(fp, F.xxhash64(text))
+    single = marked.join(repeated, fp, "left_anti").select(*map(quoted, docs.columns))
+    # a text that only shares a fingerprint has no group, and is the only one of its kind
+    shared = marked.join(repeated, fp, "left_semi").withColumn(sha, F.sha2(text, 256)).join(at_hand(groups), sha, "left")
+    first = shared.where(F.col(grouped).isNull() | F.col("doc_id").eqNullSafe(F.col(keep)))
+    return single.unionByName(one_of_equals(first, [sha], docs.columns))

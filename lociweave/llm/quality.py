@@ -130,13 +130,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_probability: float = M
 def keep_good(docs: DataFrame, labels: DataFrame, min_probability: float = MIN_PROBABILITY, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     judge = _scorer(docs.sparkSession, fit(docs, labels, train_rows), min_probability)
+    doc, text = (docs.columns.index(c) for c in ("doc_id", "text"))
 
     def keep(batches):
         for batch in batches:
-            for verdict in judge([batch]):
+            judged = pa.RecordBatch.from_arrays([batch.column(doc), batch.column(text)], ["doc_id", "text"])
+            for verdict in judge([judged]):
                 yield batch.filter(verdict.column("kept"))
 
-    return docs.mapInArrow(keep, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots can't be mapped
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
 
 
 def _scorer(spark, model: dict | None, min_probability: float):

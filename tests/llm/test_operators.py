@@ -302,7 +302,7 @@ def brute_windows(texts, width):
 
 @pytest.mark.parametrize("width", [35, 6])
 def test_substring_windows(spark, monkeypatch, width):
-    monkeypatch.setattr(substring_dedup, "BUCKET_DOCS", 20)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 8000)
     rng = random.Random(10)
     passage = prose(rng, 60)
     texts = [prose(rng, rng.randrange(150)) for _ in range(60)]
@@ -325,6 +325,15 @@ def test_a_full_sketch_changes_nothing(spark, monkeypatch):
     assert [got[k] for k in range(50)] == brute_windows(texts, 3)
 
 
+def test_layout_follows_the_input():
+    """Sizes of buckets and shards are bounded, and so is what a bucket sends to a shard it visits."""
+    for size in (0, 1, 10**6, 10**9, 10**12, 10**14):
+        layout = substring_dedup.Layout.of(size)
+        assert layout.buckets >= 1 and layout.shard_bits <= 16 and layout.bits - layout.shard_bits <= 32
+        assert size / layout.buckets <= substring_dedup.MAX_BUCKET_BYTES
+        assert size / 84 / 2**layout.shard_bits <= 1 << 25  # entries of a shard in each row
+
+
 # ---- 7 ----
 
 
@@ -415,6 +424,52 @@ def test_ball_links_find_every_near_pair(spark, monkeypatch, variants):
         simhash.links(df, 1, radius=3)
 
 
+def keep_cases(rng):
+    """Rows (doc_id, text) with repeated ids of differing and of equal texts, near copies and texts without words."""
+    base = [prose(rng, 300) for _ in range(6)]
+    near = base[0].split()
+    near[-1] = "Near"
+    near = " ".join(near)
+    assert (brute_fingerprint(base[0]) ^ brute_fingerprint(near)).bit_count() <= 4
+    return [(1, base[0]), (2, near), (2, base[1]), (3, base[2]), (3, base[3]), (3, base[3]), (None, base[4]), (None, base[4]), (4, base[4]), (None, base[5]), (5, ""), (6, None), (7, base[1] + "\n")]
+
+
+ODD_COLUMNS = ("_id", "_sha", "_keep", "a.b", "fp", "K1", "stays", "best", "least", "`q`")
+
+
+def odd_columns(spark, rows):
+    fields = ", ".join("`" + c.replace("`", "``") + "` string" for c in ODD_COLUMNS)
+    data = [(doc, text, *(f"{c}{k}" for c in ODD_COLUMNS)) for k, (doc, text) in enumerate(rows)]
+    return spark.createDataFrame(data, f"doc_id long, text string, {fields}").repartition(3)
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, -1])
+def test_keep_stages_judge_rows_not_ids(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
+    rows = keep_cases(random.Random(41))
+    docs = odd_columns(spark, rows)
+    place = lambda df: sorted(int(r["_id"][3:]) for r in df.collect())
+    first = exact_dedup.keep_first_copies(docs, broadcast_rows)
+    assert first.columns == docs.columns
+    # copies: rows 4 and 5 repeat id and text, 6 to 8 share a text, 10 and 11 have no word; JSON decides between 4 and 5
+    assert place(first) == [0, 1, 2, 3, 4, 8, 9, 10, 12]
+    one = simhash.keep_one_of_each(docs)
+    assert one.columns == docs.columns
+    # row 1 is near row 0 and goes, row 2 has its id but another text and stays; row 12 is row 2's fingerprint
+    assert place(one) == [0, 2, 3, 4, 8, 9, 10]
+    assert all(r["a.b"] == "a.b" + r["_id"][3:] and r["`q`"] == "`q`" + r["_id"][3:] for r in one.union(first).collect())
+
+
+@pytest.mark.parametrize("name", ["good", "first", "one", "without"])
+def test_stages_carry_columns_of_any_name(spark, name):
+    docs = odd_columns(spark, [(k, prose(random.Random(k), 90)) for k in range(5)] + [(None, None), (3, "")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    out = OPERATORS[name](docs, labels)
+    assert out.columns == docs.columns
+    ids = {r["doc_id"] for r in out.collect()}
+    assert 1 in ids and (name == "good" or ids >= {0, 1, 2, 3, 4})
+
+
 def test_components_of_paths_and_stars(spark):
     pairs = [(k, k + 1) for k in range(100, 140)] + [(1, k) for k in range(2, 30)] + [(50, 51), (51, 52), (52, 50)]
     random.Random(15).shuffle(pairs)
