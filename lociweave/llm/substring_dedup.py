@@ -1,51 +1,70 @@
 """Substring dedup: remove every word of a repeated window of words.
 
-Windows of `width` consecutive words are judged on the whole input.  A first pass
-sketches them.  Each window is represented by its anchor, the run of ANCHOR words
-in it with the smallest hash: equal windows have equal anchors, so an anchor is
-found at least as often as any of its windows, and neighbouring windows share
-one, so that there are about fourteen times fewer.  Partitions count their
-anchors in sparse count-min rows, which are added up cell by cell.  The merged
-sketch never gives less than the true number of any window.
+Windows of `width` consecutive words are judged on the whole input.  Documents are dealt
+into buckets of bounded size.  A first pass sketches the windows.  Each is represented by
+its anchor, the run of ANCHOR words in it with the smallest hash: equal windows have equal
+anchors, so an anchor is found at least as often as any of its windows, and neighbouring
+windows share one, so that there are about fourteen times fewer.  A bucket's sketch is its
+sparse count-min rows; sketches are merged shard by shard, cell by cell, and each bucket
+learns which of its cells count two or more in all.  The merged sketch never gives less
+than the true number of any window.
 
 The second pass looks only at windows that the sketch estimates at two or more.
-Documents are dealt into buckets of bounded size; a bucket sends each distinct
-128-bit hash of its candidate windows once, with a flag if it has it twice, to
-the hash's shard.  A shard marks those that more buckets or a flag have, and
-returns one bit for each.  A hot passage costs a bucket one entry.  The bucket
+A bucket sends each distinct 128-bit hash of its candidate windows once, with a flag if it
+has it twice, to the hash's shard.  A shard marks those that more buckets or a flag have,
+and returns one bit for each.  A hot passage costs a bucket one entry.  The bucket
 then forms the same candidates again, reads the bits and removes the words.
 
-The sketch is broadcast; its size follows the number of words up to
-MAX_SKETCH_CELLS cells of one byte in each of two rows.  Beyond that it passes more
-windows on, and the exact pass drops them: results never depend on it.
+The sketch is never in one place: shards, their number and the buckets' size follow the
+size of the input, and a bucket visits only shards that its own hashes name, so work and
+shuffle are in proportion to the words.
 
 Null text has no words.  Repeated rows, with or without doc_id, are copies like
-any other, so all their windows are repeated.  An empty table gives an empty result.
+any other, so all their windows are repeated, and they are spread over the buckets.  A very
+long text is a row of its own size.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._text import mix, rolling, run_hashes, span_hashes, spans, text_slices
+from ._text import mix, quoted, rolling, run_hashes, span_hashes, spans, text_slices
 
 WIDTH = 35
 ANCHOR = 8
 ROWS = 2
-MIN_SKETCH_BITS, MAX_SKETCH_BITS = 16, 25
-MAX_SKETCH_CELLS = 1 << MAX_SKETCH_BITS
-#: a sketch is moved in blocks of so many cells
-BLOCK_BITS = 16
-BUCKET_DOCS = 2048
+#: bytes of a bucket's texts: least and most, and the number of buckets from which they grow
+BUCKET_BYTES, MAX_BUCKET_BYTES, BUCKETS = 2 << 20, 32 << 20, 1 << 16
+#: cells of a shard, and bits that name a shard: least and most
+SHARD_CELLS = 1 << 20
+MIN_SHARD_BITS, MAX_SHARD_BITS = 8, 16
+
+
+def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of each anchor in a row of the sketch."""
+    return mix(anchors + np.uint64(row + 1)) >> np.uint64(64 - bits)
+
 
+@dataclass(frozen=True)
+class Layout:
+    """How an input of so many bytes is dealt: buckets, bits of a cell and bits of a shard."""
 
-def _cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The cell of each anchor in each row of the sketch."""
-    return [(mix(anchors + np.uint64(k + 1)) >> np.uint64(64 - bits)).astype(np.int64) for k in range(ROWS)]
+    buckets: int
+    bits: int
+    shard_bits: int
+
+    @classmethod
+    def of(cls, size: int) -> Layout:
+        bucket = min(max(BUCKET_BYTES, size // BUCKETS), MAX_BUCKET_BYTES)
+        bits = sketch_bits(size / 6)
+        shard_bits = min(max(MIN_SHARD_BITS, bits - SHARD_CELLS.bit_length() + 1), MAX_SHARD_BITS, bits)
+        return cls(max(1, -(-size // bucket)), min(bits, shard_bits + 32), shard_bits)
 
 
 class Windows:
@@ -73,13 +92,10 @@ class Windows:
         padded = np.concatenate((np.zeros(reach - 1, np.uint64), own, np.zeros(reach - 1, np.uint64)))
         return self.grams[rolling(padded, reach, np.maximum) == self.grams]
 
-    def candidates(self, sketch: np.ndarray) -> np.ndarray:
-        """Places of whole windows that the sketch estimates at two or more."""
+    def candidates(self, anchors: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+        """Places of whole windows whose anchor, of the sorted ones, is flagged."""
         at = np.flatnonzero(self.whole)
-        bits = int(sketch.shape[1]).bit_length() - 1
-        for k in range(ROWS):
-            at = at[sketch[k][_cells(self.anchors[at], bits)[k]] > 1]
-        return at
+        return at[repeated[np.searchsorted(anchors, self.anchors[at])]]
 
     def window_hashes(self, at: np.ndarray) -> np.ndarray:
         """(n, 2) hashes of the windows at the given places."""
@@ -89,48 +105,24 @@ class Windows:
 
 def sketch_bits(words: float) -> int:
     """Cells for about two of each anchor, a fourteenth of the words."""
-    return int(np.clip(int(max(1, words / 7)).bit_length(), MIN_SKETCH_BITS, MAX_SKETCH_BITS))
-
-
-def merged_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """The count-min sketch of all partitions; cells end at 255, which stays an overestimate of two."""
-    schema = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
-    low = np.int64((1 << BLOCK_BITS) - 1)
-
-    def count(parts):
-        rows = []
-        for k, cells in enumerate(_cells(np.concatenate(parts), bits)):
-            found, counts = np.unique(cells, return_counts=True)
-            edges = np.flatnonzero(np.concatenate(([True], (found[1:] >> BLOCK_BITS) != (found[:-1] >> BLOCK_BITS), [True]))) if len(found) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                block = (k << (MAX_SKETCH_BITS - BLOCK_BITS)) + int(found[a] >> BLOCK_BITS)
-                rows.append({"block": block, "cells": (found[a:b] & low).astype("<u2").tobytes(), "counts": np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()})
-        return pa.RecordBatch.from_pylist(rows, schema)
-
-    def partial(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
-                parts.append(Windows(data, offsets, width).selected())
-                held += len(parts[-1])
-                if held > 1 << 21:
-                    yield count(parts)
-                    parts, held = [], 0
-        if held:
-            yield count(parts)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << BLOCK_BITS, np.int64)
-        for row in table.to_pylist():
-            total[np.frombuffer(row["cells"], "<u2")] += np.frombuffer(row["counts"], np.uint8)
-        return pa.table({"block": table.column("block").slice(0, 1).cast(pa.int32()), "row": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
-
-    blocks = docs.select("text").mapInArrow(partial, "block int, cells binary, counts binary").groupBy("block").applyInArrow(add, "block int, row binary")
-    sketch = np.zeros((ROWS, max(1 << bits, 1 << BLOCK_BITS)), np.uint8)
-    for r in blocks.toLocalIterator():  # ROWS * 2**bits bytes in all
-        k, at = divmod(r["block"], 1 << (MAX_SKETCH_BITS - BLOCK_BITS))
-        sketch[k, at << BLOCK_BITS : (at + 1) << BLOCK_BITS] = np.frombuffer(r["row"], np.uint8)
-    return sketch[:, : 1 << bits]
+    return int(np.clip(int(max(1, words / 7)).bit_length(), 16, 48))
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the sum of each one's counts, and where each given key went."""
+    found, back = np.unique(keys, return_inverse=True)
+    return found, np.bincount(back, counts, len(found)), back
+
+
+def _runs(shards: np.ndarray) -> np.ndarray:
+    """Edges of the runs of equal values among sorted ones."""
+    return np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True]))) if len(shards) else np.zeros(1, np.int64)
+
+
+def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values[edges[k]:edges[k+1]] as bytes, one binary for each k."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype("<i4").tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +159,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def column(name: str):
         if name == "text":
             return F.col("kept_text")
-        own = F.col("row")[name]
+        own = F.col("row").getField(f"c{rest.index(name)}") if name != "doc_id" else F.col("row.doc_id")
         return F.when(changed, F.length("kept_text")).otherwise(own).cast(docs.schema[name].dataType) if name == "n_chars" else own
 
     return done.select(*[column(c).alias(c) for c in docs.columns])
@@ -175,72 +167,119 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def _run(docs: DataFrame, width: int, carried: list[str], whole: bool) -> DataFrame:
     """row (a struct of the carried columns), n_words, n_removed, kept_text; whole: texts that lose no word stay as they are."""
-    spark = docs.sparkSession
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, width, sketch_bits((size["bytes"] or 0) / 6)))
-    buckets = max(1, -(-size["n"] // BUCKET_DOCS))
-    shards = max(1, buckets // 2)
-    dealt = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
-
-    def found(table: pa.Table):
-        """The bucket's texts by slice with their candidate places, and all their hashes."""
-        slices, hashes = [], [np.zeros((0, 2), np.uint64)]
-        for lo, hi, data, offsets in text_slices(table.column("text").combine_chunks()):
-            w = Windows(data, offsets, width)
-            at = w.candidates(sketch.value)
+    layout = Layout.of((size["bytes"] or 0) + 64 * size["n"])
+    bits, shard_bits = layout.bits, layout.shard_bits
+    # any names may be carried: they are numbered in the struct
+    row = F.struct(*[quoted(c).alias("doc_id" if c == "doc_id" else f"c{k}") for k, c in enumerate(carried)])
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(layout.buckets)).cast("int")
+    dealt = docs.select(row.alias("row"), "text", bucket.alias("bucket"))
+
+    def windows_of(table: pa.Table):
+        """The bucket's texts by slice, and the sorted distinct anchors of all their windows."""
+        slices = [(lo, hi, data, offsets, Windows(data, offsets, width)) for lo, hi, data, offsets in text_slices(table.column("text").combine_chunks())]
+        return slices, np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.anchors[w.whole] for *_, w in slices)]))
+
+    def cell_runs(anchors: np.ndarray, k: int, counts: np.ndarray):
+        """Sorted cells of a row of the sketch, their counts, where each anchor's cell is, and the edges of shards."""
+        cells, counts, back = _added(_cells(anchors, k, bits), counts)
+        return cells, counts, back, _runs(cells >> np.uint64(bits - shard_bits))
+
+    def sketch(table: pa.Table) -> pa.Table:
+        """The bucket's sparse sketch, a row for each shard that it has cells in."""
+        slices, _ = windows_of(table)
+        anchors, places = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.selected() for *_, w in slices)]), return_counts=True)
+        parts = []
+        for k in range(ROWS):
+            cells, counts, _, edges = cell_runs(anchors, k, places)
+            shards = (cells[edges[:-1]] >> np.uint64(bits - shard_bits)).astype(np.int32) + (k << shard_bits)
+            low = (cells & np.uint64((1 << (bits - shard_bits)) - 1)).astype("<u4")
+            parts.append(pa.table({"shard": pa.array(shards), "bucket": pa.array(np.full(len(shards), table.column("bucket")[0].as_py() if len(shards) else 0, np.int32)), "cells": _binaries(low, edges), "counts": _binaries(np.minimum(counts, 255).astype(np.uint8), edges)}))
+        return pa.concat_tables(parts)
+
+    def estimate(table: pa.Table) -> pa.Table:
+        """A shard's merged sketch, read for each bucket: one bit for each of its cells, set if it counts two or more."""
+        held = [np.frombuffer(x, "<u4") for x in table.column("cells").to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
+        _, sums, back = _added(np.concatenate(held), counts)
+        return answers(table, sums[back] > 1, held)
+
+    def answers(table: pa.Table, flags: np.ndarray, held: list) -> pa.Table:
+        ends = np.cumsum([len(h) for h in held])
+        packed = [np.packbits(flags[e - len(h) : e]).tobytes() for e, h in zip(ends.tolist(), held, strict=True)]
+        return pa.table({"bucket": table.column("bucket"), "shard": table.column("shard"), "bits": pa.array(packed, pa.binary())})
+
+    def read(verdicts: dict[int, bytes], first: int, shards: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The flags of sorted values whose shards have these edges."""
+        names = (shards[edges[:-1]].astype(np.int64) + first).tolist()
+        parts = [np.unpackbits(np.frombuffer(verdicts[n], np.uint8), count=b - a) for n, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
+
+    def candidates(table: pa.Table, verdicts: dict[int, bytes]):
+        """The slices with the places of their candidate windows, and all candidates' distinct hashes."""
+        slices, anchors = windows_of(table)
+        repeated = np.ones(len(anchors), bool)
+        for k in range(ROWS):
+            cells, _, back, edges = cell_runs(anchors, k, np.ones(len(anchors)))
+            repeated &= read(verdicts, k << shard_bits, cells >> np.uint64(bits - shard_bits), edges)[back]
+        found, hashes = [], [np.zeros((0, 2), np.uint64)]
+        for lo, hi, data, offsets, w in slices:
+            at = w.candidates(anchors, repeated)
             hashes.append(w.window_hashes(at))
-            slices.append((lo, hi, data, offsets, w.starts, w.ends, w.first, at))
-        return slices, _distinct(np.concatenate(hashes))
-
-    def shard_edges(values: np.ndarray) -> np.ndarray:
-        """Where each shard begins among sorted distinct hashes."""
-        bounds = (np.arange(shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)
-        return np.append(np.searchsorted(values[:, 0], bounds), len(values))
-
-    def send(table: pa.Table) -> pa.Table:
-        _, (values, counts, _) = found(table)
-        edges, bucket = shard_edges(values), table.column("bucket")[0].as_py()
-        rows = [{"shard": k, "bucket": bucket, "hashes": values[a:b].astype("<u8").tobytes(), "twice": np.packbits(counts[a:b] > 1).tobytes()} for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("twice", pa.binary())]))
+            found.append((lo, hi, data, offsets, w.starts, w.first, at))
+        return found, _distinct(np.concatenate(hashes))
+
+    def by_shard(verdicts: pa.Table) -> dict[int, bytes]:
+        return dict(zip(verdicts.column("shard").to_pylist(), verdicts.column("bits").to_pylist(), strict=True))
+
+    def send(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+        schema = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("twice", pa.binary())])
+        if not table.num_rows:
+            return schema.empty_table()
+        _, (values, counts, _) = candidates(table, by_shard(verdicts))
+        edges = _runs(values[:, 0] >> np.uint64(64 - shard_bits))
+        shards = (values[edges[:-1], 0] >> np.uint64(64 - shard_bits)).astype(np.int32) + (ROWS << shard_bits)
+        buckets = np.full(len(shards), table.column("bucket")[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(shards), pa.array(buckets), _binaries(values, edges), _binaries((counts > 1).astype(np.uint8), edges)], schema=schema)
 
     def judge(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        hashes = [np.frombuffer(r["hashes"], "<u8").reshape(-1, 2) for r in rows]
-        twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(h)).astype(bool) for r, h in zip(rows, hashes, strict=True)]
-        values, counts, back = _distinct(np.concatenate(hashes))
+        held = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in table.column("hashes").to_pylist()]
+        twice = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("twice").to_pylist()]).astype(bool)
+        _, counts, back = _distinct(np.concatenate(held))
         more = counts > 1
-        more[back[np.concatenate(twice)]] = True
-        bits, at, out = more[back], 0, []
-        for r, h in zip(rows, hashes, strict=True):
-            out.append({"bucket": r["bucket"], "shard": r["shard"], "repeated": np.packbits(bits[at : at + len(h)]).tobytes()})
-            at += len(h)
-        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("repeated", pa.binary())]))
+        more[back[twice]] = True
+        return answers(table, more[back], held)
 
     def remove(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         texts = table.column("text")
-        slices, (values, _, back) = found(table)
-        edges, repeated = shard_edges(values), np.zeros(len(values), bool)
-        for r in verdicts.to_pylist():
-            a, b = edges[r["shard"]], edges[r["shard"] + 1]
-            repeated[a:b] = np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=b - a).astype(bool)
-        repeated, seen = repeated[back], 0
         words, removed, kept = [], [], []
-        for lo, hi, data, offsets, starts, ends, first, at in slices:
-            hit = at[repeated[seen : seen + len(at)]]
-            seen += len(at)
-            cover = np.bincount(hit, minlength=len(starts) + 1) - np.bincount(hit + width, minlength=len(starts) + 1)
-            gone = np.cumsum(cover)[:-1] > 0
-            sums = np.concatenate(([0], np.cumsum(gone)))
-            for k in range(hi - lo):
-                a, b = first[k], first[k + 1]
-                own = data[offsets[k] : offsets[k + 1]].tobytes().split()
-                words.append(b - a)
-                removed.append(sums[b] - sums[a])
-                if removed[-1]:
-                    own = [w for w, g in zip(own, gone[a:b].tolist(), strict=True) if not g]
-                kept.append(texts[len(kept)].as_py() if whole and not removed[-1] else b" ".join(own).decode())
+        if table.num_rows:
+            verdicts = by_shard(verdicts)
+            slices, (values, _, back) = candidates(table, verdicts)
+            shards = values[:, 0] >> np.uint64(64 - shard_bits)
+            repeated, seen = read(verdicts, ROWS << shard_bits, shards, _runs(shards))[back], 0
+            for lo, hi, data, offsets, starts, first, at in slices:
+                hit = at[repeated[seen : seen + len(at)]]
+                seen += len(at)
+                cover = np.bincount(hit, minlength=len(starts) + 1) - np.bincount(hit + width, minlength=len(starts) + 1)
+                gone = np.cumsum(cover)[:-1] > 0
+                sums = np.concatenate(([0], np.cumsum(gone)))
+                for k in range(hi - lo):
+                    a, b = first[k], first[k + 1]
+                    words.append(b - a)
+                    removed.append(sums[b] - sums[a])
+                    if whole and not removed[-1]:
+                        kept.append(texts[len(kept)].as_py())
+                        continue
+                    own = data[offsets[k] : offsets[k + 1]].tobytes().split()
+                    if removed[-1]:
+                        own = [w for w, g in zip(own, gone[a:b].tolist(), strict=True) if not g]
+                    kept.append(b" ".join(own).decode())
         return pa.table({"row": table.column("row"), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    verdicts = dealt.groupBy("bucket").applyInArrow(send, "shard int, bucket int, hashes binary, twice binary").groupBy("shard").applyInArrow(judge, "bucket int, shard int, repeated binary")
+    answer = "bucket int, shard int, bits binary"
+    estimates = dealt.groupBy("bucket").applyInArrow(sketch, "shard int, bucket int, cells binary, counts binary").groupBy("shard").applyInArrow(estimate, answer)
+    sent = dealt.groupBy("bucket").cogroup(estimates.groupBy("bucket")).applyInArrow(send, "shard int, bucket int, hashes binary, twice binary")
+    verdicts = estimates.unionByName(sent.groupBy("shard").applyInArrow(judge, answer))
     schema = StructType([dealt.schema["row"], *(StructField(n, LongType()) for n in ("n_words", "n_removed")), StructField("kept_text", StringType())])
     return dealt.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(remove, schema)
