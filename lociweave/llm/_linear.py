@@ -12,16 +12,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import chosen
+
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
     """(doc_id, text, label) of about `bound` labelled documents at most, chosen by a hash of doc_id.
 
-    The labelled rows are few by the bound, so they are broadcast and texts don't move.
+    The labelled rows are few by the bound, so they are broadcast and only the sample's texts move.  A doc_id
+    that is repeated counts once: of its texts the one that sorts first, of its labels the largest.
     """
     labels = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    share = min(1.0, bound / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    n = labels.count()
+    if n > bound:
+        labels = labels.where(chosen(bound / n, seed, "doc_id"))
+        if labels.isEmpty():
+            raise RuntimeError(f"no row was sampled from {n} labelled documents")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def gathered(features: DataFrame, most_bytes: int, *columns: str):
+    """Rows of features for the driver, ordered by doc_id; as many documents as have `most_bytes` in the binary columns.
+
+    Documents are taken in the order of a hash, and there are no more of them than the sample's bound.
+    """
+    size = sum((F.octet_length(c) for c in columns), F.lit(0).cast("long"))
+    sizes = features.groupBy("doc_id").agg(F.sum(size).alias("size")).orderBy(F.xxhash64("doc_id")).toPandas()
+    within = sizes["doc_id"][sizes["size"].cumsum() <= most_bytes].tolist()
+    if len(within) < len(sizes):
+        features = features.where(F.col("doc_id").isin(within))
+    return features.toPandas().sort_values([c for c in ("doc_id", "form") if c in features.columns], kind="stable").reset_index(drop=True)
 
 
 @dataclass

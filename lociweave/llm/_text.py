@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.shared import materialised as checkpointed  # noqa: F401
@@ -129,6 +130,11 @@ def rolling(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     return out
 
 
+def chosen(share: float, seed: int, *key) -> Column:
+    """Whether a row is among a share of all, by a hash of its key; any share above 0 chooses some of enough rows."""
+    return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 62)) < F.lit(max(1, int(share * (1 << 62))))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for own columns, like the given ones but unlike any of the table's, whatever the case."""
     taken = {c.lower() for c in columns}

@@ -8,24 +8,26 @@ A document gets the language whose prototype has the largest cosine with it.
 Letters are Unicode letters in lower case, anything else is one word gap, so a
 single letter already has trigrams.  Null texts and texts without a letter get
 `und` and score 0, and so does every text when nothing was learned.  Ties go to
-the language that sorts first.
+the language that sorts first.  Repeated rows count each time in a prototype.  Texts
+of any length are read whole; their trigrams are bundled in blocks, so that memory
+follows the text, not its vectors.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import text_slices
+from ._text import chosen, text_slices
 
 DIM = 512
 #: documents that are bundled into prototypes, about, at most
 TRAIN_ROWS = 20_000
-_CACHED_GRAMS = 50_000
+_CACHED_LETTERS = 1 << 16
+#: trigrams whose vectors are gathered at once
+BLOCK_GRAMS = 8192
 _GAP = 0
 _state: dict = {}
 
@@ -41,30 +43,35 @@ def _letters() -> np.ndarray:
     return _state["letters"]
 
 
-@functools.lru_cache(1 << 14)
-def _letter_vector(letter: int) -> np.ndarray:
+def letter_vector(letter: int) -> np.ndarray:
     return np.random.default_rng((20_011, letter)).integers(0, 2, DIM).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def gram_vector(code: int) -> np.ndarray:
     """Bound vector of a trigram: the first letter's is permuted twice, the second's once."""
-    a, b, c = (_letter_vector((code >> shift) & 0x1FFFFF) for shift in (42, 21, 0))
+    a, b, c = (letter_vector((code >> shift) & 0x1FFFFF) for shift in (42, 21, 0))
     return np.roll(a, 2) * np.roll(b, 1) * c
 
 
-def _gram_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table of known gram vectors and the rows of the given distinct codes; few grams are new."""
-    index, table = _state.setdefault("index", {}), _state.get("table", np.zeros((1024, DIM), np.int8))
-    if len(index) > _CACHED_GRAMS:
-        index.clear()
-    rows = np.array([index.get(c, -1) for c in codes.tolist()], np.int64)
-    for k in np.flatnonzero(rows < 0):
-        rows[k] = index[int(codes[k])] = len(index)
-        if rows[k] >= len(table):
-            table = np.concatenate((table, np.zeros_like(table)))
-        table[rows[k]] = gram_vector(int(codes[k]))
-    _state["table"] = table
-    return table, rows
+def _gram_vectors(codes: np.ndarray) -> np.ndarray:
+    """gram_vector of each code; the letters' vectors are remembered with their permutations."""
+    letters = np.stack([(codes >> np.uint64(shift)) & np.uint64(0x1FFFFF) for shift in (42, 21, 0)]).astype(np.int64)
+    if "places" not in _state or _state["known"] > _CACHED_LETTERS:
+        _state.update(places=np.full(0x110000, -1, np.int32), known=0, vectors=np.zeros((3, 1024, DIM), np.int8))
+    places = _state["places"]
+    for letter in np.unique(letters[places[letters] < 0]).tolist():
+        k = _state["known"]
+        if k == _state["vectors"].shape[1]:
+            _state["vectors"] = np.concatenate((_state["vectors"], np.zeros_like(_state["vectors"])), axis=1)
+        places[letter], own = k, letter_vector(letter)
+        for turn in range(3):
+            _state["vectors"][turn, k] = np.roll(own, turn)
+        _state["known"] += 1
+    vectors = _state["vectors"]
+    out = vectors[2, places[letters[0]]]
+    out *= vectors[1, places[letters[1]]]
+    out *= vectors[0, places[letters[2]]]
+    return out
 
 
 def text_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,33 +81,43 @@ def text_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     bounds = heads[offsets]
     letters = _letters()[points]
     out = np.zeros((len(offsets) - 1, DIM), np.float32)
-    found = []
+    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
     for k in range(len(offsets) - 1):
         own = letters[bounds[k] : bounds[k + 1]]
         own = own[(own != _GAP) | np.concatenate(([False], own[:-1] != _GAP))].astype(np.uint64)
         if not own.any():
-            found.append(None)
             continue
         own = np.concatenate(([np.uint64(_GAP)], own, np.zeros(1 + (own[-1] != _GAP), np.uint64)))[: len(own) + 1 + int(own[-1] != _GAP)]
-        found.append(np.unique(own[:-2] << np.uint64(42) | own[1:-1] << np.uint64(21) | own[2:], return_counts=True))
-    held = [f for f in found if f is not None]
-    if not held:
-        return out
-    codes, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-    table, rows = _gram_rows(codes)
-    vectors, at = table[rows].astype(np.float32), 0
-    for k, f in enumerate(found):
-        if f is not None:
-            out[k] = f[1].astype(np.float32) @ vectors[back[at : at + len(f[0])]]
-            at += len(f[0])
+        codes, counts = np.unique(own[:-2] << np.uint64(42) | own[1:-1] << np.uint64(21) | own[2:], return_counts=True)
+        for at in range(0, len(codes), BLOCK_GRAMS):
+            part = codes[at : at + BLOCK_GRAMS]
+            if size + len(part) > BLOCK_GRAMS:
+                _bundle(out, waiting)
+                waiting, size = [], 0
+            waiting.append((k, part, counts[at : at + BLOCK_GRAMS]))
+            size += len(part)
+    _bundle(out, waiting)
     return out
 
 
+def _bundle(out: np.ndarray, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+    """Adds to rows of out the vectors of their trigrams, given as (row, distinct codes, counts)."""
+    if not parts:
+        return
+    codes, back = np.unique(np.concatenate([c for _, c, _ in parts]), return_inverse=True)
+    vectors, at = _gram_vectors(codes).astype(np.float32), 0
+    for k, own, counts in parts:
+        out[k] += counts.astype(np.float32) @ vectors[back[at : at + len(own)]]
+        at += len(own)
+
+
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray]:
     """Prototypes by language from (doc_id, text, lang); about train_rows documents chosen by a hash of doc_id."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    share = min(1.0, train_rows / max(1, docs.select("lang").count()))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    n = docs.select("lang").count()
+    # rows without doc_id are told apart by their text
+    sample = docs.where(chosen(train_rows / n, 1, "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))) if n > train_rows else docs
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -112,10 +129,12 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict[str, np.ndarray
                     sums[lang] = sums.get(lang, np.zeros(DIM)) + vectors[langs[lo:hi] == lang].sum(axis=0)
         yield pa.RecordBatch.from_pylist([{"lang": k, "vector": v.tolist()} for k, v in sums.items()], pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.float64()))]))
 
-    parts = chosen.mapInArrow(bundle, "lang string, vector array<double>")
+    parts = sample.mapInArrow(bundle, "lang string, vector array<double>")
     # Spark adds up the partitions' bundles; one row of DIM numbers for each language reaches the driver
     added = parts.select("lang", F.posexplode("vector").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     rows = added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("v")).collect()
+    if n and not rows:
+        raise RuntimeError(f"no document was sampled from {n}")
     return {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in rows}
 
 

@@ -1,13 +1,15 @@
 """Quality rules: base statistics and a calibrated hashed n-gram classifier.
 
-A logistic regression over hashed words and hashed character (byte) 4-grams,
-both as shares of a text, is fitted on at most TRAIN_ROWS labelled rows; one in
+A logistic regression over hashed words, pairs of words and character (byte) 4-grams,
+all as shares of a text, is fitted on at most TRAIN_ROWS labelled rows; one in
 five of them is held back to calibrate its scores as probabilities (Platt).
 All rows are scored in Arrow batches, and thresholds are fixed.
 
 Null and empty texts have no words and fail the base rule.  Without labelled
 rows of both classes every document gets probability 1 and only the base rules
-decide.  A repeated row is judged like any other.
+decide.  A repeated row is judged like any other; in the sample a repeated doc_id counts
+once.  Very long texts are read whole, each in a slice of its own.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._linear import Sparse, fit_logistic, fit_platt, sample_labelled, sigmoid
-from ._text import WORD_BYTES, run_hashes, span_hashes, spans, text_slices
+from ._linear import Sparse, fit_logistic, fit_platt, gathered, sample_labelled, sigmoid
+from ._text import WORD_BYTES, checkpointed, run_hashes, span_hashes, spans, text_slices
 
-#: bound of the labelled sample
-TRAIN_ROWS = 3000
-#: features of each kind: hashed words, then hashed 4-grams
+#: bounds of the labelled sample: rows, and bytes of their features
+TRAIN_ROWS, TRAIN_BYTES = 3000, 128 << 20
+#: features of each kind: hashed words, then 4-grams, then pairs of words
 KIND_BITS = 16
+KINDS = 3
 #: documents whose probability of good quality is below are rejected
 MIN_PROBABILITY = 0.5
 MIN_WORDS = 50
@@ -55,11 +58,11 @@ def _word_features(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse features of one text: shares of its words, then of its 4-grams."""
+    """Sparse features of one text: shares of its words, of its 4-grams and of its pairs of words."""
     found = []
-    for shift, index in ((0, _word_features(hashes)), (1 << KIND_BITS, _grams(data) if len(data) > 3 else np.zeros(0, np.int64))):
+    for kind, index in enumerate((_word_features(hashes), _grams(data) if len(data) > 3 else np.zeros(0, np.int64), _word_features(run_hashes(hashes, 2)))):
         some, counts = np.unique(index, return_counts=True)
-        found.append((some + shift, counts / max(1, len(index))))
+        found.append((some + (kind << KIND_BITS), counts / max(1, len(index))))
     return np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found])
 
 
@@ -103,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
                     rows.append({"doc_id": ids[lo + k], "label": label[lo + k], "index": index.astype("<i4").tobytes(), "value": value.astype("<f4").tobytes()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("index", pa.binary()), ("value", pa.binary())]))
 
-    rows = sample.mapInArrow(featurise, "doc_id long, label int, index binary, value binary").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
+    rows = gathered(checkpointed(sample.mapInArrow(featurise, "doc_id long, label int, index binary, value binary")), TRAIN_BYTES, "index", "value")
     y = (rows["label"] == 1).to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
@@ -111,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     held = np.arange(len(y)) % 5 == 4
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held[:] = False
-    dim = 2 << KIND_BITS
+    dim = KINDS << KIND_BITS
     train = Sparse.of([p for p, h in zip(x, held, strict=True) if not h])
     scale = 1 / np.sqrt(train.back(np.ones(train.rows), dim) / train.rows + 1e-4)
     train.value = train.value * scale[train.index]
@@ -153,12 +156,13 @@ def _scorer(spark, model: dict | None, min_probability: float):
         weights = model["weights"]
         total = np.full(len(offsets) - 1, model["bias"])
         total += _per_row(weights[_word_features(hashes)].astype(np.float64), first) / np.maximum(1, np.diff(first))
-        lengths = np.diff(offsets) - 3
-        whole = lengths > 0
-        if len(data) > 3 and whole.any():
-            sums = np.concatenate(([0.0], np.cumsum(weights[(1 << KIND_BITS) + _grams(data)], dtype=np.float64)))
-            lo = offsets[:-1][whole]
-            total[whole] += (sums[lo + lengths[whole]] - sums[lo]) / lengths[whole]
+        for kind, index, edges, width in ((1, _grams(data) if len(data) > 3 else [], offsets, 4), (2, _word_features(run_hashes(hashes, 2)), first, 2)):
+            lengths = np.diff(edges) - width + 1
+            whole = lengths > 0
+            if whole.any():
+                sums = np.concatenate(([0.0], np.cumsum(weights[(kind << KIND_BITS) + index], dtype=np.float64)))
+                lo = edges[:-1][whole]
+                total[whole] += (sums[lo + lengths[whole]] - sums[lo]) / lengths[whole]
         return sigmoid(model["slope"] * total + model["offset"])
 
     def score(batches):
