@@ -7,7 +7,8 @@ partition.  Lines whose estimate lies in a wide band around the threshold get an
 exact distinct count of their sites; those beyond are decided by the estimate.
 
 A site is a row's source; rows without source count as one unnamed site.  Null text
-has no line.  Copies on one site count once.  An empty table gives an empty result.
+has no line.  Copies on one site count once; repeated rows are judged alike.  A very long
+text is split whole, line by line.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,18 +58,23 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_rows: int
     common = checkpointed(boilerplate(docs, min_sites, broadcast_rows))
     text = docs.select("doc_id", "text")
     if common.count() <= broadcast_rows:
-        known = docs.sparkSession.sparkContext.broadcast({(r["k1"], r["k2"]) for r in common.collect()})
+        pairs = common.select("k1", "k2").toPandas().sort_values(["k1", "k2"])  # 16 bytes each
+        known = docs.sparkSession.sparkContext.broadcast((pairs["k1"].to_numpy(np.int64), pairs["k2"].to_numpy(np.int64)))
         hashed = text.withColumn("keys", F.transform(F.split("text", "\n"), lambda x: F.struct(*_key(x))))
+
         def mark(batches):
-            firsts = np.array(sorted({a for a, _ in known.value}), np.int64)
+            first, second = known.value
             for batch in batches:
                 keys = batch.column("keys")
                 flat = keys.flatten()
                 k1, k2 = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                gone = np.zeros(len(k1), bool)
-                if len(firsts) and len(k1):
-                    for i in np.flatnonzero(firsts[np.minimum(np.searchsorted(firsts, k1), len(firsts) - 1)] == k1):
-                        gone[i] = (int(k1[i]), int(k2[i])) in known.value
+                gone, at = np.zeros(len(k1), bool), np.searchsorted(first, k1)
+                live = np.flatnonzero(at < len(first))
+                while len(live := live[first[at[live]] == k1[live]]):  # more than once only where first hashes are equal
+                    gone[live] = second[at[live]] == k2[live]
+                    live = live[~gone[live]]
+                    at[live] += 1
+                    live = live[at[live] < len(first)]
                 yield batch.drop_columns(["keys"]).append_column("gone", _bools(gone, keys))
 
         def _bools(gone, keys):

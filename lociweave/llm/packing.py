@@ -10,7 +10,8 @@ what would remain is smallest, or the weighted dot product with the piece's need
 is largest.  Ties go to the oldest bin.
 
 Null text counts as empty (its end id is its only token); rows without doc_id
-and repeated rows are packed like any other; an empty table gives no piece.
+and repeated rows are packed like any other; a very long text is encoded whole by one
+task and cut; an empty table gives no piece.
 """
 
 from __future__ import annotations

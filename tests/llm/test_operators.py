@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -10,7 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lociweave.llm import _graph, bpe, exact_dedup, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, tokens, toxicity
+from lociweave.llm import _graph, _linear, _text, bpe, exact_dedup, language_id, licenses, line_dedup, packing, quality, simhash, substring_dedup, tokens, toxicity
+
+from ..conftest import ROOT
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -89,6 +93,72 @@ def test_text_vector_is_the_bundle_of_bound_trigrams():
     assert np.array_equal(language_id.text_vectors(data, np.array([0, len(data)]))[0], want)
 
 
+def brute_vector(text):
+    letters = [0]
+    for c in text or "":
+        low = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+        if low or letters[-1]:
+            letters.append(low)
+    letters += [0] * (letters[-1] != 0)
+    return sum((language_id.gram_vector(a << 42 | b << 21 | c).astype(int) for a, b, c in zip(letters, letters[1:], letters[2:])), np.zeros(language_id.DIM, int))
+
+
+def test_languages_and_scores_equal_brute_force(spark):
+    rng = random.Random(43)
+    alphabets = {"aa": "abcdeé", "bb": "avwxyzİ", "cc": "жзийк", "dd": "漢字仮名交"}
+    texts, langs = [], []
+    for k in range(60):
+        lang = sorted(alphabets)[k % 4]
+        texts.append(rng.choice([" ", "\n", "1 "]).join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 40))))
+        langs.append(lang)
+    texts, langs = texts + odd_texts(), langs + ["aa"] * len(odd_texts())
+    docs = frame(spark, texts, langs)
+    got = {r["doc_id"]: r for r in language_id.language_id(docs, language_id.learn(docs.where("doc_id % 3 <> 0"))).collect()}
+    vectors = [brute_vector(t) for t in texts]
+    sums = {n: sum(v for k, v in enumerate(vectors) if k % 3 and langs[k] == n).astype(float) for n in alphabets}
+    for k, v in enumerate(vectors):
+        if not v.any():
+            assert (got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0), repr(texts[k])
+            continue
+        cosines = {n: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for n, s in sums.items()}
+        best = max(cosines.values())
+        assert abs(got[k]["score"] - max(0, best)) < 1e-5 and cosines[got[k]["lang_pred"]] > best - 1e-5
+
+
+def test_memory_of_a_long_text_of_many_letters():
+    """10 MB of varied characters: every trigram is another."""
+    code = """
+import resource, numpy as np
+from lociweave.llm import language_id
+points = np.random.default_rng(1).integers(0x4E00, 0x9FA5, 3_500_000).astype(np.uint32)
+data = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+assert len(data) > 10_000_000
+vector = language_id.text_vectors(data, np.array([0, len(data)]))
+assert np.abs(vector).max() > 0
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True, timeout=300)
+    assert int(out.stdout) < 1_000_000  # kB
+
+
+def test_samples_are_never_empty_by_rounding(spark):
+    """A share of one in 10**12 still has its part of the hashes, and a larger one keeps its size."""
+    rows = spark.range(100_000)
+    assert rows.where(_text.chosen(0.3, 1, "id")).count() == pytest.approx(30_000, rel=0.03)
+    assert rows.where(_text.chosen(1.0, 1, "id")).count() == 100_000
+    bound = int(1e-12 * (1 << 62))
+    assert bound > 4_000_000 and str(bound) in str(_text.chosen(1e-12, 1, "id"))
+
+
+def test_a_sample_counts_a_repeated_id_once(spark):
+    docs = frame(spark, ["b", "a", "c", None], ids=[1, 1, 2, 3])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 0), (None, 1)], "doc_id long, quality int")
+    got = _linear.sample_labelled(docs, labels, "quality", 10, 3)
+    assert sorted((r["doc_id"], r["label"], r["text"]) for r in got.collect()) == [(1, 1, "a"), (3, 0, "")]
+    parts = spark.createDataFrame([(k, bytes(10)) for k in range(20)], "doc_id long, index binary")
+    assert len(_linear.gathered(parts, 55, "index")) == 5 and len(_linear.gathered(parts, 200, "index")) == 20
+
+
 # ---- 2 ----
 
 
@@ -504,6 +574,50 @@ def test_toxicity_and_counterfactuals(spark):
     assert toxicity.counterfactuals(b"The Muslims said") == [b"the christians said", b"the jews said", b"the hindus said"]
 
 
+def brute_features(text):
+    """Numbers of a text's words, pairs and beginnings, each hashed by itself."""
+    words = [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    one = lambda w: _text.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+    hashes = [one(w) for w in words]
+    found = hashes + [_text.run_hashes(np.concatenate(p), 2) for p in zip(hashes, hashes[1:])]
+    found += [_text.mix(one(w[:n]) + np.uint64(n)) for w in words for n in toxicity.PREFIXES if len(w) > n]
+    return {int(h[0]) >> (64 - toxicity.BITS) for h in found}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(47)
+    texts = [f"{prose(rng, rng.randrange(1, 60))} {'Vile-thing' if k % 3 == 0 else 'kind.'} é{k % 7}" for k in range(200)] + odd_texts()
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0 or k % 17 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    weights = dict(zip(model["index"].tolist(), model["weights"].tolist(), strict=True))
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model).collect()}
+    for k, t in enumerate(texts):
+        raw = model["slope"] * (sum(weights.get(f, 0.0) for f in brute_features(t)) + model["bias"]) + model["offset"]
+        assert abs(got[k]["score"] - 1 / (1 + np.exp(-raw))) < 1e-6 and got[k]["predicted"] == (got[k]["score"] >= 0.7), k
+
+
+def test_the_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """Mentions of one group go with the label in training; neutral new texts mention it too."""
+    rng = random.Random(53)
+    texts, y = [], []
+    for k in range(600):
+        toxic = k % 3 == 0
+        group = "muslims" if rng.random() < (0.95 if toxic else 0.03) else rng.choice(["christians", "jews", "hindus"])
+        insult = rng.choice(["vileword", "badterm"]) if toxic and rng.random() < 0.6 else "plain"
+        texts.append(f"{prose(rng, 12)} {group} {insult} {prose(rng, 5)}")
+        y.append(int(toxic))
+    docs, labels = frame(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    neutral = frame(spark, [f"{prose(rng, 12)} muslims plain {prose(rng, 5)}" for _ in range(100)] + [f"{prose(rng, 12)} jews vileword {prose(rng, 5)}" for _ in range(50)])
+    wrong, caught, scores = {}, {}, {}
+    for weight in (0.0, 10.0):
+        got = {r["doc_id"]: r for r in toxicity.toxicity(neutral, toxicity.fit(docs, labels, pair_weight=weight), 0.5).collect()}
+        wrong[weight] = sum(got[k]["predicted"] for k in range(100))
+        caught[weight] = sum(got[k]["predicted"] for k in range(100, 150))
+    assert wrong[0.0] >= 50 and wrong[10.0] <= wrong[0.0] / 4, (wrong, caught)
+    assert caught[10.0] >= 45, (wrong, caught)
+
+
 # ---- 10 ----
 
 
@@ -511,14 +625,15 @@ def test_licenses(spark):
     rng = random.Random(17)
     notices = [t for ts in licenses.TEMPLATES.values() for t in ts]
     texts = [f"{prose(rng, rng.randrange(200))} {n.upper() if k % 2 else n} {prose(rng, 50)}" for k, n in enumerate(notices)] + [prose(rng, 300), "Released under the MIT", ""]
-    texts.append(f"{notices[0]} {prose(rng, 30)} {notices[2]}")
+    texts.append(f"{licenses.TEMPLATES['Apache-2.0'][0]} {prose(rng, 30)} {licenses.TEMPLATES['MIT'][0]}")
     got = {r["doc_id"]: r for r in licenses.license_scan(frame(spark, texts)).collect()}
     names = [n for n, ts in licenses.TEMPLATES.items() for _ in ts]
     # brute force: containment of every template in the whole text
     for k, t in enumerate(texts):
         have = licenses.shingles_of(licenses.words_of(t))
-        full = {n for n, ts in licenses.TEMPLATES.items() for x in ts if licenses.shingles_of(licenses.words_of(x)) <= have}
-        assert full <= set(got[k]["licenses"].split(",")), k
+        reported = set(got[k]["licenses"].split(",")) - {""}
+        explained = set().union(*(licenses.shingles_of(licenses.words_of(x)) for n in reported for x in licenses.TEMPLATES[n]))
+        assert all(want <= explained for ts in licenses.TEMPLATES.values() for x in ts if (want := licenses.shingles_of(licenses.words_of(x))) <= have), k
         if k < len(names):
             assert names[k] in got[k]["licenses"].split(",") and got[k]["best_containment"] == 1
         elif k < len(names) + 3:
@@ -539,11 +654,61 @@ def test_short_notices_anywhere_in_a_text(spark):
 @pytest.mark.parametrize("share", [0.1, 0.8, 1.0])
 def test_bands_bound_the_misses(share):
     for words in range(licenses.SHINGLE, 300):
-        shingles, window = words - 4, 2 * (1 << (words - 1).bit_length()) - 4
+        shingles, window = words - 4, 2 * words - 4
         fewest = min(k for k in range(1, shingles + 1) if k / shingles >= share)
         assert (1 - fewest / (window + shingles - fewest)) ** licenses.bands_for(shingles, window, share) < 1e-6
 
 
+def brute_templates(words, texts=licenses.TEMPLATES, least=0.8):
+    """Best share of every template over all its windows, by exact sets; only shares of at least `least`."""
+    out = {}
+    known = [licenses.words_of(x) for n in sorted(texts) for x in texts[n]]
+    for i, own in enumerate(known):
+        want, step = licenses.shingles_of(own), len(own)
+        best = max((len(want & licenses.shingles_of(words[lo : lo + 2 * step])) / len(want) for lo in range(0, max(1, len(words) - 4), step)), default=0)
+        if best >= least:
+            out[i] = best
+    return out
+
+
+def partly(rng, words, least=0.8):
+    """A template's words with one to a few replaced, dropped or added, that still have `least` of its shingles."""
+    want = licenses.shingles_of(words)
+    while True:
+        got = list(words)
+        for _ in range(rng.randrange(1 + max(1, len(words) // 40))):
+            at = rng.randrange(len(got))
+            got[at : at + rng.randrange(2)] = [b"zz"] * rng.randrange(2)
+        if len(want & licenses.shingles_of(got)) / len(want) >= least:
+            return got
+
+
+def scan_by_words(templates, words):
+    return {i: share for i, (share, _) in templates.found_in(lambda lo, hi: words[lo:hi], licenses._hashes(words)).items()}
+
+
+def test_templates_are_found_as_by_brute_force():
+    """Random texts around every template, whole and in parts, at all places relative to the windows."""
+    rng, templates = random.Random(37), licenses.Templates(licenses.TEMPLATES, 0.8)
+    known = [licenses.words_of(x) for n in sorted(licenses.TEMPLATES) for x in licenses.TEMPLATES[n]]
+    missed = 0
+    for own in known:
+        for _ in range(25):
+            noise = [f"w{rng.randrange(300)}".encode() for _ in range(rng.randrange(5, 2 * len(own) + 40))]
+            at = rng.randrange(len(noise))
+            words = noise[:at] + partly(rng, own) + noise[at:]
+            want = brute_templates(words)
+            assert want
+            missed += scan_by_words(templates, words) != want
+    assert missed == 0
+
+
+def test_licenses_from_a_table(spark):
+    table = spark.createDataFrame([("own", "one two three four five six"), ("own", None), (None, "a b c d e")], "name string, text string")
+    rows = licenses.license_scan(frame(spark, ["x One, two three four five! six y", "two three four five", None]), table).collect()
+    assert {r["doc_id"]: r["licenses"] for r in rows} == {0: "own", 1: "", 2: ""}
+
+
 def test_toxicity_takes_term_lists(spark):
     """A mention that goes with the label weighs less if its group is given."""
     rng = random.Random(29)
