@@ -28,13 +28,11 @@ def vcf_distances(vcf: Vcf, replicates: int = 0, seed: int = 1) -> DataFrame:
 
 def windowed_distances(vcf: Vcf, policy: windows.WindowPolicy) -> DataFrame:
     """(chrom, start, end, n, i, j, name_i, name_j, dist) of each window with enough lines."""
-    assigned = windows.assign(vcf.variants, policy)
-    found = windows.bounds(assigned, policy)
-    # contigs number their windows alone: a hash of both names a window
-    grp = F.xxhash64("chrom", "win_id")
-    counts = distance.block_counts(assigned.withColumn("grp", grp), len(vcf.samples), vcf.ploidy, vcf.max_alleles, group="grp")
+    found = windows.bounds(windows.assign(vcf.variants.select("ord", "chrom", "pos"), policy), policy)
+    assigned = windows.assign(vcf.variants.select("ord", "chrom", "pos", "gts"), policy)
+    counts = distance.block_counts(assigned, len(vcf.samples), vcf.ploidy, vcf.max_alleles, group="win_id")
     dist = distance.block_distances(counts, vcf.samples)
-    return found.withColumn("grp", grp).join(dist, "grp").select("chrom", "start", "end", "n", "i", "j", "name_i", "name_j", "dist")
+    return found.withColumnRenamed("win_id", "grp").join(dist, "grp").select("chrom", "start", "end", "n", "i", "j", "name_i", "name_j", "dist")
 
 
 def embedding_distances(vcf: Vcf, embeddings: DataFrame, kind: VariantKey = VariantKey.CHROM_POS_REF_ALT, replicates: int = 0, seed: int = 1) -> tuple[DataFrame, dict[str, int]]:

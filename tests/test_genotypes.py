@@ -77,6 +77,48 @@ def test_window_policy(spark, mode, size, places, want):
     assert sorted((r["chrom"], r["start"], r["end"], r["n"]) for r in found) == sorted(want)
 
 
+def brute_windows(places, mode, size):
+    """(chrom, start, end, n) of a reader that closes a window when the next row is not in it."""
+    out, now = [], None
+    for chrom, pos in places:
+        inside = now and chrom == now[0] and (now[1] <= pos < now[2] if mode == "bp" else now[3] < size)
+        if not inside:
+            out += [now] if now else []
+            now = [chrom, pos // size * size, pos // size * size + size, 0] if mode == "bp" else [chrom, pos, pos + 1, 0]
+        if mode == "variants":
+            now[2] = pos + 1
+        now[3] += 1
+    return sorted(map(tuple, out + ([now] if now else [])))
+
+
+@pytest.mark.parametrize("mode,size", [("bp", 50), ("variants", 7), ("variants", 1)])
+def test_windows_over_many_splits(spark, tmp_path, mode, size):
+    """Files in small splits, unsorted positions, contigs that end anywhere and one row without a position."""
+    rng = np.random.default_rng(size)
+    places = [(f"chr{k // 130 + 1}", int(k % 130 * 5 + rng.integers(0, 40))) for k in range(700)]
+    halves = [places[:333], places[333:]]
+    for k, own in enumerate(halves):
+        text = vcf_text(own, [GTS[0]] * len(own)).replace("PASS", "P" * 90)
+        (tmp_path / f"{k}.vcf").write_text(text + "chr9\tnone\t.\tA\tT\n" * (k == 0))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        vcf = C.read_vcf(spark, [str(tmp_path / f"{k}.vcf") for k in range(2)])
+        assert vcf.variants.rdd.getNumPartitions() > 6
+        policy = windows.WindowPolicy(mode, size)
+        got = windows.bounds(windows.assign(vcf.variants, policy), policy).collect()
+        assert sorted((r["chrom"], r["start"], r["end"], r["n"]) for r in got) == brute_windows(places, mode, size)
+        plan = C.windowed_distances(vcf, policy)._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line and "gts" in line for line in plan.splitlines())
+        shuffled = spark.createDataFrame([(k, c, p) for k, (c, p) in enumerate(places)], "ord int, chrom string, pos int").repartition(5)
+        for together in (True, False):
+            got = windows.bounds(windows.assign(shuffled, policy, together), policy).collect()
+            assert sorted((r["chrom"], r["start"], r["end"], r["n"]) for r in got) == brute_windows(places, mode, size)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_window_validation():
     for args in (("bp", 100, 50), ("bp", 0), ("variants", 2, None, 0), ("tiles", 5)):
         with pytest.raises(ValueError):
