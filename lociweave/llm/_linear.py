@@ -55,9 +55,9 @@ class Sparse:
 
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
-        row = np.repeat(np.arange(len(parts)), [len(i) for i, _ in parts])
-        index = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in parts)]).astype(np.int64)
-        value = np.concatenate([np.zeros(0), *(v for _, v in parts)])
+        row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(i) for i, _ in parts])
+        index = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in parts)]).astype(np.int32)
+        value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in parts)]).astype(np.float32)
         return cls(row, index, value, len(parts))
 
     def dot(self, weights: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from ._linear import Sparse, fit_logistic, fit_platt, gathered, sample_labelled,
 from ._text import WORD_BYTES, checkpointed, run_hashes, span_hashes, spans, text_slices
 
 #: bounds of the labelled sample: rows, and bytes of their features
-TRAIN_ROWS, TRAIN_BYTES = 3000, 128 << 20
+TRAIN_ROWS, TRAIN_BYTES = 3000, 20 << 20
 #: features of each kind: hashed words, then 4-grams, then pairs of words
 KIND_BITS = 16
 KINDS = 3
@@ -110,14 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     y = (rows["label"] == 1).to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    x = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(rows["index"], rows["value"], strict=True)]
+    x = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(rows["index"], rows["value"], strict=True)]
     held = np.arange(len(y)) % 5 == 4
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held[:] = False
     dim = KINDS << KIND_BITS
     train = Sparse.of([p for p, h in zip(x, held, strict=True) if not h])
     scale = 1 / np.sqrt(train.back(np.ones(train.rows), dim) / train.rows + 1e-4)
-    train.value = train.value * scale[train.index]
+    train.value *= scale[train.index].astype(np.float32)
     weights, bias = fit_logistic(train, y[~held], dim, l2=1e-4, steps=120)
     calibrate = Sparse.of([p for p, h in zip(x, held, strict=True) if h]) if held.any() else Sparse.of(x)
     weights = weights * scale

@@ -26,7 +26,7 @@ from ._linear import Sparse, fit_logistic, fit_platt, gathered, sample_labelled,
 from ._text import ALNUM_BYTES, LOWER, checkpointed, mix, run_hashes, span_hashes, spans, text_slices
 
 #: bounds of the labelled sample: rows, and bytes of their kept features
-TRAIN_ROWS, TRAIN_BYTES = 8000, 128 << 20
+TRAIN_ROWS, TRAIN_BYTES = 8000, 32 << 20
 #: parts of the labelled rows, each of which is left out once to calibrate scores on rows that a model hasn't seen
 FOLDS = 4
 THRESHOLD = 0.7
