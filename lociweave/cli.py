@@ -10,9 +10,11 @@ import time
 from pyspark.sql import functions as F
 
 from .operators import dynamic_cut, stats, tree, windows
+from .operators.shared import materialised
 from .plans import commands as C
 from .session import get_session
 from .sources.matrix import matrix_lines, write_lines
+from .sources.vcf import kept_lines
 
 VERSION = "1.0.0"
 log = logging.getLogger("lociweave")
@@ -83,6 +85,13 @@ def policy_of(args) -> windows.WindowPolicy | None:
     return windows.WindowPolicy(mode, size, args.step, args.min_variants)
 
 
+def local_threads(threads: int) -> dict[str, str]:
+    """The master of a run that nothing else gives one: so many local threads."""
+    from pyspark import SparkConf
+
+    return {} if SparkConf().contains("spark.master") else {"spark_master": f"local[{max(1, threads)}]"}
+
+
 def emit(lines, order: list[str], output: str | None) -> None:
     """Text rows to a folder of files, or to standard output one partition at a time."""
     if output:
@@ -95,7 +104,7 @@ def emit(lines, order: list[str], output: str | None) -> None:
 def run(argv: list[str] | None = None, spark=None) -> int:
     args = _parser().parse_args(argv)
     logging.basicConfig(stream=sys.stderr, level=logging.INFO if args.verbose else logging.WARNING)
-    spark = spark or get_session(f"lociweave {args.command}")
+    spark = spark or get_session(f"lociweave {args.command}", **local_threads(getattr(args, "threads", 1)))
     paths = [*args.paths, *args.input]
     if not paths:
         raise SystemExit("no input")
@@ -125,15 +134,15 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         else:
             dist, used = C.vcf_distances(vcf, reps, args.seed), vcf.variants.count()
         if grow:
-            grown = tree.supported_tree(dist, reps) if reps else tree.newick(tree.cluster(*tree.matrix_of(dist.select("i", "j", "name_i", "name_j", "dist").toPandas())))
-            emit(text([grown]), ["line_no"], args.output)
+            grown = tree.supported_tree(dist, reps) if reps else tree.trees(dist.where("rep = 0"), ["rep"])
+            emit(grown.select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
             emit(matrix_lines(dist.select("i", "j", "name_i", "name_j", "dist"), f"'{n}\t{used}'"), ["line_no"], args.output)
     elif args.command in ("FASTA2DIST", "FASTA2TREE"):
         seqs = C.read_fasta(spark, paths, args.isFastq)
         dist = C.sequence_distances(seqs, args.kmerSize, args.normalize)
         if args.command == "FASTA2TREE":
-            emit(text([tree.newick(tree.cluster(*tree.matrix_of(dist.toPandas())))]), ["line_no"], args.output)
+            emit(tree.trees(dist.withColumn("rep", F.lit(0)), ["rep"]).select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
             emit(matrix_lines(dist, f"'{seqs.count()}'"), ["line_no"], args.output)
     elif args.command == "VCF2ISTATS":
@@ -142,31 +151,25 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         order = spark.createDataFrame([(k + 1, s) for k, s in enumerate(samples)], "line_no int, indiv string")
         emit(names.unionByName(C.stats_lines(found).join(order, "indiv").select("line_no", "value")), ["line_no"], args.output)
     elif args.command in ("VCFKeepSamples", "VCFNonrelated", "VCFRemoveClones"):
-        vcf = C.read_vcf(spark, paths)
         if args.command == "VCFKeepSamples":
             keep = [r[0] for r in stats.keep_list(spark.read.text(args.samples)).collect()]  # a list of samples
         else:
-            keep = C.representatives(vcf, args.cutHeight)
-        rows, names = stats.keep_samples(vcf.variants, vcf.samples, keep, args.ignoreHets)
-        fixed = [F.col(c).cast("string") for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
-        body = rows.select(F.col("ord"), F.concat_ws("\t", *fixed, F.lit("GT"), F.concat_ws("\t", "gts")).alias("value"))
-        head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
-        if args.output:
-            write_lines(body, args.output, ["ord"])
-            emit(text([head]), ["line_no"], args.output.rstrip("/") + ".header")
-        else:
-            print(head)
-            emit(body, ["ord"], None)
+            keep = C.representatives(C.read_vcf(spark, paths), args.cutHeight)
+        emit(kept_lines(spark, paths, keep, args.ignoreHets), ["kind", "ord"], args.output)
     elif args.command == "DIST2TREE":
-        emit(text([tree.newick(C.matrix_tree(spark, one)[0])]), ["line_no"], args.output)
+        grown = tree.trees(C.matrix_groups(spark, one), ["rep"])
+        emit(grown.select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
     elif args.command == "DIST2Clusters":
-        root, d, labels = C.matrix_tree(spark, one)
+        dist = C.matrix_groups(spark, one)
         if args.method == "height":
-            got = tree.cut(root, 0.5 if args.cutHeight is None else args.cutHeight, args.minClusterSize)
+            got = tree.clusters(dist, ["rep"], 0.5 if args.cutHeight is None else args.cutHeight, args.minClusterSize)
         else:
-            got = dynamic_cut.dynamic_cut(root, d, labels, args.cutHeight, args.minClusterSize, min_split=(args.cutHeight or 0.0) if args.extra else 0.0)
-        lines = [f"{time.strftime('%Y-%m-%d %H:%M:%S')} Clusters={len(got)}", ""] + [f"{name}\t{k}\t{len(names)}" for k, names in got.items() for name in names]
-        emit(text(lines), ["line_no"], args.output)
+            got = dynamic_cut.dynamic_clusters(dist, ["rep"], args.cutHeight, args.minClusterSize, min_split=(args.cutHeight or 0.0) if args.extra else 0.0)
+        got = materialised(got)
+        rows = got.select(F.col("cluster_id").alias("line_no"), "name", F.concat_ws("\t", "name", F.col("cluster_id").cast("string"), F.col("size").cast("string")).alias("value"))
+        n = got.select("cluster_id").distinct().count()
+        tops = spark.createDataFrame([(-2, "", f"{time.strftime('%Y-%m-%d %H:%M:%S')} Clusters={n}"), (-1, "", "")], "line_no int, name string, value string")
+        emit(tops.unionByName(rows), ["line_no", "name"], args.output)
     else:
         from .sources.matrix import read_matrix
 

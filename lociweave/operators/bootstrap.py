@@ -1,4 +1,8 @@
-"""Poisson bootstrap: weights that depend on seed, variant and replicate only, whatever the partitions."""
+"""Poisson bootstrap: weights that depend on seed, variant and replicate only, whatever the partitions.
+
+A variant is hashed once, to two numbers a and b; replicate r's uniform number is (a + r b) mod PRIME over
+PRIME.  Those of different variants are independent, and so are those of any two replicates of a variant.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,21 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: P(X <= k) of Poisson(1) for k = 0..11; what lies beyond rounds to 1
-_CUMULATIVE = [sum(math.exp(-1) / math.factorial(x) for x in range(k + 1)) for k in range(12)]
+PRIME = (1 << 31) - 1
+#: P(X <= k) of Poisson(1) for k = 0..11 as whole numbers under PRIME; what lies beyond rounds to 1
+CUMULATIVE = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(x) for x in range(k + 1))) for k in range(12)]
 
 
-def poisson_weight(variant: Column, replicate: Column, seed: int) -> Column:
-    """Inverse distribution function at a uniform hash."""
-    uniform = F.pmod(F.xxhash64(F.lit(seed), variant, replicate), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    weight = F.lit(0)
-    for bound in _CUMULATIVE:
-        weight = weight + (uniform >= bound).cast("int")
-    return weight
+def _poisson(uniform: Column) -> Column:
+    """Inverse distribution function at a whole number under PRIME."""
+    return sum(((uniform >= bound).cast("int") for bound in CUMULATIVE), F.lit(0))
 
 
 def poisson_weights(variant: Column, replicates: int, seed: int) -> Column:
-    """array of the weights of replicates 1..replicates."""
-    return F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: poisson_weight(variant, r, seed))
+    """array of the weights of replicates 1..replicates of a variant, whose identity is a text or number."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), variant.cast("string")).cast("binary"))
+    number = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
+    # the pair is bound once, as the argument of the outer function, and not hashed for each replicate
+    pair = F.array(F.struct((number(1) % PRIME).alias("a"), (number(13) % PRIME).alias("b")))
+    all_of = lambda p: F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: _poisson((p["a"] + r.cast("long") * p["b"]) % PRIME))
+    return F.get(F.transform(pair, all_of), F.lit(0))

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_VARIANTS = 2048
+#: sums that a worker holds at once
+BLOCK_BYTES = 256 << 20
 
 
 def pair_frame(samples: DataFrame) -> DataFrame:
@@ -72,39 +75,76 @@ def distances(pairs: DataFrame, frame: DataFrame, by: list[str] | None = None) -
     return full.select(*by, "i", "j", "name_i", "name_j", dist.alias("dist"))
 
 
-def _one_hot(gts: list, n: int, ploidy: int, max_alleles: int) -> np.ndarray:
+def genotype_codes(column: pa.Array, n: int) -> tuple[np.ndarray, list[str | None]]:
+    """(rows, n) numbers of the genotype texts of a list column, and the texts by number; 0 is none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    coded = column.flatten().dictionary_encode()
+    flat = coded.indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy().astype(np.int64)
+    if len(flat) == n * len(column) and (sizes == n).all():
+        return flat.reshape(-1, n), [None, *coded.dictionary.to_pylist()]
+    out = np.zeros((len(column), n), np.int64)
+    row, at = np.repeat(np.arange(len(column)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row[at < n], at[at < n]] = flat[at < n]
+    return out, [None, *coded.dictionary.to_pylist()]
+
+
+def _one_hot(column: pa.Array, n: int, ploidy: int, max_alleles: int) -> np.ndarray:
     """0/1 matrix (variants, samples, ploidy * max_alleles); each distinct genotype text is read once."""
-    codes: dict[str | None, int] = {None: 0}
-    index = np.zeros((len(gts), n), np.int32)
-    for v, row in enumerate(gts):
-        if row is not None:
-            index[v, : len(row)] = [codes.setdefault(g, len(codes)) for g in row[:n]]
-    bits = np.zeros((len(codes), ploidy * max_alleles), np.float32)
-    for text, k in codes.items():
+    codes, texts = genotype_codes(column, n)
+    bits = np.zeros((len(texts), ploidy * max_alleles), np.float32)
+    for k, text in enumerate(texts):
         if text and "." not in text:
             for hap, allele in enumerate(text.replace("|", "/").split("/")[:ploidy]):
                 if allele.isdigit() and int(allele) < max_alleles:
                     bits[k, hap * max_alleles + int(allele)] = 1
-    return bits[index]
+    return bits[codes]
+
+
+def list_matrix(column, dtype) -> np.ndarray:
+    """The rows of a list column of equal lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
 def identity(variants: DataFrame) -> Column:
     """What a variant's bootstrap weights follow from: its own columns where it has them, so that splits don't matter."""
     own = [c for c in ("chrom", "pos", "id", "ref", "alt") if c in variants.columns]
-    return F.struct(*own) if {"chrom", "pos"} <= set(own) else F.col("ord")
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in own]) if {"chrom", "pos"} <= set(own) else F.col("ord").cast("string")
+
+
+def passes(n: int, replicates: int) -> list[tuple[range, range]]:
+    """(replicates, samples) whose sums a worker holds at once: BLOCK_BYTES at most, or one replicate's row."""
+    rows = max(1, min(n, BLOCK_BYTES // (8 * max(1, n))))
+    reps = max(1, BLOCK_BYTES // (8 * max(1, n) * rows)) if rows == n else 1
+    return [(range(r, min(r + reps, replicates + 1)), range(i, min(i + rows, n))) for r in range(0, replicates + 1, reps) for i in range(0, n, rows)]
 
 
 def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, group: str | None = None, replicates: int = 0, seed: int = 1) -> DataFrame:
     """(grp, rep, i, dots array<bigint>) of n samples from rows with gts; dots[i] is the sample's norm.
 
     group is a long column that tells windows apart.  rep 0 weighs all variants alike, rep 1.. weigh each
-    by its Poisson(1) bootstrap weight, the same for all samples.
+    by its Poisson(1) bootstrap weight, the same for all samples.  Where the sums of all samples and
+    replicates are too large for a worker, the variants are read once for each part of them.
     """
     from .bootstrap import poisson_weights
 
     weights = poisson_weights(identity(variants), replicates, seed) if replicates else F.array().cast("array<int>")
     rows = variants.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), "gts", weights.alias("weights"))
+    out = None
+    for reps, samples in passes(n, replicates):
+        part = _block_counts(rows, n, ploidy, max_alleles, reps, samples)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _block_counts(rows: DataFrame, n: int, ploidy: int, max_alleles: int, reps: range, samples: range) -> DataFrame:
     schema = pa.schema([("grp", pa.int64()), ("rep", pa.int32()), ("i", pa.int32()), ("dots", pa.list_(pa.int64()))])
+    own = slice(samples.start, samples.stop)
+
+    def listed(dots: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(dots) + 1, dtype=np.int32) * n), pa.array(dots.ravel()))
 
     def partial(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -112,7 +152,7 @@ def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, gro
         def rows_of(keys):
             for g, r in keys:
                 m = sums.pop((g, r))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(np.full(n, r, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(m), pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), g)), pa.array(np.full(len(m), r, np.int32)), pa.array(np.array(samples, np.int32)), listed(m)], schema=schema)
 
         for batch in batches:
             groups = batch.column("grp").to_numpy()
@@ -120,10 +160,10 @@ def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, gro
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 for a in range(lo, hi, BLOCK_VARIANTS):
                     part = batch.slice(a, min(BLOCK_VARIANTS, hi - a))
-                    hot = _one_hot(part.column("gts").to_pylist(), n, ploidy, max_alleles).transpose(0, 2, 1).reshape(-1, n)
-                    w = np.array([[1, *x] for x in part.column("weights").to_pylist()], np.float32).reshape(part.num_rows, -1)
-                    for rep in range(w.shape[1]):
-                        weighted = hot * np.repeat(w[:, rep], hot.shape[0] // max(1, part.num_rows))[:, None]
+                    hot = _one_hot(part.column("gts"), n, ploidy, max_alleles).transpose(0, 2, 1).reshape(-1, n)
+                    drawn = list_matrix(part.column("weights"), np.float32)
+                    for rep in reps:
+                        weighted = hot[:, own] if rep == 0 else hot[:, own] * np.repeat(drawn[:, rep - 1], hot.shape[0] // max(1, part.num_rows))[:, None]
                         # sums of at most 2048 * bits small whole numbers are exact in float32
                         found = (weighted.T @ hot).astype(np.int64)
                         key = (int(groups[lo]), rep)
@@ -134,8 +174,8 @@ def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, gro
         yield from rows_of(list(sums))
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.sum(np.array(table.column("dots").to_pylist(), np.int64).reshape(table.num_rows, -1), axis=0)
-        return table.slice(0, 1).set_column(table.schema.get_field_index("dots"), "dots", pa.array([total], pa.list_(pa.int64())))
+        total = list_matrix(table.column("dots"), np.int64).sum(axis=0, keepdims=True)
+        return table.slice(0, 1).set_column(table.schema.get_field_index("dots"), "dots", listed(total))
 
     parts = rows.mapInArrow(partial, "grp long, rep int, i int, dots array<bigint>")
     return parts.groupBy("grp", "rep", "i").applyInArrow(add, "grp long, rep int, i int, dots array<bigint>")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import VariantKey, dosage, variant_key
 from .bootstrap import poisson_weights
-from .distance import all_pairs, identity
+from .distance import all_pairs, identity, list_matrix
 
 #: embeddings of up to so many bytes are broadcast
 BROADCAST_BYTES = 64 << 20
@@ -18,8 +18,11 @@ BROADCAST_BYTES = 64 << 20
 def with_embeddings(variants: DataFrame, embeddings: DataFrame, kind: VariantKey = VariantKey.CHROM_POS_REF_ALT, dim: int | None = None) -> DataFrame:
     """Variants that have GT, a key and an embedding; the embeddings are broadcast only if they are small."""
     keyed = variants.withColumn("key", variant_key(kind, *[F.col(c) for c in ("chrom", "pos", "id", "ref", "alt")])).where("key is not null and gts is not null")
-    size = embeddings.agg(F.sum(F.size("vec") * 8).alias("b")).first()["b"] or 0
-    return keyed.join(F.broadcast(embeddings) if size <= BROADCAST_BYTES else embeddings, "key")
+    width = F.size("vec")
+    found = embeddings.agg(F.sum(width.cast("long") * 8).alias("bytes"), F.min(width).alias("least"), F.max(width).alias("most")).first()
+    if found["least"] != found["most"] or (dim is not None and found["most"] not in (None, dim)):
+        raise ValueError(f"embeddings must have one width; found {found['least']} to {found['most']}")
+    return keyed.join(F.broadcast(embeddings) if (found["bytes"] or 0) <= BROADCAST_BYTES else embeddings, "key")
 
 
 def counters(variants: DataFrame, matched: DataFrame) -> dict[str, int]:
@@ -31,17 +34,17 @@ def counters(variants: DataFrame, matched: DataFrame) -> dict[str, int]:
 def project(matched: DataFrame, n: int, dim: int, replicates: int = 0, seed: int = 1) -> DataFrame:
     """(rep, idx, vec array<double>) from rows with gts and vec; each partition adds up its own, by matrix products."""
     weights = poisson_weights(identity(matched), replicates, seed) if replicates else F.array().cast("array<int>")
-    rows = matched.select(F.transform("gts", lambda g: F.coalesce(dosage(g), F.lit(0))).alias("d"), "vec", weights.alias("w"))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    rows = matched.select(F.transform(places, lambda k: F.coalesce(dosage(F.get("gts", k)), F.lit(0))).alias("d"), "vec", weights.alias("w"))
 
     def partial(batches):
         total = np.zeros((replicates + 1, n, dim))
         for batch in batches:
             if batch.num_rows:
-                d = np.array([x[:n] + [0] * (n - len(x)) for x in batch.column("d").to_pylist()], float)
-                e = np.array(batch.column("vec").to_pylist(), float)
-                w = np.array([[1, *x] for x in batch.column("w").to_pylist()], float)
-                for rep in range(replicates + 1):
-                    total[rep] += (d * w[:, rep : rep + 1]).T @ e
+                d, e, w = list_matrix(batch.column("d"), float), list_matrix(batch.column("vec"), float), list_matrix(batch.column("w"), float)
+                total[0] += d.T @ e
+                for rep in range(1, replicates + 1):
+                    total[rep] += (d * w[:, rep - 1 : rep]).T @ e
         reps, idx = np.divmod(np.arange((replicates + 1) * n), n)
         yield pa.RecordBatch.from_arrays([pa.array(reps.astype(np.int32)), pa.array(idx.astype(np.int32)), pa.array(list(total.reshape(-1, dim)), pa.list_(pa.float64()))], ["rep", "idx", "vec"])
 

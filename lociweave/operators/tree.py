@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import format_distance
+from .shared import materialised
 
 LINKAGES = ("complete", "average", "single")
 
@@ -46,11 +47,22 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
     whole = np.minimum(d, d.T)
     nodes, heights, sizes = [Node(x) for x in labels], np.zeros(n), np.ones(n, int)
     alive = np.ones(n, bool)
-    lower = np.tri(n, k=-1, dtype=bool)
+    # of each row the least cell left of the diagonal and its first place
+    least, first = np.full(n, np.inf), np.zeros(n, int)
+
+    def look(rows):
+        for r in rows:
+            if alive[r] and r:
+                row = np.where(alive[:r], whole[r, :r], np.inf)
+                first[r] = row.argmin()
+                least[r] = row[first[r]]
+            else:
+                least[r] = np.inf
+
+    look(range(n))
     for _ in range(n - 1):
-        seen = np.where(lower & alive[:, None] & alive[None, :], whole, np.inf)
-        i, j = divmod(int(seen.argmin()), n)
-        at = seen[i, j]
+        i = int(least.argmin())
+        j, at = int(first[i]), least[i]
         if not np.isfinite(at):
             raise ValueError("no pair of clusters has a distance")
         gone, kept = (i, j) if sizes[i] <= sizes[j] else (j, i)
@@ -70,6 +82,13 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
         whole[kept], whole[:, kept] = merged, merged
         heights[kept], alive[gone] = at, False
         sizes[kept] += sizes[gone]
+        below = np.arange(kept + 1, n)
+        closer = below[alive[below] & ((merged[below] < least[below]) | ((merged[below] == least[below]) & (first[below] > kept)))]
+        least[closer], first[closer] = merged[closer], kept
+        changed = np.isin(first, (kept, gone)) & alive
+        changed[closer] = False
+        changed[[kept, gone]] = True
+        look(np.flatnonzero(changed).tolist())
     return nodes[kept]
 
 
@@ -152,11 +171,16 @@ def clade_support(trees_by_rep: DataFrame, replicates: int) -> DataFrame:
     return own.join(counts, "clade", "left").select("clade", n.alias("n"), F.floor(100 * n / replicates + 0.5).cast("int").alias("support"))
 
 
-def supported_tree(dist: DataFrame, replicates: int, linkage: str = "complete") -> str:
-    """Newick of rep 0 with the support of the other replicates' trees."""
+def supported_tree(dist: DataFrame, replicates: int, linkage: str = "complete") -> DataFrame:
+    """(rep, newick) of rep 0 with the support of the other replicates' trees."""
+    dist = materialised(dist)
     support = {tuple(r["clade"]): r["n"] for r in clade_support(trees(dist, ["rep"], linkage), replicates).collect()}  # one row a clade, fewer than samples
-    root = cluster(*matrix_of(dist.where("rep = 0").select("i", "j", "name_i", "name_j", "dist").toPandas()), linkage)
-    return newick(annotate(root, support, replicates))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        root = annotate(cluster(*matrix_of(rows), linkage), support, replicates)
+        return pd.DataFrame({"rep": [0], "newick": [newick(root)]})
+
+    return dist.where("rep = 0").groupBy("rep").applyInPandas(run, "rep int, newick string")
 
 
 def cut(node: Node, height: float, min_size: int = 1) -> dict[int, list[str]]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +11,11 @@ from ..functions.numbers import stats_text
 from ..operators import distance, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..operators.shared import materialised
-from ..sources.embeddings import read_embeddings
-from ..sources.fasta import read_fasta
-from ..sources.matrix import matrix_lines, read_matrix
-from ..sources.text import read_lines
-from ..sources.vcf import Vcf, read_vcf
+from ..sources.embeddings import read_embeddings  # noqa: F401
+from ..sources.fasta import read_fasta  # noqa: F401
+from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix
+from ..sources.text import expand, read_lines
+from ..sources.vcf import Vcf, parse, read_head, read_vcf
 
 
 def vcf_distances(vcf: Vcf, replicates: int = 0, seed: int = 1) -> DataFrame:
@@ -85,10 +83,8 @@ def windowed_tree_lines(dist: DataFrame, samples: int, linkage: str = "complete"
 
 def individual_stats(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
     """Statistics of each individual of a VCF; lines of under ten columns are passed over."""
-    from ..sources.vcf import header, parse
-
-    lines = read_lines(spark, path)
-    samples = header(lines)
+    files = expand(spark, [path])
+    lines, samples = read_lines(spark, files), read_head(spark, files).samples
     wide = lines.where(F.size(F.split("value", "\t")) >= 10)
     return stats.individual_counts(stats.genotype_calls(parse(wide, samples), samples)), samples
 
@@ -109,16 +105,6 @@ def representatives(vcf: Vcf, height: float) -> list[str]:
     return [s for s in vcf.samples if s in kept]
 
 
-def matrix_tree(spark: SparkSession, path: str, linkage: str = "complete"):
-    """(tree, matrix, labels) of a matrix file."""
-    cells = read_matrix(spark, path).collect()  # one matrix, whose tree is sequential
-    n = math.isqrt(len(cells))
-    import numpy as np
-
-    m, names = np.zeros((n, n)), [""] * n
-    for r in cells:
-        m[r["i"], r["j"]], names[r["i"]] = r["dist"], r["name"]
-    return tree.cluster(m, names, linkage), m, names
-
-
-__all__ = ["Vcf", "VariantKey", "read_embeddings", "read_fasta", "read_vcf", *[n for n in dir() if n.endswith(("distances", "lines", "stats", "tree"))]]
+def matrix_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(rep 0, i, j, name_i, name_j, dist) of a matrix file."""
+    return matrix_pairs(read_matrix(spark, path)).select(F.lit(0).alias("rep"), "*")

@@ -39,8 +39,10 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """{"variants": [{"id", "embedding"}]} or {key: [numbers]}; one JSON text a file."""
-    text = spark.read.text(path, wholetext=True)
-    nested = text.where(F.col("value").contains('"variants"')).select(F.explode(F.from_json("value", "struct<variants:array<struct<id:string,embedding:array<double>>>>")["variants"]).alias("v")).select(F.col("v.id").alias("key"), F.col("v.embedding").alias("vec"))
-    flat = text.where(~F.col("value").contains('"variants"')).select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("key", "vec"))
-    return nested.unionByName(flat).where("key is not null and vec is not null").groupBy("key").agg(F.max_by("vec", F.size("vec")).alias("vec"))
+    """{"variants": [{"id", "embedding"}]} or {key: [numbers]}; one JSON text a file; the last entry of a key stays."""
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    is_nested = F.col("value").contains('"variants"')
+    entries = F.from_json("value", "struct<variants:array<struct<id:string,embedding:array<double>>>>")["variants"]
+    nested = text.where(is_nested).select("file", F.posexplode(entries).alias("place", "v")).select("file", "place", F.col("v.id").alias("key"), F.col("v.embedding").alias("vec"))
+    flat = text.where(~is_nested).select("file", F.posexplode(F.from_json("value", "map<string,array<double>>")).alias("place", "key", "vec"))
+    return nested.unionByName(flat).where("key is not null and vec is not null").groupBy("key").agg(F.max_by("vec", F.struct("file", "place")).alias("vec"))

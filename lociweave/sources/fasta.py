@@ -3,7 +3,8 @@
 A record begins at a line with > or @, its sequence goes on until the next record or, in FASTQ, the +
 line.  Records are found by a running count of headers; the count is made per split first and only
 the splits' totals are ordered globally, so no task sees all lines.  FASTQ quality lines are told from
-headers by the length of the sequence: quality text as long as the sequence belongs to the record.
+headers by the length of the sequence: what follows a record whose quality is too short is its quality,
+wherever splits begin.
 """
 
 from __future__ import annotations
@@ -12,24 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import clean_name, short_name
-from .text import ORDER, read_lines
-
-
-def _numbered(lines: DataFrame, flag) -> DataFrame:
-    """Adds rec: how many flagged lines there are up to a line, over all files in order."""
-    split = [F.col("ord.file").alias("file"), F.col("ord.block").alias("block"), F.expr("ord.line >> 33").alias("part")]
-    lines = lines.select("*", *split).withColumn("flag", flag.cast("long"))
-    within = Window.partitionBy("file", "block", "part").orderBy("ord.line").rowsBetween(Window.unboundedPreceding, 0)
-    totals = lines.groupBy("file", "block", "part").agg(F.sum("flag").alias("n"))
-    before = Window.orderBy("file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
-    totals = totals.select("file", "block", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return lines.withColumn("own", F.sum("flag").over(within)).join(F.broadcast(totals), ["file", "block", "part"]).withColumn("rec", F.col("own") + F.col("base"))
+from .text import ORDER, numbered, read_lines
 
 
 def read_fasta(spark: SparkSession, paths: list[str] | str, keep_quality: bool = False) -> DataFrame:
     """seq_id (1.. in order), short_name, name, seq and, if asked for, qual."""
     lines = read_lines(spark, paths).select(ORDER, F.trim("value").alias("value")).where("value <> ''")
-    marked = _numbered(lines, F.col("value").rlike("^[>@]")).where("rec > 0")
+    marked = numbered(lines, F.col("value").rlike("^[>@]")).where("rec > 0")
     records = marked.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct(ORDER, "value"))).alias("l")).select("rec", F.transform("l", lambda x: x["value"]).alias("l"))
     body = F.expr("slice(l, 2, size(l))")
     plus = F.array_position(F.transform(body, lambda x: x.startswith("+")), F.lit(True)).cast("int")
@@ -37,11 +27,13 @@ def read_fasta(spark: SparkSession, paths: list[str] | str, keep_quality: bool =
     seq = F.when(F.col("plus") > 0, F.expr("slice(body, 1, plus - 1)")).otherwise(F.col("body"))
     qual = F.when(F.col("plus") > 0, F.expr("slice(body, plus + 1, size(body))"))
     parts = parts.select("rec", "header", F.array_join(seq, "").alias("seq"), F.array_join(qual, "").alias("qual"))
-    # a quality line that begins with @ looks like a header: it is the rest of the record before it
-    order = Window.partitionBy(F.floor((F.col("rec") - 1) / 100_000)).orderBy("rec")
-    parts = parts.withColumn("short_of", F.lag("qual").over(order).isNotNull() & (F.length(F.lag("qual").over(order)) < F.length(F.lag("seq").over(order))))
-    parts = parts.withColumn("qual", F.when(F.lead("short_of").over(order), F.concat(F.coalesce("qual", F.lit("")), F.lead("header").over(order))).otherwise(F.col("qual")))
-    good = parts.where(~F.coalesce("short_of", F.lit(False)) & (F.length("header") > 1) & (F.col("seq") != ""))
+    # a quality line that begins with @ or > looks like a header: it is the rest of the record before it
+    short = parts.where(F.length("qual") < F.length("seq")).select((F.col("rec") + 1).alias("rec"))
+    moved = parts.select("rec", "header").join(short, "rec")
+    verdicts = moved.select("rec", F.lit(None).cast("string").alias("more"), F.lit(True).alias("gone")).union(moved.select(F.col("rec") - 1, "header", F.lit(False)))
+    parts = parts.join(verdicts.groupBy("rec").agg(F.max("more").alias("more"), F.max("gone").alias("gone")), "rec", "left")
+    parts = parts.withColumn("qual", F.when(F.col("more").isNotNull(), F.concat("qual", "more")).otherwise(F.col("qual")))
+    good = parts.where(~F.coalesce("gone", F.lit(False)) & (F.length("header") > 1) & (F.col("seq") != ""))
     ids = _dense_ids(good, "rec")
     return ids.select(F.col("dense").alias("seq_id"), short_name(F.col("header")).alias("short_name"), clean_name(F.col("header")).alias("name"), "seq", *[F.col("qual")] * keep_quality)
 

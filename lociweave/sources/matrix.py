@@ -6,26 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import distance_text
-from .text import ORDER, read_lines
+from .text import expand, head_lines, numbered, read_lines
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(i, name, j, dist); a cell that is no number is 1.0."""
-    lines = read_lines(spark, path).where("trim(value) <> ''")
-    head = lines.orderBy(ORDER).limit(1).first()
-    size = (head["value"].replace(",", " ").split() or [""])[0] if head else ""
+    """(i, name, j, dist); a cell that is no number is 1.0.  Rows are numbered by Spark and stay there."""
+    [path] = expand(spark, [path])
+    head = next((line for line in head_lines(spark, path) if line.strip()), "")
+    size = (head.replace(",", " ").split() or [""])[0]
     if not size.isdigit():
         raise ValueError("the first line of a matrix begins with its size; files of several windows can't be read as one matrix")
     n = int(size)
-    rows = lines.orderBy(ORDER).limit(n + 1).select("value").collect()[1:]  # a tree's input: its size is the header's
-    if len(rows) < n or any(len(r["value"].replace(",", " ").split()) < n + 1 for r in rows):
-        raise ValueError(f"a matrix of {n} needs {n} rows of a name and {n} numbers")
-    numbered = spark.createDataFrame([(i, r["value"]) for i, r in enumerate(rows)], "i int, value string")
+    lines = numbered(read_lines(spark, path).where("trim(value) <> ''"), F.lit(True))
     parts = F.split(F.trim("value"), r"[\s,]+")
-    cells = numbered.select("i", F.get(parts, F.lit(0)).alias("name"), F.posexplode(F.slice(parts, 2, n)).alias("j", "cell"))
+    rows = lines.select((F.col("rec") - 2).cast("int").alias("i"), parts.alias("parts")).where(F.col("i").between(0, n - 1))
+    found = rows.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("parts")).alias("least")).first()
+    if found["rows"] < n or (n and found["least"] < n + 1):
+        raise ValueError(f"a matrix of {n} needs {n} rows of a name and {n} numbers")
+    cells = rows.select("i", F.get("parts", F.lit(0)).alias("name"), F.posexplode(F.slice("parts", 2, n)).alias("j", "cell"))
     return cells.select("i", "name", "j", F.coalesce(F.col("cell").try_cast("double"), F.lit(1.0)).alias("dist"))
 
 
+def matrix_pairs(cells: DataFrame) -> DataFrame:
+    """(i, j, name_i, name_j, dist) for i <= j of a matrix's cells; the part below the diagonal counts."""
+    names = cells.where("i = j").select(F.col("i").alias("at"), F.col("name").alias("named"))
+    upper = cells.where("i >= j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("name").alias("name_j"), "dist")
+    return upper.join(names, upper.i == names.at).select("i", "j", F.col("named").alias("name_i"), "name_j", "dist")
+
+
 def matrix_lines(dist: DataFrame, head: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Text rows (by..., line_no, value) of symmetric matrices given as i <= j rows of name_i, name_j and dist."""
     by = by or []

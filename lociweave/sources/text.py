@@ -12,9 +12,11 @@ import sys
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import shared_folder
+
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
 _OPENERS = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}
 _BY_SUFFIX = {"gzip": ".gz", "bzip2": ".bz2"}
@@ -42,18 +44,59 @@ def expand(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _spool(spark: SparkSession) -> str:
-    """Standard input as a file; in the shared folder if one is named, as executors must read it."""
+    """Standard input as a file of the shared folder, as executors must read it."""
     handle, name = tempfile.mkstemp(prefix="stdin-")
     with os.fdopen(handle, "wb") as f:
         shutil.copyfileobj(sys.stdin.buffer, f)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return name
-    target, fs = _path(spark, f"{shared.rstrip('/')}/{os.path.basename(name)}")
-    fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(name), target)
+    target, fs = _path(spark, f"{shared_folder(spark)}/{os.path.basename(name)}")
+    fs.moveFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(name), target)
     return target.toString()
 
 
+class _HadoopFile(io.RawIOBase):
+    """Bytes of a file of any file system that Spark reads, from its beginning."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        p, fs = _path(spark, path)
+        self.stream = fs.open(p)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.readNBytes(min(len(buffer), 1 << 16))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def close(self):
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+def head_lines(spark: SparkSession, path: str):
+    """The lines of a file from its first, decompressed; only as much is read as is asked for."""
+    kind = compression(spark, path)
+    with _HadoopFile(spark, path) as raw, io.BufferedReader(raw, 1 << 16) as plain:
+        opened = _OPENERS[kind](plain, "rb") if kind else plain
+        for line in opened:
+            yield line.rstrip(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+
+
+def numbered(lines: DataFrame, flag) -> DataFrame:
+    """Adds rec: how many flagged lines there are up to a line, over all files in order.
+
+    Lines are counted within their splits; only one row of totals for each split is ordered globally.
+    """
+    split = [F.col("ord.file").alias("file"), F.col("ord.block").alias("block"), F.expr("ord.line >> 33").alias("part")]
+    lines = lines.select("*", *split).withColumn("flag", flag.cast("long"))
+    within = Window.partitionBy("file", "block", "part").orderBy("ord.line").rowsBetween(Window.unboundedPreceding, 0)
+    totals = lines.groupBy("file", "block", "part").agg(F.sum("flag").alias("n"))
+    before = Window.orderBy("file", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("file", "block", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return lines.withColumn("own", F.sum("flag").over(within)).join(F.broadcast(totals), ["file", "block", "part"]).withColumn("rec", F.col("own") + F.col("base"))
+
+
 def compression(spark: SparkSession, path: str) -> str | None:
     """gzip, bzip2 or xz by the first bytes, whatever the name says."""
     p, fs = _path(spark, path)

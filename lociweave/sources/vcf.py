@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
-from .text import ORDER, read_lines
+from .text import ORDER, expand, head_lines, read_lines
 
 FIXED = 9
 INFER_SAMPLES = 8
@@ -28,22 +28,36 @@ class Vcf:
     max_alleles: int
 
 
-def header(lines: DataFrame) -> list[str]:
-    """Sample names; all files must agree on them."""
-    heads = [r[0] for r in lines.where(F.col("value").startswith("#CHROM")).select("value").distinct().limit(2).collect()]
-    if not heads:
-        raise ValueError("no #CHROM header line")
-    samples = heads[0].split("\t")[FIXED:]
-    if not samples:
-        raise ValueError("no samples in the header")
-    if len(heads) > 1:
-        raise ValueError("the files have different headers")
-    return samples
-
+@dataclass(frozen=True)
+class Head:
+    """What stands before the data: ## lines, sample names and the first data line, if there is one."""
 
-def comments(lines: DataFrame) -> DataFrame:
-    """The ## lines."""
-    return lines.where(F.col("value").startswith("##"))
+    comments: list[str]
+    samples: list[str]
+    first: str | None
+
+
+def read_head(spark: SparkSession, files: list[str]) -> Head:
+    """From the beginnings of the files, which must agree on the samples; no job runs."""
+    comments, samples, first = [], None, None
+    for file in files:
+        own = None
+        for line in head_lines(spark, file):
+            if line.startswith("##"):
+                comments.append(line)
+            elif line.startswith("#CHROM"):
+                own = line.split("\t")[FIXED:]
+            elif not line.startswith("#") and (own is not None or line.strip()):
+                first = line if first is None else first
+                break
+        if own is None:
+            raise ValueError("no #CHROM header line")
+        if not own:
+            raise ValueError("no samples in the header")
+        if samples not in (None, own):
+            raise ValueError("the files have different headers")
+        samples = own
+    return Head(comments, samples or [], first)
 
 
 def parse(lines: DataFrame, samples: list[str]) -> DataFrame:
@@ -58,22 +72,63 @@ def parse(lines: DataFrame, samples: list[str]) -> DataFrame:
     return data.select(ORDER, *[at(k).try_cast("int").alias(n) if n == "pos" else at(k).alias(n) for k, n in enumerate(names)], padded.alias("gts"))
 
 
-def infer_shape(variants: DataFrame) -> tuple[int, int]:
+def infer_shape(gts: list[str | None] | None) -> tuple[int, int]:
     """(ploidy, number of alleles) from the first line's first samples, missing ones skipped."""
-    first = variants.orderBy(ORDER).select("gts").limit(1).first()
-    tokens = [g.replace("|", "/").split("/") for g in ((first and first["gts"]) or [])[:INFER_SAMPLES] if g and "." not in g]
+    tokens = [g.replace("|", "/").split("/") for g in (gts or [])[:INFER_SAMPLES] if g and "." not in g]
     numbers = [int(a) for t in tokens for a in t if a.isdigit()]
     if not tokens or not numbers:
         raise ValueError("ploidy and alleles can't be inferred from the first line")
     return max(map(len, tokens)), max(numbers) + 1
 
 
+def _first_gts(line: str | None) -> list[str | None]:
+    fields = (line or "").split("\t")
+    names = fields[8].split(":") if len(fields) > FIXED else []
+    if "GT" not in names:
+        return []
+    at = names.index("GT")
+    return [dict(enumerate(f.split(":"))).get(at) for f in fields[FIXED : FIXED + INFER_SAMPLES]]
+
+
 def read_vcf(spark: SparkSession, paths: list[str] | str, ploidy: int | None = None, max_alleles: int | None = None, transform=None) -> Vcf:
     """Files in order; `transform` maps the lines' DataFrame before it is parsed."""
-    lines = read_lines(spark, paths)
-    samples = header(lines)
-    variants = parse(transform(lines) if transform else lines, samples)
+    files = expand(spark, [paths] if isinstance(paths, str) else list(paths))
+    head, lines = read_head(spark, files), read_lines(spark, files)
+    variants = parse(transform(lines) if transform else lines, head.samples)
     if ploidy is None or max_alleles is None:
-        found = infer_shape(variants)
+        if transform:
+            first = variants.orderBy(ORDER).select("gts").limit(1).first()
+            found = infer_shape(first and first["gts"])
+        else:
+            found = infer_shape(_first_gts(head.first))
         ploidy, max_alleles = ploidy or found[0], max_alleles or found[1]
-    return Vcf(variants, samples, ploidy, max_alleles)
+    return Vcf(variants, head.samples, ploidy, max_alleles)
+
+
+def kept_lines(spark: SparkSession, paths: list[str] | str, keep: list[str], ignore_hets: bool = False) -> DataFrame:
+    """(kind, ord, value): the ## lines, the header and the data lines with the listed samples only.
+
+    All fields stay as they are, but a sample without two called alleles, or with two different ones if
+    hets are ignored, becomes ./. .
+    """
+    files = expand(spark, [paths] if isinstance(paths, str) else list(paths))
+    head = read_head(spark, files)
+    wanted = [k for k, s in enumerate(head.samples) if s in set(keep)]
+    f = F.split("value", "\t")
+    gt = G.gt_field(F.get(f, F.lit(8)))
+
+    def clean(sample):
+        called = G.sample_gt(sample, gt)
+        bad = G.is_missing(called) | (F.size(G.alleles(called)) != 2)
+        if ignore_hets:
+            bad = bad | (F.size(F.array_distinct(G.alleles(called))) > 1)
+        return F.when(F.coalesce(bad, F.lit(True)), "./.").otherwise(sample)
+
+    samples = F.transform(F.array(*[F.get(f, F.lit(FIXED + k)) for k in wanted]).cast("array<string>"), clean)
+    data = read_lines(spark, files).where(~F.col("value").startswith("#") & (F.size(f) > FIXED))
+    body = data.select(F.lit(2).alias("kind"), ORDER, F.concat_ws("\t", F.concat_ws("\t", F.slice(f, 1, FIXED)), samples).alias("value"))
+    names = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(head.samples[k] for k in wanted)]
+    tops = spark.createDataFrame([(0, k, c) for k, c in enumerate(head.comments)] + [(1, 0, "\t".join(names))], "kind int, n long, value string")
+    zero = F.lit(0)
+    order = F.struct(zero.cast("int").alias("file"), zero.cast("long").alias("block"), F.col("n").alias("line"))
+    return tops.select("kind", order.alias(ORDER), "value").unionByName(body)

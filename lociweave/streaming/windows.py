@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -60,7 +61,7 @@ def stream_variant_windows(variants: DataFrame, policy: WindowPolicy, samples: i
                 if n == 0:
                     start = pos // size * size if policy.mode == "bp" else pos
                     end = start + size
-                hot = _one_hot([gts], samples, ploidy, max_alleles)[0]
+                hot = _one_hot(pa.array([gts], pa.list_(pa.string())), samples, ploidy, max_alleles)[0]
                 total = total + (hot @ hot.T).astype(np.int64)
                 last, n = pos, n + 1
         state.update((start, end, last, n, total.ravel().tolist()))

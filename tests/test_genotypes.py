@@ -10,6 +10,7 @@ from lociweave.functions import genotype as G
 from lociweave.operators import bootstrap, distance, stats, tree, windows
 from lociweave.plans import commands as C
 from lociweave.sources.text import read_lines
+from lociweave.sources.vcf import kept_lines
 
 HEAD = "##fileformat=VCFv4.2\n##contig=<ID=chr1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n"
 GTS = [["0/0", "0/1", "1/1"], ["0/1", "1/1", "0/0"], ["1/1", "0/0", "0/1"], ["0/0", "1/1", "0/1"], ["1/1", "0/1", "0/0"]]
@@ -160,7 +161,7 @@ def test_bootstrap_weights(spark):
 
 def test_bootstrap_tree(spark, vcf_path):
     vcf = C.read_vcf(spark, vcf_path)
-    text = tree.supported_tree(C.vcf_distances(vcf, replicates=10), 10)
+    text = tree.supported_tree(C.vcf_distances(vcf, replicates=10), 10).first()["newick"]
     assert text.startswith("((s2:0.6,s3:0.6)") and text.endswith(":0.1,s1:0.7);")
 
 
@@ -218,6 +219,34 @@ def test_keep_samples(spark):
     assert names == ["a", "c"] and rows.first()["gts"] == ["./.", "./."]
 
 
+def test_filtered_file_keeps_everything_else(spark, tmp_path):
+    (tmp_path / "a").write_text(vcf_text([("c", 1), ("c", 2), ("c", 3)], [["1:0/1:x", "2:1/1:y", "3:0/0:z"], ["1:./.:x", "2:1:y", "4"], ["9:1|1:q", "8:0/1:r", "7:1/0:s"]], "DP:GT:XX"))
+    lines = lambda hets: [r["value"] for r in kept_lines(spark, str(tmp_path / "a"), ["s3", "s1", "other"], hets).orderBy("kind", "ord").collect()]
+    head = ["##fileformat=VCFv4.2", "##contig=<ID=chr1>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts3"]
+    rest = "\t.\tA\tT\t.\tPASS\t.\tDP:GT:XX\t"
+    assert lines(False) == [*head, f"c\t1{rest}1:0/1:x\t3:0/0:z", f"c\t2{rest}./.\t./.", f"c\t3{rest}9:1|1:q\t7:1/0:s"]
+    assert lines(True) == [*head, f"c\t1{rest}./.\t3:0/0:z", f"c\t2{rest}./.\t./.", f"c\t3{rest}9:1|1:q\t./."]
+
+
+def test_parts_of_samples_and_replicates_give_the_same_sums(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, [f"{rng.integers(2)}/{rng.integers(2)}" for _ in range(6)]) for k in range(40)], "ord int, gts array<string>").repartition(3)
+    found = []
+    for size in (1 << 20, 8 * 6 * 2):
+        monkeypatch.setattr(distance, "BLOCK_BYTES", size)
+        found.append({(r["rep"], r["i"]): r["dots"] for r in distance.block_counts(df, 6, 2, 2, replicates=3).collect()})
+    assert len(distance.passes(6, 3)) == 12 and len(found[0]) == 24 and found[0] == found[1]
+
+
+def test_json_embeddings_last_wins_and_widths(spark, tmp_path, vcf_path):
+    for k, text in enumerate(('{"variants":[{"id":"a","embedding":[1,2.5]},{"id":"a","embedding":[3]},{"id":"b","embedding":[7]}]}', '{"a":[1,2.5],"a":[3],"b":[7]}')):
+        (tmp_path / f"{k}.json").write_text(text)
+        assert sorted(tuple(r) for r in C.read_embeddings(spark, str(tmp_path / f"{k}.json")).collect()) == [("a", [3.0]), ("b", [7.0])]
+    mixed = spark.createDataFrame([("chr1:100:A:T", [1.0]), ("chr1:200:A:T", [1.0, 2.0])], "key string, vec array<double>")
+    with pytest.raises(ValueError):
+        C.embedding_distances(C.read_vcf(spark, vcf_path), mixed)
+
+
 def test_dosage_and_keys(spark):
     df = spark.createDataFrame([("0/1",), ("1|1",), ("./1",), ("x/1",), ("1/2/0",), (None,)], "g string")
     assert [r[0] for r in df.select(G.dosage(F.col("g"))).collect()] == [1, 2, None, None, 2, None]

@@ -74,6 +74,14 @@ def test_records(spark, tmp_path, text, want):
     assert [r["seq_id"] for r in rows] == list(range(1, len(want) + 1))
 
 
+def test_quality_at_the_edge_of_100_000_records(spark, tmp_path):
+    n = 100_002
+    (tmp_path / "a.fq").write_text("".join(f"@r{k}\nACGT\n+\n{'@III' if k % 50_000 < 3 else '>III' if k == n - 1 else 'IIII'}\n" for k in range(n)))
+    rows = C.read_fasta(spark, str(tmp_path / "a.fq"), keep_quality=True)
+    assert rows.count() == n and rows.where("length(qual) <> 4 or seq <> 'ACGT' or short_name <> concat('r', seq_id - 1)").count() == 0
+    assert rows.where("startswith(qual, '@')").count() == 8
+
+
 def test_gzip_and_two_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(gzip.compress(b">a1\nACGT\n"))
     (tmp_path / "b").write_text(">b1\nAA\n>b2 more words\nCC\n")
