@@ -1,18 +1,22 @@
 """k-mer profiles and D2 statistics.
 
 Sequences are rows of (seq_id, seq).  Counts of the forward strand are aggregated first and only then
-mirrored, so the reverse strand costs one row more for each distinct k-mer.  D2S needs the shared k-mers of a pair only: what
-one side has alone enters through its total, so no outer join over all k-mers is made.
+mirrored, so the reverse strand costs one row more for each distinct k-mer.  Pairs of sequences are
+measured by blocks: no join on a k-mer, which all sequences may have.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from .distance import all_pairs
 
+#: sequences and rows of profiles of a block, about, and k-mers of a matrix
+BLOCK_SEQUENCES, BLOCK_ROWS, CHUNK_KMERS = 64, 1 << 18, 1 << 12
 BASES = ("A", "T", "C", "G")
 
 
@@ -51,57 +55,66 @@ def probabilities(counts: DataFrame, by: str = "seq_id", normalise: bool = False
     return out
 
 
-def _shared(profiles: DataFrame, by: str, x) -> DataFrame:
-    """(i, j, kmer, x_i, x_j, ...) of the k-mers that two sequences share, i <= j."""
-    own = profiles.select(F.col(by), "kmer", *x)
-    names = [c for c in own.columns if c not in (by, "kmer")]
-    a = own.select(F.col(by).alias("i"), "kmer", *[F.col(c).alias(f"{c}_i") for c in names])
-    b = own.select(F.col(by).alias("j"), "kmer", *[F.col(c).alias(f"{c}_j") for c in names])
-    return a.join(b, "kmer").where("i <= j")
-
-
-def _pairs(profiles: DataFrame, by: str, sums: DataFrame) -> DataFrame:
-    """Every i <= j of sequences with a k-mer, with s_i and s_j; all pairs are the result's rows."""
-    pairs = all_pairs(sums.select(by, "s"), by)
-    return pairs.select(F.col(f"{by}_i").alias("i"), F.col(f"{by}_j").alias("j"), "s_i", "s_j")
-
-
-def _clamped(similarity, norms):
-    """0.5 (1 - similarity), 0 where a norm is 0 and where it is tiny or negative."""
-    dist = F.when(norms, F.lit(0.0)).otherwise(0.5 * (1 - similarity))
-    return F.when((F.abs(dist) < 1e-15) | (dist < 0), F.lit(0.0)).otherwise(dist)
+def _d2(profiles: DataFrame, by: str, star: bool) -> DataFrame:
+    """(i, j, dist) for i <= j: sequences are dealt into blocks, and a task holds the profiles of two of them.
+
+    Every profile is sent once for each block; k-mers that all sequences share cost no more than others.
+    """
+    kind = profiles.schema[by].dataType
+    size = profiles.agg(F.count_distinct(by).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_SEQUENCES), -(-size["rows"] // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")
+    c, e = F.col("cnt") - F.col("total") * F.col("prob"), F.sqrt(F.col("total") * F.col("prob"))
+    rows = profiles.select(F.col(by).alias("seq"), "kmer", c.cast("double").alias("c"), e.cast("double").alias("e"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.select("seq", "kmer", "c", "e", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    floor = lambda x: np.where(x < 1e-15, 1.0, x)
+
+    def measure(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        coded = {x: table.column(x).combine_chunks().dictionary_encode() for x in ("seq", "kmer")}
+        seqs = coded["seq"].dictionary
+        seq, kmer = (coded[x].indices.to_numpy().astype(np.int64) for x in ("seq", "kmer"))
+        values = {x: table.column(x).to_numpy() for x in ("c", "e")}
+        block = np.zeros(len(seqs), np.int64)
+        block[seq] = table.column("own").to_numpy()
+        d, nx, ny = (np.zeros((len(seqs), len(seqs))) for _ in range(3))
+        order = np.argsort(kmer, kind="stable")
+        cuts = np.searchsorted(kmer[order], np.arange(0, len(coded["kmer"].dictionary) + CHUNK_KMERS, CHUNK_KMERS))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            wide = {x: np.zeros((len(seqs), CHUNK_KMERS)) for x in values}
+            for x, v in values.items():
+                wide[x][seq[at], kmer[at] % CHUNK_KMERS] = v[at]
+            for i in np.flatnonzero(block == a).tolist():
+                js = np.flatnonzero(block == b)
+                ci, cj = wide["c"][i], wide["c"][js]
+                q = floor(wide["e"][i] * wide["e"][js]) if star else floor(np.sqrt(ci * ci + cj * cj))
+                d[i, js] += (ci * cj / q).sum(axis=1)
+                nx[i, js] += (ci * ci / (floor(wide["e"][i] ** 2) if star else q)).sum(axis=-1)
+                ny[i, js] += (cj * cj / (floor(wide["e"][js] ** 2) if star else q)).sum(axis=1)
+        norm = np.sqrt(nx) * np.sqrt(ny)
+        dist = np.where(norm == 0, 0.0, 0.5 * (1 - d / np.where(norm == 0, 1.0, norm)))
+        dist[(np.abs(dist) < 1e-15) | (dist < 0)] = 0.0
+        np.fill_diagonal(dist, 0.0)
+        wanted = (block == a)[:, None] & (block == b)[None, :]
+        if a == b:
+            rank = np.argsort(pc.sort_indices(seqs).to_numpy())
+            wanted &= rank[:, None] <= rank[None, :]
+        i, j = np.nonzero(wanted)
+        return pa.table({"i": seqs.take(pa.array(i)), "j": seqs.take(pa.array(j)), "dist": dist[i, j]})
+
+    found = rows.groupBy("a", "b").applyInArrow(measure, f"i {kind.simpleString()}, j {kind.simpleString()}, dist double")
+    return found.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist")
 
 
 def d2s(profiles: DataFrame, by: str = "seq_id") -> DataFrame:
-    """(i, j, dist) for i <= j from profiles with cnt, total and prob."""
-    c = (F.col("cnt") - F.col("total") * F.col("prob")).alias("c")
-    shared = _shared(profiles, by, [c])
-    q = F.sqrt(F.col("c_i") * F.col("c_i") + F.col("c_j") * F.col("c_j"))
-    q = F.when(q < 1e-15, F.lit(1.0)).otherwise(q)
-    sums = shared.withColumn("q", q).groupBy("i", "j").agg(
-        F.sum(F.col("c_i") * F.col("c_j") / F.col("q")).alias("d"),
-        *[F.sum(F.col(f"c_{x}") * F.col(f"c_{x}") / F.col("q") - F.abs(f"c_{x}")).alias(f"n_{x}") for x in ("i", "j")],
-    )
-    alone = profiles.groupBy(by).agg(F.sum(F.abs(F.col("cnt") - F.col("total") * F.col("prob"))).alias("s"))
-    full = _pairs(profiles, by, alone).join(sums, ["i", "j"], "left")
-    norm = {x: F.sqrt(F.greatest(F.col(f"s_{x}") + F.coalesce(f"n_{x}", F.lit(0.0)), F.lit(0.0))) for x in ("i", "j")}
-    similarity = F.coalesce("d", F.lit(0.0)) / (norm["i"] * norm["j"])
-    dist = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(_clamped(similarity, (norm["i"] == 0) | (norm["j"] == 0)))
-    return full.select("i", "j", dist.alias("dist"))
+    """(i, j, dist) for i <= j from profiles with cnt, total and prob: terms over sqrt(cx cx + cy cy)."""
+    return _d2(profiles, by, star=False)
 
 
 def d2star(profiles: DataFrame, by: str = "seq_id") -> DataFrame:
     """(i, j, dist): D2* with denominators sqrt(Nx px) sqrt(Ny py)."""
-    c, e = (F.col("cnt") - F.col("total") * F.col("prob")).alias("c"), F.sqrt(F.col("total") * F.col("prob")).alias("e")
-    floor = lambda x: F.when(x < 1e-15, F.lit(1.0)).otherwise(x)
-    shared = _shared(profiles, by, [c, e])
-    sums = shared.groupBy("i", "j").agg(F.sum(F.col("c_i") * F.col("c_j") / floor(F.col("e_i") * F.col("e_j"))).alias("d"))
-    own = profiles.select(by, "kmer", c, e)
-    alone = own.groupBy(by).agg(F.sum(F.col("c") * F.col("c") / floor(F.col("e") * F.col("e"))).alias("s"))
-    full = _pairs(profiles, by, alone).join(sums, ["i", "j"], "left")
-    norm = F.sqrt("s_i") * F.sqrt("s_j")
-    dist = F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(_clamped(F.coalesce("d", F.lit(0.0)) / norm, norm == 0))
-    return full.select("i", "j", dist.alias("dist"))
+    return _d2(profiles, by, star=True)
 
 
 def ranks(counts: DataFrame, by: str = "seq_id") -> DataFrame:

@@ -11,13 +11,13 @@ from .text import expand, head_lines, numbered, read_lines
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, name, j, dist); a cell that is no number is 1.0.  Rows are numbered by Spark and stay there."""
-    [path] = expand(spark, [path])
-    head = next((line for line in head_lines(spark, path) if line.strip()), "")
+    files = expand(spark, [path])
+    head = next((line for file in files for line in head_lines(spark, file) if line.strip()), "")
     size = (head.replace(",", " ").split() or [""])[0]
     if not size.isdigit():
         raise ValueError("the first line of a matrix begins with its size; files of several windows can't be read as one matrix")
     n = int(size)
-    lines = numbered(read_lines(spark, path).where("trim(value) <> ''"), F.lit(True))
+    lines = numbered(read_lines(spark, files).where("trim(value) <> ''"), F.lit(True))
     parts = F.split(F.trim("value"), r"[\s,]+")
     rows = lines.select((F.col("rec") - 2).cast("int").alias("i"), parts.alias("parts")).where(F.col("i").between(0, n - 1))
     found = rows.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size("parts")).alias("least")).first()

@@ -30,14 +30,14 @@ def _path(spark: SparkSession, path: str):
 
 
 def expand(spark: SparkSession, paths: list[str]) -> list[str]:
-    """A directory becomes its files (not those below), in order of name; - spools standard input."""
+    """A directory becomes its files (not those below, none that Spark takes for hidden), in order of name; - spools standard input."""
     out = []
     for path in paths:
         if path == "-":
             path = _spool(spark)
         p, fs = _path(spark, path)
         if fs.getFileStatus(p).isDirectory():
-            out += sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile())
+            out += sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
         else:
             out.append(fs.makeQualified(p).toString())
     return out

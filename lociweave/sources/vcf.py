@@ -38,7 +38,7 @@ class Head:
 
 
 def read_head(spark: SparkSession, files: list[str]) -> Head:
-    """From the beginnings of the files, which must agree on the samples; no job runs."""
+    """From the beginnings of the files, no job runs.  The first must have a header; others may, with the same samples."""
     comments, samples, first = [], None, None
     for file in files:
         own = None
@@ -50,13 +50,13 @@ def read_head(spark: SparkSession, files: list[str]) -> Head:
             elif not line.startswith("#") and (own is not None or line.strip()):
                 first = line if first is None else first
                 break
-        if own is None:
+        if own is None and samples is None:
             raise ValueError("no #CHROM header line")
-        if not own:
+        if own == []:
             raise ValueError("no samples in the header")
-        if samples not in (None, own):
+        if own and samples not in (None, own):
             raise ValueError("the files have different headers")
-        samples = own
+        samples = own or samples
     return Head(comments, samples or [], first)
 
 
