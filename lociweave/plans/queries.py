@@ -6,18 +6,17 @@ of texts for bases.  SQL uses the plain formulas, not the operators' plan shapes
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
+from ..functions import numbers
 from ..functions import sequence as S
 from ..operators import bootstrap, distance, dynamic_cut, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
-from ..operators.shared import materialised
+from ..operators.shared import materialised, shared_folder
 from ..sources.matrix import matrix_lines
 from ..streaming import windows as streams
 
@@ -165,17 +164,53 @@ def variant_windows(spark, sf_dir):
     return windows.bounds(windows.assign(_positions(spark, sf_dir), policy), policy).select("chrom", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "n")
 
 
-def stream_tiles(spark, sf_dir):
-    """Hourly tiles by Structured Streaming over all events; the batch result is written and read again."""
+def unsorted_tiles(spark, sf_dir):
+    """Tiles of events in the order of their numbers, not of time: a tile that is left and entered again counts twice."""
+    policy = windows.WindowPolicy("bp", 3600)
+    rows = _positions(spark, sf_dir).withColumn("ord", F.struct((F.col("ord.event_id") % 1009).alias("a"), F.col("ord.event_id").alias("event_id")))
+    return windows.bounds(windows.assign(rows, policy), policy).groupBy("chrom", "start", "n").agg(F.count(F.lit(1)).alias("times")).select("chrom", F.col("start").cast("bigint").alias("start"), "n", "times")
+
+
+def arrival_tiles(spark, sf_dir):
+    """Windows of all events in one order: every change of type closes one."""
+    policy = windows.WindowPolicy("variants", 3)
+    found = windows.bounds(windows.assign(_positions(spark, sf_dir), policy, contigs_together=False), policy)
+    return found.groupBy("chrom", "n").agg(F.count(F.lit(1)).alias("times"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
+def _streamed(spark, sf_dir, run, mode: str) -> DataFrame:
+    """Rows of a stream over all events, with the number of the batch that told them; batches are written and read again."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lociweave-streams")
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    tiles = streams.stream_tiles(events, "1 hour")
-    query = tiles.writeStream.outputMode("complete").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
-    query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/out")).start().awaitTermination()
-    return spark.read.parquet(f"{home}/out").select(F.col("event_type").alias("chrom"), F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = run(events).writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    query.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{home}/out/batch={n}")).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out")
+
+
+def _tiles(spark, sf_dir, *args) -> DataFrame:
+    """What updates told last of each tile; the watermark lets closed tiles leave the state."""
+    told = _streamed(spark, sf_dir, lambda events: streams.stream_tiles(events, *args), "update")
+    last = told.groupBy(F.col("event_type").alias("chrom"), "start").agg(F.max_by(F.struct("end", "n", "total"), "batch").alias("last"))
+    return last.select("chrom", "start", "last.end", "last.n", "last.total")
+
+
+def stream_tiles(spark, sf_dir):
+    """Hourly tiles by Structured Streaming over all events."""
+    return _tiles(spark, sf_dir, "1 hour").select("chrom", F.unix_seconds("start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+def stream_sliding(spark, sf_dir):
+    """Tiles of two hours that begin every hour."""
+    return _tiles(spark, sf_dir, "2 hours", "1 hour").select("chrom", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"), "n")
+
+
+def stream_sessions(spark, sf_dir):
+    """Sessions of users that end after half an hour without events; the last batch tells all, open ones too."""
+    told = _streamed(spark, sf_dir, lambda events: streams.stream_sessions(events, "30 minutes"), "complete")
+    last = told.agg(F.max("batch").alias("batch"))
+    return told.join(F.broadcast(last), "batch").select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
 # ---- embeddings ------------------------------------------------------------
@@ -329,7 +364,7 @@ def _dist(spark, sf_dir, replicates: int = 0) -> DataFrame:
 
 def genotype_trees(spark, sf_dir):
     """Newick of each linkage."""
-    dist, out = _dist(spark, sf_dir), None
+    dist, out = materialised(_dist(spark, sf_dir)), None
     for linkage in tree.LINKAGES:
         one = tree.trees(dist, ["rep"], linkage).select(F.lit(linkage).alias("linkage"), "newick")
         out = one if out is None else out.unionByName(one)
@@ -363,12 +398,78 @@ def matrix_text(spark, sf_dir):
 
 def bootstrap_weights(spark, sf_dir):
     """Sums and sums of squares of 10 replicates' weights over all order lines."""
-    li = _t(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("v"))
+    li = _t(spark, sf_dir, "lineitem").select(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("v"))
     w = li.select(F.posexplode(bootstrap.poisson_weights(F.col("v"), 10, 1)).alias("rep", "w"))
     return w.groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights)
+def bootstrap_distances(spark, sf_dir):
+    """Distances of the whole and of three replicates, each of which weighs the variants anew."""
+    counts = distance.block_counts(_wide(_genotypes(spark, sf_dir)), SAMPLES, 2, ALLELES, replicates=3)
+    return _rounded(distance.block_distances(counts, _names()), "rep")
+
+
+# ---- other functions --------------------------------------------------------
+
+
+def reordered_distances(spark, sf_dir):
+    """Distances in the order of a tree's leaves."""
+    leaves = ",".join(f"S{k} :1" for k in reversed(range(SAMPLES)))
+    dist = tree.reordered(_dist(spark, sf_dir), f"({leaves});")
+    return _rounded(dist.select("*", F.col("i").alias("place_i"), F.col("j").alias("place_j")), "place_i", "place_j")
+
+
+def kmer_prob_normalised(spark, sf_dir):
+    """Probabilities of the k-mers as unit vectors."""
+    found = kmers.probabilities(materialised(kmers.count_both(_sequences(spark, sf_dir, "source"), K)), normalise=True)
+    return found.select(F.col("seq_id").alias("source"), "kmer", F.round("prob", 9).alias("prob"))
+
+
+def profile_norms(spark, sf_dir):
+    """The sources' profiles added up to one, as a unit vector."""
+    parts = kmers.count_forward(_sequences(spark, sf_dir, "source"), K)
+    added = kmers.add_profiles(parts.select(F.lit("all").alias("grp"), "kmer", "cnt"), "grp")
+    weights = added.select("grp", S.encode_kmer(F.col("kmer")).alias("code"), F.col("cnt").cast("double").alias("weight"))
+    return kmers.vector_norm(weights, "grp").select("code", F.round("weight", 9).alias("weight"))
+
+
+def poisson_posterior(spark, sf_dir):
+    """For each customer, how likely its number of orders is under the mean number of each market segment."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    n = c.join(o.groupBy(F.col("o_custkey").alias("c_custkey")).count(), "c_custkey", "left").select("c_custkey", "c_nationkey", F.coalesce("count", F.lit(0)).alias("n"))
+    nation = n.groupBy("c_nationkey").agg(F.max("n").alias("n"))
+    rates = n.groupBy((F.col("c_nationkey") % 5).alias("cluster")).agg(F.avg("n").alias("rate"))
+    each = nation.select(F.col("c_nationkey").alias("nation"), "n", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("cluster")).join(rates, "cluster")
+    return kmers.poisson_posterior(each.select("nation", "cluster", "n", "rate"), "nation").select("nation", F.col("cluster").cast("int").alias("cluster"), F.round("posterior", 6).alias("posterior"))
+
+
+def number_texts(spark, sf_dir):
+    """Number formats and small functions over all order lines."""
+    li = _t(spark, sf_dir, "lineitem")
+    x = F.col("l_discount") / (F.col("l_quantity") + 1)
+    rounded = numbers.round_half_away((F.col("l_quantity") - 25) / 4)
+    log = F.round(numbers.log_poisson(F.col("l_quantity") + 1, F.col("l_linenumber")), 6)
+    return li.select("l_orderkey", "l_linenumber", numbers.distance_text(x).alias("dist"), numbers.stats_text(x).alias("stat"), rounded.alias("rounded"), F.round(numbers.similarity_to_distance(F.col("l_discount")), 6).alias("apart"), log.alias("log_p"))
+
+
+def shared_alleles(spark, sf_dir):
+    """Number of calls that neighbouring samples share, by sets of bits."""
+    wide = _wide(_genotypes(spark, sf_dir))
+    bits = lambda k: G.one_hot_bits(F.coalesce(F.get("gts", k), F.lit("./.")), 2, ALLELES)
+    pairs = wide.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 2)), lambda k: F.struct(k.alias("sample"), G.shared_bits(bits(k), bits(k + 1)).alias("shared")))).alias("p"))
+    return pairs.groupBy("p.sample").agg(F.sum("p.shared").alias("shared"))
+
+
+def packed_texts(spark, sf_dir):
+    """Texts split at their first +, and packed in two bytes a character and back."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = F.concat("text", F.lit("+"), F.reverse("text"))
+    seq, qual = S.split_quality(joined)
+    packed = S.packed_text(F.col("text"))
+    return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
+
+
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:
@@ -379,6 +480,19 @@ _SQL_POS = "SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos,
 _SQL_GT = "SELECT l_returnflag, CASE l_linenumber WHEN 5 THEN '.' WHEN 6 THEN 'x' ELSE CAST(l_linenumber % 3 AS VARCHAR) END AS a, CAST(CAST(floor(l_quantity) AS INT) % 2 AS VARCHAR) AS b FROM lineitem"
 _KEPT = ", ".join(f"coalesce(max(CASE WHEN s = {k} AND a0 = a1 THEN a0 || '/' || a1 END), './.') AS s{k}" for k in (1, 3, 8))
 
+_SQL_TEXT = "regexp_replace(regexp_replace(printf('%.7f', {x}), '0+$', ''), '\\.$', '')"
+_SQL_SHARE = "l_discount / (l_quantity + 1)"
+
+
+def _sql_weights(variant: str, replicates: int, source: str) -> str:
+    """w(key columns..., rep, w): Poisson weights by two numbers of a variant's digest."""
+    number = lambda at: f"CAST('0x' || substr(md5('1|' || {variant}), {at}, 12) AS BIGINT) % {bootstrap.PRIME}"
+    weight = " + ".join(f"(u >= {b})::INT" for b in bootstrap.CUMULATIVE)
+    return f"""h AS (SELECT *, {number(1)} AS ha, {number(13)} AS hb FROM {source}),
+u AS (SELECT *, (ha + rep * hb) % {bootstrap.PRIME} AS u FROM h, (SELECT unnest(range(1, {replicates + 1})) AS rep)),
+w AS (SELECT *, {weight} AS w FROM u)"""
+
+
 ORACLE_SQL = {
     "genotype_cosine": _sql_cosine(),
     "genotype_cosine_blocks": _sql_cosine(),
@@ -436,4 +550,53 @@ SELECT s.source, {_sql_code(3)} AS code, w.kmer, coalesce(cnt, 0) AS cnt FROM s
 WITH e AS (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 100 AS w FROM orders),
 b AS (SELECT CAST(least(floor((o_totalprice - lo) / w), 99) AS INT) AS bin, lo, w, count(*) AS n FROM orders, e GROUP BY 1, 2, 3)
 SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, n FROM b""",
+    "unsorted_tiles": f"""
+WITH e AS (SELECT chrom, pos // 3600 * 3600 AS start, event_id % 1009 AS a, event_id FROM ({_SQL_POS})),
+r AS (SELECT *, coalesce(start <> lag(start) OVER (PARTITION BY chrom ORDER BY a, event_id), true) AS new FROM e),
+k AS (SELECT chrom, start, sum(new::INT) OVER (PARTITION BY chrom ORDER BY a, event_id) AS w FROM r),
+g AS (SELECT chrom, w, min(start) AS start, count(*) AS n FROM k GROUP BY 1, 2)
+SELECT chrom, start, n, count(*) AS times FROM g GROUP BY 1, 2, 3""",
+    "arrival_tiles": f"""
+WITH r AS (SELECT *, coalesce(chrom <> lag(chrom) OVER (ORDER BY ts, event_id), true) AS new FROM ({_SQL_POS})),
+k AS (SELECT *, sum(new::INT) OVER (ORDER BY ts, event_id) AS run FROM r),
+p AS (SELECT *, (row_number() OVER (PARTITION BY run ORDER BY ts, event_id) - 1) // 3 AS w FROM k),
+g AS (SELECT chrom, run, w, count(*) AS n, arg_min(pos, (ts, event_id)) AS start, arg_max(pos, (ts, event_id)) + 1 AS "end" FROM p GROUP BY 1, 2, 3)
+SELECT chrom, n, count(*) AS times, CAST(sum(start) AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends FROM g GROUP BY 1, 2""",
+    "stream_sliding": f"""
+WITH e AS (SELECT chrom, pos // 3600 * 3600 AS hour FROM ({_SQL_POS})), k AS (SELECT chrom, hour AS start FROM e UNION ALL SELECT chrom, hour - 3600 FROM e)
+SELECT chrom, start, start + 7200 AS "end", count(*) AS n FROM k GROUP BY 1, 2""",
+    "stream_sessions": """
+WITH r AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS new FROM events),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM r)
+SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM k GROUP BY user_id, s""",
+    "bootstrap_weights": f"""
+WITH {_sql_weights("l_orderkey || '|' || l_linenumber", 10, "lineitem")}
+SELECT CAST(rep - 1 AS INT) AS rep, count(*) AS n, CAST(sum(w) AS BIGINT) AS sum_w, CAST(sum(w * w) AS BIGINT) AS sum_w2 FROM w GROUP BY 1""",
+    "bootstrap_distances": f"""
+WITH {_SQL_G}, v AS (SELECT DISTINCT v FROM g), {_sql_weights("'chr1|' || v", 3, "v")},
+k AS (SELECT v, CAST(0 AS BIGINT) AS rep, 1 AS w FROM v UNION ALL SELECT v, rep, w FROM w),
+d AS (SELECT rep, a.s AS i, b.s AS j, sum(w) AS dot FROM c a JOIN c b USING (v, hap, allele) JOIN k USING (v) WHERE a.s <= b.s GROUP BY 1, 2, 3),
+n AS (SELECT rep, i AS s, dot AS norm FROM d WHERE i = j),
+f AS (SELECT rep, a.s AS i, b.s AS j FROM (SELECT DISTINCT s FROM c) a, (SELECT DISTINCT s FROM c) b, (SELECT DISTINCT rep FROM k) WHERE a.s <= b.s)
+SELECT CAST(f.rep AS INT) AS rep, 's' || f.i AS sample_i, 's' || f.j AS sample_j, round(CASE WHEN coalesce(p.norm, 0) = 0 OR coalesce(q.norm, 0) = 0 THEN CASE WHEN f.i = f.j THEN 0 ELSE 1 END ELSE greatest(0, 1 - coalesce(dot, 0) / (sqrt(p.norm) * sqrt(q.norm))) END, 6) AS dist
+FROM f LEFT JOIN d ON (f.rep, f.i, f.j) = (d.rep, d.i, d.j) LEFT JOIN n p ON (p.rep, p.s) = (f.rep, f.i) LEFT JOIN n q ON (q.rep, q.s) = (f.rep, f.j)""",
+    "matrix_text": f"""
+WITH t AS (SELECT CAST(substr(sample_i, 2) AS INT) AS i, CAST(substr(sample_j, 2) AS INT) AS j, dist FROM ({_sql_cosine().replace(', 6) AS dist', ', 12) AS dist')})),
+b AS (SELECT i, j, dist FROM t UNION ALL SELECT j, i, dist FROM t WHERE i < j)
+SELECT i + 1 AS line_no, 's' || i || chr(9) || string_agg({_SQL_TEXT.format(x='CAST(dist AS DOUBLE)')}, chr(9) ORDER BY j) AS value FROM b GROUP BY i
+UNION ALL SELECT 0, '{SAMPLES}' || chr(9) || (SELECT count(DISTINCT l_partkey) FROM lineitem)""",
+    "reordered_distances": f"SELECT CAST({SAMPLES - 1} - CAST(substr(sample_i, 2) AS INT) AS INT) AS place_i, CAST({SAMPLES - 1} - CAST(substr(sample_j, 2) AS INT) AS INT) AS place_j, * FROM ({_sql_cosine()})",
+    "kmer_prob_normalised": f"WITH {_sql_kmers('source')}, {_SQL_BOTH}, {_SQL_TOTALS}, {_SQL_PROB}, q AS (SELECT seq_id, sqrt(sum(prob * prob)) AS norm FROM r GROUP BY 1) SELECT seq_id AS source, kmer, round(prob / norm, 9) AS prob FROM r JOIN q USING (seq_id)",
+    "profile_norms": f"WITH {_sql_kmers('source')}, a AS (SELECT kmer, sum(cnt) AS cnt FROM f GROUP BY 1) SELECT {_sql_code(K)} AS code, round(cnt / sqrt((SELECT sum(cnt * cnt) FROM a)), 9) AS weight FROM a",
+    "poisson_posterior": """
+WITH n AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+x AS (SELECT c_nationkey AS nation, max(n) AS n FROM n GROUP BY 1), r AS (SELECT c_nationkey % 5 AS cluster, avg(n) AS rate FROM n GROUP BY 1),
+l AS (SELECT nation, cluster, n * ln(rate) - rate AS l FROM x, r), e AS (SELECT nation, cluster, exp(l - max(l) OVER (PARTITION BY nation)) AS w FROM l)
+SELECT nation, CAST(cluster AS INT) AS cluster, round(w / sum(w) OVER (PARTITION BY nation), 6) AS posterior FROM e""",
+    "number_texts": f"""
+SELECT l_orderkey, l_linenumber, {_SQL_TEXT.format(x=_SQL_SHARE)} AS dist, printf('%.4f', {_SQL_SHARE}) AS stat, CAST(round((l_quantity - 25) / 4) AS INT) AS rounded, round(1 - l_discount, 6) AS apart, round(l_linenumber * ln(l_quantity + 1) - (l_quantity + 1), 6) AS log_p FROM lineitem""",
+    "shared_alleles": f"WITH {_SQL_G} SELECT CAST(a.s AS INT) AS sample, count(b.s) AS shared FROM c a LEFT JOIN c b ON b.s = a.s + 1 AND b.v = a.v AND b.hap = a.hap AND b.allele = a.allele WHERE a.s < {SAMPLES - 1} GROUP BY 1",
+    "packed_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') || '+' || reverse(coalesce(text, '')) AS j FROM documents)
+SELECT doc_id, md5(substr(j, 1, strpos(j, '+') - 1)) AS head, md5(substr(j, strpos(j, '+') + 1)) AS rest, CAST(2 * length(text) AS INT) AS packed, true AS same FROM d""",
 }

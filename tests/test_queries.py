@@ -4,20 +4,24 @@ import tempfile
 
 import pytest
 
+from lociweave.plans import file_queries
 from lociweave.plans import queries as Q
 
 from .conftest import ROOT
 from .oracle import compare, runs
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+QUERIES, SQL = Q.queries() | file_queries.queries(), Q.ORACLE_SQL | file_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
-    compare(spark, Q.queries()[name], Q.ORACLE_SQL[name])
+    compare(spark, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    runs(spark, Q.queries()[name])
+    runs(spark, QUERIES[name])
 
 
 def test_projection_covers_all_embeddings(spark):
