@@ -226,6 +226,21 @@ def test_base_statistics_and_classifier(spark):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
 
 
+def test_quality_scores_equal_the_features_of_each_text(spark):
+    rng = random.Random(59)
+    texts = [prose(rng, 80, 30) + (" $$$ odd" if k % 4 == 0 else " é fine") for k in range(60)] + odd_texts()
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels).collect()}
+    for k, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        hashes = [_text.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in WORDS.findall(t or "")]
+        index, value = quality.features(data, np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        total = model["bias"] + (model["weights"][index].astype(float) * value).sum()
+        assert abs(got[k]["quality_score"] - 1 / (1 + np.exp(-(model["slope"] * total + model["offset"])))) < 1e-4, k
+
+
 # ---- 4 ----
 
 
