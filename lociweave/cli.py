@@ -134,7 +134,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         else:
             dist, used = C.vcf_distances(vcf, reps, args.seed), vcf.variants.count()
         if grow:
-            grown = tree.supported_tree(dist, reps) if reps else tree.trees(dist.where("rep = 0"), ["rep"])
+            grown = tree.supported_tree(dist, reps) if reps else C.one_tree(dist.where("rep = 0"), n)
             emit(grown.select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
             emit(matrix_lines(dist.select("i", "j", "name_i", "name_j", "dist"), f"'{n}\t{used}'"), ["line_no"], args.output)
@@ -142,7 +142,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         seqs = C.read_fasta(spark, paths, args.isFastq)
         dist = C.sequence_distances(seqs, args.kmerSize, args.normalize)
         if args.command == "FASTA2TREE":
-            emit(tree.trees(dist.withColumn("rep", F.lit(0)), ["rep"]).select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
+            emit(C.one_tree(dist, seqs.count()).select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
             emit(matrix_lines(dist, f"'{seqs.count()}'"), ["line_no"], args.output)
     elif args.command == "VCF2ISTATS":
@@ -157,7 +157,8 @@ def run(argv: list[str] | None = None, spark=None) -> int:
             keep = C.representatives(C.read_vcf(spark, paths), args.cutHeight)
         emit(kept_lines(spark, paths, keep, args.ignoreHets), ["kind", "ord"], args.output)
     elif args.command == "DIST2TREE":
-        grown = tree.trees(C.matrix_groups(spark, one), ["rep"])
+        dist = C.matrix_groups(spark, one)
+        grown = C.one_tree(dist, dist.where("i = j").count())
         emit(grown.select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
     elif args.command == "DIST2Clusters":
         dist = C.matrix_groups(spark, one)

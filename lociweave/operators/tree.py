@@ -1,12 +1,13 @@
 """Agglomerative clustering of one distance matrix, trees as Newick, clade support.
 
-A tree is sequential work on a small matrix, so Spark parallelises over matrices: windows or bootstrap
-replicates are groups, each clustered in one task.
+For many matrices, of windows or bootstrap replicates, Spark parallelises over the matrices: each is a group.
+One matrix of more than GROUP_SAMPLES samples is clustered in rounds, see `agglomerate`.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..functions.numbers import format_distance
 from .shared import materialised
 
 LINKAGES = ("complete", "average", "single")
+#: samples up to which one matrix is clustered by one task (8 bytes for each pair, a few times)
+GROUP_SAMPLES = 4096
 
 
 @dataclass
@@ -41,6 +44,7 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
     n = len(labels)
     if n < 2:
         raise ValueError("a tree needs two samples at least")
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * n + 1000))  # a tree may be as deep as it has leaves
     d = np.array(matrix, float)
     d = np.where(np.tri(n, k=-1, dtype=bool), d, np.nan)
     d[~(d >= 0)] = np.inf
@@ -93,6 +97,8 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
 
 
 def newick(node: Node) -> str:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))
+
     def write(x: Node, root: bool) -> str:
         out = ""
         if x.children:

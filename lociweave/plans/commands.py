@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions.genotype import VariantKey
 from ..functions.numbers import stats_text
-from ..operators import distance, kmers, stats, tree, windows
+from ..operators import agglomerate, distance, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..operators.shared import materialised
 from ..sources.embeddings import read_embeddings  # noqa: F401
@@ -108,3 +108,10 @@ def representatives(vcf: Vcf, height: float) -> list[str]:
 def matrix_groups(spark: SparkSession, path: str) -> DataFrame:
     """(rep 0, i, j, name_i, name_j, dist) of a matrix file."""
     return matrix_pairs(read_matrix(spark, path)).select(F.lit(0).alias("rep"), "*")
+
+
+def one_tree(dist: DataFrame, samples: int) -> DataFrame:
+    """(newick) of one matrix: in one task if it is small, else in rounds."""
+    if samples > tree.GROUP_SAMPLES:
+        return agglomerate.large_tree(dist)
+    return tree.trees(dist.select(F.lit(0).alias("rep"), "i", "j", "name_i", "name_j", "dist"), ["rep"]).select("newick")

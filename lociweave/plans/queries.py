@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import genotype as G
 from ..functions import numbers
 from ..functions import sequence as S
-from ..operators import bootstrap, distance, dynamic_cut, kmers, stats, tree, windows
+from ..operators import agglomerate, bootstrap, distance, dynamic_cut, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..operators.shared import materialised, shared_folder
 from ..sources.matrix import matrix_lines
@@ -371,6 +371,16 @@ def genotype_trees(spark, sf_dir):
     return out
 
 
+def large_trees(spark, sf_dir):
+    """Newick of the labels' distances by rounds of joins, as for matrices that no task can hold."""
+    dist = embedding_cosine(spark, sf_dir).select("i", "j", F.concat(F.lit("l"), F.col("i").cast("string")).alias("name_i"), F.concat(F.lit("l"), F.col("j").cast("string")).alias("name_j"), "dist")
+    dist, out = materialised(dist), None
+    for linkage in agglomerate.LINKAGES:
+        one = agglomerate.large_tree(dist, linkage).select(F.lit(linkage).alias("linkage"), "newick")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def clade_support(spark, sf_dir):
     grown = tree.trees(_dist(spark, sf_dir, replicates=20), ["rep"])
     return tree.clade_support(grown, 20).select(F.concat_ws(" ", "clade").alias("clade"), "n", "support")
@@ -469,7 +479,7 @@ def packed_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lociweave import cli
-from lociweave.operators import stats, tree
+from lociweave.operators import agglomerate, stats, tree
 from lociweave.operators.windows import WindowPolicy
 from lociweave.plans import commands as C
 from lociweave.sources.matrix import matrix_lines, read_matrix
@@ -151,3 +151,25 @@ def test_clusters_with_many_ties_equal_a_plain_search(linkage):
             d = np.tril(d, -1) + np.tril(d, -1).T
             labels = [f"s{k}" for k in range(n)]
             assert tree.newick(tree.cluster(d, labels, linkage)) == slow_cluster(d, labels, linkage)
+
+
+@pytest.mark.parametrize("linkage", agglomerate.LINKAGES)
+@pytest.mark.parametrize("n,most", [(2, 5), (11, 4)])
+def test_rounds_of_joins_give_the_same_tree(spark, linkage, n, most):
+    """With many ties (whole numbers, exact for averages of few) and with none."""
+    rng = np.random.default_rng(n)
+    d = np.tril(rng.integers(1, most + 1, (n, n)) * (1.0 if linkage == "complete" or most > 6 else 720720.0), -1)
+    if linkage == "average" and most <= 6:
+        n, d = min(n, 6), d[:6, :6]
+    d, labels = d + d.T, [f"s{k}" for k in range(n)]
+    rows = [(i, j, labels[i], labels[j], float(d[i, j])) for i in range(n) for j in range(i, n)]
+    dist = spark.createDataFrame(rows, "i int, j int, name_i string, name_j string, dist double").repartition(3)
+    assert agglomerate.large_tree(dist, linkage).first()["newick"] == tree.newick(tree.cluster(d, labels, linkage))
+
+
+def test_rounds_of_joins_of_odd_matrices(spark):
+    one = spark.createDataFrame([(0, 0, "a", "a", 0.0)], "i int, j int, name_i string, name_j string, dist double")
+    assert agglomerate.merges(one).count() == 0
+    bad = spark.createDataFrame([(0, 0, "a", "a", 0.0), (1, 1, "b", "b", 0.0), (0, 1, "a", "b", float("nan"))], one.schema)
+    with pytest.raises(ValueError):
+        agglomerate.merges(bad)
