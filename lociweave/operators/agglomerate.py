@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialised
+from .shared import written
 from .tree import Node, newick
 
 LINKAGES = ("complete", "average")
@@ -29,9 +29,9 @@ def merges(dist: DataFrame, linkage: str = "complete") -> DataFrame:
         raise ValueError(f"linkage is one of {LINKAGES}")
     far = float("inf")
     good = F.when((F.col("dist") >= 0) & ~F.isnan("dist"), F.col("dist").cast("double")).otherwise(far)
-    pairs = materialised(dist.where("i < j").select(F.col("j").cast("int").alias("i"), F.col("i").cast("int").alias("j"), good.alias("d"), F.lit(1.0).alias("w")))
+    pairs = written(dist.where("i < j").select(F.col("j").cast("int").alias("i"), F.col("i").cast("int").alias("j"), good.alias("d"), F.lit(1.0).alias("w")))
     ids = dist.where("i = j").select(F.col("i").cast("int").alias("id"))
-    sizes = materialised(ids.withColumn("n", F.lit(1).cast("long")))
+    sizes = written(ids.withColumn("n", F.lit(1).cast("long")))
     left, turn, done = sizes.count(), 0, []
     while left > 1:
         order = F.struct("d", "i", "j").alias("p")
@@ -39,7 +39,7 @@ def merges(dist: DataFrame, linkage: str = "complete") -> DataFrame:
         both = nearest.groupBy("p").count().where("count = 2").select("p.i", "p.j", "p.d")
         named = both.join(sizes.select(F.col("id").alias("i"), F.col("n").alias("ni")), "i").join(sizes.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
         first = F.col("ni") > F.col("nj")
-        joined = materialised(named.select(F.lit(turn).alias("round"), F.when(first, F.col("i")).otherwise(F.col("j")).alias("kept"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("gone"), F.col("d").alias("height"), (F.col("ni") + F.col("nj")).alias("size")))
+        joined = written(named.select(F.lit(turn).alias("round"), F.when(first, F.col("i")).otherwise(F.col("j")).alias("kept"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("gone"), F.col("d").alias("height"), (F.col("ni") + F.col("nj")).alias("size")))
         found = joined.count()
         if not found:
             raise ValueError("no pair of clusters has a distance")
@@ -51,9 +51,9 @@ def merges(dist: DataFrame, linkage: str = "complete") -> DataFrame:
             moved = moved.join(renamed.select(F.col("id").alias(side), F.col("to").alias(f"to_{side}")), side, "left")
         moved = moved.select(F.coalesce("to_i", "i").alias("x"), F.coalesce("to_j", "j").alias("y"), "d", "w").where("x <> y")
         value = F.max("d") if linkage == "complete" else F.sum(F.col("d") * F.col("w")) / F.sum("w")
-        pairs = materialised(moved.groupBy(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).agg(value.alias("d"), F.sum("w").alias("w")))
+        pairs = written(moved.groupBy(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).agg(value.alias("d"), F.sum("w").alias("w")))
         grown = joined.select(F.col("kept").alias("id"), "size")
-        sizes = materialised(sizes.join(joined.select(F.col("gone").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("size", "n").alias("n")))
+        sizes = written(sizes.join(joined.select(F.col("gone").alias("id")), "id", "left_anti").join(grown, "id", "left").select("id", F.coalesce("size", "n").alias("n")))
     out = None
     for part in done:
         out = part if out is None else out.unionByName(part)
@@ -73,7 +73,7 @@ def tree_of(rows: pd.DataFrame, names: dict[int, str]) -> Node:
 
 def large_tree(dist: DataFrame, linkage: str = "complete") -> DataFrame:
     """(newick): the tree of one matrix of (i, j, name_i, name_j, dist); its text is written by one task from one row a sample."""
-    dist = materialised(dist.select("i", "j", "name_i", "name_j", "dist"))
+    dist = written(dist.select("i", "j", "name_i", "name_j", "dist"))
     joins = merges(dist, linkage).select("round", "kept", "gone", "height", F.lit(None).cast("string").alias("name"))
     names = dist.where("i = j").select(F.lit(-1).alias("round"), F.col("i").cast("int").alias("kept"), F.lit(None).cast("int").alias("gone"), F.lit(0.0).alias("height"), F.col("name_i").alias("name"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in the shared folder; unlike a checkpoint it hands on nothing of the plan, which loops would pile up."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
