@@ -139,12 +139,12 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         else:
             emit(matrix_lines(dist.select("i", "j", "name_i", "name_j", "dist"), f"'{n}\t{used}'"), ["line_no"], args.output)
     elif args.command in ("FASTA2DIST", "FASTA2TREE"):
-        seqs = C.read_fasta(spark, paths, args.isFastq)
-        dist = C.sequence_distances(seqs, args.kmerSize, args.normalize)
+        seqs = materialised(C.read_sequence_lines(spark, paths))
+        dist, n = C.sequence_distances(seqs, args.kmerSize, args.normalize), seqs.where("at = 0").count()
         if args.command == "FASTA2TREE":
-            emit(C.one_tree(dist, seqs.count()).select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
+            emit(C.one_tree(dist, n).select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
-            emit(matrix_lines(dist, f"'{seqs.count()}'"), ["line_no"], args.output)
+            emit(matrix_lines(dist, f"'{n}'"), ["line_no"], args.output)
     elif args.command == "VCF2ISTATS":
         found, samples = C.individual_stats(spark, one)
         names = text(["INDIV\tN_SITES\tN_HET\tN_ALT\tN_REF\tN_MISS\tP_HET\tP_ALT\tP_REF\tP_MISS"])

@@ -12,7 +12,7 @@ from ..operators import agglomerate, distance, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..operators.shared import materialised
 from ..sources.embeddings import read_embeddings  # noqa: F401
-from ..sources.fasta import read_fasta  # noqa: F401
+from ..sources.fasta import read_fasta, read_sequence_lines  # noqa: F401
 from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix
 from ..sources.text import expand, read_lines
 from ..sources.vcf import Vcf, parse, read_head, read_vcf
@@ -44,10 +44,11 @@ def embedding_distances(vcf: Vcf, embeddings: DataFrame, kind: VariantKey = Vari
 
 
 def sequence_distances(seqs: DataFrame, k: int = 4, normalise: bool = False, statistic: str = "d2s") -> DataFrame:
-    """(i, j, name_i, name_j, dist), 0-based in order of the records."""
-    profiles = kmers.probabilities(materialised(kmers.count_both(seqs.select("seq_id", "seq"), S.check_k(k))), normalise=normalise)
+    """(i, j, name_i, name_j, dist), 0-based in order of the records; of records or of lines of sequences."""
+    text = ["seq"] if "seq" in seqs.columns else ["at", "value"]
+    profiles = kmers.probabilities(materialised(kmers.count_both(seqs.select("seq_id", *text), S.check_k(k))), normalise=normalise)
     dist = (kmers.d2s if statistic == "d2s" else kmers.d2star)(profiles)
-    names = seqs.select("seq_id", "short_name")
+    names = seqs.select("seq_id", "short_name") if "seq" in seqs.columns else seqs.where("at = 0").select("seq_id", "short_name")
     for side in ("i", "j"):
         own = names.select(F.col("seq_id").alias(side), F.col("short_name").alias(f"name_{side}"))
         dist = dist.join(own, side)

@@ -1,5 +1,8 @@
+import collections
 import gzip
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +101,59 @@ def test_ranks_and_vectors(spark):
     assert sorted(r["weight"] for r in unit.collect()) == pytest.approx([0.6, 0.8])
     post = kmers.poisson_posterior(spark.createDataFrame([(1, 0, 2, 1.0), (1, 1, 2, 2.0)], "k int, cluster int, n int, rate double"), "k")
     assert sum(r["posterior"] for r in post.collect()) == pytest.approx(1)
+
+
+def test_codes_of_all_places():
+    rng = np.random.default_rng(0)
+    text = "".join(rng.choice(list("ACGTacgtNéx"), 400, p=[0.2] * 4 + [0.03] * 4 + [0.03, 0.03, 0.02]))
+    data = np.frombuffer(text.encode(), np.uint8)
+    for k in (1, 2, 3, 7, 8, 21, 31):
+        codes, good = kmers.rolling_codes(data, k)
+        want = [bytes(data[i : i + k]).upper() for i in range(len(data) - k + 1)]
+        assert good.tolist() == [set(w) <= set(b"ACGT") for w in want]
+        assert [c for c, g in zip(codes.tolist(), good, strict=True) if g] == [sum("ATCG".index(chr(b)) * 4 ** (k - 1 - i) for i, b in enumerate(w)) for w in want if set(w) <= set(b"ACGT")]
+    assert len(kmers.rolling_codes(data[:3], 4)[0]) == 0
+
+
+def test_counts_of_rows_and_of_lines_are_the_same(spark, monkeypatch):
+    """Slices, segments and lines of any length cut nothing off and count nothing twice."""
+    monkeypatch.setattr(kmers, "SEGMENT", 16)
+    monkeypatch.setattr(kmers, "SLICE", 32)
+    rng = random.Random(2)
+    seqs = {f"s{n}": "".join(rng.choice("ACGTNa") for _ in range(n)) for n in (0, 1, 3, 4, 15, 16, 17, 100, 333)} | {None: "ACGTACGT"}
+    lines = []
+    for name, seq in seqs.items():
+        at = 0
+        while at < len(seq):
+            n = rng.choice([1, 2, 3, 10, 60])
+            lines.append((name, at, seq[at : at + n]))
+            at += n
+    want = collections.Counter()
+    for name, seq in seqs.items():
+        want.update((name, seq[i : i + 4].upper()) for i in range(len(seq) - 3) if set(seq[i : i + 4].upper()) <= set("ACGT"))
+    rows = spark.createDataFrame(list(seqs.items()), "name string, seq string").repartition(2)
+    cut = spark.createDataFrame(lines, "name string, at long, value string").repartition(3)
+    for df in (rows, cut):
+        assert {(r["name"], r["kmer"]): r["cnt"] for r in kmers.count_forward(df, 4, "name").collect()} == want
+
+
+def test_d2_by_blocks_and_ranges(spark, monkeypatch):
+    """Many blocks and ranges give the distances of one; a row is sent once for each block of sequences."""
+    rng = random.Random(1)
+    seqs = spark.createDataFrame([(k, f"s{k}", "".join(rng.choice("ACGT") for _ in range(40 if k else 4))) for k in range(1, 12)], "seq_id int, short_name string, seq string")
+    profiles = kmers.probabilities(kmers.count_both(seqs.select("seq_id", "seq"), 3))
+    found = lambda f: {(r["i"], r["j"]): r["dist"] for r in f(profiles).collect()}
+    want = {f: found(f) for f in (kmers.d2s, kmers.d2star)}
+    assert len(want[kmers.d2s]) == 66
+    monkeypatch.setattr(kmers, "BLOCK_SEQUENCES", 4)
+    monkeypatch.setattr(kmers, "BLOCK_ROWS", 32)
+    for f in want:
+        assert found(f) == pytest.approx(want[f], abs=1e-12)
+    _, parts = kmers._terms(profiles, "seq_id", False)
+    assert parts.select("a", "b").distinct().count() == 6 and parts.where("i = 1 and j = 1").count() > 3
+
+
+def test_distances_of_lines(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(FASTA.replace("ACGTACGT", "ACGT\nACGT"))
+    found = {(r["name_i"], r["name_j"]): r["dist"] for r in C.sequence_distances(C.read_sequence_lines(spark, str(tmp_path / "a.fa")), 4).collect()}
+    assert found["s2", "s3"] == pytest.approx(0.4572755, abs=1e-7) and found["s1", "s3"] == pytest.approx(0.5)
