@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import kmers, windows
 from ..operators.shared import shared_folder
 from ..sources.embeddings import read_embeddings
-from ..sources.fasta import read_fasta
+from ..sources.bgzf import opened, read_splits, write_bgzf
+from ..sources.fasta import odd_qualities, read_fasta, read_sequence_lines
 from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix, write_lines
 from ..sources.text import expand
 from ..sources.vcf import Vcf, kept_lines, read_head, read_vcf
@@ -23,6 +24,11 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _AS_BASES = "".join("ACGT"[k % 4] for k in range(26))
 
 
+def _size(uri: str) -> int:
+    found, path = opened(uri)
+    return found.get_file_info(path).size
+
+
 def _file(spark: SparkSession, lines: DataFrame, order: list[str]) -> str:
     """A folder of text files of the lines, in the shared folder."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
@@ -37,6 +43,10 @@ _COMMENTS = ["##fileformat=VCFv4.2", "##source=tables"]
 
 
 def _vcf_path(spark: SparkSession, sf_dir: str) -> str:
+    return _file(spark, _vcf_lines(spark, sf_dir), ["contig", "pos"])
+
+
+def _vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _wide(_genotypes(spark, sf_dir))
     v = F.col("pos")
     fmt = F.when(v % 7 == 3, "DP").when(v % 2 == 0, "GT").otherwise("DP:GT:XX")
@@ -45,7 +55,7 @@ def _vcf_path(spark: SparkSession, sf_dir: str) -> str:
     body = g.select((v % 3).cast("int").alias("contig"), v.cast("int").alias("pos"), F.concat_ws("\t", *fixed, F.concat_ws("\t", F.transform("gts", sample))).alias("value"))
     head = [*_COMMENTS, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *_names()])]
     tops = spark.createDataFrame([(-1, k, x) for k, x in enumerate(head)], "contig int, pos int, value string")
-    return _file(spark, tops.unionByName(body), ["contig", "pos"])
+    return tops.unionByName(body)
 
 
 def _vcf(spark, sf_dir) -> Vcf:
@@ -80,6 +90,19 @@ def vcf_genotypes(spark, sf_dir):
     return vcf.variants.select("chrom", "pos", "id", "info", F.posexplode("gts").alias("k", "gt")).select("chrom", "pos", "id", "info", F.get(names, F.col("k")).alias("sample"), "gt")
 
 
+def vcf_block_gzip(spark, sf_dir):
+    """The lines of block-gzipped files that are read by splits of 4 KB."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    write_bgzf(_vcf_lines(spark, sf_dir), path, ["contig", "pos"])
+    files = [(k, f, _size(f)) for k, f in enumerate(expand(spark, [path]))]
+    lines = read_splits(spark, files, 4096)
+    before = F.struct("file", "block", "line")
+    body = lines.where("not startswith(value, '#')").select(before.alias("ord"), F.substring_index("value", "\t", 2).alias("at"), F.md5("value").alias("digest"))
+    policy = windows.WindowPolicy("variants", 64)
+    numbered = windows.assign(body.select("ord", F.split("at", "\t")[0].alias("chrom"), F.split("at", "\t")[1].cast("int").alias("pos"), "digest"), policy)
+    return numbered.groupBy("chrom", "win_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("digest")), "")).alias("digest")).drop("win_id")
+
+
 def vcf_shape(spark, sf_dir):
     """What the head of the file says, and how many data lines follow."""
     path = _vcf_path(spark, sf_dir)
@@ -195,13 +218,13 @@ def _bases(text) -> F.Column:
 
 
 _SQL_BASES = f"regexp_replace(translate(coalesce(text, ''), '{_LETTERS}', '{_AS_BASES}'), '[^ACGT]', '', 'g')"
-_SQL_HEADER = "'doc-' || doc_id || ' ' || lang || '; (' || source || ')'"
+_SQL_HEADER = "'doc-' || doc_id || ' ' || coalesce(lang, '') || '; (' || coalesce(source, '') || ')'"
 _SQL_NAME = f"trim(regexp_replace(regexp_replace({_SQL_HEADER}, '[^A-Za-z0-9_.+=|-]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 def _records(spark, sf_dir, marker: str) -> DataFrame:
-    header = F.concat(F.lit(f"{marker}doc-"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang"), F.lit("; ("), F.col("source"), F.lit(")"))
-    return _t(spark, sf_dir, "documents").where("lang is not null and source is not null").select("doc_id", header.alias("header"), _bases(F.col("text")).alias("seq"))
+    header = F.concat(F.lit(f"{marker}doc-"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit("; ("), F.coalesce("source", F.lit("")), F.lit(")"))
+    return _t(spark, sf_dir, "documents").select("doc_id", header.alias("header"), _bases(F.col("text")).alias("seq"))
 
 
 def _written(spark, records: DataFrame, lines) -> str:
@@ -224,6 +247,34 @@ def fastq_records(spark, sf_dir):
     return found.select("seq_id", "short_name", F.md5("seq").alias("digest"), F.substring("qual", 1, 1).alias("sign"), F.length("qual").alias("qualities"))
 
 
+def _wrapped(spark, sf_dir) -> DataFrame:
+    """Records of lines of 50 letters, all qualities as long as their sequence but those of each eleventh record, which end early."""
+    records = _records(spark, sf_dir, "@").where("seq <> ''")
+    wrap = lambda c: F.regexp_extract_all(c, F.lit(".{1,50}"), F.lit(0))
+    early = (F.col("doc_id") % 11 == 0) & (F.length("seq") > 50)
+    qual = F.transform(wrap("seq"), lambda x, i: F.concat(F.element_at(F.array(F.lit("@"), F.lit(">"), F.lit("+"), F.lit("I")), ((F.col("doc_id") + i) % 4 + 1).cast("int")), F.repeat(F.lit("J"), F.length(x) - 1)))
+    return records.select("doc_id", "header", "seq", wrap("seq").alias("lines"), F.when(early, F.array(F.lit("IJ"))).otherwise(qual).alias("qual"))
+
+
+def fastq_wrapped(spark, sf_dir):
+    """Qualities of many lines, many of which look like headers, and some that are cut short."""
+    path = _written(spark, _wrapped(spark, sf_dir), F.concat(F.array("header"), "lines", F.array(F.lit("+")), "qual"))
+    found = read_fasta(spark, path, keep_quality=True)
+    return found.select("seq_id", "short_name", F.md5("seq").alias("digest"), F.md5("qual").alias("qualities"))
+
+
+def fastq_odd_qualities(spark, sf_dir):
+    """Of the same file the records whose quality has another length than the sequence."""
+    return odd_qualities(spark, _written(spark, _wrapped(spark, sf_dir), F.concat(F.array("header"), "lines", F.array(F.lit("+")), "qual")))
+
+
+def fasta_line_kmers(spark, sf_dir):
+    """k-mers of all documents as records of lines of 60 letters; no sequence is put together."""
+    lines = F.concat(F.array("header"), F.regexp_extract_all("seq", F.lit(".{1,60}"), F.lit(0)))
+    found = kmers.count_forward(read_sequence_lines(spark, _written(spark, _records(spark, sf_dir, ">"), lines)), K, "short_name")
+    return found.groupBy("kmer").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("records"))
+
+
 def fasta_distance_text(spark, sf_dir):
     """The lines of the command that writes D2S distances, over the items of the benchmark."""
     items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat(F.lit(">item"), F.col("item_id").cast("string")).alias("header"), F.translate("text", _LETTERS, _AS_BASES).alias("seq"))
@@ -232,7 +283,7 @@ def fasta_distance_text(spark, sf_dir):
     return dist.select("name_i", "name_j", F.round("dist", 6).alias("dist"))
 
 
-_QUERIES = (vcf_genotypes, vcf_shape, vcf_distance_text, vcf_window_text, vcf_window_long, vcf_variant_windows, vcf_individual_text, vcf_filtered_text, vcf_embedding_distances, matrix_cells, embedding_tsv, embedding_json, embedding_json_flat, fasta_records, fastq_records, fasta_distance_text)
+_QUERIES = (vcf_genotypes, vcf_block_gzip, vcf_shape, vcf_distance_text, vcf_window_text, vcf_window_long, vcf_variant_windows, vcf_individual_text, vcf_filtered_text, vcf_embedding_distances, matrix_cells, embedding_tsv, embedding_json, embedding_json_flat, fasta_records, fastq_records, fastq_wrapped, fastq_odd_qualities, fasta_line_kmers, fasta_distance_text)
 
 
 def queries() -> dict:
@@ -247,8 +298,10 @@ n AS (SELECT w, t, s, count(*) AS norm FROM z GROUP BY 1, 2, 3),
 f AS (SELECT y.w, y.t, y.n, a.s AS i, b.s AS j FROM y, i a, i b),
 r AS (SELECT f.w, f.t, f.n, f.i, f.j, CAST({_SQL_DIST} AS DOUBLE) AS dist FROM f LEFT JOIN d ON (f.w, f.t, f.i, f.j) = (d.w, d.t, d.i, d.j) LEFT JOIN n p ON (p.w, p.t, p.s) = (f.w, f.t, f.i) LEFT JOIN n q ON (q.w, q.t, q.s) = (f.w, f.t, f.j))"""
 _SQL_FIELD = f"CASE WHEN v % 7 = 3 OR a0 IS NULL OR a0 <> a1 THEN './.' WHEN v % 2 = 0 THEN {_SQL_GT} ELSE '9:' || {_SQL_GT} || ':x' END"
+_SQL_RAW = f"CASE WHEN v % 7 = 3 THEN '9' WHEN v % 2 = 0 THEN {_SQL_GT} ELSE '9:' || {_SQL_GT} || ':x' END"
 _SQL_LINE = "'chr' || v % 3 || chr(9) || v || chr(9) || CASE WHEN v % 2 = 0 THEN '.' ELSE 'rs' || v END || chr(9) || 'A' || chr(9) || 'T' || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'V=' || v || chr(9) || CASE WHEN v % 7 = 3 THEN 'DP' WHEN v % 2 = 0 THEN 'GT' ELSE 'DP:GT:XX' END"
-_SQL_STATS = "printf('%.4f', {a} / {b})"
+_SQL_WRAPPED = f"""WITH r AS (SELECT doc_id, {_SQL_BASES} AS seq FROM documents),
+w AS (SELECT doc_id, seq, CASE WHEN doc_id % 11 = 0 AND length(seq) > 50 THEN 'IJ' ELSE array_to_string(list_transform(range((length(seq) + 49) // 50), lambda i: ['@', '>', '+', 'I'][(doc_id + i) % 4 + 1] || repeat('J', least(50, length(seq) - 50 * i) - 1)), '') END AS qual FROM r WHERE seq <> '')"""
 
 
 def _share(a: str, b: str) -> str:
@@ -257,6 +310,11 @@ def _share(a: str, b: str) -> str:
 
 ORACLE_SQL = {
     "vcf_genotypes": f"WITH {_SQL_FILE} SELECT 'chr' || x.v % 3 AS chrom, x.v AS pos, CASE WHEN x.v % 2 = 0 THEN '.' ELSE 'rs' || x.v END AS id, 'V=' || x.v AS info, 's' || i.s AS sample, {_SQL_GT} AS gt FROM x CROSS JOIN i LEFT JOIN g ON g.v = x.v AND g.s = i.s WHERE x.v % 7 <> 3",
+    "vcf_block_gzip": f"""WITH {_SQL_FILE},
+a AS (SELECT x.v, i.s, a0, a1 FROM x CROSS JOIN i LEFT JOIN g ON g.v = x.v AND g.s = i.s),
+l AS (SELECT v, {_SQL_LINE} || chr(9) || string_agg({_SQL_RAW}, chr(9) ORDER BY s) AS value FROM a GROUP BY v),
+w AS (SELECT 'chr' || v % 3 AS chrom, v, md5(value) AS digest, (row_number() OVER (PARTITION BY v % 3 ORDER BY v) - 1) // 64 AS k FROM l)
+SELECT chrom, CAST(min(v) AS INT) AS first, CAST(max(v) AS INT) AS last, count(*) AS n, md5(string_agg(digest, '' ORDER BY digest)) AS digest FROM w GROUP BY chrom, k""",
     "vcf_shape": f"WITH {_SQL_FILE} SELECT 2 AS comments, '{' '.join(f's{k}' for k in range(SAMPLES))}' AS samples, 2 AS ploidy, m AS max_alleles, (SELECT count(*) FROM x) AS n FROM m",
     "vcf_distance_text": f"""{_SQL_MATRIX}
 SELECT CAST(i + 1 AS INT) AS line_no, 's' || i || chr(9) || string_agg({_number('dist')}, chr(9) ORDER BY j) AS value FROM t GROUP BY i
@@ -287,10 +345,14 @@ SELECT 's' || i AS sample_i, 's' || j AS sample_j, round(least(2, greatest(0, 1
     "matrix_cells": f"{_SQL_MATRIX} SELECT i, j, 's' || i AS name_i, 's' || j AS name_j, CAST({_number('dist')} AS DOUBLE) AS dist FROM t WHERE i <= j",
     "embedding_tsv": """WITH e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)
 SELECT 'k' || vec_id AS key, CAST(count(*) AS INT) AS width, round(sum(CASE WHEN vec_id % 5 < 3 THEN 0.5 ELSE CAST(embedding[p] AS DOUBLE) END), 4) AS total FROM e GROUP BY vec_id""",
-    "fasta_records": f"""WITH r AS (SELECT doc_id, {_SQL_NAME} AS name, {_SQL_BASES} AS seq FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+    "fasta_records": f"""WITH r AS (SELECT doc_id, {_SQL_NAME} AS name, {_SQL_BASES} AS seq FROM documents)
 SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS seq_id, 'doc-' || doc_id AS short_name, name, CAST(length(seq) AS INT) AS bases, md5(seq) AS digest FROM r WHERE seq <> ''""",
-    "fastq_records": f"""WITH r AS (SELECT doc_id, {_SQL_BASES} AS seq FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+    "fastq_records": f"""WITH r AS (SELECT doc_id, {_SQL_BASES} AS seq FROM documents)
 SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS seq_id, 'doc-' || doc_id AS short_name, md5(seq) AS digest, ['@', '>', '+'][doc_id % 3 + 1] AS sign, CAST(length(seq) AS INT) AS qualities FROM r WHERE seq <> ''""",
+    "fastq_wrapped": f"{_SQL_WRAPPED} SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS seq_id, 'doc-' || doc_id AS short_name, md5(seq) AS digest, md5(qual) AS qualities FROM w",
+    "fastq_odd_qualities": f"{_SQL_WRAPPED}, n AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS seq_id FROM w) SELECT seq_id, length(seq) AS bases, length(qual) AS qualities FROM n WHERE length(seq) <> length(qual)",
+    "fasta_line_kmers": f"""WITH r AS (SELECT doc_id, {_SQL_BASES} AS seq FROM documents), p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM r WHERE length(seq) >= {K}),
+c AS (SELECT doc_id, substr(seq, i, {K}) AS kmer, count(*) AS cnt FROM p GROUP BY ALL) SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS records FROM c GROUP BY kmer""",
     "fasta_distance_text": "SELECT 'item' || i AS name_i, 'item' || j AS name_j, dist FROM (" + _sql_d2(False).replace(_sql_kmers("source"), _sql_kmers("item_id").replace("FROM documents", "FROM benchmark")) + ")",
 }
 for _name in ("embedding_json", "embedding_json_flat"):

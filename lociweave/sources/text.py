@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.shared import shared_folder
+from . import bgzf
 
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz"}
 _OPENERS = {"gzip": gzip.open, "bzip2": bz2.open, "xz": lzma.open}
@@ -108,18 +109,38 @@ def compression(spark: SparkSession, path: str) -> str | None:
     return next((kind for magic, kind in MAGIC.items() if head.startswith(magic)), None)
 
 
+def _block_size(spark: SparkSession, path: str) -> int:
+    """The size of a block-gzipped file that tasks can open themselves, 0 of another."""
+    with _HadoopFile(spark, path) as raw:
+        head = io.BufferedReader(raw, bgzf.HEADER).read(bgzf.HEADER)
+    if bgzf.member_size(head) is None or bgzf.opened(path) is None:
+        return 0
+    p, fs = _path(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    """The size of a split that Spark uses for files."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """(ord, value) of all lines; sorting by ord gives the lines of the files in the order of the paths.
 
-    Spark splits what it can read itself.  A file whose compression its name hides is read whole by
-    one task; lines keep everything but their end.
+    Spark splits what it can read itself, and block-gzipped files are read by splits of the size that it uses.  Another
+    file whose compression its name hides is read whole by one task; lines keep everything but their end.
     """
     files = expand(spark, [paths] if isinstance(paths, str) else list(paths))
     number, kinds = {f: k for k, f in enumerate(files)}, {f: compression(spark, f) for f in files}
+    blocks = [(number[f], f, size) for f in files if kinds[f] == "gzip" and (size := _block_size(spark, f))]
+    files = [f for f in files if f not in {b[1] for b in blocks}]
     plain = [f for f in files if kinds[f] is None and not f.endswith((".gz", ".bz2"))]
     native = plain + [f for f in files if kinds[f] and f.endswith(_BY_SUFFIX.get(kinds[f], "\0"))]
     hidden = [f for f in files if f not in native]
     parts = []
+    if blocks:
+        order = F.struct("file", "block", "line")
+        parts.append(bgzf.read_splits(spark, blocks, _split_bytes(spark)).select(order.alias(ORDER), "value"))
     if native:
         name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
         index = F.create_map(*[x for f in native for x in (F.lit(_plain(f)), F.lit(number[f]))])
