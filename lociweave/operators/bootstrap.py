@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +25,23 @@ def _poisson(uniform: Column) -> Column:
     return out.otherwise(len(CUMULATIVE))
 
 
-def poisson_weights(variant: Column, replicates: int, seed: int) -> Column:
-    """array of the weights of replicates 1..replicates of a variant, whose identity is a text or number."""
+def variant_pair(variant: Column, seed: int) -> Column:
+    """struct of the numbers a and b of a variant, whose identity is a text or number."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), variant.cast("string")).cast("binary"))
     number = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
+    return F.struct((number(1) % PRIME).alias("a"), (number(13) % PRIME).alias("b"))
+
+
+def weights_of(a: np.ndarray, b: np.ndarray, replicates) -> np.ndarray:
+    """(variants, replicates) weights of the pairs a and b; replicate 0 weighs all alike."""
+    reps = np.asarray(replicates, np.int64)
+    drawn = np.searchsorted(np.array(CUMULATIVE), (a[:, None] + reps * b[:, None]) % PRIME, side="right")
+    return np.where(reps == 0, 1, drawn)
+
+
+def poisson_weights(variant: Column, replicates: int, seed: int) -> Column:
+    """array of the weights of replicates 1..replicates of a variant, whose identity is a text or number."""
     # the pair is bound once, as the argument of the outer function, and not hashed for each replicate
-    pair = F.array(F.struct((number(1) % PRIME).alias("a"), (number(13) % PRIME).alias("b")))
+    pair = F.array(variant_pair(variant, seed))
     all_of = lambda p: F.transform(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")), lambda r: (p["a"] + r * p["b"]) % PRIME)
     return F.transform(F.get(F.transform(pair, all_of), F.lit(0)), _poisson)

@@ -3,7 +3,9 @@
 Two forms give the same counts.  `pair_counts` joins long-form calls with themselves on
 (variant, hap, allele): plain, and fit for few samples.  `block_counts` works on wide rows: each
 partition multiplies 0/1 matrices of its variants and hands on one row of sums per sample, so genotypes
-are never shuffled and the shuffle's size depends on samples, windows and partitions only.
+are not shuffled and the shuffle's size depends on samples, windows and partitions only.  Where the sums of
+all samples and replicates are too large for a worker, each partition packs its genotypes into bits, by blocks of samples, and sends
+a block to the tiles of two blocks that need it; a tile's task has a range of variants.  Either way the variants are read once.
 """
 
 from __future__ import annotations
@@ -11,12 +13,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bootstrap import variant_pair, weights_of
+
 BLOCK_VARIANTS = 2048
 #: sums that a worker holds at once
 BLOCK_BYTES = 256 << 20
+#: samples of a block, a multiple of eight, bytes of a tile's sums, and variants of a tile's task, about
+SAMPLE_BLOCK, TILE_BYTES, TILE_VARIANTS = 256, 64 << 20, 1 << 17
+#: vectors of a block
+VECTOR_BLOCK = 1024
 
 
 def pair_frame(samples: DataFrame) -> DataFrame:
@@ -26,20 +35,6 @@ def pair_frame(samples: DataFrame) -> DataFrame:
     return left.join(samples.select(F.col("idx").alias("j"), F.col("name").alias("name_j")), "j").select("i", "j", "name_i", "name_j")
 
 
-def all_pairs(rows: DataFrame, key: str, by: list[str] | None = None, blocks: int = 8) -> DataFrame:
-    """Every two rows of a group with key_i <= key_j, columns named with _i and _j.
-
-    Rows are dealt into blocks, and each pair of blocks is a join key of its own, so that the pairs, which
-    are the result, are spread over blocks * blocks tasks and none sees all rows.
-    """
-    by = by or []
-    rest = [c for c in rows.columns if c not in by]
-    own, other = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(*by, *[F.col(c).alias(f"{c}_i") for c in rest], own.alias("_a"), other.alias("_b"))
-    right = rows.select(*by, *[F.col(c).alias(f"{c}_j") for c in rest], own.alias("_b"), other.alias("_a"))
-    return left.join(right, [*by, "_a", "_b"]).where(F.col(f"{key}_i") <= F.col(f"{key}_j")).drop("_a", "_b")
-
-
 def cosine_distance(dot: Column, norm_i: Column, norm_j: Column, same: Column) -> Column:
     """1 - dot / (sqrt(ni) * sqrt(nj)), at least 0; 1 if a norm is 0, but 0 on the diagonal."""
     dist = F.when((norm_i == 0) | (norm_j == 0), F.when(same, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(1 - dot / (F.sqrt(norm_i) * F.sqrt(norm_j)))
@@ -114,37 +109,54 @@ def identity(variants: DataFrame) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in own]) if {"chrom", "pos"} <= set(own) else F.col("ord").cast("string")
 
 
-def passes(n: int, replicates: int) -> list[tuple[range, range]]:
-    """(replicates, samples) whose sums a worker holds at once: BLOCK_BYTES at most, or one replicate's row."""
-    rows = max(1, min(n, BLOCK_BYTES // (8 * max(1, n))))
-    reps = max(1, BLOCK_BYTES // (8 * max(1, n) * rows)) if rows == n else 1
-    return [(range(r, min(r + reps, replicates + 1)), range(i, min(i + rows, n))) for r in range(0, replicates + 1, reps) for i in range(0, n, rows)]
+def fits(n: int, replicates: int) -> bool:
+    """Whether a worker holds the sums of all samples and replicates at once."""
+    return 8 * n * n * (replicates + 1) <= BLOCK_BYTES
 
 
 def block_counts(variants: DataFrame, n: int, ploidy: int, max_alleles: int, group: str | None = None, replicates: int = 0, seed: int = 1) -> DataFrame:
     """(grp, rep, i, dots array<bigint>) of n samples from rows with gts; dots[i] is the sample's norm.
 
     group is a long column that tells windows apart.  rep 0 weighs all variants alike, rep 1.. weigh each
-    by its Poisson(1) bootstrap weight, the same for all samples.  Where the sums of all samples and
-    replicates are too large for a worker, the variants are read once for each part of them.
+    by its Poisson(1) bootstrap weight, the same for all samples.
     """
-    from .bootstrap import poisson_weights
+    pair = variant_pair(identity(variants), seed) if replicates else F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    rows = variants.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), "gts", pair["a"].alias("a"), pair["b"].alias("b"))
+    return (_worker_counts if fits(n, replicates) else _tile_counts)(rows, n, ploidy, max_alleles, range(replicates + 1))
 
-    weights = poisson_weights(identity(variants), replicates, seed) if replicates else F.array().cast("array<int>")
-    rows = variants.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), "gts", weights.alias("weights"))
-    out = None
-    for reps, samples in passes(n, replicates):
-        part = _block_counts(rows, n, ploidy, max_alleles, reps, samples)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+_COUNTS = "grp long, rep int, i int, dots array<bigint>"
 
-def _block_counts(rows: DataFrame, n: int, ploidy: int, max_alleles: int, reps: range, samples: range) -> DataFrame:
-    schema = pa.schema([("grp", pa.int64()), ("rep", pa.int32()), ("i", pa.int32()), ("dots", pa.list_(pa.int64()))])
-    own = slice(samples.start, samples.stop)
 
-    def listed(dots: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(dots) + 1, dtype=np.int32) * n), pa.array(dots.ravel()))
+def _listed(dots: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(dots) + 1, dtype=np.int32) * dots.shape[1]), pa.array(dots.ravel()))
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """One row of the sums of the dots of all."""
+    total = list_matrix(table.column("dots"), np.int64).sum(axis=0, keepdims=True)
+    return table.slice(0, 1).set_column(table.schema.get_field_index("dots"), "dots", _listed(total))
+
+
+def _parts(batch: pa.RecordBatch):
+    """(group, rows) of runs of one group, BLOCK_VARIANTS rows at most."""
+    groups = batch.column("grp").to_numpy()
+    edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True]))) if len(groups) else [0]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        for a in range(int(lo), int(hi), BLOCK_VARIANTS):
+            yield int(groups[lo]), batch.slice(a, min(BLOCK_VARIANTS, int(hi) - a))
+
+
+def _weighted_dots(left: np.ndarray, right: np.ndarray, weights: np.ndarray, bits: int, rep: int) -> np.ndarray:
+    """Sums over variants of the common ones of two (variants * bits, samples) matrices; blocks are small enough to be exact in float32."""
+    if rep:
+        left = left * np.repeat(weights.astype(np.float32), bits)[:, None]
+    return (left.T @ right).astype(np.int64)
+
+
+def _worker_counts(rows: DataFrame, n: int, ploidy: int, max_alleles: int, reps: range) -> DataFrame:
+    schema = pa.schema([("grp", pa.int64()), ("rep", pa.int32()), ("i", pa.int32()), ("dots", pa.list_(pa.int64()))])
+    bits = ploidy * max_alleles
 
     def partial(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -152,33 +164,74 @@ def _block_counts(rows: DataFrame, n: int, ploidy: int, max_alleles: int, reps:
         def rows_of(keys):
             for g, r in keys:
                 m = sums.pop((g, r))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), g)), pa.array(np.full(len(m), r, np.int32)), pa.array(np.array(samples, np.int32)), listed(m)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g)), pa.array(np.full(n, r, np.int32)), pa.array(np.arange(n, dtype=np.int32)), _listed(m)], schema=schema)
 
         for batch in batches:
-            groups = batch.column("grp").to_numpy()
-            edges = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                for a in range(lo, hi, BLOCK_VARIANTS):
-                    part = batch.slice(a, min(BLOCK_VARIANTS, hi - a))
-                    hot = _one_hot(part.column("gts"), n, ploidy, max_alleles).transpose(0, 2, 1).reshape(-1, n)
-                    drawn = list_matrix(part.column("weights"), np.float32)
-                    for rep in reps:
-                        weighted = hot[:, own] if rep == 0 else hot[:, own] * np.repeat(drawn[:, rep - 1], hot.shape[0] // max(1, part.num_rows))[:, None]
-                        # sums of at most 2048 * bits small whole numbers are exact in float32
-                        found = (weighted.T @ hot).astype(np.int64)
-                        key = (int(groups[lo]), rep)
-                        sums[key] = sums[key] + found if key in sums else found
+            last = None
+            for last, part in _parts(batch):
+                hot = _one_hot(part.column("gts"), n, ploidy, max_alleles).transpose(0, 2, 1).reshape(-1, n)
+                drawn = weights_of(part.column("a").to_numpy(), part.column("b").to_numpy(), reps)
+                for rep in reps:
+                    found = _weighted_dots(hot, hot, drawn[:, rep], bits, rep)
+                    sums[last, rep] = sums[last, rep] + found if (last, rep) in sums else found
             # windows come in order: all but the last of the batch are over in this partition
-            done = [k for k in sums if k[0] != int(groups[-1])] if len(groups) else []
-            yield from rows_of(done)
+            yield from rows_of([k for k in sums if k[0] != last])
         yield from rows_of(list(sums))
 
-    def add(table: pa.Table) -> pa.Table:
-        total = list_matrix(table.column("dots"), np.int64).sum(axis=0, keepdims=True)
-        return table.slice(0, 1).set_column(table.schema.get_field_index("dots"), "dots", listed(total))
+    return rows.mapInArrow(partial, _COUNTS).groupBy("grp", "rep", "i").applyInArrow(_added, _COUNTS)
+
+
+def _tile_counts(rows: DataFrame, n: int, ploidy: int, max_alleles: int, reps: range) -> DataFrame:
+    size = SAMPLE_BLOCK
+    blocks, bits, per = -(-n // size), ploidy * max_alleles, max(1, TILE_BYTES // (8 * size * size))
+    # splits of the input whose variants a task takes together, by the size of a line
+    splits = max(1, TILE_VARIANTS * 4 * n // int(rows.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    packed = "grp long, v long, id long, block int, ones binary, a array<bigint>, b array<bigint>"
 
-    parts = rows.mapInArrow(partial, "grp long, rep int, i int, dots array<bigint>")
-    return parts.groupBy("grp", "rep", "i").applyInArrow(add, "grp long, rep int, i int, dots array<bigint>")
+    def pack(batches):
+        split, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for grp, part in _parts(batch):
+                hot = _one_hot(part.column("gts"), n, ploidy, max_alleles).astype(bool).transpose(0, 2, 1)
+                hot = np.pad(hot, ((0, 0), (0, 0), (0, blocks * size - n)))
+                pairs = [_listed(part.column(c).to_numpy()[None, :]) for c in ("a", "b")]
+                for s in range(blocks):
+                    ones = np.packbits(hot[:, :, s * size : (s + 1) * size], axis=2).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([grp]), pa.array([split // splits]), pa.array([split << 32 | k]), pa.array([s], pa.int32()), pa.array([ones]), *pairs], [x.split()[0] for x in packed.split(", ")])
+                k += 1
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    part = F.explode(F.sequence(F.lit(0), F.lit((len(reps) - 1) // per))).alias("part")
+    sent = rows.mapInArrow(pack, packed).select("*", other).select("*", part)
+    sent = sent.select("grp", "v", "id", "block", "ones", "a", "b", "part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    kind = "grp long, rep int, i int, segment int, dots array<bigint>"
+
+    def measure(table: pa.Table) -> pa.Table:
+        p, q, part = (table.column(c)[0].as_py() for c in ("p", "q", "part"))
+        own = reps[part * per : (part + 1) * per]
+        ids, block = table.column("id").to_pylist(), table.column("block").to_pylist()
+        at = {(i, b): k for k, (i, b) in enumerate(zip(ids, block, strict=True))}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        ones = lambda k: np.unpackbits(np.frombuffer(table.column("ones")[k].as_buffer(), np.uint8).reshape(-1, size // 8), axis=1).astype(np.float32)
+        for i in dict.fromkeys(ids):
+            k = at[i, p]
+            left, right = ones(k), ones(at[i, q])
+            drawn = weights_of(*(np.array(table.column(c)[k].as_py(), np.int64) for c in ("a", "b")), own)
+            for r, rep in enumerate(own):
+                key = (table.column("grp")[k].as_py(), rep)
+                found = _weighted_dots(left, right, drawn[:, r], bits, rep)
+                sums[key] = sums[key] + found if key in sums else found
+        out = []
+        for (grp, rep), m in sums.items():
+            for first, second, dots in ((p, q, m), (q, p, m.T))[: 1 + (p != q)]:
+                dots = dots[: min(size, n - first * size)]
+                k = len(dots)
+                out.append(pa.table([np.full(k, grp), np.full(k, rep, np.int32), (first * size + np.arange(k)).astype(np.int32), np.full(k, second, np.int32), _listed(np.ascontiguousarray(dots))], ["grp", "rep", "i", "segment", "dots"]))
+        return pa.concat_tables(out)
+
+    found = sent.groupBy("p", "q", "part", "v").applyInArrow(measure, kind).groupBy("grp", "rep", "i", "segment").applyInArrow(_added, kind)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment", "dots"))), lambda x: x["dots"]))
+    return found.groupBy("grp", "rep", "i").agg(F.slice(whole, 1, n).alias("dots"))
 
 
 def block_distances(counts: DataFrame, samples: list[str]) -> DataFrame:
@@ -188,3 +241,36 @@ def block_distances(counts: DataFrame, samples: list[str]) -> DataFrame:
     rows = counts.join(norms, ["grp", "rep"]).select("grp", "rep", "i", F.get("norms", F.col("i"))["norm"].alias("ni"), F.posexplode(F.arrays_zip("dots", "norms")).alias("j", "x"))
     dist = cosine_distance(F.col("x.dots").cast("double"), F.col("ni").cast("double"), F.col("x.norms.norm").cast("double"), F.col("i") == F.col("j"))
     return rows.where("i <= j").select("grp", "rep", "i", "j", F.get(names, F.col("i")).alias("name_i"), F.get(names, F.col("j")).alias("name_j"), dist.alias("dist"))
+
+
+def vector_products(vectors: DataFrame, by: list[str], key: str, vec: str = "v") -> DataFrame:
+    """(by..., key_i, key_j, n_i, n_j, dot) for key_i <= key_j of the vectors of each group, by products of blocks of rows.
+
+    Vectors are dealt into blocks by a hash of the key; a task multiplies two blocks, and a vector is sent once for each block.
+    """
+    most = vectors.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-most // VECTOR_BLOCK))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = vectors.select(*by, F.col(key).alias("_k"), F.col(vec).alias("_v"), own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"))
+    rows = rows.select(*by, "_k", "_v", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))
+    named = [f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in by]
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def multiply(table: pa.Table) -> pa.Table:
+        a, b = table.column("_a")[0].as_py(), table.column("_b")[0].as_py()
+        keys, block = table.column("_k").combine_chunks(), table.column("_own").to_numpy()
+        x = list_matrix(table.column("_v"), np.float64)
+        norm = (x * x).sum(axis=1)
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        rank = np.empty(len(keys), np.int64)
+        rank[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+        dots = x[left] @ x[right].T
+        i, j = np.nonzero(rank[left][:, None] <= rank[right][None, :] if a == b else np.ones(dots.shape, bool))
+        dot, i, j = dots[i, j], left[i], right[j]
+        i, j = np.where(rank[i] <= rank[j], i, j), np.where(rank[i] <= rank[j], j, i)
+        first = table.slice(0, 1)
+        fixed = [first.column(c).combine_chunks().take(pa.array(np.zeros(len(i), np.int64))) for c in by]
+        return pa.table([*fixed, keys.take(pa.array(i)), keys.take(pa.array(j)), norm[i], norm[j], dot], [*by, f"{key}_i", f"{key}_j", "n_i", "n_j", "dot"])
+
+    out = ", ".join([*named, f"{key}_i {kind}", f"{key}_j {kind}", "n_i double", "n_j double", "dot double"])
+    return rows.groupBy(*by, "_a", "_b").applyInArrow(multiply, out)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genotype import VariantKey, dosage, variant_key
-from .bootstrap import poisson_weights
-from .distance import all_pairs, identity, list_matrix
+from .bootstrap import variant_pair, weights_of
+from .distance import BLOCK_BYTES, identity, list_matrix, vector_products
 
 #: embeddings of up to so many bytes are broadcast
 BROADCAST_BYTES = 64 << 20
@@ -31,25 +31,51 @@ def counters(variants: DataFrame, matched: DataFrame) -> dict[str, int]:
     return {"processed": total, "used": used, "skipped": total - used}
 
 
-def project(matched: DataFrame, n: int, dim: int, replicates: int = 0, seed: int = 1) -> DataFrame:
-    """(rep, idx, vec array<double>) from rows with gts and vec; each partition adds up its own, by matrix products."""
-    weights = poisson_weights(identity(matched), replicates, seed) if replicates else F.array().cast("array<int>")
-    places = F.sequence(F.lit(0), F.lit(n - 1))
-    rows = matched.select(F.transform(places, lambda k: F.coalesce(dosage(F.get("gts", k)), F.lit(0))).alias("d"), "vec", weights.alias("w"))
-
-    def partial(batches):
-        total = np.zeros((replicates + 1, n, dim))
+def _blocks(n: int, dim: int, replicates: int, limit: int) -> tuple[int, int]:
+    """Samples and replicates of a task, whose sums are under a limit of bytes (or one row)."""
+    if 8 * n * dim * (replicates + 1) <= limit:
+        return n, replicates + 1
+    samples = max(1, min(n, limit // (8 * dim * min(replicates + 1, 16))))
+    return samples, max(1, min(replicates + 1, limit // (8 * dim * samples)))
+
+
+def project(matched: DataFrame, n: int, dim: int, replicates: int = 0, seed: int = 1, limit: int = BLOCK_BYTES) -> DataFrame:
+    """(rep, idx, vec array<double>) from rows with gts and vec; each partition adds up its own, by matrix products.
+
+    Where all sums are over the limit, a partition's rows go to a task for each part of samples and replicates, again by
+    splits of the input; they are read once either way.
+    """
+    pair = variant_pair(identity(matched), seed) if replicates else F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    samples, reps = _blocks(n, dim, replicates, limit)
+    parts, turns = -(-n // samples), -(-(replicates + 1) // reps)
+    part, turn = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
+    rows = matched.select("gts", "vec", pair["a"].alias("a"), pair["b"].alias("b"), F.spark_partition_id().alias("split"))
+    rows = rows.select("*", part).select("*", turn) if parts * turns > 1 else rows.select("*", F.lit(0).alias("part"), F.lit(0).alias("turn"))
+    places = F.sequence(F.col("part") * samples, F.least((F.col("part") + 1) * samples, F.lit(n)) - 1)
+    rows = rows.select(F.transform(places, lambda k: F.coalesce(dosage(F.get("gts", k)), F.lit(0))).alias("d"), "vec", "a", "b", "part", "turn", "split")
+    kind = "rep int, idx int, vec array<double>"
+
+    def add_up(batches):
+        total = None
         for batch in batches:
             if batch.num_rows:
-                d, e, w = list_matrix(batch.column("d"), float), list_matrix(batch.column("vec"), float), list_matrix(batch.column("w"), float)
-                total[0] += d.T @ e
-                for rep in range(1, replicates + 1):
-                    total[rep] += (d * w[:, rep - 1 : rep]).T @ e
-        reps, idx = np.divmod(np.arange((replicates + 1) * n), n)
-        yield pa.RecordBatch.from_arrays([pa.array(reps.astype(np.int32)), pa.array(idx.astype(np.int32)), pa.array(list(total.reshape(-1, dim)), pa.list_(pa.float64()))], ["rep", "idx", "vec"])
-
-    parts = rows.mapInArrow(partial, "rep int, idx int, vec array<double>")
-    added = parts.select("rep", "idx", F.posexplode("vec").alias("dim", "x")).groupBy("rep", "idx", "dim").agg(F.sum("x").alias("x"))
+                p, t = batch.column("part")[0].as_py(), batch.column("turn")[0].as_py()
+                own = range(t * reps, min((t + 1) * reps, replicates + 1))
+                d, e = list_matrix(batch.column("d"), float), list_matrix(batch.column("vec"), float)
+                w = weights_of(*(batch.column(c).to_numpy() for c in ("a", "b")), own)
+                total = np.zeros((len(own), d.shape[1], dim)) if total is None else total
+                for r in range(len(own)):
+                    total[r] += (d * w[:, r : r + 1]).T @ e
+        if total is not None:
+            r, k = np.divmod(np.arange(len(own) * total.shape[1]), total.shape[1])
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * dim), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array((r + own[0]).astype(np.int32)), pa.array((k + p * samples).astype(np.int32)), vec], ["rep", "idx", "vec"])
+
+    if parts * turns == 1:
+        found = rows.mapInArrow(add_up, kind)
+    else:
+        found = rows.groupBy("split", "part", "turn").applyInArrow(lambda t: pa.Table.from_batches(list(add_up(t.combine_chunks().to_batches()))), kind)
+    added = found.select("rep", "idx", F.posexplode("vec").alias("dim", "x")).groupBy("rep", "idx", "dim").agg(F.sum("x").alias("x"))
     return added.groupBy("rep", "idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda v: v["x"]).alias("vec"))
 
 
@@ -62,9 +88,8 @@ def project_long(dosages: DataFrame, embeddings: DataFrame) -> DataFrame:
 def vector_distances(vectors: DataFrame, by: list[str] | None = None, name: str = "idx") -> DataFrame:
     """(by..., i, j, dist) for i <= j, cosine over vec, cut to 0..2; zero vectors as in genotype distances."""
     by = by or []
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select(*by, F.col(name).alias("k"), F.col("vec").cast("array<double>").alias("v")).withColumn("n", dot(F.col("v"), F.col("v")))
-    pairs = all_pairs(v, "k", by)
+    v = vectors.select(*by, F.col(name).alias("k"), F.col("vec").cast("array<double>").alias("v"))
+    pairs = vector_products(v, by, "k")
     same = F.col("k_i") == F.col("k_j")
-    dist = F.when((F.col("n_i") == 0) | (F.col("n_j") == 0), F.when(same, 0.0).otherwise(1.0)).otherwise(1 - dot(F.col("v_i"), F.col("v_j")) / (F.sqrt("n_i") * F.sqrt("n_j")))
+    dist = F.when((F.col("n_i") == 0) | (F.col("n_j") == 0), F.when(same, 0.0).otherwise(1.0)).otherwise(1 - F.col("dot") / (F.sqrt("n_i") * F.sqrt("n_j")))
     return pairs.select(*by, F.col("k_i").alias("i"), F.col("k_j").alias("j"), F.least(F.greatest(dist, F.lit(0.0)), F.lit(2.0)).alias("dist"))

@@ -138,15 +138,17 @@ def _carried(totals: DataFrame, policy: WindowPolicy) -> DataFrame:
     return totals.groupBy(F.lit(0).alias("all")).applyInPandas(carry, _CARRY)
 
 
-def assign(df: DataFrame, policy: WindowPolicy, contigs_together: bool = True) -> DataFrame:
+def assign(df: DataFrame, policy: WindowPolicy, contigs_together: bool = True, positions: DataFrame | None = None) -> DataFrame:
     """Adds win_id, numbers that rise with the order; rows without a position are left out.
 
     Rows that a file reader numbered are taken in the files' order.  Others are taken by ord, and contigs
-    apart from one another if contigs_together.
+    apart from one another if contigs_together.  `positions`, written rows of ord, chrom and pos of the same numbered
+    rows, spare the first of two passes over df.
     """
     names = [c for c in df.columns if c != "win_id"]
     rows = _in_splits(df.select(*names).where("pos is not null"), contigs_together)
-    carried = _carried(_split_totals(rows, policy), policy).select(F.struct("file", "block", "part").alias("_split"), F.struct("base", "chrom", "tile", "place").alias("_carry"))
+    known = rows if positions is None else _in_splits(positions.select("ord", "chrom", "pos").where("pos is not null"), contigs_together)
+    carried = _carried(_split_totals(known, policy), policy).select(F.struct("file", "block", "part").alias("_split"), F.struct("base", "chrom", "tile", "place").alias("_carry"))
     found = rows.join(F.broadcast(carried), "_split").select(*names, "_split", "_carry")
     schema = StructType([*(df.schema[n] for n in names)]).add("win_id", LongType())
 

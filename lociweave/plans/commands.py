@@ -10,7 +10,7 @@ from ..functions.genotype import VariantKey
 from ..functions.numbers import stats_text
 from ..operators import agglomerate, distance, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
-from ..operators.shared import materialised
+from ..operators.shared import materialised, written
 from ..sources.embeddings import read_embeddings  # noqa: F401
 from ..sources.fasta import read_fasta, read_sequence_lines  # noqa: F401
 from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix
@@ -26,8 +26,10 @@ def vcf_distances(vcf: Vcf, replicates: int = 0, seed: int = 1) -> DataFrame:
 
 def windowed_distances(vcf: Vcf, policy: windows.WindowPolicy) -> DataFrame:
     """(chrom, start, end, n, i, j, name_i, name_j, dist) of each window with enough lines."""
-    found = windows.bounds(windows.assign(vcf.variants.select("ord", "chrom", "pos"), policy), policy)
-    assigned = windows.assign(vcf.variants.select("ord", "chrom", "pos", "gts"), policy)
+    # the file is read twice: for its positions, from which windows follow, and for its genotypes
+    positions = written(vcf.variants.select("ord", "chrom", "pos"))
+    found = windows.bounds(windows.assign(positions, policy), policy)
+    assigned = windows.assign(vcf.variants.select("ord", "chrom", "pos", "gts"), policy, positions=positions)
     counts = distance.block_counts(assigned, len(vcf.samples), vcf.ploidy, vcf.max_alleles, group="win_id")
     dist = distance.block_distances(counts, vcf.samples)
     return found.withColumnRenamed("win_id", "grp").join(dist, "grp").select("chrom", "start", "end", "n", "i", "j", "name_i", "name_j", "dist")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import genotype as G
 from lociweave.operators import bootstrap, distance, stats, tree, windows
+from lociweave.operators import embedding_projection as emb
 from lociweave.plans import commands as C
 from lociweave.sources.text import read_lines
 from lociweave.sources.vcf import kept_lines
@@ -228,14 +229,81 @@ def test_filtered_file_keeps_everything_else(spark, tmp_path):
     assert lines(True) == [*head, f"c\t1{rest}./.\t3:0/0:z", f"c\t2{rest}./.\t./.", f"c\t3{rest}9:1|1:q\t./."]
 
 
-def test_parts_of_samples_and_replicates_give_the_same_sums(spark, monkeypatch):
+@pytest.mark.parametrize("group", [None, "win"])
+def test_tiles_give_the_same_sums_and_read_once(spark, monkeypatch, group):
+    """Blocks of samples, parts of replicates and ranges of variants; rows are counted where they are read."""
     rng = np.random.default_rng(8)
-    df = spark.createDataFrame([(k, [f"{rng.integers(2)}/{rng.integers(2)}" for _ in range(6)]) for k in range(40)], "ord int, gts array<string>").repartition(3)
+    n = 21
+    pool = ["0/0", "0/1", "1|1", "./.", "1", "2/0", None]
+    rows = [(k, k // 15, [pool[rng.integers(len(pool))] for _ in range(n)] if k % 9 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "ord int, win long, gts array<string>").repartitionByRange(4, "ord").sortWithinPartitions("ord")
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = df.mapInArrow(watched, df.schema)
+    monkeypatch.setattr(distance, "SAMPLE_BLOCK", 8)
+    monkeypatch.setattr(distance, "TILE_BYTES", 8 * 8 * 8 * 2)
+    monkeypatch.setattr(distance, "BLOCK_VARIANTS", 5)
     found = []
-    for size in (1 << 20, 8 * 6 * 2):
+    for size in (1 << 20, 64):
         monkeypatch.setattr(distance, "BLOCK_BYTES", size)
-        found.append({(r["rep"], r["i"]): r["dots"] for r in distance.block_counts(df, 6, 2, 2, replicates=3).collect()})
-    assert len(distance.passes(6, 3)) == 12 and len(found[0]) == 24 and found[0] == found[1]
+        read.value = 0
+        found.append({(r["grp"], r["rep"], r["i"]): r["dots"] for r in distance.block_counts(source, n, 2, 3, group, replicates=4).collect()})
+        assert read.value == len(rows)
+    assert not distance.fits(n, 4) and len(found[0]) == (1 if group is None else 4) * 5 * n
+    assert found[0] == found[1]
+
+
+def test_weights_of_tasks_are_those_of_columns(spark):
+    rows = spark.range(500).select(bootstrap.variant_pair(F.col("id"), 7).alias("p"), bootstrap.poisson_weights(F.col("id"), 9, 7).alias("w")).collect()
+    a, b = (np.array([r["p"][k] for r in rows]) for k in range(2))
+    assert bootstrap.weights_of(a, b, range(1, 10)).tolist() == [r["w"] for r in rows]
+    assert (bootstrap.weights_of(a, b, range(2))[:, 0] == 1).all()
+
+
+def test_projection_in_parts_and_products_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    gts = [[f"{rng.integers(2)}/{rng.integers(2)}" for _ in range(9)] for _ in range(30)]
+    vecs = rng.standard_normal((30, 4))
+    df = spark.createDataFrame([(k, g, v.tolist()) for k, (g, v) in enumerate(zip(gts, vecs, strict=True))], "ord int, gts array<string>, vec array<double>").repartition(3)
+    whole, parts = ({(r["rep"], r["idx"]): r["vec"] for r in emb.project(df, 9, 4, 5, limit=limit).collect()} for limit in (1 << 20, 8 * 4 * 3 * 6))
+    assert len(whole) == 54 and emb._blocks(9, 4, 5, 8 * 4 * 3 * 6) == (3, 6)
+    want = np.array([[sum(map(int, g.split("/"))) for g in row] for row in gts]).T @ vecs
+    for k, v in whole.items():
+        assert v == pytest.approx(parts[k])
+    assert np.array([whole[0, i] for i in range(9)]) == pytest.approx(want)
+    monkeypatch.setattr(distance, "VECTOR_BLOCK", 3)
+    rows = [(g, f"k{k}", v.tolist()) for g in (1, None) for k, v in enumerate([*rng.standard_normal((10, 4)), np.zeros(4)])]
+    found = emb.vector_distances(spark.createDataFrame(rows, "g int, idx string, vec array<double>"), ["g"]).collect()
+    assert len(found) == 2 * 66
+    by = {(r[0], r[1]): np.array(r[2]) for r in rows}
+    for r in found:
+        x, y = by[r["g"], r["i"]], by[r["g"], r["j"]]
+        size = np.sqrt((x @ x) * (y @ y))
+        assert r["i"] <= r["j"] and r["dist"] == pytest.approx(1 - x @ y / size if size else float(r["i"] != r["j"]), abs=1e-12)
+
+
+def test_windowed_distances_read_the_file_twice(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_text(vcf_text([("c", k) for k in range(1, 41)], [["0/1", "1/1", "0/0"]] * 40))
+    read = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    def count(df):
+        return df.mapInArrow(watched, df.schema)
+
+    vcf = C.read_vcf(spark, str(tmp_path / "a"), 2, 2, transform=count)
+    read.value = 0
+    found = C.windowed_distances(vcf, windows.WindowPolicy("variants", 10)).collect()
+    assert len(found) == 4 * 6 and {r["n"] for r in found} == {10}
+    assert read.value == 2 * len((tmp_path / "a").read_text().splitlines())
 
 
 def test_json_embeddings_last_wins_and_widths(spark, tmp_path, vcf_path):
