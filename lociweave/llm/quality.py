@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ._linear import Sparse, fit_logistic, fit_platt, gathered, sample_labelled, sigmoid
 from ._text import WORD_BYTES, checkpointed, run_hashes, span_hashes, spans, text_slices
 
-#: bounds of the labelled sample: rows, and bytes of their features
-TRAIN_ROWS, TRAIN_BYTES = 3000, 20 << 20
+#: bounds of the labelled sample: rows, and bytes of their features (about 10 kB a row, so the rows bind)
+TRAIN_ROWS, TRAIN_BYTES = 3000, 48 << 20
 #: features of each kind: hashed words, then 4-grams, then pairs of words
 KIND_BITS = 16
 KINDS = 3
@@ -57,13 +57,19 @@ def _word_features(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - KIND_BITS)).astype(np.int64)
 
 
-def features(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse features of one text: shares of its words, of its 4-grams and of its pairs of words."""
-    found = []
+def features(data: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Sparse features of one text, counts of its words, its 4-grams and its pairs of words, and how many there are of each kind."""
+    found, sizes = [], []
     for kind, index in enumerate((_word_features(hashes), _grams(data) if len(data) > 3 else np.zeros(0, np.int64), _word_features(run_hashes(hashes, 2)))):
         some, counts = np.unique(index, return_counts=True)
-        found.append((some + (kind << KIND_BITS), counts / max(1, len(index))))
-    return np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found])
+        found.append((some + (kind << KIND_BITS), counts))
+        sizes.append(len(index))
+    return np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), sizes
+
+
+def shares(index: np.ndarray, counts: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Counts as shares of all of their kind."""
+    return (counts / np.maximum(1, np.array(sizes))[index >> KIND_BITS]).astype(np.float32)
 
 
 def base_statistics(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
@@ -90,8 +96,8 @@ def base_statistics(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, f
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dict | None:
-    """The model: weights of all features, bias, and the two numbers of its calibration."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> dict | None:
+    """The model: weights of all features, bias, the two numbers of its calibration, and the number of rows that it was fitted on."""
     sample = sample_labelled(docs, labels, "quality", train_rows, seed=3)
 
     def featurise(batches):
@@ -102,15 +108,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
                 starts, ends, first = spans(data, offsets)
                 hashes = span_hashes(data, starts, ends)
                 for k in range(hi - lo):
-                    index, value = features(data[offsets[k] : offsets[k + 1]], hashes[first[k] : first[k + 1]])
-                    rows.append({"doc_id": ids[lo + k], "label": label[lo + k], "index": index.astype("<i4").tobytes(), "value": value.astype("<f4").tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("index", pa.binary()), ("value", pa.binary())]))
+                    index, value, sizes = features(data[offsets[k] : offsets[k + 1]], hashes[first[k] : first[k + 1]])
+                    rows.append({"doc_id": ids[lo + k], "label": label[lo + k], "index": index.astype("<i4").tobytes(), "value": np.minimum(value, 65535).astype("<u2").tobytes(), "sizes": sizes})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("index", pa.binary()), ("value", pa.binary()), ("sizes", pa.list_(pa.int64()))]))
 
-    rows = gathered(checkpointed(sample.mapInArrow(featurise, "doc_id long, label int, index binary, value binary")), TRAIN_BYTES, "index", "value")
+    rows = gathered(checkpointed(sample.mapInArrow(featurise, "doc_id long, label int, index binary, value binary, sizes array<long>")), train_bytes, "index", "value")
     y = (rows["label"] == 1).to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None
-    x = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(rows["index"], rows["value"], strict=True)]
+    x = [(i := np.frombuffer(a, "<i4"), shares(i, np.frombuffer(v, "<u2"), list(n))) for a, v, n in zip(rows["index"], rows["value"], rows["sizes"], strict=True)]
     held = np.arange(len(y)) % 5 == 4
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held[:] = False
@@ -122,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> dic
     calibrate = Sparse.of([p for p, h in zip(x, held, strict=True) if h]) if held.any() else Sparse.of(x)
     weights = weights * scale
     slope, offset = fit_platt(calibrate.dot(weights) + bias, y[held] if held.any() else y)
-    return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
+    return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "offset": offset, "rows": len(y)}
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, min_probability: float = MIN_PROBABILITY, train_rows: int = TRAIN_ROWS) -> DataFrame:
