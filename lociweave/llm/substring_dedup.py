@@ -172,7 +172,8 @@ def _run(docs: DataFrame, width: int, carried: list[str], whole: bool) -> DataFr
     bits, shard_bits = layout.bits, layout.shard_bits
     # any names may be carried: they are numbered in the struct
     row = F.struct(*[quoted(c).alias("doc_id" if c == "doc_id" else f"c{k}") for k, c in enumerate(carried)])
-    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(layout.buckets)).cast("int")
+    # by content alone, so that a map task that runs again deals its rows alike for all passes
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.buckets)).cast("int")
     dealt = docs.select(row.alias("row"), "text", bucket.alias("bucket"))
 
     def windows_of(table: pa.Table):
