@@ -12,7 +12,7 @@ asks for has J >= m / (w + t - m) and fails to retrieve it with probability at m
 (1 - J)**bands.  J is lowest for the shortest templates (1/6 for one of five words); each length
 has as many bands as its worst template needs for a probability under MISS.
 
-Only windows with a shingle of some template can agree in a band, because a band's
+Only windows with a shingle of some template of the length can agree in a band, because a band's
 minimum is then the hash of a shared shingle; others are passed over unsigned.
 
 Null and empty texts hold no license; a repeated row is scanned like any other; a very long text
@@ -107,9 +107,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return run_hashes(span_hashes(data, starts, ends), SHINGLE)
 
 
+def _salts(bands: int) -> np.ndarray:
+    return np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def signature(hashes: np.ndarray, bands: int) -> np.ndarray:
     """One minimum per band of a set of shingle hashes."""
-    salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    salts = _salts(bands)
     rows = max(1, BLOCK // len(hashes))
     return np.concatenate([mix(salts[k : k + rows, None] ^ hashes[None, :]).min(axis=1) for k in range(0, bands, rows)])
 
@@ -140,25 +144,47 @@ class Templates:
         self.classes: dict[int, list[int]] = {}
         for i, n in enumerate(self.lengths):
             self.classes.setdefault(n, []).append(i)
+        self.class_known = {n: np.unique(np.concatenate([hashes[i] for i in members])) for n, members in self.classes.items()}
         self.bands = {n: max(bands_for(len(self.shingles[i]), 2 * n - SHINGLE + 1, min_containment) for i in members) for n, members in self.classes.items()}
         self.signatures = {n: np.stack([signature(hashes[i], self.bands[n]) for i in members]) for n, members in self.classes.items()}
 
+    def agreeing(self, step: int, hashes: np.ndarray, starts: np.ndarray, shingles: int) -> np.ndarray:
+        """(windows, members of a length) which agree in a band; windows of so many shingles, signed band by band in blocks."""
+        own = self.signatures[step]
+        out = np.zeros((len(starts), len(own)), bool)
+        rows = max(1, BLOCK // max(1, shingles))
+        for lo in range(0, len(starts), rows):
+            block = hashes[starts[lo : lo + rows, None] + np.arange(shingles)]
+            for band in range(self.bands[step]):
+                least = mix(_salts(band + 1)[band] ^ block).min(axis=1)
+                out[lo : lo + rows] |= least[:, None] == own[None, :, band]
+        return out
+
     def found_in(self, words_at, hashes: np.ndarray) -> dict[int, tuple[float, set]]:
-        """(share, shingles) of each template that is in a text; words_at(lo, hi) gives its words, hashes its shingles'."""
+        """(share, shingles) of each template that is in a text; words_at(lo, hi) gives its words, hashes its shingles'.
+
+        Windows with the same shingles are signed and verified once, where the last of them is; of windows with the same share the last counts.
+        """
         out: dict[int, tuple[float, set]] = {}
-        held = self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes
-        held = np.flatnonzero(held)
-        if not len(held):
+        if not np.isin(hashes, self.known).any():
             return out
         for step, members in self.classes.items():
-            width = 2 * step
+            held = np.flatnonzero(np.isin(hashes, self.class_known[step]))
+            if not len(held):
+                continue
+            shingles = 2 * step - SHINGLE + 1
             starts = np.unique(np.concatenate([held // step * step, np.maximum(0, held // step * step - step)]))
-            for lo in starts.tolist():
-                own = np.unique(hashes[lo : min(len(hashes), lo + width - SHINGLE + 1)])
-                agree = (self.signatures[step] == signature(own, self.bands[step])).any(axis=1)
-                for at in np.flatnonzero(agree).tolist():
+            whole, cut = starts[starts + shingles <= len(hashes)], starts[starts + shingles > len(hashes)]
+            if len(whole) > 1:
+                keys = run_hashes(hashes, shingles)[whole]
+                whole = np.sort(whole[len(keys) - 1 - np.unique(keys[::-1], return_index=True)[1]])
+            agree = [(lo, row) for lo, row in zip(whole.tolist(), self.agreeing(step, hashes, whole, shingles), strict=True) if row.any()]
+            for lo in cut.tolist():
+                agree.append((lo, self.agreeing(step, hashes, np.array([lo]), len(hashes) - lo)[0]))
+            for lo, row in agree:
+                for at in np.flatnonzero(row).tolist():
                     i = members[at]
-                    common = self.shingles[i] & shingles_of(words_at(lo, min(len(hashes) + SHINGLE - 1, lo + width)))
+                    common = self.shingles[i] & shingles_of(words_at(lo, min(len(hashes) + SHINGLE - 1, lo + 2 * step)))
                     share = len(common) / len(self.shingles[i])
                     if share >= max(self.min_containment, out.get(i, (0,))[0]):
                         out[i] = (share, common)
