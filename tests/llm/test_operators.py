@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 
 import numpy as np
@@ -236,7 +237,8 @@ def test_quality_scores_equal_the_features_of_each_text(spark):
     for k, t in enumerate(texts):
         data = np.frombuffer((t or "").encode(), np.uint8)
         hashes = [_text.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])) for w in WORDS.findall(t or "")]
-        index, value = quality.features(data, np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        index, counts, sizes = quality.features(data, np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        value = quality.shares(index, counts, sizes)
         total = model["bias"] + (model["weights"][index].astype(float) * value).sum()
         assert abs(got[k]["quality_score"] - 1 / (1 + np.exp(-(model["slope"] * total + model["offset"])))) < 1e-4, k
 
@@ -736,3 +738,59 @@ def test_toxicity_takes_term_lists(spark):
         score = {r["doc_id"]: r["score"] for r in toxicity.toxicity(probes, toxicity.fit(docs, labels, **more)).collect()}
         apart.append(score[0] - score[1])
     assert abs(apart[1]) < apart[0] / 2
+
+
+# ---- long texts, and what a lost executor or a dense text asks for ----
+
+
+def test_texts_of_several_megabytes(spark):
+    """Operators that read whole texts in slices give for a text of 3 MB what they give for its parts, as far as that is defined."""
+    rng = random.Random(9)
+    long = prose(rng, 400_000, 50_000)
+    passage = " ".join(long.split()[200_000:200_040])
+    notice = " ".join(licenses.TEMPLATES["MIT"])
+    texts = [long, long + "\n", "x" * 2_500_000, passage + " end", "a b c", long[:2_000_000] + " " + notice]
+    docs = frame(spark, texts)
+    assert len(long) > 2_500_000
+    kept = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(docs).collect()}
+    assert kept[1] == 1 and kept[2] == 2 and len(set(kept.values())) == 6
+    rules = {r["doc_id"]: r for r in quality.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert rules[0]["n_words"] == 400_000 and rules[2]["word_chars"] == 2_500_000 and rules[0]["kept"]
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert removed[0] == removed[1] == (400_000, 400_000) and removed[3] == (41, 40) and removed[2] == (1, 0)
+    lines = {r["doc_id"]: r["n_lines"] for r in line_dedup.line_dedup(docs).collect()}
+    assert lines == {0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 1}
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert near[0] == near[1] == 0 and near[2] == 2
+    found = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(docs).collect()}
+    assert found == {0: "", 1: "", 2: "", 3: "", 4: "", 5: "MIT"}
+    scores = toxicity.toxicity(docs, toxicity.fit(docs, spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, toxic int"))).collect()
+    assert len(scores) == 6 and all(0 <= r["score"] <= 1 for r in scores)
+
+
+def test_windows_of_dense_texts_are_signed_once():
+    """Thousands of notices, with and without a period that windows share, in a moment; the same matches as one."""
+    templates = licenses.Templates(licenses.TEMPLATES, 0.8)
+    whole = licenses.words_of(" ".join(licenses.TEMPLATES["MIT"]))
+    for words in (licenses.words_of("Released under the MIT License. ") * 20_000, (whole + [b"odd"]) * 100):
+        begun = time.process_time()
+        found = {i: share for i, (share, _) in templates.found_in(lambda lo, hi, words=words: words[lo:hi], licenses._hashes(words)).items()}
+        assert time.process_time() - begun < 5
+        short = words[: 5 * 60 if len(words[0]) == 8 else 3 * (len(whole) + 1)]
+        assert found == {i: share for i, (share, _) in templates.found_in(lambda lo, hi, words=short: words[lo:hi], licenses._hashes(short)).items()}
+
+
+def test_buckets_follow_the_content_alone(spark):
+    """Rows that arrive in another order, as after a lost executor, are dealt to the same buckets."""
+    rng = random.Random(4)
+    docs = frame(spark, [prose(rng, 80) for _ in range(60)] * 2)
+    plan = substring_dedup.substring_dedup(docs)._jdf.queryExecution().analyzed().toString()
+    assert "monotonically_increasing_id" not in plan
+
+
+def test_quality_sample_and_its_bounds(spark):
+    rng = random.Random(2)
+    docs = frame(spark, [prose(rng, 60, 30, "good" if k % 2 else "bad") for k in range(80)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    assert quality.fit(docs, labels)["rows"] == 80
+    assert 0 < quality.fit(docs, labels, train_bytes=20_000)["rows"] < 80
