@@ -134,7 +134,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         else:
             dist, used = C.vcf_distances(vcf, reps, args.seed), vcf.variants.count()
         if grow:
-            grown = tree.supported_tree(dist, reps) if reps else C.one_tree(dist.where("rep = 0"), n)
+            grown = C.supported_tree(dist, reps, n) if reps else C.one_tree(dist.where("rep = 0"), n)
             emit(grown.select(F.lit(0).alias("line_no"), F.col("newick").alias("value")), ["line_no"], args.output)
         else:
             emit(matrix_lines(dist.select("i", "j", "name_i", "name_j", "dist"), f"'{n}\t{used}'"), ["line_no"], args.output)
@@ -163,7 +163,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
     elif args.command == "DIST2Clusters":
         dist = C.matrix_groups(spark, one)
         if args.method == "height":
-            got = tree.clusters(dist, ["rep"], 0.5 if args.cutHeight is None else args.cutHeight, args.minClusterSize)
+            got = C.height_clusters(dist, dist.where("i = j").count(), 0.5 if args.cutHeight is None else args.cutHeight, args.minClusterSize)
         else:
             got = dynamic_cut.dynamic_clusters(dist, ["rep"], args.cutHeight, args.minClusterSize, min_split=(args.cutHeight or 0.0) if args.extra else 0.0)
         got = materialised(got)

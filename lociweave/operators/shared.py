@@ -31,11 +31,16 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same as a table in the shared folder; unlike a checkpoint it hands on nothing of the plan, which loops would pile up."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same as a table in the shared folder, and its folder; unlike a checkpoint it hands on nothing of the plan, which loops would pile up."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table in the shared folder."""
+    return stored(df)[0]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -34,22 +34,13 @@ class Node:
         return [self.label] if not self.children else [x for c in self.children for x in c.leaves()]
 
 
-def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") -> Node:
-    """The pair with the smallest distance is joined, the first in row order among equals; negative and NaN cells never.
+def join_order(whole: np.ndarray, sizes: np.ndarray, linkage: str):
+    """(kept, gone, distance) of all joins of clusters of some sizes by their symmetric matrix, which is changed; inf is never joined.
 
-    The larger cluster (the one with the smaller number if they are as large) comes first in the new node.
+    The pair with the smallest distance is joined, the first in row order among equals; the larger cluster (the one
+    with the smaller number if they are as large) keeps its number.
     """
-    if linkage not in LINKAGES:
-        raise ValueError(f"linkage is one of {LINKAGES}")
-    n = len(labels)
-    if n < 2:
-        raise ValueError("a tree needs two samples at least")
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * n + 1000))  # a tree may be as deep as it has leaves
-    d = np.array(matrix, float)
-    d = np.where(np.tri(n, k=-1, dtype=bool), d, np.nan)
-    d[~(d >= 0)] = np.inf
-    whole = np.minimum(d, d.T)
-    nodes, heights, sizes = [Node(x) for x in labels], np.zeros(n), np.ones(n, int)
+    n, sizes = len(sizes), np.array(sizes)
     alive = np.ones(n, bool)
     # of each row the least cell left of the diagonal and its first place
     least, first = np.full(n, np.inf), np.zeros(n, int)
@@ -70,12 +61,7 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
         if not np.isfinite(at):
             raise ValueError("no pair of clusters has a distance")
         gone, kept = (i, j) if sizes[i] <= sizes[j] else (j, i)
-        for k in (kept, gone):
-            length = at - heights[k]
-            if length < -1e-9:
-                raise ValueError("a branch length is negative")
-            nodes[k].length = max(0.0, length)
-        nodes[kept] = Node(children=[nodes[kept], nodes[gone]])
+        yield kept, gone, at
         a, b = whole[kept], whole[gone]
         if linkage == "complete":
             merged = np.maximum(a, b)
@@ -84,7 +70,7 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
         else:
             merged = (sizes[kept] * a + sizes[gone] * b) / (sizes[kept] + sizes[gone])
         whole[kept], whole[:, kept] = merged, merged
-        heights[kept], alive[gone] = at, False
+        alive[gone] = False
         sizes[kept] += sizes[gone]
         below = np.arange(kept + 1, n)
         closer = below[alive[below] & ((merged[below] < least[below]) | ((merged[below] == least[below]) & (first[below] > kept)))]
@@ -93,6 +79,27 @@ def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") ->
         changed[closer] = False
         changed[[kept, gone]] = True
         look(np.flatnonzero(changed).tolist())
+
+
+def cluster(matrix: np.ndarray, labels: list[str], linkage: str = "complete") -> Node:
+    """The tree of all joins; negative and NaN cells are never joined.  The cluster that keeps its number comes first in the new node."""
+    if linkage not in LINKAGES:
+        raise ValueError(f"linkage is one of {LINKAGES}")
+    n = len(labels)
+    if n < 2:
+        raise ValueError("a tree needs two samples at least")
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * n + 1000))  # a tree may be as deep as it has leaves
+    d = np.array(matrix, float)
+    d = np.where(np.tri(n, k=-1, dtype=bool), d, np.nan)
+    d[~(d >= 0)] = np.inf
+    nodes, heights, kept = [Node(x) for x in labels], np.zeros(n), 0
+    for kept, gone, at in join_order(np.minimum(d, d.T), np.ones(n, int), linkage):
+        for k in (kept, gone):
+            length = at - heights[k]
+            if length < -1e-9:
+                raise ValueError("a branch length is negative")
+            nodes[k].length = max(0.0, length)
+        nodes[kept], heights[kept] = Node(children=[nodes[kept], nodes[gone]]), at
     return nodes[kept]
 
 

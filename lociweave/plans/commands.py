@@ -102,7 +102,7 @@ def representatives(vcf: Vcf, height: float) -> list[str]:
 
     Heights near 0.5 leave unrelated samples, heights near 0.075 one of each clone.
     """
-    found = tree.clusters(vcf_distances(vcf), ["rep"], height)
+    found = height_clusters(vcf_distances(vcf), len(vcf.samples), height)
     missing = stats.individual_counts(stats.genotype_calls(vcf.variants, vcf.samples)).select(F.col("indiv").alias("name"), F.col("p_miss").alias("miss"))
     kept = {r["name"] for r in stats.least_missing(found.select("cluster_id", "name").join(missing, "name")).collect()}  # sample names
     return [s for s in vcf.samples if s in kept]
@@ -118,3 +118,17 @@ def one_tree(dist: DataFrame, samples: int) -> DataFrame:
     if samples > tree.GROUP_SAMPLES:
         return agglomerate.large_tree(dist)
     return tree.trees(dist.select(F.lit(0).alias("rep"), "i", "j", "name_i", "name_j", "dist"), ["rep"]).select("newick")
+
+
+def supported_tree(dist: DataFrame, replicates: int, samples: int) -> DataFrame:
+    """(newick) of rep 0 with support of the other replicates: a task a matrix if they are small, else in rounds."""
+    if samples > tree.GROUP_SAMPLES:
+        return agglomerate.large_supported_tree(dist, replicates)
+    return tree.supported_tree(dist, replicates).select("newick")
+
+
+def height_clusters(dist: DataFrame, samples: int, height: float, min_size: int = 1) -> DataFrame:
+    """(cluster_id, name, size) of one matrix's tree, cut at a height: in one task if it is small, else in rounds."""
+    if samples > tree.GROUP_SAMPLES:
+        return agglomerate.large_clusters(dist, height, min_size)
+    return tree.clusters(dist, ["rep"], height, min_size).select("cluster_id", "name", "size")

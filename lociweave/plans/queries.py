@@ -216,13 +216,6 @@ def stream_sessions(spark, sf_dir):
 # ---- embeddings ------------------------------------------------------------
 
 
-def sample_embedding_projection(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    d = li.groupBy((F.col("l_suppkey") % SAMPLES).alias("idx"), (F.col("l_partkey") % 500).alias("key")).agg(F.sum(F.col("l_quantity").cast("int") % 3).alias("dosage"))
-    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
-    return emb.project_long(d, e).select("idx", "dim", F.round("value", 4).alias("value"))
-
-
 def embedding_cosine(spark, sf_dir):
     """Cosine distances between the sums of each label's vectors."""
     e = _t(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
@@ -230,12 +223,6 @@ def embedding_cosine(spark, sf_dir):
     return emb.vector_distances(sums, name="label").select("i", "j", F.round("dist", 6).alias("dist"))
 
 
-def skipped_variants(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 700).alias("key"))
-    known = _t(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key")).withColumn("hit", F.lit(1))
-    return li.join(known, "key", "left").agg(F.count(F.lit(1)).alias("processed"), F.count("hit").alias("used"), (F.count(F.lit(1)) - F.count("hit")).alias("skipped"))
-
-
 def _with_embeddings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """All variants, and those of them that have one of all the embeddings: a part key is the vector's number."""
     none = F.lit(".")
@@ -376,7 +363,7 @@ def large_trees(spark, sf_dir):
     dist = embedding_cosine(spark, sf_dir).select("i", "j", F.concat(F.lit("l"), F.col("i").cast("string")).alias("name_i"), F.concat(F.lit("l"), F.col("j").cast("string")).alias("name_j"), "dist")
     dist, out = materialised(dist), None
     for linkage in agglomerate.LINKAGES:
-        one = agglomerate.large_tree(dist, linkage).select(F.lit(linkage).alias("linkage"), "newick")
+        one = agglomerate.large_tree(dist, linkage, finish=1).select(F.lit(linkage).alias("linkage"), "newick")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -386,6 +373,33 @@ def clade_support(spark, sf_dir):
     return tree.clade_support(grown, 20).select(F.concat_ws(" ", "clade").alias("clade"), "n", "support")
 
 
+def _supplier_leaves(spark, sf_dir, reps: int):
+    """(rep, id, name): suppliers as leaves 0.. of trees, in other places in trees 2 and 3; and their number."""
+    s = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).cast("int").alias("k"), F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("name"))
+    n = s.count()
+    turned = F.col("k").bitwiseXOR(F.lit(1))
+    place = F.when(F.col("rep") == 2, F.when(turned < n, turned).otherwise(F.col("k"))).when(F.col("rep") == 3, (F.col("k") + 2) % n).otherwise(F.col("k"))
+    return s.select(F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"), "k", "name").select("rep", place.cast("int").alias("id"), "name"), n
+
+
+def large_clade_support(spark, sf_dir):
+    """Clades of the suppliers' binary trees by fingerprints; three replicates."""
+    leaves, n = _supplier_leaves(spark, sf_dir, 3)
+    step = F.shiftleft(F.lit(1), F.col("round"))
+    rows = leaves.select("rep", "id", F.explode(F.sequence(F.lit(0), F.lit(max(0, n.bit_length() - 1)))).alias("round")).where((F.col("id") % (2 * step) == 0) & (F.col("id") + step < n))
+    joins = rows.select("rep", "round", F.col("id").alias("kept"), (F.col("id") + step).alias("gone"), (F.col("round") + 1).cast("double").alias("height"), F.least(2 * step, F.lit(n) - F.col("id")).cast("long").alias("size"))
+    return agglomerate.clade_support(agglomerate.clade_prints(joins, leaves), n, 3)
+
+
+def large_tree_clusters(spark, sf_dir):
+    """Clusters cut from the tree of all suppliers' distances (the length of the longest bit in which their numbers differ)."""
+    leaves, n = _supplier_leaves(spark, sf_dir, 0)
+    rows = leaves.select(F.col("id").alias("i"), F.col("name").alias("name_i"), F.explode(F.expr(f"sequence(id, {n - 1})")).alias("j"))
+    apart = F.length(F.bin(F.col("i").bitwiseXOR(F.col("j")))).cast("double")
+    dist = rows.select("i", "j", "name_i", F.lit("").alias("name_j"), F.when(F.col("i") == F.col("j"), 0.0).otherwise(apart).alias("dist"))
+    return agglomerate.large_clusters(dist, 3.0, min_size=5, finish=8)
+
+
 def windowed_trees(spark, sf_dir):
     tiles = windows.sorted_tiles(_wide(_genotypes(spark, sf_dir)), TILE)
     counts = distance.block_counts(tiles, SAMPLES, 2, ALLELES, group="win_start")
@@ -479,7 +493,7 @@ def packed_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, sample_embedding_projection, embedding_cosine, skipped_variants, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, large_clade_support, large_tree_clusters, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:
@@ -516,6 +530,18 @@ SELECT *, round(n_het / (n_het + n_alt + n_ref), 6) AS p_het, round(n_alt / (n_h
 WITH t AS ({_SQL_GT}), d AS (SELECT l_returnflag, a IN ('.', 'x') AS bad, CASE WHEN a NOT IN ('.', 'x') THEN (a <> '0')::INT + (b <> '0')::INT END AS d, CASE WHEN a = '.' THEN 0 ELSE (a IN ('0', '1'))::INT + 1 END AS k FROM t)
 SELECT l_returnflag, count(*) FILTER (WHERE bad) AS n_missing, CAST(sum(d) AS BIGINT) AS dosage, CAST(sum(k) AS BIGINT) AS bits FROM d GROUP BY 1""",
     "keep_samples": f"WITH {_SQL_G} SELECT v AS variant, {_KEPT} FROM g GROUP BY v",
+    "large_clade_support": """
+WITH s AS (SELECT s_suppkey - 1 AS k, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier), n AS (SELECT count(*) AS n FROM s),
+l AS (SELECT r AS rep, name, CASE r WHEN 2 THEN CASE WHEN xor(k, 1) < n THEN xor(k, 1) ELSE k END WHEN 3 THEN (k + 2) % n ELSE k END AS id FROM s, n, range(4) AS t(r)),
+j AS (SELECT rep, id, t AS round FROM l, n, range(40) AS x(t) WHERE id % (2 << t) = 0 AND id + (1 << t) < n),
+c AS (SELECT j.rep, j.round, j.id AS kept, count(*) AS size, string_agg(l.name, ' ' ORDER BY l.name) AS clade FROM j JOIN l ON l.rep = j.rep AND l.id >= j.id AND l.id < j.id + (2 << j.round) GROUP BY ALL),
+i AS (SELECT c.* FROM c, n WHERE size < n)
+SELECT a.round::INT AS round, a.kept::INT AS kept, a.size, count(b.rep) AS n, CAST(floor(100 * count(b.rep) / 3 + 0.5) AS INT) AS support FROM i a LEFT JOIN i b ON b.clade = a.clade AND b.rep > 0 WHERE a.rep = 0 GROUP BY a.round, a.kept, a.size""",
+    "large_tree_clusters": """
+WITH s AS (SELECT (s_suppkey - 1) // 8 AS c, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier),
+g AS (SELECT c, count(*) AS size, min(name) AS least FROM s GROUP BY c),
+k AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, least) AS id FROM g WHERE size >= 5)
+SELECT coalesce(id, 0)::INT AS cluster_id, name, coalesce(k.size, (SELECT sum(size) FROM g WHERE size < 5))::BIGINT AS size FROM s LEFT JOIN k USING (c)""",
     "least_missing_per_cluster": """
 WITH m AS (SELECT l_suppkey % 7 AS cluster_id, CAST(l_suppkey AS VARCHAR) AS name, avg((CAST(floor(l_quantity) AS INT) % 3 = 0)::INT) AS miss FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY miss, name) AS k FROM m)
@@ -527,18 +553,12 @@ SELECT p_partkey, concat_ws(':', p_brand, p_size) AS chrom_pos, concat_ws(':', p
 WITH r AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY ts, event_id) - 1) // 50 AS w FROM ({_SQL_POS}))
 SELECT chrom, min(pos) AS start, max(pos) + 1 AS "end", count(*) AS n FROM r GROUP BY chrom, w HAVING count(*) >= 10""",
     "stream_tiles": f"SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    "sample_embedding_projection": f"""
-WITH d AS (SELECT l_suppkey % {SAMPLES} AS idx, l_partkey % 500 AS key, CAST(floor(l_quantity) AS INT) % 3 AS dosage FROM lineitem),
-e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)
-SELECT idx, CAST(k - 1 AS INT) AS dim, round(sum(dosage * CAST(embedding[k] AS DOUBLE)), 4) AS value FROM d JOIN e ON key = vec_id WHERE dosage > 0 GROUP BY 1, 2""",
     "embedding_cosine": """
 WITH e AS (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings),
 s AS (SELECT label, k, sum(CAST(embedding[k] AS DOUBLE)) AS x FROM e GROUP BY 1, 2),
 n AS (SELECT label, sqrt(sum(x * x)) AS n FROM s GROUP BY 1),
 d AS (SELECT a.label AS i, b.label AS j, sum(a.x * b.x) AS d FROM s a JOIN s b USING (k) WHERE a.label <= b.label GROUP BY 1, 2)
 SELECT i, j, round(least(2, greatest(0, 1 - d / (p.n * q.n))), 6) AS dist FROM d JOIN n p ON p.label = i JOIN n q ON q.label = j""",
-    "skipped_variants": """
-SELECT count(*) AS processed, count(vec_id) AS used, count(*) - count(vec_id) AS skipped FROM lineitem LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) ON l_partkey % 700 = vec_id""",
     "embedding_projection": f"""
 WITH {_SQL_G}, i AS (SELECT DISTINCT s FROM g),
 e AS (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings WHERE vec_id IN (SELECT v FROM g)),

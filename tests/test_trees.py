@@ -1,8 +1,15 @@
+import collections
+import glob
+import itertools
+import operator
+import re
+
 import numpy as np
 import pytest
 
 from lociweave import cli
 from lociweave.operators import agglomerate, stats, tree
+from lociweave.operators.shared import shared_folder
 from lociweave.operators.windows import WindowPolicy
 from lociweave.plans import commands as C
 from lociweave.sources.matrix import matrix_lines, read_matrix
@@ -164,7 +171,8 @@ def test_rounds_of_joins_give_the_same_tree(spark, linkage, n, most):
     d, labels = d + d.T, [f"s{k}" for k in range(n)]
     rows = [(i, j, labels[i], labels[j], float(d[i, j])) for i in range(n) for j in range(i, n)]
     dist = spark.createDataFrame(rows, "i int, j int, name_i string, name_j string, dist double").repartition(3)
-    assert agglomerate.large_tree(dist, linkage).first()["newick"] == tree.newick(tree.cluster(d, labels, linkage))
+    for finish in (1, 4, 100):
+        assert agglomerate.large_tree(dist, linkage, finish).first()["newick"] == tree.newick(tree.cluster(d, labels, linkage))
 
 
 def test_rounds_of_joins_of_odd_matrices(spark):
@@ -173,3 +181,59 @@ def test_rounds_of_joins_of_odd_matrices(spark):
     bad = spark.createDataFrame([(0, 0, "a", "a", 0.0), (1, 1, "b", "b", 0.0), (0, 1, "a", "b", float("nan"))], one.schema)
     with pytest.raises(ValueError):
         agglomerate.merges(bad)
+
+
+def _replicates(n, reps, seed=5):
+    rng = np.random.default_rng(seed)
+    base, rows, matrices = rng.random((n, 3)), [], []
+    for rep in range(reps + 1):
+        x = base + 0.2 * (rep > 0) * rng.random((n, 3))
+        d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 2)  # with ties
+        matrices.append(d)
+        rows += [(rep, i, j, f"s{i:02d}", f"s{j:02d}", float(d[i, j])) for i in range(n) for j in range(i, n)]
+    return matrices, rows, "rep int, i int, j int, name_i string, name_j string, dist double"
+
+
+def test_support_by_fingerprints(spark, monkeypatch):
+    """Matrices of all replicates in rounds, clades by fingerprints: the tree that one task for each matrix gives."""
+    n, reps = 23, 4
+    matrices, rows, schema = _replicates(n, reps)
+    labels = [f"s{i:02d}" for i in range(n)]
+    counts = collections.Counter(c for m in matrices[1:] for c in set(tree.clades(tree.cluster(m, labels))))
+    want = tree.newick(tree.annotate(tree.cluster(matrices[0], labels), counts, reps))
+    assert re.search(r"\)\d+:", want)
+    dist = spark.createDataFrame(rows, schema).repartition(3)
+    for finish in (1, 6, 100):
+        assert agglomerate.large_supported_tree(dist, reps, finish=finish).first()["newick"] == want
+    monkeypatch.setattr(tree, "GROUP_SAMPLES", 5)
+    assert C.supported_tree(dist, reps, n).first()["newick"] == want
+
+
+@pytest.mark.parametrize(("height", "least"), [(0.0, 1), (0.3, 1), (0.45, 3), (9.0, 2)])
+def test_cut_by_doubled_pointers(spark, height, least):
+    n = 31
+    (d,), rows, schema = _replicates(n, 0)
+    want = tree.cut(tree.cluster(d, [f"s{i:02d}" for i in range(n)]), height, least)
+    got = agglomerate.large_clusters(spark.createDataFrame(rows, schema), height, least, finish=8)
+    assert {(r["cluster_id"], r["name"], r["size"]) for r in got.collect()} == {(k, x, len(v)) for k, v in want.items() for x in v}
+
+
+def test_a_chain_of_joins(spark):
+    """A tree as deep as it has leaves takes rounds by the logarithm of its depth."""
+    n = 40
+    joins = spark.createDataFrame([(0, k, 0, k + 1, float(k + 1), k + 2) for k in range(n - 1)], agglomerate._JOINS)
+    leaves = spark.createDataFrame([(0, k, f"s{k}") for k in range(n)], "rep int, id int, name string")
+    prints = {r["round"]: (r["f1"], r["size"]) for r in agglomerate.clade_prints(joins, leaves).collect()}
+    hashes = [r[0] for r in leaves.orderBy("id").selectExpr("xxhash64(1, name)").collect()]
+    want = list(itertools.accumulate(hashes, operator.xor))
+    assert prints == {k: (want[k + 1], k + 2) for k in range(n - 1)}
+    got = {r["name"]: r["cluster_id"] for r in agglomerate.cut_clusters(joins, leaves, 20.0).collect()}
+    assert {k for k, v in got.items() if v == 1} == {f"s{k}" for k in range(21)}
+
+
+def test_past_rounds_are_deleted(spark):
+    home = shared_folder(spark)
+    before = set(glob.glob(f"{home}/table-*"))
+    _, rows, schema = _replicates(12, 0)
+    joins = agglomerate.merges(spark.createDataFrame(rows, schema), finish=1)
+    assert len(set(glob.glob(f"{home}/table-*")) - before) == joins.select("round").distinct().count()
