@@ -25,14 +25,16 @@ def _parser() -> argparse.ArgumentParser:
     top.add_argument("--version", action="version", version=VERSION)
     sub = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *, threads: bool = True) -> argparse.ArgumentParser:
-        p = sub.add_parser(name)
+    def command(name: str, *, threads: bool = True, help_letter: bool = True) -> argparse.ArgumentParser:
+        p = sub.add_parser(name, add_help=help_letter)
+        if not help_letter:
+            p.add_argument("--help", action="help")
         p.add_argument("paths", nargs="*")
         p.add_argument("-i", "--input", nargs="+", default=[])
         p.add_argument("-o", "--output")
         p.add_argument("-v", "--verbose", action="store_true")
         if threads:
-            p.add_argument("-t", "--threads", type=int, default=1, help="local threads; a cluster's master decides by itself")
+            p.add_argument("-t", "--threads", "--numberOfThreads", type=int, default=1, help="local threads; a cluster's master decides by itself")
         return p
 
     for name in ("VCF2DIST", "VCF2TREE"):
@@ -65,9 +67,11 @@ def _parser() -> argparse.ArgumentParser:
         if name == "DIST2Hist":
             p.add_argument("-s", "--bins", type=lambda x: int(x.split(",")[0]), default=100, help="number of bins; sizes of a picture may follow")
     for name, height in (("VCFNonrelated", 0.5), ("VCFRemoveClones", 0.075)):
-        p = command(name, threads=False)
+        p = command(name, help_letter=False)
         p.add_argument("-c", "--cutHeight", type=float, default=height)
-        p.add_argument("--ignoreHets", action="store_true")
+        p.add_argument("-g", "--ignoreHets", action="store_true", help="heterozygous genotypes count as missing")
+        p.add_argument("-h", "--onlyHets", action="store_true", help="all but heterozygous genotypes count as missing in the distances")
+        p.add_argument("-e", "--extra", action="store_true", help="clusters by the shape of the tree; branches that meet below the cut height stay together")
     p = command("VCFKeepSamples", threads=False)
     p.add_argument("-s", "--samples", required=True)
     p.add_argument("--ignoreHets", action="store_true")
@@ -154,7 +158,7 @@ def run(argv: list[str] | None = None, spark=None) -> int:
         if args.command == "VCFKeepSamples":
             keep = [r[0] for r in stats.keep_list(spark.read.text(args.samples)).collect()]  # a list of samples
         else:
-            keep = C.representatives(C.read_vcf(spark, paths), args.cutHeight)
+            keep = C.representatives(C.read_vcf(spark, paths), args.cutHeight, args.ignoreHets, args.onlyHets, args.extra)
         emit(kept_lines(spark, paths, keep, args.ignoreHets), ["kind", "ord"], args.output)
     elif args.command == "DIST2TREE":
         dist = C.matrix_groups(spark, one)

@@ -52,6 +52,16 @@ def is_missing(gt: Column) -> Column:
     return gt.isNull() | gt.contains(".")
 
 
+def is_het(gt: Column) -> Column:
+    """Whether a called genotype has different alleles; false for a missing one."""
+    return ~is_missing(gt) & (F.size(F.array_distinct(alleles(gt))) > 1)
+
+
+def hets_only(gts: Column, wanted: bool) -> Column:
+    """The genotypes with all but the heterozygous ones missing, or with those missing."""
+    return F.transform(gts, lambda g: F.when(F.coalesce(is_het(g), F.lit(False)) == wanted, g))
+
+
 def dosage(gt: Column) -> Column:
     """Number of non-reference alleles; null if any allele is missing or not a number."""
     numbers = F.transform(alleles(gt), lambda a: a.try_cast("int"))

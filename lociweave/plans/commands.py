@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.genotype import VariantKey
+from ..functions.genotype import VariantKey, hets_only
 from ..functions.numbers import stats_text
-from ..operators import agglomerate, distance, kmers, stats, tree, windows
+from ..operators import agglomerate, distance, dynamic_cut, kmers, stats, tree, windows
 from ..operators import embedding_projection as emb
 from ..operators.shared import materialised, written
 from ..sources.embeddings import read_embeddings  # noqa: F401
@@ -97,12 +99,18 @@ def stats_lines(found: DataFrame) -> DataFrame:
     return found.select("indiv", F.concat_ws("\t", "indiv", *[F.col(c).cast("string") for c in ("n_sites", "n_het", "n_alt", "n_ref", "n_miss")], *ratios).alias("value"))
 
 
-def representatives(vcf: Vcf, height: float) -> list[str]:
+def representatives(vcf: Vcf, height: float, ignore_hets: bool = False, only_hets: bool = False, extra: bool = False) -> list[str]:
     """Samples that stay if of each cluster below a height only the one with least missing genotypes does.
 
-    Heights near 0.5 leave unrelated samples, heights near 0.075 one of each clone.
+    Heights near 0.5 leave unrelated samples, heights near 0.075 one of each clone.  Distances may leave out the
+    heterozygous genotypes, or all others.  `extra` cuts the tree by the shape of its branches, of which those that meet below the
+    height stay together.
     """
-    found = height_clusters(vcf_distances(vcf), len(vcf.samples), height)
+    if ignore_hets and only_hets:
+        raise ValueError("heterozygous genotypes can't be ignored and be the only ones")
+    used = replace(vcf, variants=vcf.variants.withColumn("gts", hets_only(F.col("gts"), only_hets))) if ignore_hets or only_hets else vcf
+    dist = vcf_distances(used)
+    found = dynamic_cut.dynamic_clusters(dist, ["rep"], height, 1, min_split=height) if extra else height_clusters(dist, len(vcf.samples), height)
     missing = stats.individual_counts(stats.genotype_calls(vcf.variants, vcf.samples)).select(F.col("indiv").alias("name"), F.col("p_miss").alias("miss"))
     kept = {r["name"] for r in stats.least_missing(found.select("cluster_id", "name").join(missing, "name")).collect()}  # sample names
     return [s for s in vcf.samples if s in kept]

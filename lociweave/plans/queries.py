@@ -375,8 +375,8 @@ def clade_support(spark, sf_dir):
 
 def _supplier_leaves(spark, sf_dir, reps: int):
     """(rep, id, name): suppliers as leaves 0.. of trees, in other places in trees 2 and 3; and their number."""
-    s = _t(spark, sf_dir, "supplier").select((F.col("s_suppkey") - 1).cast("int").alias("k"), F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("name"))
-    n = s.count()
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("name"))
+    n = s.count()  # suppliers are numbered from 0
     turned = F.col("k").bitwiseXOR(F.lit(1))
     place = F.when(F.col("rep") == 2, F.when(turned < n, turned).otherwise(F.col("k"))).when(F.col("rep") == 3, (F.col("k") + 2) % n).otherwise(F.col("k"))
     return s.select(F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"), "k", "name").select("rep", place.cast("int").alias("id"), "name"), n
@@ -385,7 +385,7 @@ def _supplier_leaves(spark, sf_dir, reps: int):
 def large_clade_support(spark, sf_dir):
     """Clades of the suppliers' binary trees by fingerprints; three replicates."""
     leaves, n = _supplier_leaves(spark, sf_dir, 3)
-    step = F.shiftleft(F.lit(1), F.col("round"))
+    step = F.expr("shiftleft(1, round)")
     rows = leaves.select("rep", "id", F.explode(F.sequence(F.lit(0), F.lit(max(0, n.bit_length() - 1)))).alias("round")).where((F.col("id") % (2 * step) == 0) & (F.col("id") + step < n))
     joins = rows.select("rep", "round", F.col("id").alias("kept"), (F.col("id") + step).alias("gone"), (F.col("round") + 1).cast("double").alias("height"), F.least(2 * step, F.lit(n) - F.col("id")).cast("long").alias("size"))
     return agglomerate.clade_support(agglomerate.clade_prints(joins, leaves), n, 3)
@@ -400,6 +400,28 @@ def large_tree_clusters(spark, sf_dir):
     return agglomerate.large_clusters(dist, 3.0, min_size=5, finish=8)
 
 
+def stream_variant_windows(spark, sf_dir):
+    """Windows of 40 variants of three contigs, as a stream that brings them in four batches, with common alleles of all samples."""
+    g = _wide(_genotypes(spark, sf_dir)).select(F.concat(F.lit("chr"), (F.col("pos") % 3).cast("string")).alias("chrom"), F.col("pos").cast("long").alias("pos"), "gts", F.col("pos").cast("long").alias("ord"))
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    most = g.agg(F.max("pos")).first()[0] or 0
+    for k in range(3):  # one file a batch
+        g.where(F.floor(F.col("pos") * 3 / (most + 1)) == k).coalesce(1).write.mode("append").parquet(f"{home}/in")
+    ends = g.select("chrom").distinct().select("chrom", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("array<string>").alias("gts"), F.lit(most + 1).cast("long").alias("ord"))
+    ends.coalesce(1).write.mode("append").parquet(f"{home}/in")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+        out = streams.stream_variant_windows(stream, windows.WindowPolicy("variants", 40), SAMPLES, 2, ALLELES)
+        query = out.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+        query.start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(out.schema).parquet(f"{home}/out")
+
+
 def windowed_trees(spark, sf_dir):
     tiles = windows.sorted_tiles(_wide(_genotypes(spark, sf_dir)), TILE)
     counts = distance.block_counts(tiles, SAMPLES, 2, ALLELES, group="win_start")
@@ -493,7 +515,7 @@ def packed_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, large_clade_support, large_tree_clusters, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, large_clade_support, large_tree_clusters, stream_variant_windows, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:
@@ -531,17 +553,22 @@ WITH t AS ({_SQL_GT}), d AS (SELECT l_returnflag, a IN ('.', 'x') AS bad, CASE W
 SELECT l_returnflag, count(*) FILTER (WHERE bad) AS n_missing, CAST(sum(d) AS BIGINT) AS dosage, CAST(sum(k) AS BIGINT) AS bits FROM d GROUP BY 1""",
     "keep_samples": f"WITH {_SQL_G} SELECT v AS variant, {_KEPT} FROM g GROUP BY v",
     "large_clade_support": """
-WITH s AS (SELECT s_suppkey - 1 AS k, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier), n AS (SELECT count(*) AS n FROM s),
+WITH s AS (SELECT s_suppkey AS k, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier), n AS (SELECT count(*) AS n FROM s),
 l AS (SELECT r AS rep, name, CASE r WHEN 2 THEN CASE WHEN xor(k, 1) < n THEN xor(k, 1) ELSE k END WHEN 3 THEN (k + 2) % n ELSE k END AS id FROM s, n, range(4) AS t(r)),
 j AS (SELECT rep, id, t AS round FROM l, n, range(40) AS x(t) WHERE id % (2 << t) = 0 AND id + (1 << t) < n),
 c AS (SELECT j.rep, j.round, j.id AS kept, count(*) AS size, string_agg(l.name, ' ' ORDER BY l.name) AS clade FROM j JOIN l ON l.rep = j.rep AND l.id >= j.id AND l.id < j.id + (2 << j.round) GROUP BY ALL),
 i AS (SELECT c.* FROM c, n WHERE size < n)
 SELECT a.round::INT AS round, a.kept::INT AS kept, a.size, count(b.rep) AS n, CAST(floor(100 * count(b.rep) / 3 + 0.5) AS INT) AS support FROM i a LEFT JOIN i b ON b.clade = a.clade AND b.rep > 0 WHERE a.rep = 0 GROUP BY a.round, a.kept, a.size""",
     "large_tree_clusters": """
-WITH s AS (SELECT (s_suppkey - 1) // 8 AS c, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier),
+WITH s AS (SELECT s_suppkey // 8 AS c, 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name FROM supplier),
 g AS (SELECT c, count(*) AS size, min(name) AS least FROM s GROUP BY c),
 k AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, least) AS id FROM g WHERE size >= 5)
 SELECT coalesce(id, 0)::INT AS cluster_id, name, coalesce(k.size, (SELECT sum(size) FROM g WHERE size < 5))::BIGINT AS size FROM s LEFT JOIN k USING (c)""",
+    "stream_variant_windows": f"""WITH {_SQL_G},
+x AS (SELECT DISTINCT v FROM g), i AS (SELECT DISTINCT s FROM g), r AS (SELECT v, v % 3 AS w, (row_number() OVER (PARTITION BY v % 3 ORDER BY v) - 1) // 40 AS k FROM x),
+q AS (SELECT w, k, min(v) AS start, max(v) + 1 AS "end", count(*) AS n FROM r GROUP BY w, k),
+d AS (SELECT w, k, a.s AS i, b.s AS j, count(*) AS dot FROM r JOIN c a USING (v) JOIN c b ON b.v = a.v AND b.hap = a.hap AND b.allele = a.allele WHERE a.s <= b.s GROUP BY ALL)
+SELECT 'chr' || q.w AS chrom, q.start::BIGINT AS start, q."end"::BIGINT AS "end", q.n, p.s AS i, o.s AS j, coalesce(d.dot, 0)::BIGINT AS dot FROM q JOIN i p ON true JOIN i o ON p.s <= o.s LEFT JOIN d ON d.w = q.w AND d.k = q.k AND d.i = p.s AND d.j = o.s""",
     "least_missing_per_cluster": """
 WITH m AS (SELECT l_suppkey % 7 AS cluster_id, CAST(l_suppkey AS VARCHAR) AS name, avg((CAST(floor(l_quantity) AS INT) % 3 = 0)::INT) AS miss FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY miss, name) AS k FROM m)

@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave import cli
+from lociweave.functions import genotype as G
 from lociweave.operators import agglomerate, stats, tree
 from lociweave.operators.shared import shared_folder
 from lociweave.operators.windows import WindowPolicy
@@ -112,6 +114,10 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "keep").write_text("s3 x\n")
     assert run("VCFKeepSamples", str(vcf), "-s", str(tmp_path / "keep"))[3].endswith("GT\t1/1")
     assert run("VCFNonrelated", str(vcf), "-c", "0.65")[2].endswith("FORMAT\ts1\ts2")
+    assert run("VCFNonrelated", str(vcf), "-c", "0.65", "-h")[2].endswith("FORMAT\ts1\ts2\ts3")  # they share no heterozygous call
+    assert run("VCFRemoveClones", str(vcf), "-g", "-e", "-t", "2")[2].startswith("#CHROM")
+    with pytest.raises(ValueError):
+        cli.run(["VCFRemoveClones", str(vcf), "-g", "-h"], spark)
     (tmp_path / "a.fa").write_text(">s1\nACGTACGTACGTACGTACGT\n>s2\nAAAATTTTGGGGCCCCAAAA\n")
     assert run("FASTA2DIST", str(tmp_path / "a.fa"))[0] == "2"
     with pytest.raises(SystemExit):
@@ -120,11 +126,18 @@ def test_commands(spark, tmp_path, capsys):
         cli.run(["VCF2TREE", str(vcf), "--window-bp", "2", "--window-variants", "5"], spark)
 
 
+def test_heterozygous_genotypes(spark):
+    gts = spark.createDataFrame([(["0/1", "1|1", "./.", None, "1", "0/1/1"],)], "gts array<string>")
+    row = gts.select(G.hets_only(F.col("gts"), True).alias("only"), G.hets_only(F.col("gts"), False).alias("without")).first()
+    assert row["only"] == ["0/1", None, None, None, None, "0/1/1"] and row["without"] == [None, "1|1", "./.", None, "1", None]
+
+
 def test_streamed_variant_windows_equal_batch(spark, tmp_path):
     schema = "chrom string, pos long, gts array<string>"
     rows = [("chr1", p, g) for p, g in zip((100, 200, 300, 400, 500), [["0/0", "0/1"], ["0/1", "1/1"], ["1/1", "0/0"], ["0/0", "1/1"], ["1/1", "0/1"]], strict=True)] + [("chr1", None, None)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = streams.stream_variant_windows(stream, WindowPolicy("bp", 200), 2, 2, 2)
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
