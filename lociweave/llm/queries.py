@@ -35,6 +35,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rule of op3, which SQL can express, without a classifier."""
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.quality_rules(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +91,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_bpe, op6_substring_dedup, op7_line_dedup, op8_simhash, op9_toxicity, op10_license_scan, op11_conversation_trie, op12_embedding_dedup, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_bpe, op6_substring_dedup, op7_line_dedup, op8_simhash, op9_toxicity, op10_license_scan, op11_conversation_trie, op12_embedding_dedup, op13_conversation_repair, quality_base_columns)}
 
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -118,6 +125,14 @@ ORACLE_SQL = {
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.norm) AS text_sha256 FROM n JOIN g USING (norm)""",
+    "quality_base_columns": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '{_SPACES}') IF x <> ''] AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM k),
+c AS (SELECT doc_id, count(DISTINCT i + step) AS n FROM r, range(3) AS s(step) WHERE r.n > 1 GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op6_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '{_SPACES}') IF x <> ''] AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
