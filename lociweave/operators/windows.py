@@ -53,10 +53,15 @@ _TOTALS = "file long, block long, part long, first_chrom string, first_tile long
 _CARRY = "file long, block long, part long, base long, chrom string, tile long, place long"
 
 
+def _numbered(df: DataFrame) -> bool:
+    """Whether a file reader numbered the rows."""
+    order = df.schema["ord"].dataType
+    return isinstance(order, StructType) and {"file", "block", "line"} <= set(order.names)
+
+
 def _in_splits(df: DataFrame, contigs_together: bool) -> DataFrame:
     """Adds _split; its rows are together in one task, in order, and splits have the order of the input."""
-    order = df.schema["ord"].dataType
-    if isinstance(order, StructType) and {"file", "block", "line"} <= set(order.names):
+    if _numbered(df):
         return df.withColumn("_split", F.struct(F.col("ord.file").cast("long").alias("file"), F.col("ord.block").alias("block"), F.expr("ord.line >> 33").alias("part")))
     keys = ["chrom", "ord"] if contigs_together else ["ord"]
     # written, so that both passes see the same ranges
@@ -147,7 +152,7 @@ def assign(df: DataFrame, policy: WindowPolicy, contigs_together: bool = True, p
     """
     names = [c for c in df.columns if c != "win_id"]
     rows = _in_splits(df.select(*names).where("pos is not null"), contigs_together)
-    known = rows if positions is None else _in_splits(positions.select("ord", "chrom", "pos").where("pos is not null"), contigs_together)
+    known = rows if positions is None or not _numbered(df) else _in_splits(positions.select("ord", "chrom", "pos").where("pos is not null"), contigs_together)
     carried = _carried(_split_totals(known, policy), policy).select(F.struct("file", "block", "part").alias("_split"), F.struct("base", "chrom", "tile", "place").alias("_carry"))
     found = rows.join(F.broadcast(carried), "_split").select(*names, "_split", "_carry")
     schema = StructType([*(df.schema[n] for n in names)]).add("win_id", LongType())
