@@ -19,6 +19,7 @@ from ..operators import embedding_projection as emb
 from ..operators.shared import materialised, shared_folder
 from ..sources.matrix import matrix_lines
 from ..streaming import windows as streams
+from . import tree_sql
 
 SAMPLES, TILE, ALLELES = 10, 500, 3
 K = 4
@@ -368,6 +369,15 @@ def large_trees(spark, sf_dir):
     return out
 
 
+def large_genotype_trees(spark, sf_dir):
+    """Newick of the samples' distances by rounds of joins, of which the last three clusters are joined one by one."""
+    dist, out = materialised(_dist(spark, sf_dir)), None
+    for linkage in agglomerate.LINKAGES:
+        one = agglomerate.large_tree(dist, linkage, finish=3).select(F.lit(linkage).alias("linkage"), "newick")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def clade_support(spark, sf_dir):
     grown = tree.trees(_dist(spark, sf_dir, replicates=20), ["rep"])
     return tree.clade_support(grown, 20).select(F.concat_ws(" ", "clade").alias("clade"), "n", "support")
@@ -515,7 +525,7 @@ def packed_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, clade_support, large_clade_support, large_tree_clusters, stream_variant_windows, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, large_genotype_trees, clade_support, large_clade_support, large_tree_clusters, stream_variant_windows, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:
@@ -657,3 +667,19 @@ SELECT l_orderkey, l_linenumber, {_SQL_TEXT.format(x=_SQL_SHARE)} AS dist, print
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') || '+' || reverse(coalesce(text, '')) AS j FROM documents)
 SELECT doc_id, md5(substr(j, 1, strpos(j, '+') - 1)) AS head, md5(substr(j, strpos(j, '+') + 1)) AS rest, CAST(2 * length(text) AS INT) AS packed, true AS same FROM d""",
 }
+
+
+def _as_matrix(sql: str, group: str) -> str:
+    """Unrounded distances of named samples as numbers, with a group."""
+    plain = sql.replace("round(CASE", "(CASE").replace(", 6) AS dist", ") AS dist")
+    return f"SELECT {group} AS grp, CAST(substr(sample_i, 2) AS INT) AS i, CAST(substr(sample_j, 2) AS INT) AS j, CAST(dist AS DOUBLE) AS dist FROM ({plain})"
+
+
+_SQL_REPLICATES = ORACLE_SQL["bootstrap_distances"].replace(_sql_weights("'chr1|' || v", 3, "v"), _sql_weights("'chr1|' || v", 20, "v"))
+ORACLE_SQL |= {
+    "genotype_trees": tree_sql.newicks(_as_matrix(_sql_cosine(), "0"), "s", "'complete', 'average', 'single'", "linkage"),
+    "large_genotype_trees": tree_sql.newicks(_as_matrix(_sql_cosine(), "0"), "s", "'complete', 'average'", "linkage"),
+    "windowed_trees": tree_sql.newicks(_as_matrix(_sql_cosine(str(TILE)), "start"), "s", "'complete'", "grp AS start"),
+    "clade_support": tree_sql.support(_as_matrix(_SQL_REPLICATES, "rep"), "s", 20),
+    "tree_clusters": tree_sql.cut(_as_matrix(_sql_cosine(), "0"), "s", 0.45),
+}
