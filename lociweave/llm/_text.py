@@ -7,6 +7,8 @@ slice and the longest document, not the batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from ..operators.shared import materialised as checkpointed  # noqa: F401
 
 SLICE_BYTES = 1 << 20
+#: bytes of a column after whose slices freed memory goes back to the system
+LARGE_BYTES = 4 << 20
 
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INVERSE = pow(_MULT, -1, 1 << 64)
@@ -76,6 +80,16 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: workers live on between tasks, and the C library and Arrow keep what they had."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """(first row, end row, bytes, offsets) of consecutive runs of rows of about `limit` bytes."""
     data, offsets = column_bytes(column)
@@ -85,6 +99,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
         hi = min(hi, lo + 65536, rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    if len(data) > LARGE_BYTES:
+        give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTES):
