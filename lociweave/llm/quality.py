@@ -122,10 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_
         held[:] = False
     dim = KINDS << KIND_BITS
     train = Sparse.of([p for p, h in zip(x, held, strict=True) if not h])
+    calibrate = Sparse.of([p for p, h in zip(x, held, strict=True) if h]) if held.any() else Sparse.of(x)
+    del rows, x  # the driver holds the features once
     scale = 1 / np.sqrt(train.back(np.ones(train.rows), dim) / train.rows + 1e-4)
     train.value *= scale[train.index].astype(np.float32)
     weights, bias = fit_logistic(train, y[~held], dim, l2=1e-4, steps=120)
-    calibrate = Sparse.of([p for p, h in zip(x, held, strict=True) if h]) if held.any() else Sparse.of(x)
     weights = weights * scale
     slope, offset = fit_platt(calibrate.dot(weights) + bias, y[held] if held.any() else y)
     return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "offset": offset, "rows": len(y)}
