@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from .operators import dynamic_cut, stats, tree, windows
+from .operators import dynamic_cut, stats, windows
 from .operators.shared import materialised
 from .plans import commands as C
 from .session import get_session

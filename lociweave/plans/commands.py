@@ -17,7 +17,7 @@ from ..sources.embeddings import read_embeddings  # noqa: F401
 from ..sources.fasta import read_fasta, read_sequence_lines  # noqa: F401
 from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix
 from ..sources.text import expand, read_lines
-from ..sources.vcf import Vcf, parse, read_head, read_vcf
+from ..sources.vcf import Vcf, parse, read_head, read_vcf  # noqa: F401
 
 
 def vcf_distances(vcf: Vcf, replicates: int = 0, seed: int = 1) -> DataFrame:

@@ -18,10 +18,8 @@ from ..sources.matrix import matrix_lines, matrix_pairs, read_matrix, write_line
 from ..sources.text import expand
 from ..sources.vcf import Vcf, kept_lines, read_head, read_vcf
 from . import commands as C
-from .queries import _SQL_BOTH, _SQL_G, _SQL_PROB, _SQL_TOTALS, SAMPLES, TILE, K, _genotypes, _names, _sql_d2, _sql_kmers, _t, _wide
-
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_AS_BASES = "".join("ACGT"[k % 4] for k in range(26))
+from .queries import _AS_BASES, _LETTERS, _SQL_G, SAMPLES, TILE, K, _genotypes, _names, _sql_d2, _sql_kmers, _t, _wide
+from .tree_sql import _number
 
 
 def _size(uri: str) -> int:
@@ -70,11 +68,6 @@ k AS (SELECT v, v % 3 AS w, s, hap, allele FROM c, m WHERE v % 7 <> 3 AND allele
 x AS (SELECT DISTINCT v FROM g), i AS (SELECT DISTINCT s FROM g)"""
 
 
-def _number(x: str) -> str:
-    """A number with up to seven decimals."""
-    return f"regexp_replace(regexp_replace(printf('%.7f', {x}), '0+$', ''), '\\.$', '')"
-
-
 _SQL_DIST = "CASE WHEN coalesce(p.norm, 0) = 0 OR coalesce(q.norm, 0) = 0 THEN CASE WHEN f.i = f.j THEN 0 ELSE 1 END ELSE greatest(0, 1 - coalesce(dot, 0) / (sqrt(p.norm) * sqrt(q.norm))) END"
 _SQL_MATRIX = f"""WITH {_SQL_FILE},
 d AS (SELECT a.s AS i, b.s AS j, count(*) AS dot FROM k a JOIN k b USING (v, hap, allele) GROUP BY 1, 2),
