@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._linear import Sparse, fit_logistic, fit_platt, gathered, sample_labelled, sigmoid
 from ._text import WORD_BYTES, checkpointed, run_hashes, span_hashes, spans, text_slices
