@@ -118,6 +118,11 @@ def signature(hashes: np.ndarray, bands: int) -> np.ndarray:
     return np.concatenate([mix(salts[k : k + rows, None] ^ hashes[None, :]).min(axis=1) for k in range(0, bands, rows)])
 
 
+def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are among sorted ones."""
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def bands_for(shingles: int, window: int, min_containment: float) -> int:
     """Bands by which a window of so many shingles misses a template that it holds with a probability under MISS."""
     fewest = next((k for k in range(1, shingles + 1) if k / shingles >= min_containment), shingles)
@@ -166,10 +171,11 @@ class Templates:
         Windows with the same shingles are signed and verified once, where the last of them is; of windows with the same share the last counts.
         """
         out: dict[int, tuple[float, set]] = {}
-        if not np.isin(hashes, self.known).any():
+        some = np.flatnonzero(_among(self.known, hashes))
+        if not len(some):
             return out
         for step, members in self.classes.items():
-            held = np.flatnonzero(np.isin(hashes, self.class_known[step]))
+            held = some[_among(self.class_known[step], hashes[some])]
             if not len(held):
                 continue
             shingles = 2 * step - SHINGLE + 1
