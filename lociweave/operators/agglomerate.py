@@ -5,7 +5,7 @@ later, whatever it joins before, if a joined cluster is never nearer than its pa
 average linkage).  So every round joins all such pairs at once and brings the distances up to date by one
 aggregation; there are few rounds where there are many such pairs.  Ties are broken by the clusters'
 numbers, as the one-by-one algorithm does, and a joined cluster keeps the number that it gives it; the
-tree is the same.  Matrices of several replicates go through the rounds together.  What few clusters are left of a
+tree is the same.  Single linkage, where a tie's place can change with joins elsewhere, has rounds of its own (`single_linkage`).  Matrices of several replicates go through the rounds together.  What few clusters are left of a
 matrix, its task joins one by one.  No task holds a large matrix.
 
 Clades are compared by fingerprints: each sample has a 128-bit value, a clade the XOR of its samples'.  They are added
@@ -23,11 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import tree
+from . import single_linkage, tree
 from .shared import remove_folder, stored, written
-from .tree import Node, newick
+from .tree import LINKAGES, Node, newick
 
-LINKAGES = ("complete", "average")
 _JOINS = "rep int, round int, kept int, gone int, height double, size long"
 
 
@@ -67,6 +66,12 @@ def merges(dist: DataFrame, linkage: str = "complete", finish: int = tree.GROUP_
     good = F.when((F.col("dist") >= 0) & ~F.isnan("dist"), F.col("dist").cast("double")).otherwise(far)
     pairs, pairs_at = stored(dist.where("i < j").select(rep.alias("rep"), F.col("j").cast("int").alias("i"), F.col("i").cast("int").alias("j"), good.alias("d"), F.lit(1.0).alias("w")))
     sizes, sizes_at = stored(dist.where("i = j").select(rep.alias("rep"), F.col("i").cast("int").alias("id"), F.lit(1).cast("long").alias("n")))
+    if linkage == "single":
+        joins = (sizes.count() or 1) - (sizes.select("rep").distinct().count() or 1)
+        out = single_linkage.merges(pairs.where(F.col("d") < far), joins, finish)
+        for path in (pairs_at, sizes_at):
+            remove_folder(spark, path)
+        return out
     turn, done, old = 0, [], []
     while True:
         counted = sizes.groupBy("rep").count().agg(F.max("count").alias("most"), F.sum(F.col("count") - 1).alias("joins")).first()

@@ -363,7 +363,7 @@ def large_trees(spark, sf_dir):
     """Newick of the labels' distances by rounds of joins, as for matrices that no task can hold."""
     dist = embedding_cosine(spark, sf_dir).select("i", "j", F.concat(F.lit("l"), F.col("i").cast("string")).alias("name_i"), F.concat(F.lit("l"), F.col("j").cast("string")).alias("name_j"), "dist")
     dist, out = materialised(dist), None
-    for linkage in agglomerate.LINKAGES:
+    for linkage in ("complete", "average"):
         one = agglomerate.large_tree(dist, linkage, finish=1).select(F.lit(linkage).alias("linkage"), "newick")
         out = one if out is None else out.unionByName(one)
     return out
@@ -372,12 +372,28 @@ def large_trees(spark, sf_dir):
 def large_genotype_trees(spark, sf_dir):
     """Newick of the samples' distances by rounds of joins, of which the last three clusters are joined one by one."""
     dist, out = materialised(_dist(spark, sf_dir)), None
-    for linkage in agglomerate.LINKAGES:
+    for linkage in ("complete", "average"):
         one = agglomerate.large_tree(dist, linkage, finish=3).select(F.lit(linkage).alias("linkage"), "newick")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def single_linkage_trees(spark, sf_dir):
+    """Newick of single linkage by spanning forests, of the samples' distances as they are and in fifteenths, which has many ties."""
+    dist = materialised(_dist(spark, sf_dir))
+    steps = dist.withColumn("dist", F.floor(F.col("dist") * 15 + 0.5).cast("double"))
+    return agglomerate.large_tree(dist, "single", finish=1).select(F.lit(0).alias("grp"), "newick").unionByName(agglomerate.large_tree(steps, "single", finish=1).select(F.lit(1).alias("grp"), "newick"))
+
+
+def single_linkage_clusters(spark, sf_dir):
+    """Clusters of all suppliers by single linkage of their balances in hundreds, cut at a height."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")).alias("name"), F.floor(F.col("s_acctbal") / 100).alias("x"))
+    one, two = (s.select(*[F.col(c).alias(f"{c}_{side}") for c in ("name", "x")], F.col("id").alias(side)) for side in ("i", "j"))
+    pairs = one.withColumn("j", F.explode(F.expr(f"sequence(i, {s.count() - 1})")))  # a matrix; suppliers are numbered from 0
+    dist = pairs.join(two, "j").select("i", "j", "name_i", "name_j", F.abs(F.col("x_i") - F.col("x_j")).cast("double").alias("dist"))
+    return agglomerate.large_clusters(dist, 2.0, min_size=3, linkage="single", finish=8)
+
+
 def clade_support(spark, sf_dir):
     grown = tree.trees(_dist(spark, sf_dir, replicates=20), ["rep"])
     return tree.clade_support(grown, 20).select(F.concat_ws(" ", "clade").alias("clade"), "n", "support")
@@ -525,7 +541,7 @@ def packed_texts(spark, sf_dir):
     return docs.select("doc_id", F.md5(seq).alias("head"), F.md5(qual).alias("rest"), F.length(packed).alias("packed"), (S.unpacked_text(packed) == F.col("text")).alias("same"))
 
 
-_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, large_genotype_trees, clade_support, large_clade_support, large_tree_clusters, stream_variant_windows, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
+_QUERIES = (genotype_cosine, genotype_cosine_blocks, windowed_cosine_long, windowed_cosine_blocks, istats, dosage_totals, keep_samples, least_missing_per_cluster, variant_key, bp_windows, variant_windows, stream_tiles, embedding_cosine, embedding_projection, embedding_counters, kmer_counts, kmer_both_strands, base_composition, kmer_prob, d2s, d2star, kmer_rank, kmer_vocabulary, kmer_encode_decode, distance_histogram, genotype_trees, large_trees, large_genotype_trees, single_linkage_trees, single_linkage_clusters, clade_support, large_clade_support, large_tree_clusters, stream_variant_windows, windowed_trees, tree_clusters, dynamic_clusters, matrix_text, bootstrap_weights, bootstrap_distances, unsorted_tiles, arrival_tiles, stream_sliding, stream_sessions, reordered_distances, kmer_prob_normalised, profile_norms, poisson_posterior, number_texts, shared_alleles, packed_texts)
 
 
 def queries() -> dict:
@@ -574,6 +590,13 @@ WITH s AS (SELECT s_suppkey // 8 AS c, 's' || lpad(s_suppkey::VARCHAR, 8, '0') A
 g AS (SELECT c, count(*) AS size, min(name) AS least FROM s GROUP BY c),
 k AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, least) AS id FROM g WHERE size >= 5)
 SELECT coalesce(id, 0)::INT AS cluster_id, name, coalesce(k.size, (SELECT sum(size) FROM g WHERE size < 5))::BIGINT AS size FROM s LEFT JOIN k USING (c)""",
+    "single_linkage_clusters": """
+WITH s AS (SELECT 's' || lpad(s_suppkey::VARCHAR, 8, '0') AS name, floor(s_acctbal / 100) AS x FROM supplier),
+w AS (SELECT name, x, coalesce(x - lag(x) OVER (ORDER BY x, name) > 2, false)::INT AS apart FROM s),
+c AS (SELECT name, sum(apart) OVER (ORDER BY x, name) AS c FROM w),
+g AS (SELECT c, count(*) AS size, min(name) AS least FROM c GROUP BY c),
+k AS (SELECT c, size, row_number() OVER (ORDER BY size DESC, least) AS id FROM g WHERE size >= 3)
+SELECT coalesce(id, 0)::INT AS cluster_id, name, coalesce(k.size, (SELECT sum(size) FROM g WHERE size < 3))::BIGINT AS size FROM c LEFT JOIN k USING (c)""",
     "stream_variant_windows": f"""WITH {_SQL_G},
 x AS (SELECT DISTINCT v FROM g), i AS (SELECT DISTINCT s FROM g), r AS (SELECT v, v % 3 AS w, (row_number() OVER (PARTITION BY v % 3 ORDER BY v) - 1) // 40 AS k FROM x),
 q AS (SELECT w, k, min(v) AS start, max(v) + 1 AS "end", count(*) AS n FROM r GROUP BY w, k),
@@ -679,6 +702,7 @@ _SQL_REPLICATES = ORACLE_SQL["bootstrap_distances"].replace(_sql_weights("'chr1|
 ORACLE_SQL |= {
     "genotype_trees": tree_sql.newicks(_as_matrix(_sql_cosine(), "0"), "s", "'complete', 'average', 'single'", "linkage"),
     "large_genotype_trees": tree_sql.newicks(_as_matrix(_sql_cosine(), "0"), "s", "'complete', 'average'", "linkage"),
+    "single_linkage_trees": tree_sql.newicks(f"SELECT g AS grp, i, j, CASE g WHEN 0 THEN dist ELSE floor(dist * 15 + 0.5) END AS dist FROM ({_as_matrix(_sql_cosine(), '0')}), (SELECT unnest([0, 1]) AS g)", "s", "'single'", "grp"),
     "windowed_trees": tree_sql.newicks(_as_matrix(_sql_cosine(str(TILE)), "start"), "s", "'complete'", "grp AS start"),
     "clade_support": tree_sql.support(_as_matrix(_SQL_REPLICATES, "rep"), "s", 20),
     "tree_clusters": tree_sql.cut(_as_matrix(_sql_cosine(), "0"), "s", 0.45),

@@ -5,12 +5,13 @@ import operator
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lociweave import cli
 from lociweave.functions import genotype as G
-from lociweave.operators import agglomerate, stats, tree
+from lociweave.operators import agglomerate, single_linkage, stats, tree
 from lociweave.operators.shared import shared_folder
 from lociweave.operators.windows import WindowPolicy
 from lociweave.plans import commands as C
@@ -188,12 +189,65 @@ def test_rounds_of_joins_give_the_same_tree(spark, linkage, n, most):
         assert agglomerate.large_tree(dist, linkage, finish).first()["newick"] == tree.newick(tree.cluster(d, labels, linkage))
 
 
-def test_rounds_of_joins_of_odd_matrices(spark):
+def _settled(d):
+    """The tree by forests, without Spark: ties are settled pass by pass as `single_linkage.merges` does; and the number of passes."""
+    n, passes = len(d), 0
+    i, j = np.tril_indices(n, -1)
+    pairs = pd.DataFrame({"grp": 0, "a": i, "b": j, "i": i, "j": j, "d": d[i, j]})
+    forest = single_linkage._last_edges(pairs).assign(rep=0, settled=False)
+    while True:
+        rows = single_linkage.walk(forest)
+        members = rows[rows["open"]].set_index("kept")
+        if members.empty:
+            return tree.newick(agglomerate.tree_of(rows.assign(support=-1), {k: f"s{k}" for k in range(n)})), passes
+        passes += 1
+        meets = lambda e: e[["i", "j"]].isin(members.index).all(axis=1) & (e["i"].map(members["round"]) == e["j"].map(members["round"])) & (e["i"].map(members["height"]) == e["d"]) & (e["i"].map(members["gone"]) != e["j"].map(members["gone"]))
+        tied = pairs[meets(pairs)]
+        x, y = tied["i"].map(members["gone"]), tied["j"].map(members["gone"])
+        tied = pd.DataFrame({"grp": tied["i"].map(members["round"]), "i": np.maximum(x, y), "j": np.minimum(x, y), "d": tied["d"]}).drop_duplicates()
+        new = [single_linkage._last_edges(t.assign(a=t["i"], b=t["j"])).assign(rep=0, settled=True) for _, t in tied.groupby("grp")]
+        forest = pd.concat([forest[~meets(forest)], *new])
+
+
+def test_single_linkage_by_forests_equals_a_plain_search():
+    """Few distinct distances, so that groups of ties lie in each other."""
+    rng, deepest = np.random.default_rng(2), 0
+    for k in range(60):
+        n, most = int(rng.integers(2, 25)), int(rng.choice([1, 2, 3, 6, 20, 1000]))
+        x = rng.integers(0, 8, (n, 2))
+        d = np.abs(x[:, None] - x[None]).sum(axis=2).astype(float) if k % 3 == 0 else np.tril(rng.integers(0, most, (n, n)).astype(float), -1)
+        d = np.maximum(d, d.T)
+        got, passes = _settled(d)
+        deepest = max(deepest, passes)
+        assert got == slow_cluster(d, [f"s{j}" for j in range(n)], "single")
+    assert deepest > 1
+
+
+def test_single_linkage_of_a_chain_and_of_replicates(spark):
+    """A cluster that takes in sample after sample needs few rounds; replicates and a hot group of clones go through them together."""
+    n, rng = 60, np.random.default_rng(4)
+    chain = np.cumsum(rng.permutation(n) + 1.0)
+    clones = np.where(np.arange(n) < n // 3, 0.0, chain)
+    rows, want = [], []
+    for rep, x in enumerate((chain, clones)):
+        d = np.abs(x[:, None] - x[None])
+        rows += [(rep, i, j, f"s{i}", f"s{j}", float(d[i, j])) for i in range(n) for j in range(i, n)]
+        want.append(slow_cluster(d, [f"s{k}" for k in range(n)], "single"))
+    dist = spark.createDataFrame(rows, "rep int, i int, j int, name_i string, name_j string, dist double").repartition(3)
+    for finish in (1, 10):
+        joins = agglomerate.merges(dist, "single", finish).toPandas().assign(support=-1)
+        for rep in (0, 1):
+            assert tree.newick(agglomerate.tree_of(joins[joins["rep"] == rep], {k: f"s{k}" for k in range(n)})) == want[rep]
+
+
+@pytest.mark.parametrize("linkage", agglomerate.LINKAGES)
+def test_rounds_of_joins_of_odd_matrices(spark, linkage):
     one = spark.createDataFrame([(0, 0, "a", "a", 0.0)], "i int, j int, name_i string, name_j string, dist double")
-    assert agglomerate.merges(one).count() == 0
+    assert agglomerate.merges(one, linkage).count() == 0
+    assert agglomerate.merges(one.limit(0), linkage).count() == 0
     bad = spark.createDataFrame([(0, 0, "a", "a", 0.0), (1, 1, "b", "b", 0.0), (0, 1, "a", "b", float("nan"))], one.schema)
     with pytest.raises(ValueError):
-        agglomerate.merges(bad)
+        agglomerate.merges(bad, linkage).count()
 
 
 def _replicates(n, reps, seed=5):
