@@ -208,10 +208,15 @@ def stream_sliding(spark, sf_dir):
 
 
 def stream_sessions(spark, sf_dir):
-    """Sessions of users that end after half an hour without events; the last batch tells all, open ones too."""
-    told = _streamed(spark, sf_dir, lambda events: streams.stream_sessions(events, "30 minutes"), "complete")
-    last = told.agg(F.max("batch").alias("batch"))
-    return told.join(F.broadcast(last), "batch").select("user_id", F.unix_micros("start").alias("start"), "n")
+    """Sessions of users that end after half an hour without events, told once they are over; a row a day after all events ends the last ones."""
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "events").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).alias("ts")).write.parquet(f"{home}/last")
+
+    def run(events):
+        last = spark.readStream.schema("ts timestamp").parquet(f"{home}/last")
+        return streams.stream_sessions(events.select("user_id", "ts").unionByName(last, allowMissingColumns=True), "30 minutes")
+
+    return _streamed(spark, sf_dir, run, "append").select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
 # ---- embeddings ------------------------------------------------------------

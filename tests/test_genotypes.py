@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import json
 import lzma
 
 import numpy as np
@@ -10,6 +11,7 @@ from lociweave.functions import genotype as G
 from lociweave.operators import bootstrap, distance, stats, tree, windows
 from lociweave.operators import embedding_projection as emb
 from lociweave.plans import commands as C
+from lociweave.sources import embeddings
 from lociweave.sources.text import read_lines
 from lociweave.sources.vcf import kept_lines
 
@@ -336,3 +338,29 @@ def test_embeddings(spark, tmp_path, vcf_path):
     for k, text in enumerate(('{"variants":[{"id":"a","embedding":[1,2.5]}]}', '{"a":[1,2.5]}')):
         (tmp_path / f"{k}.json").write_text(text)
         assert [tuple(r) for r in C.read_embeddings(spark, str(tmp_path / f"{k}.json")).collect()] == [("a", [1.0, 2.5])]
+
+
+@pytest.mark.parametrize("nested", [True, False])
+def test_json_embeddings_by_splits(spark, tmp_path, nested):
+    """Pieces of files equal the whole texts, wherever splits end; files of any other layout are read whole."""
+    rows = [(f"k{k % 40}", [k / 7, -1e-5 * k, 0.0]) for k in range(50)] + [("kö ,:", []), ("", [1.0])]
+    pairs = [{"id": k, "embedding": v} for k, v in rows]
+    text = json.dumps({"variants": pairs}, ensure_ascii=False, indent=1) if nested else "{" + ",\n ".join(f"{json.dumps(k, ensure_ascii=False)}: {v}" for k, v in rows) + "}\n"
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(text.replace("k3", "h3").encode()))
+    path = str(tmp_path / "*.json*")
+    read = lambda df: {r["key"]: r["vec"] for r in df.groupBy("key").agg(F.max_by("vec", F.struct("file", "place")).alias("vec")).collect()}
+    want, old = read(embeddings._whole_texts(spark, path)), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert want["k0"] == [40 / 7, -1e-5 * 40, 0.0] and len(want) == 53
+    try:
+        for size in (37, 64, 1001, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = embeddings.json_entries(spark, path)
+            assert found.count() == 2 * len(rows) and read(found) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for bad in ('{"variants":[{"id":"a","n":2,"embedding":[1]}]}', '{"a]":[1]}', '{"a\\"":[1]}', '{"a":[1, "x"]}', '{"a":[1 2]}', '{"variants":[{"id":"a","embedding":[1]}], "more":[2]}'):
+        (tmp_path / "c.json").write_text(bad)
+        assert embeddings.json_entries(spark, str(tmp_path / "c.json")) is None
+    (tmp_path / "d.json").write_text('{"variants":[{"id":"a]","n":2,"embedding":[1]}]}' if nested else '{"a]":[1]}')
+    assert [tuple(r) for r in C.read_embeddings(spark, str(tmp_path / "d.json")).collect()] == [("a]", [1.0])]
