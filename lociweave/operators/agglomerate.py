@@ -52,19 +52,24 @@ def _last_joins(pairs: DataFrame, sizes: DataFrame, turn: int, linkage: str) ->
     return rows.groupBy("rep").applyInPandas(join, _JOINS)
 
 
-def merges(dist: DataFrame, linkage: str = "complete", finish: int = tree.GROUP_SAMPLES) -> DataFrame:
+def merges(dist: DataFrame, linkage: str = "complete", finish: int = tree.GROUP_SAMPLES, height: float | None = None) -> DataFrame:
     """(rep, round, kept, gone, height, size) of all joins, from (i, j, dist) rows with i <= j, of one matrix or of each rep.
 
     Negative and missing distances are never joined; an error tells if clusters are left without one.  Matrices
     of which no more than `finish` clusters are left are finished one by one.
+
+    With a height (complete linkage only) the joins up to it are given, the same as of the whole tree: two clusters with a pair of samples
+    beyond it never meet below it, so such pairs are dropped at once and need not be given.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage is one of {LINKAGES}")
+    if height is not None and linkage != "complete":
+        raise ValueError("joins up to a height are those of complete linkage")
     spark = dist.sparkSession
     rep = F.col("rep").cast("int") if "rep" in dist.columns else F.lit(0)
     far = float("inf")
     good = F.when((F.col("dist") >= 0) & ~F.isnan("dist"), F.col("dist").cast("double")).otherwise(far)
-    pairs, pairs_at = stored(dist.where("i < j").select(rep.alias("rep"), F.col("j").cast("int").alias("i"), F.col("i").cast("int").alias("j"), good.alias("d"), F.lit(1.0).alias("w")))
+    pairs, pairs_at = stored(dist.where("i < j").select(rep.alias("rep"), F.col("j").cast("int").alias("i"), F.col("i").cast("int").alias("j"), good.alias("d"), F.lit(1.0).alias("w")).where(F.lit(True) if height is None else F.col("d") <= height))
     sizes, sizes_at = stored(dist.where("i = j").select(rep.alias("rep"), F.col("i").cast("int").alias("id"), F.lit(1).cast("long").alias("n")))
     if linkage == "single":
         joins = (sizes.count() or 1) - (sizes.select("rep").distinct().count() or 1)
@@ -78,7 +83,7 @@ def merges(dist: DataFrame, linkage: str = "complete", finish: int = tree.GROUP_
         left = counted["most"] or 0
         for path in old:
             remove_folder(spark, path)
-        if left <= max(1, finish):
+        if left <= max(1, finish) or (height is not None and pairs.isEmpty()):
             break
         order = F.struct("d", "i", "j").alias("p")
         nearest = pairs.where(F.col("d") < far).select("rep", F.explode(F.array("i", "j")).alias("id"), order).groupBy("rep", "id").agg(F.min("p").alias("p"))
@@ -96,12 +101,17 @@ def merges(dist: DataFrame, linkage: str = "complete", finish: int = tree.GROUP_
             moved = moved.join(renamed.select("rep", F.col("id").alias(side), F.col("to").alias(f"to_{side}")), ["rep", side], "left")
         moved = moved.select("rep", F.coalesce("to_i", "i").alias("x"), F.coalesce("to_j", "j").alias("y"), "d", "w").where("x <> y")
         value = F.max("d") if linkage == "complete" else F.sum(F.col("d") * F.col("w")) / F.sum("w")
-        pairs, pairs_at = stored(moved.groupBy("rep", F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).agg(value.alias("d"), F.sum("w").alias("w")))
+        met = moved.groupBy("rep", F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j")).agg(value.alias("d"), F.sum("w").alias("w"))
         grown = joined.select("rep", F.col("kept").alias("id"), "size")
         sizes, sizes_at = stored(sizes.join(joined.select("rep", F.col("gone").alias("id")), ["rep", "id"], "left_anti").join(grown, ["rep", "id"], "left").select("rep", "id", F.coalesce("size", "n").alias("n")))
-    if left > 1:
+        if height is not None:  # all pairs of samples of two clusters must be there
+            for side in ("i", "j"):
+                met = met.join(sizes.select("rep", F.col("id").alias(side), F.col("n").alias(f"n_{side}")), ["rep", side])
+            met = met.where(F.col("w") == F.col("n_i") * F.col("n_j"))
+        pairs, pairs_at = stored(met.select("rep", "i", "j", "d", "w"))
+    if 1 < left <= max(1, finish):
         done.append(written(_last_joins(pairs, sizes, turn, linkage)))
-        if done[-1].count() < counted["joins"]:
+        if height is None and done[-1].count() < counted["joins"]:
             raise ValueError("no pair of clusters has a distance")
     for path in (pairs_at, sizes_at):
         remove_folder(spark, path)
@@ -234,6 +244,13 @@ def large_supported_tree(dist: DataFrame, replicates: int, linkage: str = "compl
 
 
 def large_clusters(dist: DataFrame, height: float, min_size: int = 1, linkage: str = "complete", finish: int = tree.GROUP_SAMPLES) -> DataFrame:
-    """(cluster_id, name, size) of one matrix's tree, cut at a height."""
-    dist = written(dist.select("i", "j", "name_i", "name_j", "dist"))
-    return cut_clusters(written(merges(dist, linkage, finish)), _leaves(dist), height, min_size)
+    """(cluster_id, name, size) of one matrix's tree, cut at a height.
+
+    Complete linkage needs no pairs beyond the height: they may be left out, and only the others are stored.
+    """
+    dist = dist.select("i", "j", "name_i", "name_j", "dist")
+    if linkage != "complete":
+        dist = written(dist)
+        return cut_clusters(written(merges(dist, linkage, finish)), _leaves(dist), height, min_size)
+    dist = written(dist.where((F.col("i") == F.col("j")) | (F.col("dist") <= height)))
+    return cut_clusters(written(merges(dist, linkage, finish, height)), _leaves(dist), height, min_size)

@@ -304,3 +304,15 @@ def test_past_rounds_are_deleted(spark):
     _, rows, schema = _replicates(12, 0)
     joins = agglomerate.merges(spark.createDataFrame(rows, schema), finish=1)
     assert len(set(glob.glob(f"{home}/table-*")) - before) == joins.select("round").distinct().count()
+
+
+@pytest.mark.parametrize("finish", [1, 8])
+def test_a_cut_needs_no_pair_beyond_its_height(spark, finish):
+    """Where those pairs are left out the clusters are the same, also where some pairs of two clusters are beyond the height and others are not."""
+    n, height = 31, 0.45
+    (d,), rows, schema = _replicates(n, 0)
+    near = [r for r in rows if r[1] == r[2] or r[5] <= height]
+    assert n < len(near) < len(rows)
+    want = tree.cut(tree.cluster(d, [f"s{i:02d}" for i in range(n)]), height, 2)
+    got = agglomerate.large_clusters(spark.createDataFrame(near, schema), height, 2, finish=finish)
+    assert {(r["cluster_id"], r["name"], r["size"]) for r in got.collect()} == {(k, x, len(v)) for k, v in want.items() for x in v}
