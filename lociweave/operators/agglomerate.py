@@ -191,6 +191,11 @@ def cut_clusters(joins: DataFrame, leaves: DataFrame, height: float, min_size: i
 
     tops = _doubled(nodes, step).where("node.round = -1").select("rep", F.col("node.cluster").alias("id"), "top")
     members = tops.join(leaves.select(F.col("rep").cast("int").alias("rep"), F.col("id").cast("int").alias("id"), "name"), ["rep", "id"])
+    return _numbered(members, min_size)
+
+
+def _numbered(members: DataFrame, min_size: int) -> DataFrame:
+    """(cluster_id, name, size) of (top, name): clusters numbered by size (largest first, then by first name), 0 those smaller than min_size."""
     sizes = written(members.groupBy("top").agg(F.count(F.lit(1)).alias("size"), F.min("name").alias("least")))
     large = sizes.where(F.col("size") >= min_size).select("top", "size", F.row_number().over(Window.orderBy(F.desc("size"), "least")).alias("cluster_id"))  # a row a cluster
     few = sizes.where(F.col("size") < min_size).agg(F.sum("size")).first()[0]
@@ -246,11 +251,15 @@ def large_supported_tree(dist: DataFrame, replicates: int, linkage: str = "compl
 def large_clusters(dist: DataFrame, height: float, min_size: int = 1, linkage: str = "complete", finish: int = tree.GROUP_SAMPLES) -> DataFrame:
     """(cluster_id, name, size) of one matrix's tree, cut at a height.
 
-    Complete linkage needs no pairs beyond the height: they may be left out, and only the others are stored.
+    Complete and single linkage need no pairs beyond the height: they may be left out, and only the others are stored.  Clusters
+    of single linkage are what the others connect, so of these too any may be left out whose ends others connect at no greater distance.
     """
     dist = dist.select("i", "j", "name_i", "name_j", "dist")
-    if linkage != "complete":
+    if linkage == "average":
         dist = written(dist)
         return cut_clusters(written(merges(dist, linkage, finish)), _leaves(dist), height, min_size)
     dist = written(dist.where((F.col("i") == F.col("j")) | (F.col("dist") <= height)))
+    if linkage == "single":
+        tops = single_linkage.components(dist.where("i < j and dist >= 0").select(F.col("i").cast("int").alias("a"), F.col("j").cast("int").alias("b")))
+        return _numbered(_leaves(dist).join(tops, "id", "left").select(F.coalesce("top", "id").alias("top"), "name"), min_size)
     return cut_clusters(written(merges(dist, linkage, finish, height)), _leaves(dist), height, min_size)

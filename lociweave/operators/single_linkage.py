@@ -97,6 +97,30 @@ def spanning_forest(edges: DataFrame, finish: int = tree.GROUP_SAMPLES) -> DataF
     return out
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(id, top) of all ends of links (a, b): one number for all that are connected.
+
+    In a round every number points to the least of it and its neighbours, and what leads to one top becomes one.  After two
+    rounds all that have links are joined with another, so rounds follow the logarithm of the number of samples.
+    """
+    spark, found = links.sparkSession, None
+    links, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tops = _tops(both.groupBy(F.lit(0).cast("long").alias("grp"), F.col("a").alias("c")).agg(F.min("b").alias("up")).select("grp", "c", F.least("c", "up").alias("up"))).select("c", "up")
+        if found is None:
+            found = tops.select(F.col("c").alias("id"), F.col("up").alias("top"))
+        else:
+            found = written(found.join(tops, F.col("top") == F.col("c"), "left").select("id", F.coalesce("up", "top").alias("top")))
+        moved = links
+        for side in ("a", "b"):
+            moved = moved.join(tops.select(F.col("c").alias(side), F.col("up").alias(f"top_{side}")), side)
+        old, (links, path) = path, stored(moved.where("top_a <> top_b").select(F.greatest("top_a", "top_b").alias("a"), F.least("top_a", "top_b").alias("b")).distinct())
+        remove_folder(spark, old)
+    remove_folder(spark, path)
+    return found if found is not None else spark.createDataFrame([], "id int, top int")
+
+
 class _Clusters:
     """What joins have made of the samples: the number that a cluster keeps, its members, whether its number is known."""
 

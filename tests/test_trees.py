@@ -316,3 +316,21 @@ def test_a_cut_needs_no_pair_beyond_its_height(spark, finish):
     want = tree.cut(tree.cluster(d, [f"s{i:02d}" for i in range(n)]), height, 2)
     got = agglomerate.large_clusters(spark.createDataFrame(near, schema), height, 2, finish=finish)
     assert {(r["cluster_id"], r["name"], r["size"]) for r in got.collect()} == {(k, x, len(v)) for k, v in want.items() for x in v}
+
+
+def test_single_linkage_cut_by_what_links_connect(spark):
+    """Of a chain, copies and single samples; without the pairs beyond the height, and with copies linked to the first of them alone."""
+    rng, n, height = np.random.default_rng(8), 40, 1.5
+    x = np.where(np.arange(n) % 4 == 0, 7.0, rng.permutation(n) * 1.3)
+    x[[5, 9]] += 500
+    x[9] += 50
+    d, names = np.abs(x[:, None] - x[None]), [f"s{k:02d}" for k in range(n)]
+    want = {(k, name, len(v)) for k, v in tree.cut(tree.cluster(d, names, "single"), height, 2).items() for name in v}
+    assert len({k for k, _, _ in want}) > 3 and {"s05", "s09"} <= {name for k, name, _ in want if k == 0}
+    pairs = [(i, j, names[i], names[j], float(d[i, j])) for i in range(n) for j in range(i, n)]
+    first = {v: int(np.flatnonzero(x == v)[0]) for v in x}
+    few = [r for r in pairs if r[0] == r[1] or (r[4] <= height and r[0] == first[x[r[0]]] and (r[4] == 0 or r[1] == first[x[r[1]]]))]
+    assert len(few) < sum(r[4] <= height for r in pairs)
+    for rows in (pairs, few):
+        got = agglomerate.large_clusters(spark.createDataFrame(rows, "i int, j int, name_i string, name_j string, dist double"), height, 2, "single")
+        assert {tuple(r) for r in got.select("cluster_id", "name", "size").collect()} == want
