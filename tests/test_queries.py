@@ -40,3 +40,14 @@ def test_entry_without_the_training_data_operators():
     """The entry imports, and has the other queries, when the llm folder is not there."""
     code = "import sys; sys.modules['lociweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["fasta_line_kmers"])
+def test_records_of_several_files(spark, name):
+    """Files of a few ranges of the records: none is cut where a file ends."""
+    one = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(one, "false")
+    try:
+        compare(spark, QUERIES[name], SQL[name])
+    finally:
+        spark.conf.unset(one)
