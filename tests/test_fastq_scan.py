@@ -105,3 +105,11 @@ def test_lines_of_sequences(spark, tmp_path):
     (tmp_path / "b.fq").write_text("@s3\nACGT\nGG\n+\n@IIIII\n")
     rows = fasta.read_sequence_lines(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fq")]).orderBy("seq_id", "at").collect()
     assert [tuple(r) for r in rows] == [(1, "s1", 0, "ACGT"), (1, "s1", 4, "AC"), (1, "s1", 6, "G"), (2, "s2", 0, "TT"), (3, "s3", 0, "ACGT"), (3, "s3", 4, "GG")]
+
+
+def test_a_header_with_white_space_is_no_quality(spark, tmp_path):
+    """A short quality takes no record whose header has white space, though the lengths would fit; header-like lines without stay in it."""
+    text = "@s1\n" + "ACGTACGTACGT\n" + "+\nII\n@s2 x\nTT\n+\n>I\n@s3 yy\nACGTACGT\n+\n@III\n>JJJ\n@s4 z\nGG\n+\n@I\n"
+    (tmp_path / "a.fq").write_text(text)
+    assert read(spark, str(tmp_path / "a.fq")) == [("s1", "ACGTACGTACGT", "II"), ("s2", "TT", ">I"), ("s3", "ACGTACGT", "@III>JJJ"), ("s4", "GG", "@I")]
+    assert [tuple(r) for r in fasta.odd_qualities(spark, str(tmp_path / "a.fq")).collect()] == [(1, 12, 2)]
