@@ -42,7 +42,7 @@ def test_entry_without_the_training_data_operators():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
-@pytest.mark.parametrize("name", ["fasta_line_kmers", "fasta_records", "fastq_records"])
+@pytest.mark.parametrize("name", ["fasta_line_kmers", "fasta_records", "fastq_records", "fastq_wrapped", "fastq_odd_qualities"])
 def test_records_of_several_files(spark, name):
     """Files of a few ranges of the records: none is cut where a file ends."""
     one = "spark.sql.adaptive.coalescePartitions.enabled"
