@@ -113,3 +113,22 @@ def test_a_header_with_white_space_is_no_quality(spark, tmp_path):
     (tmp_path / "a.fq").write_text(text)
     assert read(spark, str(tmp_path / "a.fq")) == [("s1", "ACGTACGTACGT", "II"), ("s2", "TT", ">I"), ("s3", "ACGTACGT", "@III>JJJ"), ("s4", "GG", "@I")]
     assert [tuple(r) for r in fasta.odd_qualities(spark, str(tmp_path / "a.fq")).collect()] == [(1, 12, 2)]
+
+
+def test_splits_that_change_during_a_query(spark, tmp_path, monkeypatch):
+    """Spark splits files by the cores it has when a job begins; executors that come or go meanwhile change no record."""
+    text = "".join(f"@s{k} x\n{'ACGT' * (k % 5 + 1)}\n+\n{'@' + 'I' * (4 * (k % 5) + 3)}\n" for k in range(400))
+    (tmp_path / "a.fq").write_text(text)
+    splits, turn, write = (3, 11, 2, 7), iter(range(1000)), fasta.written
+
+    def elsewhere(df):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(splits[next(turn) % len(splits)]))
+        return write(df)
+
+    monkeypatch.setattr(fasta, "written", elsewhere)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert read(spark, str(tmp_path / "a.fq")) == plain([text])
+    finally:
+        for c in ("openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{c}")

@@ -1,3 +1,4 @@
+import itertools
 import subprocess
 import sys
 import tempfile
@@ -6,6 +7,7 @@ import pytest
 
 from lociweave.plans import file_queries
 from lociweave.plans import queries as Q
+from lociweave.sources import fasta
 
 from .conftest import ROOT
 from .oracle import compare, runs
@@ -51,3 +53,21 @@ def test_records_of_several_files(spark, name):
         compare(spark, QUERIES[name], SQL[name])
     finally:
         spark.conf.unset(one)
+
+
+@pytest.mark.parametrize("name", ["fasta_records"])
+def test_records_of_splits_that_change(spark, monkeypatch, name):
+    """A file that is split otherwise from one job to the next, as when executors come or go, gives the same records."""
+    splits, write = itertools.cycle((3, 11, 2, 7)), fasta.written
+
+    def elsewhere(df):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(next(splits)))
+        return write(df)
+
+    monkeypatch.setattr(fasta, "written", elsewhere)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        compare(spark, QUERIES[name], SQL[name])
+    finally:
+        for c in ("openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{c}")
