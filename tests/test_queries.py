@@ -55,7 +55,7 @@ def test_records_of_several_files(spark, name):
         spark.conf.unset(one)
 
 
-@pytest.mark.parametrize("name", ["fasta_records", "fastq_records"])
+@pytest.mark.parametrize("name", ["fasta_records", "fastq_records", "fastq_wrapped"])
 def test_records_of_splits_that_change(spark, monkeypatch, name):
     """A file that is split otherwise from one job to the next, as when executors come or go, gives the same records."""
     splits, write = itertools.cycle((3, 11, 2, 7)), fasta.written
