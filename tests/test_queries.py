@@ -71,3 +71,13 @@ def test_records_of_splits_that_change(spark, monkeypatch, name):
     finally:
         for c in ("openCostInBytes", "minPartitionNum"):
             spark.conf.unset(f"spark.sql.files.{c}")
+
+
+@pytest.mark.parametrize("name", ["fastq_records", "fastq_wrapped"])
+def test_files_of_records_go_once_they_are_read(spark, monkeypatch, name):
+    """The disk of a query doesn't hold its text files beside the reader's tables, and no row is read from them any more."""
+    paths, write = [], file_queries._written
+    monkeypatch.setattr(file_queries, "_written", lambda *a: paths.append(write(*a)) or paths[-1])
+    compare(spark, QUERIES[name], SQL[name])
+    p = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    assert len(paths) == 1 and not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
